@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -173,6 +174,13 @@ def table(model_file: str) -> PrefixTable:
     return _tables[model_file]
 
 
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public vocabulary file stands on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def encode_frame(docs: DataFrame, model_file: str, *, with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row, and with ``with_ids`` also ``ids, decoded``; one pass, no shuffle."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
@@ -190,7 +198,7 @@ def encode_frame(docs: DataFrame, model_file: str, *, with_ids: bool = True) ->
                     decoded = t.decode(chunks)
                     row = [said.count(" ") + 1, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                     if with_ids:
-                        row += [list(map(int, said.split(" "))), decoded]
+                        row += [np.array(said.split(" "), np.int32), decoded]
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]

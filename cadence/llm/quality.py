@@ -183,32 +183,49 @@ def _upto(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, content_share double, base_failed boolean, kept boolean"
 
 
+def judged(texts: pa.Array, field: Field, min_share: float, min_words: int, max_repeat: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Row ranges of a batch with the columns of SCHEMA after the id."""
+    for i, j in W.chunks(texts):
+        part = texts.slice(i, j - i)
+        raw, offs = W.buffers(part)
+        w = W.split(part, lower=False)
+        n_words = w.counts.astype(np.int64)
+        chars = _upto(~W._IS_SPACE[raw] & ((raw & 0xC0) != 0x80), offs)
+        symbols = _upto(_IS_SYMBOL[raw], offs)
+        repeat = _repeat_words(w, j - i)
+        found = [features(t) for t in part.to_pylist()]
+        flat = [r for rows, _, _ in found for r in rows]
+        scores = (np.asarray(flat) @ field.w).tolist() if flat else []
+        shares, at = [], 0
+        for rows, sizes, _ in found:
+            marks = viterbi(field, scores[at : at + len(rows)]) if rows else []
+            at += len(rows)
+            shares.append(sum(s for s, m in zip(sizes, marks, strict=True) if m) / max(1, sum(sizes)))
+        share = np.asarray(shares)
+        failed = (n_words < min_words) | (100 * repeat > max_repeat * n_words)
+        counts = [n_words, chars, symbols, np.array([d for _, _, d in found]), repeat, np.array([len(r) for r, _, _ in found])]
+        yield i, j, [*(c.astype(np.int64) for c in counts), share, failed, ~failed & (share >= min_share)]
+
+
 def assess(docs: DataFrame, field: Field, *, min_share: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """One row per row of ``docs``: the base counts, the share of words in content lines and the verdict, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
         for b in batches:
-            ids, texts = b.column("doc_id").cast(pa.int64()), b.column("text")
-            for i, j in W.chunks(texts):
-                part = texts.slice(i, j - i)
-                raw, offs = W.buffers(part)
-                w = W.split(part, lower=False)
-                n_words = w.counts.astype(np.int64)
-                chars = _upto(~W._IS_SPACE[raw] & ((raw & 0xC0) != 0x80), offs)
-                symbols = _upto(_IS_SYMBOL[raw], offs)
-                repeat = _repeat_words(w, j - i)
-                found = [features(t) for t in part.to_pylist()]
-                flat = [r for rows, _, _ in found for r in rows]
-                scores = (np.asarray(flat) @ field.w).tolist() if flat else []
-                shares, at = [], 0
-                for rows, sizes, _ in found:
-                    marks = viterbi(field, scores[at : at + len(rows)]) if rows else []
-                    at += len(rows)
-                    shares.append(sum(s for s, m in zip(sizes, marks, strict=True) if m) / max(1, sum(sizes)))
-                share = np.asarray(shares)
-                failed = (n_words < min_words) | (100 * repeat > max_repeat * n_words)
-                cols = [ids.slice(i, j - i), n_words, chars, symbols, np.array([d for _, _, d in found], np.int64), repeat, np.array([len(r) for r, _, _ in found], np.int64), share, failed, ~failed & (share >= min_share)]
-                names = [f.split()[0] for f in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c if c.dtype in (np.float64, np.bool_) else c.astype(np.int64)) for c in cols], names=names)
+            ids = b.column("doc_id").cast(pa.int64())
+            for i, j, cols in judged(b.column("text"), field, min_share, min_words, max_repeat):
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(c) for c in cols)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def keep(docs: DataFrame, field: Field, *, min_share: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+    """The rows of ``docs`` that :func:`assess` keeps, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, cols in judged(b.column("text"), field, min_share, min_words, max_repeat):
+                yield b.slice(i, j - i).filter(pa.array(cols[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
