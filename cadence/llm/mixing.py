@@ -50,8 +50,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         .withColumn("_full", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_rest", F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
         .withColumn("_try", (F.col("_total") - F.col("_full")) / F.col("_rest"))
+        .withColumn("_no", F.row_number().over(tie))
     )
-    level = F.min(F.when(F.col("_try") <= F.col("_r"), F.col("_try"))).over(everything)
+    first = F.min(F.when(F.col("_try") <= F.col("_r"), F.struct("_no", "_try"))).over(everything)  # all before it are full
+    level = first["_try"]
     return t.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_w") * level, F.col("_cap")))).select("source", "source_size", "target")
 
 
