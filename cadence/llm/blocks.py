@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cadence.llm import words as W
 from cadence.llm.common import Workspace, n_shuffle
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Class 0 is the end of a text, the others are classes of word forms.
 N_CLASSES = 4096
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cadence.llm.blocks import N_CLASSES, encode, exchange, joined, unpacked_ids
 from cadence.llm.common import Workspace, whole
 
-STATES, ROUNDS, STEP_TOKENS, GRAIN = 8, 5, 1_500_000, 1 << 16
+STATES, ROUNDS, STEP_TOKENS, GRAIN = 8, 5, 500_000, 1 << 16
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
