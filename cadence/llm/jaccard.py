@@ -11,7 +11,7 @@ Classes with the same prefix and size form a group; prefixes are joined group
 by group, pairs of groups are filtered by size and by the place of the shared
 shingle, and what is left is expanded to members and verified on the sets.
 Since links are wanted for components, every group is first verified against a
-few hubs of each prefix shingle. Only pairs that these links have
+few hubs of each prefix shingle, then against others by some of the shingles. Only pairs that these links have
 not already put into one component are then joined in full, so a group of near
 copies of any size costs links in proportion to its members.
 
@@ -237,13 +237,15 @@ def hub_pairs(post: DataFrame, percent: int, seeds: tuple[int, ...], central: bo
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_pairs(post: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs that may reach the likeness and are in different components yet.
+def open_pairs(post: DataFrame, nodes: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """All pairs, or those of one ``share``-th of the shingles, that may reach the likeness and are in different components yet.
 
     Parity bitmaps of the sets bound the symmetric difference from below: bits
     that differ, and the shingles that only one set has. That leaves little but
     links even between components of near copies.
     """
+    if share > 1:
+        post = post.where(F.pmod(F.xxhash64(F.lit(9), "token"), F.lit(share)) == 0)
     torn = post.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     rows = post.join(torn, "token", "left_semi").join(nodes.select("node", "sig"), "node")
     rows = rows.select("token", "node", "n", "i", "m", "root", *[F.col("sig")[k].alias(f"s{k}") for k in range(SIG_WORDS)])
@@ -272,10 +274,18 @@ def join_documents(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Data
     post = ws.put(post.withColumn("root", F.col("node")), "post")
     links = ws.put(verify(ws.put(hub_pairs(post, percent, (1, 2, 3, 4), True), "pairs1"), nodes, percent), "links1")
     roots = ws.put(connected(links, ws, "c1"), "roots1")
-    post = ws.put(post.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "post2")
-    more = ws.put(verify(ws.put(open_pairs(post, nodes, percent), "pairs2"), nodes, percent), "links2")
-    ws.drop("post", "post2", "pairs1", "pairs2")
-    roots = ws.put(connected(links.union(more), ws, "c2"), "roots2")
+
+    def rooted(post: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        return ws.put(post.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), name)
+
+    # A part of the shingles first: what it links is one component by the time all are joined.
+    post = rooted(post, roots, "post2")
+    some = ws.put(verify(ws.put(open_pairs(post, nodes, percent, 8), "pairs2"), nodes, percent), "links2")
+    links = links.union(some)
+    post = rooted(post, ws.put(connected(links, ws, "c2"), "roots2"), "post3")
+    more = ws.put(verify(ws.put(open_pairs(post, nodes, percent), "pairs3"), nodes, percent), "links3")
+    ws.drop("post", "post2", "post3", "pairs1", "pairs2", "pairs3")
+    roots = ws.put(connected(links.union(more), ws, "c3"), "roots3")
     # Classes and then components take the smallest id of their rows.
     rows = found.select(F.col("doc_id").alias("_id"), "n", F.col("d1").alias("node"))
     least = rows.groupBy("node").agg(F.min("_id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
