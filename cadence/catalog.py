@@ -1,4 +1,445 @@
-"""The registered queries of the speech-state operators and their SQL."""
+"""The registered queries of the speech-state operators and their SQL.
+
+Driver tables stand in for speech data: ``events`` for scored segments,
+``lineitem`` and ``orders`` for feature frames, ``embeddings`` for voiceprints
+and short waveforms. Numbers are rounded to six places on both sides, since sums
+over partitions are not taken in the same order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cadence.functions import scalar, taxonomy, vector
+from cadence.operators import align, baseline, gate, intervals, metrics, registry, report, rules
+from cadence.plans.schema import feature_columns
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    return e.select("event_id", F.col("user_id").alias("speaker"), F.col("event_type").alias("file"), F.least(F.col("value") / 100, F.lit(1.0)).alias("arousal"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("exertion"))
+
+
+def _six(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{f.name}`"), 6).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f"`{f.name}`") for f in df.schema])
+
+
+SEG = """seg AS (SELECT event_id, user_id AS speaker, event_type AS file, least(value / 100, 1.0) AS arousal,
+ CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS exertion FROM events)"""
+LIM = """lim AS (SELECT quantile_cont(arousal, 0.25) AS a_low, quantile_cont(arousal, 0.75) AS a_high, quantile_cont(exertion, 0.75) AS e_high FROM seg)"""
+STATE = """CASE WHEN arousal > a_high THEN 'excited' WHEN arousal < a_low THEN 'fatigued' ELSE 'stable' END AS state,
+ CASE WHEN arousal > a_high THEN 'high' WHEN arousal < a_low AND exertion > e_high THEN 'high' WHEN arousal < a_low THEN 'medium' ELSE 'high' END AS confidence"""
+
+
+@_query(f"WITH {SEG} SELECT round(quantile_cont(arousal, 0.25), 6) AS low, round(quantile_cont(arousal, 0.75), 6) AS high, round(avg(arousal), 6) AS mean FROM seg")
+def state_thresholds(spark, d):
+    return _six(rules.thresholds(_segments(spark, d), "arousal"))
+
+
+@_query(f"WITH {SEG}, {LIM} SELECT event_id, {STATE} FROM seg, lim")
+def classify_global(spark, d):
+    return rules.classify(_segments(spark, d)).select("event_id", "state", "confidence")
+
+
+@_query(f"""WITH {SEG}, lim AS (SELECT file, quantile_cont(arousal, 0.25) AS a_low, quantile_cont(arousal, 0.75) AS a_high, quantile_cont(exertion, 0.75) AS e_high FROM seg GROUP BY file)
+ SELECT event_id, seg.file AS file, {STATE} FROM seg JOIN lim ON seg.file = lim.file""")
+def classify_per_file(spark, d):
+    return rules.classify(_segments(spark, d), ("file",)).select("event_id", "file", "state", "confidence")
+
+
+@_query(f"""WITH {SEG} SELECT event_id, CASE WHEN arousal > 0.8 THEN 'arousal=' || printf('%.2f', arousal) || ' > threshold(0.80)'
+ WHEN arousal < 0.55 AND exertion > 0.95 THEN 'arousal=' || printf('%.2f', arousal) || ' < threshold(0.55); exertion=' || printf('%.2f', exertion) || ' > threshold(0.95)'
+ WHEN arousal < 0.55 THEN 'arousal=' || printf('%.2f', arousal) || ' < threshold(0.55); exertion=' || printf('%.2f', exertion) || ' <= threshold(0.95)'
+ ELSE 'arousal within thresholds' END AS reason FROM (SELECT event_id, round(arousal, 2) AS arousal, exertion FROM seg)""")
+def state_reasons(spark, d):
+    seg = _segments(spark, d).withColumn("arousal", F.round("arousal", 2))
+    return rules.classify(seg, limits=rules.DEFAULTS).select("event_id", "reason")
+
+
+@_query(f"""WITH {SEG}, {LIM}, s AS (SELECT *, {STATE} FROM seg, lim) SELECT count(*) AS total,
+ count(*) FILTER (state = 'excited') AS n_excited, count(*) FILTER (state = 'stable') AS n_stable, count(*) FILTER (state = 'fatigued') AS n_fatigued,
+ round(100.0 * count(*) FILTER (state = 'excited') / count(*), 6) AS excited_pct, round(100.0 * count(*) FILTER (state = 'stable') / count(*), 6) AS stable_pct,
+ round(100.0 * count(*) FILTER (state = 'fatigued') / count(*), 6) AS fatigued_pct, round(avg(arousal), 6) AS avg_arousal, round(avg(exertion), 6) AS avg_exertion FROM s""")
+def state_summary(spark, d):
+    return _six(rules.summary(rules.classify(_segments(spark, d))))
+
+
+@_query(f"WITH {SEG}, {LIM} SELECT state, confidence, count(*) AS n FROM (SELECT {STATE} FROM seg, lim) GROUP BY 1, 2")
+def state_counts(spark, d):
+    return rules.state_counts(rules.classify(_segments(spark, d)))
+
+
+@_query(f"""WITH {SEG}, {LIM}, s AS (SELECT event_id, {STATE} FROM seg, lim), r AS (SELECT event_id, state, row_number() OVER (PARTITION BY state ORDER BY event_id) AS k FROM s)
+ SELECT event_id, state FROM r WHERE k <= 2""")
+def state_examples(spark, d):
+    return rules.per_state_head(rules.classify(_segments(spark, d)), 2, "event_id").select("event_id", "state")
+
+
+@_query(f"WITH {SEG} SELECT speaker, round(avg(arousal), 6) AS avg_arousal, round(avg(exertion), 6) AS avg_exertion, count(*) AS n FROM seg GROUP BY speaker")
+def speaker_means(spark, d):
+    return _six(report.speaker_means(_segments(spark, d), "speaker"))
+
+
+def _decayed(key: str) -> str:
+    """Closed form of the running sums before each row, without stored state."""
+    return f"""{SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS k FROM seg),
+ e AS (SELECT *, greatest(0, k - 200) AS e, 200.0 / 201 AS d FROM k),
+ w AS (SELECT *, sum(pow(d, -e)) OVER b AS w1, sum(pow(d, -e) * arousal) OVER b AS wa, sum(pow(d, -e) * arousal * arousal) OVER b AS wq
+  FROM e WINDOW b AS (PARTITION BY {key} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ r AS (SELECT *, coalesce(pow(d, greatest(0, k - 201)) * w1, 0) AS n, coalesce(pow(d, greatest(0, k - 201)) * wa, 0) AS sum_a,
+  coalesce(pow(d, greatest(0, k - 201)) * wq, 0) AS sum_sq_a FROM w)"""
+
+
+Z = """z AS (SELECT *, CASE WHEN n > 0 THEN sum_a / n END AS m, CASE WHEN n > 0 THEN greatest(sum_sq_a / n - (sum_a / n) * (sum_a / n), 1e-8) END AS v, (n - 30) / 70 AS t FROM r),
+ p AS (SELECT *, CASE WHEN n < 30 THEN (arousal - 0.72) / 0.19 WHEN n < 100 THEN (arousal - (t * m + (1 - t) * 0.72)) / (t * sqrt(v) + (1 - t) * 0.19)
+  ELSE (arousal - m) / greatest(sqrt(v), 0.05) END AS arousal_z, CASE WHEN n < 30 THEN 'low' WHEN n < 100 THEN 'medium' ELSE 'high' END AS baseline_conf, n >= 30 AS using_individual FROM z)"""
+
+
+@_query(f"WITH {_decayed('file')} SELECT event_id, file, round(n, 6) AS n, round(sum_a, 6) AS sum_a, round(sum_sq_a, 6) AS sum_sq_a FROM r")
+def running_baseline(spark, d):
+    return _six(baseline.running(_segments(spark, d), speaker="file", order_by="event_id").select("event_id", "file", "n", "sum_a", "sum_sq_a"))
+
+
+@_query(f"WITH {_decayed('speaker')}, {Z} SELECT event_id, round(arousal_z, 6) AS arousal_z, baseline_conf, using_individual FROM p")
+def prequential_z(spark, d):
+    return _six(baseline.process(_segments(spark, d), speaker="speaker", order_by="event_id").select("event_id", "arousal_z", "baseline_conf", "using_individual"))
+
+
+@_query(f"""WITH {_decayed('file')}, {Z}, {LIM}, s AS (SELECT event_id, file, arousal_z, baseline_conf, using_individual, exertion, {STATE} FROM p, lim)
+ SELECT event_id, file, state, CASE WHEN baseline_conf = 'low' AND confidence = 'high' THEN 'medium' WHEN baseline_conf = 'low' AND confidence = 'medium' THEN 'low'
+ WHEN baseline_conf = 'medium' AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence, round(arousal_z, 6) AS arousal_z,
+ round(CASE WHEN exertion < 0.95 THEN (exertion - 0.95) / 0.03 ELSE 0 END, 6) AS exertion_z, using_individual FROM s""")
+def classify_with_baseline(spark, d):
+    out = baseline.classify_with_baseline(_segments(spark, d), speaker="file", order_by="event_id")
+    return _six(out.select("event_id", "file", "state", "confidence", "arousal_z", "exertion_z", "using_individual"))
+
+
+@_query(f"""WITH {_decayed('speaker')}, {Z}, {LIM}, s AS (SELECT *, {STATE} FROM p, lim) SELECT count(DISTINCT file) AS n_files, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers,
+ round(avg(arousal), 6) AS avg_arousal, round(avg(exertion), 6) AS avg_exertion, count(*) FILTER (state = 'fatigued') AS n_fatigued, count(*) FILTER (state = 'excited') AS n_excited,
+ count(*) FILTER (baseline_conf = 'low' AND confidence = 'medium') AS n_low_confidence, count(*) FILTER (NOT using_individual) AS n_cold FROM s""")
+def report_scalars(spark, d):
+    rows = baseline.classify_with_baseline(_segments(spark, d), speaker="speaker", order_by="event_id")
+    return _six(report.scalars(rows, file="file", speaker="speaker").drop("total_sec"))
+
+
+@_query(f"""WITH {SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS k, count(*) OVER (PARTITION BY file) AS c FROM seg),
+ a AS (SELECT file, sum(CASE WHEN k > 200 THEN pow(200.0 / 201, c - greatest(k, 200)) ELSE pow(200.0 / 201, greatest(0, c - 200)) END) AS n,
+ sum(CASE WHEN k > 200 THEN pow(200.0 / 201, c - greatest(k, 200)) ELSE pow(200.0 / 201, greatest(0, c - 200)) END * arousal) AS s,
+ sum(CASE WHEN k > 200 THEN pow(200.0 / 201, c - greatest(k, 200)) ELSE pow(200.0 / 201, greatest(0, c - 200)) END * arousal * arousal) AS q FROM k GROUP BY file)
+ SELECT file AS speaker_id, round(n, 6) AS n, round(s / n, 6) AS mean, round(sqrt(greatest(0, q / n - (s / n) * (s / n))), 6) AS std,
+ CASE WHEN n < 30 THEN 'cold' WHEN n < 100 THEN 'warm' ELSE 'stable' END AS stage FROM a""")
+def baseline_summary(spark, d):
+    return _six(baseline.summary(baseline.final_state(_segments(spark, d), speaker="file", order_by="event_id")))
+
+
+FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _lineitem(spark, d):
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", *[F.col(f).cast("double").alias(f) for f in FEATS])
+
+
+@_query("""WITH b AS (SELECT l_suppkey, """ + ", ".join(f"avg({f}::DOUBLE) AS m{i}, stddev_samp({f}::DOUBLE) AS s{i}" for i, f in enumerate(FEATS)) + """, count(*) AS n FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, """ + ", ".join(f"round(CASE WHEN s{i} < 1e-8 THEN 0 ELSE ({f} - m{i}) / s{i} END, 6) AS {f}" for i, f in enumerate(FEATS)) + ", n < 3 AS low_confidence FROM lineitem JOIN b USING (l_suppkey)")
+def align_zscore(spark, d):
+    out = align.align(_lineitem(spark, d), speaker="l_suppkey", features=FEATS)
+    return _six(out.drop("l_suppkey"))
+
+
+@_query("""WITH b AS (SELECT o_custkey, avg(o_totalprice::DOUBLE) AS m, stddev_samp(o_totalprice::DOUBLE) AS s, count(*) AS n FROM orders GROUP BY 1),
+ g AS (SELECT avg(o_totalprice::DOUBLE) AS gm, stddev_samp(o_totalprice::DOUBLE) AS gs FROM orders)
+ SELECT o_orderkey, round(CASE WHEN n < 3 THEN (o_totalprice - gm) / gs ELSE (o_totalprice - m) / s END, 6) AS o_totalprice, n < 3 AS low_confidence FROM orders JOIN b USING (o_custkey), g""")
+def align_fallback(spark, d):
+    rows = _table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    return _six(align.align(rows, speaker="o_custkey", features=["o_totalprice"]).drop("o_custkey"))
+
+
+@_query("SELECT CAST(l_suppkey AS VARCHAR) AS speaker, count(*) AS n, count(*) < 3 AS using_global, round(avg(l_quantity::DOUBLE), 6) AS l_quantity_mean, round(avg(l_tax::DOUBLE), 6) AS l_tax_mean FROM lineitem GROUP BY l_suppkey")
+def align_summary(spark, d):
+    return _six(align.summary(align.fit(_lineitem(spark, d), speaker="l_suppkey", features=FEATS), ["l_quantity", "l_tax"]))
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(0.4 * l_discount::DOUBLE + 0.4 * l_tax::DOUBLE - 0.2 * l_quantity::DOUBLE / 50))), 6) AS exertion FROM lineitem")
+def exertion_proxy(spark, d):
+    return _six(_lineitem(spark, d).select("l_orderkey", "l_linenumber", scalar.exertion_proxy(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50).alias("exertion")))
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, l_discount::DOUBLE * 12)), 6) AS arousal, round(greatest(0, least(1, 1 - l_tax::DOUBLE * 15)), 6) AS fatigue_prob FROM lineitem")
+def clip_scores(spark, d):
+    return _six(_lineitem(spark, d).select("l_orderkey", "l_linenumber", scalar.clip01(F.col("l_discount") * 12).alias("arousal"), scalar.fatigue_probability(F.col("l_tax") * 15).alias("fatigue_prob")))
+
+
+YP = "SELECT l_discount::DOUBLE * 10 AS y, l_tax::DOUBLE * 10 AS p, l_returnflag AS f FROM lineitem"
+
+
+def _pairs(spark, d):
+    return _table(spark, d, "lineitem").select((F.col("l_discount").cast("double") * 10).alias("y"), (F.col("l_tax").cast("double") * 10).alias("p"), F.col("l_returnflag").alias("f"))
+
+
+@_query(f"WITH t AS ({YP}) SELECT round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) * (avg(y) - avg(p))), 6) AS ccc FROM t")
+def ccc(spark, d):
+    return _six(_pairs(spark, d).agg(metrics.ccc("y", "p").alias("ccc")))
+
+
+@_query(f"""WITH t AS ({YP}) SELECT f, count(*) AS n, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae,
+ round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) * (avg(y) - avg(p))), 6) AS ccc, round(corr(y, p), 6) AS pearson,
+ round(avg(y), 6) AS mean_true, round(stddev_pop(y), 6) AS std_true, round(avg(p), 6) AS mean_pred, round(stddev_pop(p), 6) AS std_pred FROM t GROUP BY f""")
+def metric_pack(spark, d):
+    return _six(metrics.metric_pack(_pairs(spark, d), "y", "p", ("f",)))
+
+
+def _registry(spark, d, n=50):
+    e = _table(spark, d, "embeddings")
+    id_ = F.col("vec_id")
+    return e.where(id_ < n).select(
+        F.format_string("persist_%03d", id_ + 1).alias("speaker_id"), (id_ + 1).alias("insert_no"), F.format_string("auto_spk_%03d", id_ + 1).alias("label"), F.col("embedding").cast("array<double>").alias("centroid"),
+        (id_ % 40 + 1).alias("n_samples"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("first_seen"), F.expr("timestamp'2024-03-01 00:00:00' - make_interval(0, 0, 0, cast(vec_id as int))").alias("last_seen"),
+        F.lit(False).alias("registered"), F.transform(F.sequence(F.lit(1).cast("long"), id_ % 5), lambda x: x / 10.0).alias("match_history"), F.lit(None).cast("string").alias("possible_match"), F.lit(None).cast("double").alias("possible_sim"),
+    )
+
+
+REG = """reg AS (SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, vec_id + 1 AS insert_no, CAST(embedding AS DOUBLE[]) AS centroid, vec_id % 40 + 1 AS n_samples,
+ TIMESTAMP '2024-03-01' - to_days(CAST(vec_id AS INTEGER)) AS last_seen, vec_id % 5 AS h FROM embeddings WHERE vec_id < 50),
+ q AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8)) AS u FROM embeddings),
+ s AS (SELECT vec_id, speaker_id, insert_no, n_samples, last_seen, list_dot_product(u, centroid) AS sim FROM q, reg),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, insert_no) AS k FROM s) WHERE k = 1)"""
+
+
+@_query(f"WITH {REG} SELECT vec_id, speaker_id, round(sim, 6) AS similarity FROM best")
+def nn_match(spark, d):
+    return _six(registry.nearest(_table(spark, d, "embeddings"), _registry(spark, d), id_col="vec_id").select("vec_id", "speaker_id", "similarity"))
+
+
+@_query(f"""WITH {REG}, t AS (SELECT *, 0.55 + CASE WHEN n_samples <= 5 THEN 0.07 WHEN n_samples <= 30 THEN 0.03 ELSE -0.03 END + CASE WHEN date_diff('day', last_seen, TIMESTAMP '2024-03-15') > 30 THEN 0.05 ELSE 0 END AS thr FROM best)
+ SELECT vec_id, speaker_id, round(sim, 6) AS similarity, round(thr, 6) AS threshold, CASE WHEN sim >= thr THEN 'match' WHEN sim >= thr - 0.05 THEN 'uncertain' ELSE 'new' END AS decision FROM t""")
+def match_decision(spark, d):
+    return _six(registry.decide(_table(spark, d, "embeddings"), _registry(spark, d), id_col="vec_id", as_of=F.lit("2024-03-15 00:00:00").cast("timestamp")))
+
+
+@_query("""WITH a AS (SELECT CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id = 3), b AS (SELECT CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id = 7),
+ m AS (SELECT list_transform(generate_series(1, 64), lambda i: (4 * a.c[i] + 8 * b.c[i]) / 12) AS c FROM a, b), n AS (SELECT c, sqrt(list_dot_product(c, c)) + 1e-8 AS size FROM m)
+ SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, CASE WHEN vec_id = 3 THEN 12 ELSE vec_id % 40 + 1 END AS n_samples,
+ round(CASE WHEN vec_id = 3 THEN (SELECT c[1] / size FROM n) ELSE embedding[1]::DOUBLE END, 6) AS c1 FROM embeddings WHERE vec_id < 50 AND vec_id <> 7""")
+def registry_merge(spark, d):
+    out, _ = registry.merge(_registry(spark, d), "persist_004", "persist_008")
+    return _six(out.select("speaker_id", "n_samples", F.col("centroid")[0].alias("c1")))
+
+
+@_query("SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, vec_id % 40 + 1 AS n_samples FROM embeddings WHERE vec_id < 50 AND vec_id <> 9")
+def registry_delete(spark, d):
+    return registry.erase(_registry(spark, d), "persist_010")[0].select("speaker_id", "n_samples")
+
+
+@_query("""SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, vec_id % 40 + 1 AS n_samples, CASE WHEN vec_id % 40 + 1 <= 5 THEN 'cold' WHEN vec_id % 40 + 1 <= 30 THEN 'warm'
+ WHEN 14 + vec_id > 30 THEN 'stale' ELSE 'stable' END AS stage, round(CASE WHEN vec_id % 5 = 0 THEN 0.1 / 2 ELSE (vec_id % 5 + 1) / 20.0 END, 6) AS avg_similarity FROM embeddings WHERE vec_id < 50""")
+def registry_summary(spark, d):
+    return _six(registry.summary(_registry(spark, d), F.lit("2024-03-15 00:00:00").cast("timestamp")).select("speaker_id", "n_samples", "stage", "avg_similarity"))
+
+
+def _frames(spark, d):
+    no = F.row_number().over(Window.partitionBy("speaker").orderBy("event_id")) - 1
+    return _segments(spark, d).select("speaker", no.alias("frame"), F.col("arousal").alias("prob"))
+
+
+ISLANDS = f"""{SEG}, f AS (SELECT speaker, row_number() OVER (PARTITION BY speaker ORDER BY event_id) - 1 AS frame, arousal AS prob FROM seg), t AS (SELECT speaker, max(frame) + 1 AS n FROM f GROUP BY 1),
+ g AS (SELECT speaker, frame, CASE WHEN frame - lag(frame) OVER (PARTITION BY speaker ORDER BY frame) - 1 < 2 THEN 0 ELSE 1 END AS new FROM f WHERE prob > 0.4),
+ i AS (SELECT speaker, frame, sum(new) OVER (PARTITION BY speaker ORDER BY frame) AS no FROM g), h AS (SELECT speaker, no, min(frame) AS first, max(frame) AS last FROM i GROUP BY 1, 2),
+ j AS (SELECT h.*, n, n - 1 - last < 2 AS tail FROM h JOIN t USING (speaker)),
+ v AS (SELECT speaker, first * 0.032 AS start_sec, CASE WHEN tail THEN n ELSE last + 1 END * 0.032 AS end_sec FROM j WHERE CASE WHEN tail THEN n - first ELSE last - first END * 32.0 >= 60)"""
+
+
+def _islands(spark, d):
+    return intervals.frames_to_segments(_frames(spark, d), key="speaker", threshold=0.4, min_speech_ms=60, min_silence_ms=70)
+
+
+@_query(f"WITH {ISLANDS} SELECT speaker, round(start_sec::DOUBLE, 6) AS start_sec, round(end_sec::DOUBLE, 6) AS end_sec FROM v")
+def vad_islands(spark, d):
+    return _six(_islands(spark, d).select("speaker", "start_sec", "end_sec"))
+
+
+@_query(f"""WITH {ISLANDS}, a AS (SELECT speaker, start_sec::DOUBLE AS start_sec, end_sec::DOUBLE AS end_sec FROM v),
+ b AS (SELECT *, CASE WHEN start_sec - lag(end_sec) OVER (PARTITION BY speaker ORDER BY start_sec) < 0.15 THEN 0 ELSE 1 END AS new FROM a),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY speaker ORDER BY start_sec) AS no FROM b) SELECT speaker, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec FROM c GROUP BY speaker, no""")
+def merge_segments(spark, d):
+    return _six(intervals.merge_close(_islands(spark, d), key="speaker", gap_sec=0.15).select("speaker", "start_sec", "end_sec"))
+
+
+SNR = """w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ fr AS (SELECT vec_id, list_sum(list_transform(list_slice(x, i * 8 + 1, i * 8 + 16), lambda v: v * v)) AS e FROM w, generate_series(0, 6) AS g(i)),
+ sn AS (SELECT vec_id, quantile_cont(e, 0.1) AS noise, quantile_cont(e, 0.9) AS signal FROM fr GROUP BY vec_id),
+ db AS (SELECT vec_id, CASE WHEN noise < 1e-12 THEN 30.0 ELSE 10 * log10(greatest(signal / noise, 1e-6)) END AS snr_db FROM sn)"""
+
+
+def _snr(spark, d):
+    return _table(spark, d, "embeddings").select("vec_id", gate.snr_db("embedding", 16, 8).alias("snr_db"))
+
+
+@_query(f"WITH {SNR} SELECT vec_id, round(snr_db, 6) AS snr_db FROM db")
+def snr_estimate(spark, d):
+    return _six(_snr(spark, d))
+
+
+def _gated(spark, d):
+    rows = _snr(spark, d).withColumns({"duration_sec": F.col("vec_id") % 20 / 10.0, "tse_confidence": F.when(F.col("vec_id") % 7 == 0, 0.5).otherwise(1.0)})
+    return rows, gate.gate(rows, order_by="vec_id", min_snr=6.0)
+
+
+GATE = f"""{SNR}, gt AS (SELECT vec_id, 'seg_' || CASE WHEN vec_id < 1000 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END AS segment_id,
+ CASE WHEN vec_id % 7 = 0 THEN 'uncertain' WHEN snr_db < 6 THEN 'low_snr' ELSE 'ok' END AS quality_flag FROM db WHERE vec_id % 20 / 10.0 >= 0.3)"""
+
+
+@_query(f"WITH {GATE} SELECT * FROM gt")
+def quality_gate(spark, d):
+    return _gated(spark, d)[1].select("vec_id", "segment_id", "quality_flag")
+
+
+@_query(f"""WITH {GATE} SELECT count(*) AS total, count(*) FILTER (quality_flag = 'ok') AS ok, count(*) FILTER (quality_flag = 'low_snr') AS low_snr, count(*) FILTER (quality_flag = 'uncertain') AS uncertain,
+ (SELECT count(*) FROM embeddings) - count(*) AS too_short FROM gt""")
+def quality_hist(spark, d):
+    return gate.histogram(*_gated(spark, d))
+
+
+@_query("SELECT vec_id, round(list_sum(list_slice(CAST(embedding AS DOUBLE[]), 9, 24)), 6) AS total, 16 AS n FROM embeddings")
+def segment_slice(spark, d):
+    part = intervals.cut(F.col("embedding"), F.lit(0.5), F.lit(1.5), 16)
+    return _six(_table(spark, d, "embeddings").select("vec_id", F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"), F.size(part).alias("n")))
+
+
+@_query("""WITH t AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_quantity::DOUBLE / 50 - 0.5 AS a_quantity, l_discount::DOUBLE * 10 - 0.5 AS b_discount, l_tax::DOUBLE * 12 - 0.5 AS c_tax FROM lineitem),
+ u AS (SELECT rid, l_orderkey, l_linenumber, unnest(['a', 'b', 'c']) AS f, unnest([1, 2, 3]) AS i, unnest([a_quantity, b_discount, c_tax]) AS c FROM t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(c) DESC, i) AS k FROM u)
+ SELECT l_orderkey, l_linenumber, string_agg(f || CASE WHEN c > 0 THEN '↑' ELSE '↓' END, ' | ' ORDER BY k) AS reasons FROM r WHERE k <= 2 GROUP BY rid, l_orderkey, l_linenumber""")
+def topk_contrib(spark, d):
+    t = _lineitem(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50 - 0.5).alias("a_quantity"), (F.col("l_discount") * 10 - 0.5).alias("b_discount"), (F.col("l_tax") * 12 - 0.5).alias("c_tax"))
+    said = metrics.top_reasons(t, ["a_quantity", "b_discount", "c_tax"], 2)
+    return t.select("l_orderkey", "l_linenumber", F.regexp_replace(said, r"\([^)]*\)", "").alias("reasons"))
+
+
+CONTRIB = " UNION ALL ".join(f"SELECT {i} AS pos, '{f}' AS feature, (l_{f}::DOUBLE - {m}) / {s} AS c, l_{f}::DOUBLE AS v FROM lineitem" for i, (f, m, s) in enumerate((("quantity", 25, 50), ("discount", 0.05, 0.1), ("tax", 0.04, 0.08))))
+
+
+def _contrib(spark, d):
+    li = _lineitem(spark, d)
+    t = li.select(((F.col("l_quantity") - 25) / 50).alias("quantity"), ((F.col("l_discount") - 0.05) / 0.1).alias("discount"), ((F.col("l_tax") - 0.04) / 0.08).alias("tax"), "l_quantity", "l_discount", "l_tax")
+    return metrics.contributions(t, [], ["quantity", "discount", "tax"], {f: f"l_{f}" for f in ("quantity", "discount", "tax")})
+
+
+@_query(f"""WITH u AS ({CONTRIB}), g AS (SELECT feature, min(pos) AS pos, avg(abs(c)) AS contribution, CASE WHEN corr(c, v) > 0 THEN '+' ELSE '-' END AS direction FROM u GROUP BY feature)
+ SELECT row_number() OVER (ORDER BY contribution DESC, pos) AS rank, feature, round(contribution, 6) AS contribution, direction FROM g""")
+def global_importance(spark, d):
+    return _six(metrics.global_importance(_contrib(spark, d)).drop("grp"))
+
+
+@_query(f"WITH u AS ({CONTRIB}), g AS (SELECT feature, avg(abs(c)) AS c FROM u GROUP BY feature) SELECT 'other' AS grp, round(sum(c), 6) AS contribution FROM g")
+def group_importance(spark, d):
+    return _six(metrics.group_importance(metrics.global_importance(_contrib(spark, d))))
+
+
+@_query(f"""WITH n(pos, name) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(taxonomy.FEATURE_NAMES))})
+ SELECT pos, name, CASE WHEN contains(name, 'F0') THEN 'F0' WHEN contains(lower(name), 'jitter') THEN 'jitter' WHEN contains(lower(name), 'shimmer') THEN 'shimmer' WHEN contains(name, 'HNR') THEN 'HNR'
+ WHEN contains(lower(name), 'loudness') THEN 'loudness' WHEN contains(lower(name), 'mfcc') THEN 'MFCC' WHEN contains(name, 'F1') OR contains(name, 'F2') OR contains(name, 'F3') THEN 'formant'
+ WHEN contains(name, 'Voiced') OR contains(lower(name), 'voice') THEN 'rhythm' WHEN contains(lower(name), 'slope') OR contains(name, 'alphaRatio') OR contains(name, 'H1') THEN 'spectral_tilt' ELSE 'other' END AS first_group,
+ {" OR ".join(f"contains(name, '{p}')" for p, _ in taxonomy.FATIGUE_CORE.values())} AS core FROM n""")
+def feature_taxonomy(spark, d):
+    return taxonomy.classify_table(taxonomy.names_frame(spark)).select("pos", "name", "first_group", "core")
+
+
+@_query(f"""WITH n(name) AS (VALUES {", ".join(f"('{n}')" for n in taxonomy.FEATURE_NAMES)}), g(grp, weight, pat) AS (VALUES {", ".join(f"('{g}', {w}, '{p}')" for g, (w, ps) in taxonomy.GROUPS.items() for p in ps)})
+ SELECT grp, weight, count(DISTINCT name) AS n FROM n JOIN g ON contains(name, pat) GROUP BY 1, 2""")
+def feature_groups(spark, d):
+    rows = taxonomy.names_frame(spark).select(F.explode(taxonomy.groups_of(F.col("name"))).alias("grp"))
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", taxonomy.group_weight(F.col("grp"))).select("grp", "weight", "n")
+
+
+@_query(f"WITH {SEG} SELECT event_id, row_number() OVER (ORDER BY file, event_id) - 1 AS segment_no FROM seg")
+def concat_renumber(spark, d):
+    return intervals.renumbered(_segments(spark, d).select("event_id", "file"), ["file", "event_id"]).select("event_id", "segment_no")
+
+
+@_query(f"WITH {SEG}, r AS (SELECT file, row_number() OVER (ORDER BY file, event_id) - 1 AS no FROM seg) SELECT file, min(no) AS at FROM r GROUP BY file HAVING min(no) > 0")
+def file_boundaries(spark, d):
+    return intervals.file_boundaries(intervals.renumbered(_segments(spark, d).select("event_id", "file"), ["file", "event_id"]), "file", "segment_no")
+
+
+@_query("""WITH f AS (SELECT o_custkey AS speaker, min(o_orderkey) AS first_at, count(*) AS n_test FROM orders GROUP BY 1 ORDER BY 2, 1 LIMIT 7)
+ SELECT row_number() OVER (ORDER BY first_at) - 1 AS fold, speaker, (SELECT count(*) FROM orders) - n_test AS n_train, n_test FROM f""")
+def loso_split(spark, d):
+    return metrics.loso_folds(_table(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@_query("SELECT 'l_' || unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS feature")
+def feature_detection(spark, d):
+    rows = _lineitem(spark, d).withColumnRenamed("l_suppkey", "speaker_label").withColumnRenamed("l_orderkey", "segment_id")
+    names = feature_columns(rows, ("l_linenumber",))
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@_query(f"WITH {SEG} SELECT file || '::' || CAST(event_id AS VARCHAR) AS id, CASE WHEN exertion < 0.95 THEN round((exertion - 0.95) / 0.03, 6) ELSE 0 END AS exertion_z FROM seg")
+def composite_ids(spark, d):
+    seg = _segments(spark, d)
+    return _six(seg.select(scalar.composite_id(F.col("file"), F.col("event_id").cast("string")).alias("id"), scalar.exertion_z(F.col("exertion")).alias("exertion_z")))
+
+
+@_query(f"WITH {SEG} SELECT event_id, CAST(round(CAST(arousal AS DECIMAL(18, 6)), 3) AS DOUBLE) AS arousal, CAST(round(CAST(exertion AS DECIMAL(18, 6)), 3) AS DOUBLE) AS exertion FROM seg")
+def report_rows(spark, d):
+    return report.segment_report(_segments(spark, d).withColumn("arousal", F.round("arousal", 6))).select("event_id", "arousal", "exertion")
+
+
+@_query("SELECT count(*) FILTER (least(1, greatest(0, 1 - l_tax::DOUBLE * 8)) > 0.5) AS n_fatigue_tendency FROM lineitem")
+def fatigue_count(spark, d):
+    return report.fatigue_count(_lineitem(spark, d).select(scalar.fatigue_probability(F.col("l_tax") * 8).alias("fatigue_prob")))
+
+
+@_query("SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_cosine(spark, d):
+    e = _table(spark, d, "embeddings")
+    return _six(e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", vector.cosine("embedding", "other").alias("cosine")))
+
+
+@_query()
+def match_and_update(spark, d):
+    e = _table(spark, d, "embeddings").withColumn("scope", (F.col("label") % 4).cast("string"))
+    empty = _registry(spark, d, 0)
+    return registry.match_and_update(e, empty, id_col="vec_id", order_by="vec_id", scope="scope", base=0.2)[1]
+
+
+@_query()
+def greedy_cluster(spark, d):
+    e = _table(spark, d, "embeddings").withColumn("scope", F.col("label") % 4)
+    return registry.greedy_cluster(e, scope="scope", id_col="vec_id", order_by="vec_id", threshold=0.2)
+
+
+@_query()
+def gbt_predict(spark, d):
+    from cadence.operators.model import Regressors
+
+    rows = _lineitem(spark, d).withColumns({"y": F.col("l_discount") * 10, "e": F.col("l_tax") * 10})
+    models = Regressors.train(rows, features=["l_quantity", "l_extendedprice", "l_tax"], arousal="y", exertion="e", trees=5, depth=3)
+    return models.predict(rows).select("l_orderkey", "l_linenumber", "arousal", "exertion", "fatigue_prob")
+
+
+@_query()
+def tree_shap(spark, d):
+    from cadence.operators.model import Regressors, explain
+
+    rows = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") % 100).cast("double").alias("cust"), (F.col("o_totalprice").cast("double") / 500000).alias("y"))
+    models = Regressors.train(rows, features=["price", "cust"], arousal="y", exertion="y", trees=3, depth=3)
+    return explain(rows, models.arousal, ["price", "cust"], ["o_orderkey"])

@@ -1 +1 @@
-
+"""Schemas and column rules."""
