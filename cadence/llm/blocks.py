@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm import words as W
-from cadence.llm.common import Workspace, n_shuffle
+from cadence.llm.common import Workspace, n_shuffle, release, rows_of
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Class 0 is the end of a text, the others are classes of word forms.
 N_CLASSES = 4096
 
@@ -67,6 +67,7 @@ def encode(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 no += 1
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -87,18 +88,18 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
     shift = np.uint64(64 - (n.bit_length() - 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                hashes, classes = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint16)
-                sizes, train = np.frombuffer(r["sizes"], np.int32), np.array(r["train"], bool)
-                used = unpacked_ids(r["ids"], len(hashes))[np.repeat(train, sizes)]
-                counts = np.bincount(used, minlength=len(hashes)).astype(np.uint32)
-                shard = (hashes >> shift).astype(np.int64) if n > 1 else np.zeros(len(hashes), np.int64)
-                cut = np.searchsorted(shard, np.arange(n + 1))
-                full = np.flatnonzero(np.diff(cut))
-                out = [[int(s), r["block"], *(x[cut[s] : cut[s + 1]].tobytes() for x in (hashes, counts, classes))] for s in full]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "hashes", "counts", "classes"])
+        for r in rows_of(batches):
+            hashes, classes = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint16)
+            sizes, train = np.frombuffer(r["sizes"], np.int32), np.array(r["train"], bool)
+            used = unpacked_ids(r["ids"], len(hashes))[np.repeat(train, sizes)]
+            counts = np.bincount(used, minlength=len(hashes)).astype(np.uint32)
+            shard = (hashes >> shift).astype(np.int64) if n > 1 else np.zeros(len(hashes), np.int64)
+            cut = np.searchsorted(shard, np.arange(n + 1))
+            full = np.flatnonzero(np.diff(cut))
+            out = [[int(s), r["block"], *(x[cut[s] : cut[s + 1]].tobytes() for x in (hashes, counts, classes))] for s in full]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "hashes", "counts", "classes"])
+        release()
 
     asked = blocks.select("block", "train", "sizes", "ids", "hashes", "classes").mapInArrow(ask, "shard int, block long, hashes binary, counts binary, classes binary")
     dealt = asked.repartition(n_shuffle(spark), "shard").sortWithinPartitions("shard")
@@ -131,6 +132,7 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
                 held.append(r)
         if held:
             yield settled(held[0]["shard"], held)
+        release()
 
     replies = ws.put(dealt.mapInArrow(answer, "shard int, block long, totals binary, stats binary"), "replies")
 

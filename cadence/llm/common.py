@@ -7,9 +7,13 @@ so a lost executor never costs more than its own running tasks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,20 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, shared_dir(spark))
 
 
+def rows_of(batches: Iterator) -> Iterator[dict]:
+    """Rows one by one, for tables whose rows are megabytes."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task, since idle workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

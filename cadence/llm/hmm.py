@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.blocks import N_CLASSES, encode, exchange, joined, unpacked_ids
-from cadence.llm.common import Workspace, whole
+from cadence.llm.common import Workspace, release, rows_of, whole
 
 STATES, ROUNDS, STEP_TOKENS, GRAIN = 8, 5, 500_000, 1 << 16
 
@@ -131,19 +131,19 @@ def train(blocks: DataFrame, tokens: np.ndarray, *, states: int = STATES, rounds
                     seen.clear()
                     held = 0
 
-            for b in batches:
-                for r in b.to_pylist():
-                    size, on = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.array(r["train"], bool)
-                    classes = np.frombuffer(r["classes"], np.uint16)
-                    ids = unpacked_ids(r["ids"], len(classes))[np.repeat(on, size)]
-                    size, got = with_ends(size[on], classes[ids])
-                    sizes.append(size)
-                    seen.append(got)
-                    held += len(got)
-                    if held >= STEP_TOKENS:
-                        flush()
+            for r in rows_of(batches):
+                size, on = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.array(r["train"], bool)
+                classes = np.frombuffer(r["classes"], np.uint16)
+                ids = unpacked_ids(r["ids"], len(classes))[np.repeat(on, size)]
+                size, got = with_ends(size[on], classes[ids])
+                sizes.append(size)
+                seen.append(got)
+                held += len(got)
+                if held >= STEP_TOKENS:
+                    flush()
             flush()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(states, dtype=np.int32)), pa.array([x.tobytes() for x in total], pa.binary())], names=["state", "counts"])
+            release()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -182,25 +182,25 @@ def score(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, add: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_below = np.log10(n_all + add * (n_kinds + 1))
-        for b in batches:
-            for r in b.to_pylist():
-                sizes, classes = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["classes"], np.uint16)
-                total = np.concatenate([np.frombuffer(x, np.int64) for x in r["totals"]]) if r["totals"] else np.zeros(0, np.int64)
-                ids = unpacked_ids(r["ids"], len(classes))
-                ends_at = np.cumsum(sizes)
-
-                def by_text(values: np.ndarray, ids=ids, ends_at=ends_at, sizes=sizes) -> np.ndarray:
-                    sums = np.concatenate([[0], np.cumsum(values[ids])])
-                    return sums[ends_at] - sums[ends_at - sizes]
-
-                base = by_text(np.log10(total + add) - base_below) + np.log10(ends + add) - base_below
-                inside = by_text(np.log10(total + add) - np.log10(below[classes])) + np.log10(ends + add) - np.log10(below[0])
-                chain = forward(*with_ends(sizes, classes[ids]), *model)
-                known = by_text((total > 0).astype(np.int64)) + int(ends > 0)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array([not x for x in r["train"]], pa.bool_()), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, n_all, np.int64)), pa.array(base), pa.array(inside + chain)],
-                    names=[f.split()[0] for f in SCHEMA.split(", ")],
-                )
+        for r in rows_of(batches):
+            sizes, classes = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["classes"], np.uint16)
+            total = np.concatenate([np.frombuffer(x, np.int64) for x in r["totals"]]) if r["totals"] else np.zeros(0, np.int64)
+            ids = unpacked_ids(r["ids"], len(classes))
+            ends_at = np.cumsum(sizes)
+
+            def by_text(values: np.ndarray, ids=ids, ends_at=ends_at, sizes=sizes) -> np.ndarray:
+                sums = np.concatenate([[0], np.cumsum(values[ids])])
+                return sums[ends_at] - sums[ends_at - sizes]
+
+            base = by_text(np.log10(total + add) - base_below) + np.log10(ends + add) - base_below
+            inside = by_text(np.log10(total + add) - np.log10(below[classes])) + np.log10(ends + add) - np.log10(below[0])
+            chain = forward(*with_ends(sizes, classes[ids]), *model)
+            known = by_text((total > 0).astype(np.int64)) + int(ends > 0)
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r["doc_ids"], pa.int64()), pa.array([not x for x in r["train"]], pa.bool_()), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, n_all, np.int64)), pa.array(base), pa.array(inside + chain)],
+                names=[f.split()[0] for f in SCHEMA.split(", ")],
+            )
+        release()
 
     return joined(blocks, replies).select("doc_ids", "train", "sizes", "ids", "classes", "totals").mapInArrow(run, SCHEMA)
