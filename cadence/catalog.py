@@ -113,9 +113,10 @@ Z = """z AS (SELECT *, CASE WHEN n > 0 THEN sum_a / n END AS m, CASE WHEN n > 0
   ELSE (arousal - m) / greatest(sqrt(v), 0.05) END AS arousal_z, CASE WHEN n < 30 THEN 'low' WHEN n < 100 THEN 'medium' ELSE 'high' END AS baseline_conf, n >= 30 AS using_individual FROM z)"""
 
 
-@_query(f"WITH {_decayed('file')} SELECT event_id, file, round(n, 6) AS n, round(sum_a, 6) AS sum_a, round(sum_sq_a, 6) AS sum_sq_a FROM r")
+@_query(f"WITH {_decayed('file')} SELECT event_id, file, round(n, 6) AS n, round(sum_a, 6) AS sum_a, round(sum_sq_a, 9) AS sum_sq_a FROM r")
 def running_baseline(spark, d):
-    return _six(baseline.running(_segments(spark, d), speaker="file", order_by="event_id").select("event_id", "file", "n", "sum_a", "sum_sq_a"))
+    rows = baseline.running(_segments(spark, d), speaker="file", order_by="event_id")
+    return rows.select("event_id", "file", F.round("n", 6).alias("n"), F.round("sum_a", 6).alias("sum_a"), F.round("sum_sq_a", 9).alias("sum_sq_a"))  # squares end at the eighth place, so none is a tie
 
 
 @_query(f"WITH {_decayed('speaker')}, {Z} SELECT event_id, round(arousal_z, 6) AS arousal_z, baseline_conf, using_individual FROM p")

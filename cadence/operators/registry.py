@@ -40,7 +40,7 @@ def nearest(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding:
     else:
         blocks = -(-size // max_broadcast)
         lists = speakers.withColumn("_b", F.pmod(F.xxhash64("speaker_id"), F.lit(blocks)))
-        spread = asked.where(F.col("_norm") >= ZERO).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        spread = asked.where(F.col("_norm") >= ZERO).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = spread.join(lists, "_b").select(id_col, "speaker_id", "insert_no", sim)
         top = pairs.groupBy(id_col).agg(best).select(id_col, "x.*")
     return asked.select(id_col, "_norm").join(top, id_col, "left").select(id_col, "speaker_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), (F.col("_norm") < ZERO).alias("invalid"))
