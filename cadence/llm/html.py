@@ -250,7 +250,7 @@ def tree_rows(pages: DataFrame, ws: Workspace, borrow: int) -> DataFrame:
         log_m = F.when(F.col("m") > 1, F.log("m"))
         chars = rows.where("kind = 3").groupBy(*key, "node").agg(F.sum("n").alias("chars"))
         out = nodes.join(text, [*key, "node"], "left").join(style, [*key, "node"], "left").join(chars, [*key, "node"], "left")
-        content = F.when(F.col("w0").isNotNull(), F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("s0") / F.col("w0") / log_m), F.lit(1.0)))
+        content = F.when(F.col("w0").isNotNull(), F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("s0") / F.col("w0") / log_m)).otherwise(1.0))  # greatest() would skip a null
         entropy = F.coalesce(F.least(F.lit(1.0), (F.log("w1") - F.col("s1") / F.col("w1")) / log_m), F.lit(1.0))
         return out.select(*key, "node", "parent", "m", F.coalesce("w0", "m").cast("double").alias("weight"), content.alias("content"), entropy.alias("style"), F.coalesce("chars", F.lit(0)).cast("double").alias("chars"))
 
