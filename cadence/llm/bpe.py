@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cadence.llm.common import release
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Entries of a worker's tables of chunks and of pairs, and the longest chunk kept there.
@@ -203,5 +205,6 @@ def encode_frame(docs: DataFrame, model_file: str, *, with_ids: bool = True) ->
                         c.append(x)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=names)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
 from cadence.llm.components import connected
-from cadence.llm.common import Workspace, n_shuffle
+from cadence.llm.common import Workspace, n_shuffle, release
 from cadence.llm.lines import LAST, _grouped, _meet, _table
 
 #: Shingles travel as 48 bits: the shard's, 8 to sort into bins, and 32.
@@ -116,6 +116,7 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
                         out.append([s, block, np.diff(cut[s * BINS : (s + 1) * BINS + 1]).astype(np.uint32).tobytes(), low[x:y].tobytes(), who[x:y].tobytes(), *[None] * 5])
                 for k in range(0, len(out), 64):
                     yield _table(out[k : k + 64], schema)
+        release()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = "block long, key binary, df binary, owner binary, " + _DOCS
@@ -142,6 +143,7 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
                     at += k
             for k in range(0, len(out), 64):
                 yield _table(out[k : k + 64], schema)
+        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(_renamed(batches)):

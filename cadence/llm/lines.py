@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
-from cadence.llm.common import Workspace, n_shuffle
+from cadence.llm.common import Workspace, n_shuffle, release
 
 LAST = 2**63 - 1
 #: The bitmap's size in bits, as a power of two.
@@ -202,6 +202,7 @@ def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int) -> DataFrame:
             refs = np.repeat((found.lo[keep] >> np.uint64(32)).astype(np.uint32), 4)
             out += [[s, *[None] * 7, k, r] for s, k, r in _by_shard(keys, n, keys, refs)]
             yield _table(out, schema)
+        release()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches):
@@ -274,6 +275,7 @@ def near_links(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
                 key, place, no = variants(found, which)
                 rows = list(_by_shard(key, n, key, place, found.doc[which][no], found.line[which][no], found.lo[which][no]))
                 yield _table(rows, schema)
+        release()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches):

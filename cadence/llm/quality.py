@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm import words as W
+from cadence.llm.common import release
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -205,6 +206,7 @@ def judged(texts: pa.Array, field: Field, min_share: float, min_words: int, max_
         failed = (n_words < min_words) | (100 * repeat > max_repeat * n_words)
         counts = [n_words, chars, symbols, np.array([d for _, _, d in found]), repeat, np.array([len(r) for r, _, _ in found])]
         yield i, j, [*(c.astype(np.int64) for c in counts), share, failed, ~failed & (share >= min_share)]
+    release()
 
 
 def assess(docs: DataFrame, field: Field, *, min_share: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
