@@ -3,7 +3,9 @@
 A document's set holds the hashes of its distinct shingles. Equal sets are one
 class. Shards of the hash range count in how many sets a shingle occurs and
 send back only shingles that occur twice or more, so a document learns which of
-its shingles can be shared. With the rarest first, two sets of the wanted
+its shingles can be shared. A shingle that FOLD or more sets of one chunk of text hold goes
+there once with their number, and its owners stay with the chunk; so a shingle that
+a third of all documents hold costs its shard one entry from each chunk. With the rarest first, two sets of the wanted
 likeness must share one of the first ``n - ceil(t n) + 1``; a class whose
 unshared shingles alone fill that prefix has no partner and goes no further.
 
@@ -39,6 +41,8 @@ from cadence.llm.lines import LAST, _grouped, _meet, _table
 
 #: Shingles travel as 48 bits: the shard's, 8 to sort into bins, and 32.
 KEPT, BINS = 48, 256
+#: From so many sets in a chunk on, a shingle travels once, with their number.
+FOLD = 4
 #: Words of 64 bits in a set's parity bitmap.
 SIG_WORDS = 16
 
@@ -73,7 +77,8 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-_DOCS = "doc binary, n binary, d1 binary, d2 binary, head binary"
+_DOCS = "doc binary, n binary, d1 binary, d2 binary, head binary, several binary, owners binary"
+_DOC_NAMES = [c.split()[0] for c in _DOCS.split(", ")]
 
 
 def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) -> DataFrame:
@@ -84,9 +89,10 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
     bin_shift = np.uint64(KEPT - bits - 8)
     low_bits = KEPT - bits - 8
     low_type = np.uint32 if low_bits <= 32 else np.uint64
+    asked = "shard int, block long, bins binary, low binary, owner binary, hot binary, times binary, " + _DOCS
+    answered = "block long, key binary, df binary, owner binary, shared binary, often binary, " + _DOCS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = "shard int, block long, bins binary, low binary, owner binary, " + _DOCS
         part, no = TaskContext.get().partitionId(), 0
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -102,47 +108,58 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
                 owner, key = owner[keep], key[keep]
                 order = np.argsort(key, kind="stable")
                 owner, key = owner[order], key[order]
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                times = np.diff(np.append(start, len(key)))
+                several = np.repeat(times >= FOLD, times)
+                many, times = key[start[times >= FOLD]], times[times >= FOLD]
+                wide = np.uint16 if j - i <= 1 << 16 else np.uint32
+                owners, who, key = owner[several].astype(wide), owner[~several].astype(wide), key[~several]
                 block = (part << 32) + no
                 no += 1
-                out = [[no % n_shards, block, None, None, None, ids[i:j].tobytes(), n.astype(np.int64).tobytes(), d1.tobytes(), d2.tobytes(), head.tobytes()]]
+                out = [[no % n_shards, block, *[None] * 5, ids[i:j].tobytes(), n.astype(np.int64).tobytes(), d1.tobytes(), d2.tobytes(), head.tobytes(), times.astype(np.uint32).tobytes(), owners.tobytes()]]
                 bin_of = (key >> bin_shift).astype(np.int64)
                 cut = np.searchsorted(bin_of, np.arange(n_shards * BINS + 1))
                 low = (key & np.uint64((1 << low_bits) - 1)).astype(low_type)
-                wide = np.uint16 if j - i <= 1 << 16 else np.uint32
-                who = owner.astype(wide)
+                shard_cut = np.searchsorted((many >> np.uint64(KEPT - bits)).astype(np.int64), np.arange(n_shards + 1))
                 for s in range(n_shards):
                     x, y = cut[s * BINS], cut[(s + 1) * BINS]
-                    if y > x:
-                        out.append([s, block, np.diff(cut[s * BINS : (s + 1) * BINS + 1]).astype(np.uint32).tobytes(), low[x:y].tobytes(), who[x:y].tobytes(), *[None] * 5])
+                    p, q = shard_cut[s], shard_cut[s + 1]
+                    if y > x or q > p:
+                        out.append([s, block, np.diff(cut[s * BINS : (s + 1) * BINS + 1]).astype(np.uint32).tobytes(), low[x:y].tobytes(), who[x:y].tobytes(), many[p:q].tobytes(), times[p:q].astype(np.uint32).tobytes(), *[None] * len(_DOC_NAMES)])
                 for k in range(0, len(out), 64):
-                    yield _table(out[k : k + 64], schema)
+                    yield _table(out[k : k + 64], asked)
         release()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = "block long, key binary, df binary, owner binary, " + _DOCS
         for rows in _grouped(batches):
             tables = [r for r in rows if r["doc"] is not None]
             rows = [r for r in rows if r["doc"] is None]
-            out = [[r["block"], None, None, None, *(r[c] for c in ("doc", "n", "d1", "d2", "head"))] for r in tables]
+            out = [[r["block"], *[None] * 5, *(r[c] for c in _DOC_NAMES)] for r in tables]
             if rows:
                 lows = [np.frombuffer(r["low"], low_type) for r in rows]
                 sizes = np.array([len(x) for x in lows])
                 bins = np.concatenate([np.repeat(np.arange(BINS, dtype=np.uint64), np.frombuffer(r["bins"], np.uint32)) for r in rows])
                 key = (((np.uint64(rows[0]["shard"]) << np.uint64(8)) + bins) << np.uint64(low_bits)) + np.concatenate(lows).astype(np.uint64)
+                more = [np.frombuffer(r["hot"], np.uint64) for r in rows]
+                at, single = 0, len(key)
+                key = np.concatenate([key, *more])
+                weight = np.concatenate([np.ones(single, np.uint32), *(np.frombuffer(r["times"], np.uint32) for r in rows)])
                 order = np.argsort(key)
                 run = key[order]
-                start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
                 df = np.empty(len(key), np.uint16)
-                df[order] = np.repeat(np.minimum(np.diff(np.append(start, len(run))), 65535), np.diff(np.append(start, len(run)))).astype(np.uint16)
-                at = 0
-                for r, k in zip(rows, sizes.tolist(), strict=True):
+                if len(run):
+                    total = np.minimum(np.add.reduceat(weight[order].astype(np.int64), start), 65535)
+                    df[order] = np.repeat(total, np.diff(np.append(start, len(run)))).astype(np.uint16)
+                after = single
+                for r, k, m in zip(rows, sizes.tolist(), more, strict=True):
                     who = np.frombuffer(r["owner"], np.uint16 if len(r["owner"]) == 2 * k else np.uint32)
                     often = df[at : at + k] > 1
-                    if often.any():
-                        out.append([r["block"], key[at : at + k][often].tobytes(), df[at : at + k][often].tobytes(), who[often].astype(np.uint32).tobytes(), *[None] * 5])
-                    at += k
+                    if often.any() or len(m):
+                        out.append([r["block"], key[at : at + k][often].tobytes(), df[at : at + k][often].tobytes(), who[often].astype(np.uint32).tobytes(), m.tobytes(), df[after : after + len(m)].tobytes(), *[None] * len(_DOC_NAMES)])
+                    at, after = at + k, after + len(m)
             for k in range(0, len(out), 64):
-                yield _table(out[k : k + 64], schema)
+                yield _table(out[k : k + 64], answered)
         release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +167,11 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
             table = next(r for r in rows if r["doc"] is not None)
             doc, n = np.frombuffer(table["doc"], np.int64), np.frombuffer(table["n"], np.int64)
             key, df, owner = _meet(rows, "key", np.uint64), _meet(rows, "df", np.uint16), _meet(rows, "owner", np.uint32)
+            shared, often = _meet(rows, "shared", np.uint64), _meet(rows, "often", np.uint16)
+            order, times = np.argsort(shared), np.frombuffer(table["several"], np.uint32)
+            key = np.concatenate([key, np.repeat(shared[order], times)])
+            df = np.concatenate([df, np.repeat(often[order], times)])
+            owner = np.concatenate([owner, np.frombuffer(table["owners"], np.uint16 if len(doc) <= 1 << 16 else np.uint32)])
             order = np.lexsort((key, df, owner))
             key, owner = key[order], owner[order]
             m = np.bincount(owner, minlength=len(doc))
@@ -164,8 +186,8 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
             yield b.rename_columns(["shard", *b.schema.names[1:]])
 
     p = n_shuffle(spark)
-    sent = docs.select("doc_id", "text").mapInArrow(send, "shard int, block long, bins binary, low binary, owner binary, " + _DOCS)
-    met = sent.repartition(p, "shard").sortWithinPartitions("shard").mapInArrow(settle, "block long, key binary, df binary, owner binary, " + _DOCS)
+    sent = docs.select("doc_id", "text").mapInArrow(send, asked)
+    met = sent.repartition(p, "shard").sortWithinPartitions("shard").mapInArrow(settle, answered)
     back = met.repartition(p, "block").sortWithinPartitions("block").mapInArrow(gather, "doc_id long, n long, d1 long, d2 long, tokens binary")
     return ws.put(back, "sets")
 
