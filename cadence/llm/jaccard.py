@@ -73,6 +73,13 @@ def set_digests(owner: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.n
     return out[0], out[1]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows, since a row may hold thousands of shingles."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
@@ -180,6 +187,7 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
             tokens = [key[cut[i] : cut[i + 1]].tobytes() if may[i] else None for i in range(len(doc))]
             cols = [pa.array(doc), pa.array(n), *(pa.array(np.frombuffer(table[d], np.int64)) for d in ("d1", "d2")), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "d1", "d2", "tokens"])
+        release()
 
     def _renamed(batches):
         for b in batches:
@@ -196,14 +204,15 @@ def candidates(sets_: DataFrame, ws: Workspace, percent: int) -> tuple[DataFrame
     """``node, n, tokens`` of the classes that may have partners, and ``token, node, n, i, m, grp``: the postings of their prefixes, ``i`` a shingle's place among the ``m`` shared ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             sig = [signature(np.frombuffer(t, np.int64)).tolist() for t in b.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.list_(pa.int64()))], names=[*b.schema.names, "sig"])
+        release()
 
     nodes = ws.put(classes(sets_).mapInArrow(sign, "node long, n long, tokens binary, sig array<long>"), "nodes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             node, n = (b.column(c).to_numpy() for c in ("node", "n"))
             tokens = [np.frombuffer(t, np.int64) for t in b.column("tokens").to_pylist()]
             m = np.array([len(t) for t in tokens], np.int64)
@@ -213,6 +222,7 @@ def candidates(sets_: DataFrame, ws: Workspace, percent: int) -> tuple[DataFrame
             place = np.concatenate([np.arange(x) for x in k]) if len(k) else np.zeros(0, np.int64)
             cols = [np.concatenate(first) if first else np.zeros(0, np.int64), *(np.repeat(x, k) for x in (node, n)), place, *(np.repeat(x, k) for x in (m, group))]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["token", "node", "n", "i", "m", "grp"])
+        release()
 
     return nodes, nodes.select("node", "n", "tokens").mapInArrow(explode, "token long, node long, n long, i long, m long, grp long")
 
@@ -223,12 +233,11 @@ def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                na, nb = part.column("na").to_numpy(), part.column("nb").to_numpy()
-                both = np.array([len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True)], np.int64)
-                yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (na + nb - both)))
+        for part in _parts(batches):
+            na, nb = part.column("na").to_numpy(), part.column("nb").to_numpy()
+            both = np.array([len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True)], np.int64)
+            yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (na + nb - both)))
+        release()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(check, "a long, b long")
 

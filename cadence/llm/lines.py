@@ -171,11 +171,12 @@ def _meet(rows: list[dict], name: str, kind) -> np.ndarray:
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     held: list[dict] = []
     for b in batches:
-        for r in b.to_pylist():
-            if held and held[0]["shard"] != r["shard"]:
-                yield held
-                held = []
-            held.append(r)
+        for k in range(0, b.num_rows, 64):
+            for r in b.slice(k, 64).to_pylist():
+                if held and held[0]["shard"] != r["shard"]:
+                    yield held
+                    held = []
+                held.append(r)
     if held:
         yield held
 
