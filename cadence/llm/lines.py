@@ -225,15 +225,15 @@ def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int) -> DataFrame:
     return ws.put(dealt.mapInArrow(settle, _DROPS + ", refs binary"), "equal")
 
 
-def bitmap(equal: DataFrame) -> np.ndarray:
-    """Which line numbers may share a half: 2 ** BITS bits, put together slice by slice, whatever the input."""
+def bitmap(equal: DataFrame, size: int = BITS) -> np.ndarray:
+    """Which line numbers may share a half: 2 ** size bits, put together slice by slice, whatever the input."""
     slices = 64
-    width = (1 << BITS) // slices
+    width = (1 << size) // slices
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column("refs").to_pylist():
-                at = np.unique(np.frombuffer(raw, np.uint32) >> np.uint32(32 - BITS)).astype(np.int64)
+                at = np.unique(np.frombuffer(raw, np.uint32) >> np.uint32(32 - size)).astype(np.int64)
                 rows = [[int(s), (at[at // width == s] % width).astype(np.int32).tobytes()] for s in np.unique(at // width)]
                 if rows:
                     yield _table(rows, "shard int, at binary")

@@ -233,6 +233,36 @@ def test_passages_planted(spark):
     assert all(r["source_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50 for r in got)
 
 
+def test_passages_among_quoted_pieces(spark):
+    """Every run of 50 words that an earlier document holds is in a passage, whatever stands before, between and after, and in any layout."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = defaultdict(lambda: say(60))
+    for c in range(4):
+        base, p = 100 * c, say(60)
+        for d in (base + 30, base + 60):  # the full copies, among documents that quote 20 words each
+            texts[d] = say(rng.randint(0, 40)) + p + say(rng.randint(0, 40))
+        for d in [*range(base, base + 30), *range(base + 31, base + 60), *range(base + 61, base + 90)]:
+            at = rng.randrange(0, 41)
+            texts[d] = say(30) + p[at : at + 20] + say(30)
+    rows = [(d, " ".join(w)) for d, w in texts.items()]
+    rng.shuffle(rows)
+    seen, want = set(), defaultdict(set)
+    for d, w in sorted(texts.items()):
+        own = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        want[d] = {i for i, r in enumerate(own) if r in seen}
+        seen.update(own)
+    results = []
+    for parts in (1, 3, 40):
+        got = [tuple(r) for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()]
+        for d, starts in want.items():
+            assert all(any(r[0] == d and r[1] < d and r[2] <= i and i + 50 <= r[3] for r in got) for i in starts)
+        results.append(sorted(got))
+    assert sum(map(len, want.values())) > 40 and results[0] == results[1] == results[2]
+    assert len({r[:2] for r in results[0]}) == 4 and all(b == a + 30 for b, a, *_ in results[0])
+
+
 def test_chain_fenwick_matches_quadratic():
     import numpy as np
 
