@@ -48,7 +48,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many went, and what is left as length and SHA-256."""
-    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), equal_chars=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

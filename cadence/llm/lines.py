@@ -3,7 +3,7 @@
 Two lines match when they are equal or one edit of one character apart. A line
 goes when an earlier line, by document id and then line number, matches it,
 whether or not that one goes too; so the result does not depend on any order of
-work. Lines shorter than ``min_chars`` never match.
+work. Lines shorter than ``min_chars`` match equal ones only, from ``equal_chars`` on; blank lines never match.
 
 Equal lines meet in shards by a 128-bit hash, at most once from each chunk of
 text. For near lines, all variants with one character deleted are emitted as
@@ -184,14 +184,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 _DROPS = "doc binary, line binary, lo binary"
 
 
-def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int) -> DataFrame:
-    """Packed drops of equal lines, and the numbers (``refs``) of lines that share a half with another."""
+def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int, equal_chars: int) -> DataFrame:
+    """Packed drops of equal lines from ``equal_chars``, and the numbers (``refs``) of lines from ``min_chars`` that share a half with another."""
     n = shards_of(docs.sparkSession)
     schema = "shard int, lo binary, hi binary, doc binary, line binary, gone_doc binary, gone_line binary, gone_lo binary, key binary, ref binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for no, (ids, texts) in enumerate(_rows(batches)):
-            found = find(ids, texts, min_chars)
+            found = find(ids, texts, equal_chars)
             if not len(found.lo):
                 continue
             order, first = earliest(found.lo, found.hi, found.doc, found.line)
@@ -199,6 +199,7 @@ def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int) -> DataFrame:
             out = [[*r, None, None, None, None, None] for r in _by_shard(found.lo[keep], n, found.lo[keep], found.hi[keep], found.doc[keep], found.line[keep])]
             if len(gone):
                 out.append([no % n, None, None, None, None, found.doc[gone].tobytes(), found.line[gone].tobytes(), found.lo[gone].tobytes(), None, None])
+            keep = keep[found.end[keep] - found.begin[keep] >= min_chars]
             keys = half_keys(found, keep).ravel()
             refs = np.repeat((found.lo[keep] >> np.uint64(32)).astype(np.uint32), 4)
             out += [[s, *[None] * 7, k, r] for s, k, r in _by_shard(keys, n, keys, refs)]
@@ -348,15 +349,15 @@ def verified(docs: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
     return both.select("doc", "line", "lo", "said", "to_said").mapInArrow(check, "doc long, line int, lo long").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equal_chars: int | None = None) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, and ``n_lines, n_removed`` (lines with or without words).
 
-    ``max_edits`` is 0 (equal lines only) or 1.
+    ``max_edits`` is 0 (equal lines only) or 1. ``equal_chars``, by default ``min_chars``, is the least length of lines that match equal ones.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     ws = Workspace(docs.sparkSession, "lines")
-    equal = equal_lines(docs, ws, min_chars)
+    equal = equal_lines(docs, ws, min_chars, min_chars if equal_chars is None else min(equal_chars, min_chars))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -363,6 +363,23 @@ def test_lines_brute(spark):
         assert got[d]["text"] == want and got[d]["n_removed"] == sum(e == d for e, _ in gone)
 
 
+def test_short_equal_lines(spark, tmp_path):
+    """Equal lines of any length go; near ones only from 20 characters."""
+    from cadence.llm import entry
+
+    rng = random.Random(4)
+    short = ["Read more", "Subscribe now", "x", "é", "Page 1", "Page 2", "a line of nineteen "]
+    rows = [(d, "\n".join([" " * (d % 3) + rng.choice(short) for _ in range(rng.randint(0, 5))] + ["", "".join(rng.choice("abcdefgh") for _ in range(30))])) for d in range(150)]
+    seen, gone = set(), Counter()
+    for d, t in rows:
+        for line in t.split("\n")[:-2]:
+            gone[d] += line.strip() in seen
+            seen.add(line.strip())
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in entry.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: gone[d] for d, _ in rows} and sum(got.values()) > 200
+
+
 @pytest.mark.parametrize("name", ["jaccard", "fingerprints", "bpe", "quality", "hmm", "mix", "lines", "passages", "kneser", "html"])
 def test_empty_tables(spark, name):
     df = table(spark, []).withColumn("source", F.lit("s"))
