@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +17,23 @@ def process_audio(recordings: DataFrame, *, denoise: bool = False, vad_backend:
     """``file, samples, sample_rate`` to gated segments with their samples. Asked-for denoising without a provider falls back to the raw signal and says so in ``denoised``."""
     if use_tse:
         providers.require("tse")
-    denoised = False
     if denoise:
-        try:
+        with contextlib.suppress(providers.ProviderMissing):
             providers.require("denoise")
-            denoised = True
-        except providers.ProviderMissing:
-            denoised = False
     frames = providers.vad(recordings, key="file", backend=vad_backend)
     found = intervals.frames_to_segments(frames, key="file")
     rows = found.join(recordings.select("file", "samples", "sample_rate"), "file")
     rows = rows.withColumn("audio", intervals.cut(F.col("samples"), F.col("start_sec"), F.col("end_sec"), providers.RATE)).drop("samples")
-    rows = rows.withColumns({"snr_db": gate.snr_db("audio"), "tse_confidence": F.lit(1.0), "speaker_label": F.lit("unknown"), "denoised": F.lit(denoised)})
+    rows = rows.withColumns({"snr_db": gate.snr_db("audio"), "tse_confidence": F.lit(1.0), "speaker_label": F.lit("unknown"), "denoised": F.lit(False)})
     return gate.gate(rows, order_by="start_sec", keys=("file",), min_sec=min_sec)
 
 
-def extract_features(segments: DataFrame) -> DataFrame:
-    """Segments with one column per acoustic feature and ids that are unique over files."""
+def extract_features(segments: DataFrame, *, backend: str = "fake") -> DataFrame:
+    """Segments with one column per acoustic feature and ids that are unique over files. Any backend but ``fake`` raises, since none has an adapter."""
+    if backend != "fake":
+        if backend != "opensmile":
+            raise ValueError(f"unknown features: {backend}")
+        providers.require("features")
     rows = providers.mapped(segments, "audio", "_f", providers.FakeFeatures)
     named = [F.col("_f")[i].alias(n) for i, n in enumerate(FEATURE_NAMES)]
     return rows.withColumn("segment_id", composite_id(F.col("file"), F.col("segment_id"))).select("segment_id", "start_sec", "end_sec", "duration_sec", "speaker_label", "quality_flag", "file", *named)

@@ -1,8 +1,8 @@
 """The signal plane: providers for decoding, speech detection, features and embeddings.
 
 A provider is a plain object; workers build it once and call it for each row. The
-trained models of the real ones are not part of this repository, so asking for
-one that is not installed raises ``ProviderMissing``. The fake ones
+trained models of the real ones are not part of this repository, and no adapter to
+their libraries is written, so asking for one always raises ``ProviderMissing``. The fake ones
 are deterministic and serve tests and plans.
 """
 
@@ -29,13 +29,14 @@ class ProviderMissing(RuntimeError):
 
 
 def require(kind: str) -> None:
-    """Raises where the library behind a real provider is not installed, or none is known by that name."""
+    """Raises for every real provider: its library is not installed, or there is no adapter to it, or none is known by that name."""
     if kind == "tse":
         raise NotImplementedError("target-speaker extraction has no provider")
     if kind not in _NEEDS:
         raise ValueError(f"unknown provider: {kind}")
     if importlib.util.find_spec(_NEEDS[kind]) is None:
         raise ProviderMissing(f"provider {kind} needs the library {_NEEDS[kind]}, which is not installed")
+    raise ProviderMissing(f"provider {kind} has no adapter to the library {_NEEDS[kind]}")
 
 
 def resample(x: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:

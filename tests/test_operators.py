@@ -231,3 +231,19 @@ def test_recordings_to_segments(spark):
         end_to_end.process_audio(df, use_tse=True)
     with pytest.raises(ValueError):
         providers.vad(df, key="file", backend="other")
+
+
+def test_real_providers_never_fall_back_to_fakes(spark, monkeypatch):
+    """Also where their libraries are installed."""
+    from cadence.plans import end_to_end
+    from cadence.sources import providers
+
+    monkeypatch.setattr(providers.importlib.util, "find_spec", lambda name: object())
+    x = [0.1 * (i % 7) for i in range(16000)]
+    df = spark.createDataFrame([("a", x, 16000)], "file string, samples array<float>, sample_rate int")
+    for backend in ("silero", "ten"):
+        with pytest.raises(providers.ProviderMissing):
+            providers.vad(df, key="file", backend=backend)
+    with pytest.raises(providers.ProviderMissing):
+        end_to_end.extract_features(df, backend="opensmile")
+    assert not any(r["denoised"] for r in end_to_end.process_audio(df, denoise=True).select("denoised").collect())
