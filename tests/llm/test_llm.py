@@ -263,15 +263,49 @@ def test_passages_among_quoted_pieces(spark):
     assert len({r[:2] for r in results[0]}) == 4 and all(b == a + 30 for b, a, *_ in results[0])
 
 
+def quadratic_scores(x, y, k=5):
+    out = []
+    for j in range(len(x)):
+        ways = [out[i] - (x[j] - x[i]) - (y[j] - y[i]) for i in range(j) if 0 < x[j] - x[i] <= passages.MAX_GAP and 0 < y[j] - y[i] <= passages.MAX_GAP]
+        out.append(k * passages.WORTH + max(0, *ways, 0))
+    return out
+
+
 def test_chain_fenwick_matches_quadratic():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        pts = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (25, 2))})
-        x, y = np.array([p[0] for p in pts]), np.array([p[1] for p in pts])
-        for c in passages.chain(x, y):
-            assert (np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all()
+    for case in range(300):
+        size, span = int(rng.integers(1, 60)), int(rng.integers(5, 400))
+        pts = {(int(a), int(b)) for a, b in rng.integers(0, span, (size, 2))}  # strays
+        for _ in range(case % 4):  # stretches of a diagonal with gaps
+            a, b, n = rng.integers(0, span, 3)
+            pts |= {(int(a) + s, int(b) + s) for s in range(0, int(n), int(rng.integers(1, 9)))}
+        pts = sorted(pts)
+        x, y = [p[0] for p in pts], [p[1] for p in pts]
+        score, before = passages.chain_scores(x, y)
+        assert score == quadratic_scores(x, y)
+        for j, b in enumerate(before):
+            assert score[j] == 100 + (score[b] - (x[j] - x[b]) - (y[j] - y[b]) if b >= 0 else 0)
+        found = passages.chain(np.array(x), np.array(y))
+        assert sorted(i for c in found for i in c.tolist()) == list(range(len(x)))
+        for c in found:
+            dx, dy = np.diff(np.array(x)[c]), np.diff(np.array(y)[c])
+            assert ((dx > 0) & (dx <= passages.MAX_GAP) & (dy > 0) & (dy <= passages.MAX_GAP)).all()
+
+
+def test_chain_keeps_a_passage_beside_a_stray():
+    import numpy as np
+
+    for stray in ([], [(302, 10)], [(100, 305)], [(302, 10), (303, 9), (340, 340 - 30)]):
+        pts = sorted({(i, i) for i in [*range(0, 196, 5), *range(300, 396, 5)]} | set(stray))
+        found = passages.chain(np.array([p[0] for p in pts]), np.array([p[1] for p in pts]))
+        spans = [(pts[c[0]], pts[c[-1]]) for c in found if len(c) > 3]
+        assert ((0, 0), (195, 195)) in spans and any(b[0] - a[0] >= 95 for a, b in spans if a[0] >= 300)
+    ordered = sorted((3 * i, 3 * i + (40 if i > 20 else 0)) for i in range(40))
+    x, y = np.array([p[0] for p in ordered]), np.array([p[1] for p in ordered])
+    by_tree = passages._tree_chains(x.tolist(), y.tolist(), 5)
+    assert sorted(map(tuple, passages.chain(x, y))) == sorted(map(tuple, by_tree))
 
 
 def test_mix_targets(spark, docs):
