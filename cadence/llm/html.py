@@ -1,22 +1,27 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of block elements, where elements
-with the same tags and classes on the way down are one node. A node's style
-importance is the entropy of its children's sequences over the pages; a leaf's content
-importance falls with the share of pages its texts recur on. Branches in which
-no node is important repeat from page to page and are removed from each page,
-unless they hold most of the host's text, as where a host's pages are copies of
-each other. A host with few pages borrows from the tree of all hosts. What HTML itself names
-as no content (navigation, footers, scripts, forms and so on, by tag, role or class)
-goes too unless ``markup`` is off, and where a page marks its article, only that stays.
-
-Statistics are counted in Spark by host, node and text, folded in each task
-before the shuffle, so a host with a third of all pages costs no task more than its
-own distinct texts.
+The pages of a host are merged into one tree of block elements, where elements with the
+same tags and classes on the way down are one node. Two entropies are taken over a node's pages:
+of its presentations (the sequences of its child elements), and of the texts that stand in it.
+A text that recurs on a share of the pages loses importance by that share's logarithm, so a
+branch's importance is the part of its text that is new from page to page.
+
+A node with few presentations is a template: its children are places that every page
+fills. A place whose new text is small beside that of the largest place is removed, and so is any branch
+whose text mostly recurs. In a node of many presentations (an article) children stay unless they
+recur. A place is small only beside a larger one of the same page. A host with few pages borrows from the tree of
+all hosts. Elements that HTML defines for other things than content (``nav``, ``footer``, ``aside`` and
+so on), roles and a few whole class names lower a branch's importance by ``hint``; none
+removes it by itself, and without them (``hint=1``) the tree decides alone. A heading is judged with what it heads.
+Only what browsers don't show as text (scripts, styles, form fields) is left out while reading.
+
+Statistics are counted in Spark by host, node and text, folded in each task before the
+shuffle; branches are summed through each node's list of ancestors, at most DEPTH of them, so no task holds a host's tree. What
+lies deeper counts for the node at that depth.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as
-far as it goes; a null address is a host of its own; rows that repeat give rows that repeat; an
-empty table gives an empty result.
+far as it goes; pages of any length and depth are read whole; a null address is a host of its own; rows that
+repeat, or ids that do, give rows that repeat; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,53 +30,56 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import Workspace
+from cadence.llm.common import Workspace, release
 
-# Element names of HTML, and class names in use for parts that are no content.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Element names and roles of HTML, and class names in wide use.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("head script style noscript template svg math iframe object canvas audio video select option button input textarea map".split())
-NO_CONTENT = frozenset("label form nav footer aside dialog menu".split())
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-NO_CONTENT_CLASS = frozenset(
-    """ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion
-    nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar cookie cookies
-    consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended
-    comment comments commentlist disqus respond replies pagination pager toolbar copyright skip""".split()
-)
+NO_CONTENT = frozenset("nav header footer aside form dialog menu".split())
 NO_CONTENT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NO_CONTENT_CLASS = frozenset("ad ads advert advertisement banner sidebar menu navbar breadcrumb breadcrumbs footer header comments comment-list comments-area cookie-notice cookie-banner popup modal newsletter related related-posts share social pagination".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_TOKEN = re.compile(r"[a-z]+")
+_P_STOP = ("table", "td", "th", "article", "section", "div", "body", "li", "blockquote")
 _ROOT = 1
+#: Levels of the style tree.
+DEPTH = 48
+_HINT, _HEADING = 1, 2
 
 
 def _hash(parent: int, label: str) -> int:
-    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), parent) >> 1 or 1
+    """61 bits, so that a node's marks fit beside its parent's key."""
+    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), parent) >> 3 or 2
 
 
-class Node:
-    __slots__ = ("tag", "key", "parent", "mute", "out", "article", "header", "children")
+class Place:
+    """An open element: its tag, the number of its tree node, how deep that is, and whether its text is shown."""
 
-    def __init__(self, tag: str, key: int, parent: int, mute: bool, out: bool, article: bool, header: bool):
-        self.tag, self.key, self.parent, self.mute, self.out, self.article, self.header = tag, key, parent, mute, out, article, header
-        self.children: list[str] = []
+    __slots__ = ("tag", "node", "depth", "mute", "children")
+
+    def __init__(self, tag: str, node: int, depth: int, mute: bool):
+        self.tag, self.node, self.depth, self.mute = tag, node, depth, mute
+        self.children = None if mute else xxhash.xxh64()
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page in order: ``(node, way, text, in_article, out)``; ``way``: the nodes from the root down, ``out``: no content by its markup. And each node's parent and child sequences."""
+    """Blocks of a page in order as ``(node, text)``, and its tree: for each node its key, its parent's number and its marks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [Node("", _ROOT, 0, False, False, False, False)]
+        self.keys, self.parents, self.marks = [_ROOT], [-1], [0]
+        self.number = {_ROOT: 0}
+        self.stack = [Place("", 0, 0, False)]
+        self.open: dict[str, int] = {}
         self.text: list[str] = []
-        self.blocks: list[tuple[int, tuple[int, ...], str, bool, bool]] = []
-        self.parents: dict[int, int] = {}
+        self.blocks: list[tuple[int, str]] = []
         self.styles: set[tuple[int, int]] = set()
 
     def flush(self) -> None:
@@ -80,15 +88,18 @@ class PageReader(HTMLParser):
             self.text = []
             top = self.stack[-1]
             if text and not top.mute:
-                self.blocks.append((top.key, tuple(n.key for n in self.stack), text, top.article and not top.out, top.out))
+                self.blocks.append((top.node, text))
 
     def pop(self) -> None:
         self.flush()
-        node = self.stack.pop()
-        if not node.mute:
-            self.styles.add((node.key, _hash(2, " ".join(node.children))))
+        place = self.stack.pop()
+        self.open[place.tag] -= 1
+        if place.children is not None and place.depth < DEPTH:
+            self.styles.add((place.node, place.children.intdigest() >> 1))
 
-    def close_until(self, tags: tuple[str, ...] | frozenset, stop: tuple[str, ...]) -> None:
+    def close_until(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
                 while len(self.stack) > k:
@@ -97,53 +108,69 @@ class PageReader(HTMLParser):
             if self.stack[k].tag in stop:
                 return
 
+    def node_of(self, above: Place, label: str, mark: int) -> tuple[int, int]:
+        """The tree node of a new element, and its depth."""
+        if above.depth >= DEPTH:
+            return above.node, above.depth
+        key = _hash(self.keys[above.node], f"{label} {mark}")
+        no = self.number.get(key)
+        if no is None:
+            no = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.parents.append(above.node)
+            self.marks.append(mark)
+        return no, above.depth + 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.text.append(" ")
             return
+        if tag in VOID or (tag in INLINE and not attrs):
+            if tag not in INLINE:
+                self.flush()
+            return
         named = dict(attrs)
-        tokens = _TOKEN.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower())
+        names = (named.get("class") or "").lower().split()
         mute = tag in NO_TEXT
-        out = (
-            mute
-            or tag in NO_CONTENT
-            or not NO_CONTENT_CLASS.isdisjoint(tokens)
+        hint = (
+            tag in NO_CONTENT
+            or not NO_CONTENT_CLASS.isdisjoint(names)
+            or (named.get("id") or "").lower() in NO_CONTENT_CLASS
             or (named.get("role") or "").lower() in NO_CONTENT_ROLE
             or "hidden" in named
             or named.get("aria-hidden") == "true"
             or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         )
-        if tag in VOID or (tag in INLINE and not out):
-            if tag not in INLINE:
-                self.flush()
+        if tag in INLINE and not hint:
             return
-        if tag in ("html", "body"):
-            out = False
-        if tag not in INLINE:
-            self.flush()
+        self.flush()
         if tag in CLOSES_P:
-            self.close_until(("p",), ("table", "td", "th", "article", "section", "div", "body", "li", "blockquote"))
+            self.close_until(("p",), _P_STOP)
         if tag in _SAME:
             same, stop = _SAME[tag]
             self.close_until(tuple(same.split()), stop)
         if tag == "body":
             self.close_until(("head",), ())
-        self.flush()
         top = self.stack[-1]
-        article = top.article or (tag in ("article", "main") and not top.out)
-        header = top.header or (article and (tag == "header" or "header" in tokens))
-        if tag == "header":
-            out = True
-        if header and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            out = False  # an article's own headings
-        elif top.out:
-            out = True
-        label = ".".join([tag, *sorted((named.get("class") or "").split())])
-        top.children.append(label)
-        node = Node(tag, _hash(top.key, label), top.key, mute or top.mute, out, article, header)
-        if not node.mute:
-            self.parents[node.key] = top.key
-        self.stack.append(node)
+        label = ".".join([tag, *sorted(names)])
+        if top.children is not None and not mute:
+            top.children.update(label.encode("utf-8", "surrogatepass") + b" ")
+        mute = mute or top.mute
+        if mute:
+            place = Place(tag, top.node, top.depth, True)
+        else:
+            above, mark = top, _HINT * (hint and tag not in ("html", "body"))
+            if tag in HEADINGS:  # it heads what follows the header around it
+                mark |= _HEADING
+                for k in range(len(self.stack) - 1, 0, -1):
+                    above = self.stack[k]
+                    if above.tag != "header":
+                        break
+                else:
+                    above = self.stack[0]
+            place = Place(tag, *self.node_of(above, label, mark), False)
+        self.stack.append(place)
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -151,6 +178,8 @@ class PageReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 while len(self.stack) > k:
@@ -163,8 +192,11 @@ class PageReader(HTMLParser):
         if not self.stack[-1].mute:
             self.text.append(data)
 
-    def unknown_decl(self, data: str) -> None:
-        pass
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration that HTML doesn't know, up to its end, as a comment."""
+        close = "]]>" if self.rawdata[i : i + 9].upper() == "<![CDATA[" else ">"
+        at = self.rawdata.find(close, i + 3)
+        return at + len(close) if at >= 0 else -1
 
 
 def read(page: str | None) -> PageReader:
@@ -178,112 +210,148 @@ def read(page: str | None) -> PageReader:
     return reader
 
 
-def host_key(url: str | None) -> int:
-    host = re.sub(r"^[a-z][a-z0-9+.-]*:", "", (url or "").strip().lower()).lstrip("/")
-    host = re.split(r"[/?#]", host, maxsplit=1)[0].rpartition("@")[2].partition(":")[0]
-    return _hash(3, host)
-
-
-def main_text(reader: PageReader, low: frozenset[int], markup: bool = True) -> str:
-    """The kept blocks, without branches in ``low``; by ``markup`` also without what it names as no content, and only the article's, where one is marked and has text."""
-    kept = [b for b in reader.blocks if low.isdisjoint(b[1]) and not (markup and b[4])]
-    marked = [b for b in kept if markup and b[3]]
-    return "\n".join(b[2] for b in (marked or kept))
-
-
-def noisy(rows: pd.DataFrame, threshold: float, gamma: float = 0.9) -> list[int]:
-    """Nodes of a tree in whose branch no composite importance reaches ``threshold`` and that hold less than half of the text.
-
-    ``rows``: ``node, parent, weight, chars, content, style``; content is null
-    for inner nodes, whose importance is the mean of those below and, for the
-    rest, that of their style.
-    """
-    info = {r.node: r for r in rows.itertuples()}
-    children: dict[int, list[int]] = {}
-    for n, r in info.items():
-        children.setdefault(r.parent, []).append(n)
-    order, stack = [], [n for n, r in info.items() if r.parent not in info]
-    while stack:
-        n = stack.pop()
-        order.append(n)
-        stack.extend(children.get(n, ()))
-    value, top, chars = {}, {}, {}
-    for n in reversed(order):
-        r, below = info[n], [c for c in children.get(n, ()) if value[c] is not None]
-        parts = [(info[c].weight, value[c]) for c in below] + ([] if pd.isna(r.content) else [(r.weight, r.content)])
-        total = sum(w for w, _ in parts)
-        mean = sum(w * v for w, v in parts) / total if total else None
-        value[n] = gamma * mean + (1 - gamma) * r.style if mean is not None and pd.isna(r.content) else mean
-        top[n] = max([top[c] for c in below] + [value[n] if value[n] is not None else 0.0])
-        chars[n] = r.chars + sum(chars[c] for c in children.get(n, ()))
-    most = sum(r.chars for r in info.values()) / 2
-    return sorted(int(n) for n in info if value[n] is not None and top[n] < threshold and chars[n] < most)
-
-
-def tree_rows(pages: DataFrame, ws: Workspace, borrow: int) -> DataFrame:
-    """``host, node, parent, weight, chars, content, style``: all hosts' trees with the importance of single nodes."""
+def host_key(url: str | Column = "url") -> Column:
+    """A number for the address's host, without scheme, user and port."""
+    url = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
+    return F.xxhash64(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+
+
+def main_text(reader: PageReader, low: frozenset[int], small: frozenset[int] = frozenset()) -> str:
+    """The blocks outside of branches in ``low``, and of those in ``small`` beside a larger place; where a page has small places only, the one with most text is its largest."""
+    n = len(reader.keys)
+    size = [0] * n
+    for node, text in reader.blocks:
+        size[node] += len(text)
+    for no in range(n - 1, 0, -1):  # parents come first
+        size[reader.parents[no]] += size[no]
+    large = [-1] * n  # the place that the others of a parent are small beside
+    for no in range(1, n):
+        if reader.keys[no] not in low and size[no] and not reader.marks[no] & _HEADING:
+            at = reader.parents[no]
+            rank = (reader.keys[no] not in small, size[no])
+            if large[at] < 0 or rank > (reader.keys[large[at]] not in small, size[large[at]]):
+                large[at] = no
+    kept = [True] * n
+    for no in range(1, n):
+        key, at = reader.keys[no], reader.parents[no]
+        kept[no] = kept[at] and key not in low and (key not in small or large[at] == no)
+    return "\n".join(text for node, text in reader.blocks if kept[node])
+
+
+#: Kinds of counted features: texts, presentations, a node's parent and marks, characters, ancestors.
+_TEXT, _STYLE, _PARENT, _CHARS, _ABOVE = range(5)
+
+
+def page_features(reader: PageReader) -> dict[tuple[int, int, int], int]:
+    """``(node, kind, feature)`` with what a page adds: one, or its characters."""
+    out: dict[tuple[int, int, int], int] = {}
+    for no, text in reader.blocks:
+        key = reader.keys[no]
+        out[(key, _CHARS, 0)] = out.get((key, _CHARS, 0), 0) + len(text)
+        out[(key, _TEXT, _hash(4, text))] = 1
+    for no, style in reader.styles:
+        out[(reader.keys[no], _STYLE, style)] = 1
+    for no, key in enumerate(reader.keys):
+        parent = reader.parents[no]
+        out[(key, _PARENT, (reader.keys[parent] if parent >= 0 else 0) << 2 | reader.marks[no])] = 1
+        above = no
+        while above >= 0:
+            out[(key, _ABOVE, reader.keys[above])] = 1
+            above = reader.parents[above]
+    return out
+
+
+def features(pages: DataFrame) -> DataFrame:
+    """``host, node, kind, feature, n``, folded in each task."""
+    schema = "host long, node long, kind int, feature long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: dict[tuple[int, int, int, int], int] = {}
-            for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                host, reader = host_key(url), read(page)
-                for n, _, text, _, _ in reader.blocks:
-                    counts[(host, n, 3, 0)] = counts.get((host, n, 3, 0), 0) + len(text)
-                features = {(host, n, 0, _hash(4, text)) for n, _, text, _, _ in reader.blocks}
-                features |= {(host, n, 1, s) for n, s in reader.styles}
-                features |= {(host, n, 2, p) for n, p in reader.parents.items()}
-                for f in features:
-                    counts[f] = counts.get(f, 0) + 1
-            cols = list(zip(*counts, strict=True)) if counts else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(list(counts.values()), pa.int64())], names=["host", "node", "kind", "feature", "n"])
-
-    found = pages.select("url", "html").mapInArrow(run, "host long, node long, kind long, feature long, n long")
-    found = ws.put(found.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")), "features")
-
-    def trees(rows: DataFrame, key: list[str]) -> DataFrame:
-        """Per node: pages, parent, and its importance by content and by style."""
-        nodes = rows.where("kind = 2").groupBy(*key, "node").agg(F.sum("n").alias("m"), F.max("feature").alias("parent"))
-        by = rows.where("kind < 2").groupBy(*key, "node", "kind").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.log("n")).alias("s"))
-        text = by.where("kind = 0").select(*key, "node", F.col("w").alias("w0"), F.col("s").alias("s0"))
-        style = by.where("kind = 1").select(*key, "node", F.col("w").alias("w1"), F.col("s").alias("s1"))
-        log_m = F.when(F.col("m") > 1, F.log("m"))
-        chars = rows.where("kind = 3").groupBy(*key, "node").agg(F.sum("n").alias("chars"))
-        out = nodes.join(text, [*key, "node"], "left").join(style, [*key, "node"], "left").join(chars, [*key, "node"], "left")
-        content = F.when(F.col("w0").isNotNull(), F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("s0") / F.col("w0") / log_m)).otherwise(1.0))  # greatest() would skip a null
-        entropy = F.coalesce(F.least(F.lit(1.0), (F.log("w1") - F.col("s1") / F.col("w1")) / log_m), F.lit(1.0))
-        return out.select(*key, "node", "parent", "m", F.coalesce("w0", "m").cast("double").alias("weight"), content.alias("content"), entropy.alias("style"), F.coalesce("chars", F.lit(0)).cast("double").alias("chars"))
-
-    every = trees(found.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), []).select("node", F.col("content").alias("all_content"), F.col("style").alias("all_style"))
-    own = trees(found, ["host"]).join(every, "node")
-    share = F.col("m") / (F.col("m") + borrow)
-    return own.select("host", "node", "parent", "weight", "chars", (share * F.col("content") + (1 - share) * F.col("all_content")).alias("content"), (share * F.col("style") + (1 - share) * F.col("all_style")).alias("style"))
-
-
-def style_trees(pages: DataFrame, *, threshold: float = 0.75, borrow: int = 50) -> DataFrame:
-    """``host, low``: for each host the nodes that open a branch of low importance."""
-    ws = Workspace(pages.sparkSession, "sst")
-    rows = tree_rows(pages, ws, borrow)
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [int(pdf["host"].iloc[0])], "low": [noisy(pdf, threshold)]})
-
-    return ws.put(rows.groupBy("host").applyInPandas(cut, "host long, low array<long>").where("size(low) > 0"), "low")
-
+        counts: dict[tuple[int, int, int, int], int] = {}
 
-def extract(pages: DataFrame, *, threshold: float = 0.75, borrow: int = 50, markup: bool = True) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every row of ``pages``."""
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*counts, strict=True)) if counts else [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            out = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], names=[f.split()[0] for f in schema.split(", ")])
+            counts.clear()
+            return out
 
-    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = pa.array([host_key(u) for u in b.column("url").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "host"])
+            for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+                for f, n in page_features(read(page.as_py())).items():
+                    counts[(host, *f)] = counts.get((host, *f), 0) + n
+                if len(counts) > 200_000:
+                    yield table()
+        yield table()
+        release()
+
+    return pages.select(host_key().alias("host"), "html").mapInArrow(run, schema)
+
+
+def _trees(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Per node of each tree: pages, parent, marks, new and all characters of its branch a page, and its presentations' entropy."""
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    nodes = of(_PARENT).groupBy(*key, "node").agg(F.sum("n").alias("m"), F.max("feature").alias("up"))
+    text = of(_TEXT).groupBy(*key, "node").agg(F.sum("n").alias("w0"), F.sum(F.col("n") * F.log("n")).alias("s0"))
+    style = of(_STYLE).groupBy(*key, "node").agg(F.sum("n").alias("w1"), F.sum(F.col("n") * F.log("n")).alias("s1"))
+    chars = of(_CHARS).groupBy(*key, "node").agg(F.sum("n").alias("chars"))
+    one = nodes.join(text, [*key, "node"], "left").join(style, [*key, "node"], "left").join(chars, [*key, "node"], "left")
+    new = F.when(F.col("w0").isNull(), 0.0).when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("s0") / F.col("w0") / F.log("m"))).otherwise(1.0)
+    one = one.select(*key, "node", "m", "up", F.coalesce("chars", F.lit(0)).alias("own"), (F.coalesce("chars", F.lit(0)) * new).alias("own_new"), F.coalesce(F.log("w1") - F.col("s1") / F.col("w1"), F.lit(0.0)).alias("entropy"))
+    above = of(_ABOVE).select(*key, "node", F.col("feature").alias("above")).distinct()
+    sums = above.join(one.select(*key, "node", "own", "own_new"), [*key, "node"]).groupBy(*key, F.col("above").alias("node")).agg(F.sum("own").alias("own"), F.sum("own_new").alias("own_new"))
+    m = F.col("m").cast("double")
+    return one.drop("own", "own_new").join(sums, [*key, "node"]).select(*key, "node", "m", F.shiftrightunsigned("up", 2).alias("parent"), F.col("up").bitwiseAND(3).alias("marks"), "entropy", (F.col("own") / m).alias("chars"), (F.col("own_new") / m).alias("new"))
+
+
+def importances(pages: DataFrame, ws: Workspace, borrow: int) -> DataFrame:
+    """All hosts' trees; a host's figures mixed with those of all hosts as if it had ``borrow`` pages more."""
+    found = ws.put(features(pages).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")), "features")
+    every = _trees(found.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n")), [])
+    every = every.select("node", F.col("m").alias("seen"), *[F.col(c).alias(f"all_{c}") for c in ("entropy", "chars", "new")])
+    own = _trees(found, ["host"]).join(every, "node")
+    share = F.col("m") / (F.col("m") + F.lit(float(borrow)))
+    mixed = [(share * F.col(c) + (1 - share) * F.col(f"all_{c}")).alias(c) for c in ("entropy", "chars", "new")]
+    return own.select("host", "node", "parent", "marks", "seen", *mixed)
+
+
+def style_trees(pages: DataFrame, *, hint: float = 0.2, place: float = 0.15, recur: float = 0.5, presentations: float = 4.0, evidence: int = 4, borrow: int = 50) -> DataFrame:
+    """``host, low, small``: for each host the nodes that open a branch of low importance, and those of them that are only small beside another place.
+
+    ``place`` is the least share of the largest place's new text, ``recur`` of a branch's own text that must be new,
+    ``presentations`` the number (as the entropy's exponential) from which a node is no template, and ``evidence`` the least pages of any host that must
+    show a node before texts and places count against it.
+    """
+    ws = Workspace(pages.sparkSession, "sst")
+    t = ws.put(importances(pages, ws, borrow), "trees")
+    ws.drop("features")
+    marked, heading = F.col("marks").bitwiseAND(_HINT) > 0, F.col("marks").bitwiseAND(_HEADING) > 0
+    value = F.col("new") * F.when(marked, hint).otherwise(1.0)
+    rows = t.withColumn("value", value)
+    best = rows.where(~heading).groupBy("host", "parent").agg(F.max("value").alias("best"))
+    above = t.select("host", F.col("node").alias("parent"), F.exp("entropy").alias("styles"))
+    rows = rows.join(best, ["host", "parent"]).join(above, ["host", "parent"], "left")
+    known = F.col("seen") >= evidence
+    slot = known & ~heading & (F.coalesce("styles", F.lit(1.0)) < presentations) & (F.col("value") < place * F.col("best"))
+    said = marked & (F.col("value") < 0.5 * F.col("best"))
+    again = known & (F.col("new") < recur * F.col("chars")) & (F.col("value") < F.col("best"))
+    by = rows.withColumns({"_low": said | again, "_small": slot}).where("_low or _small")
+    low = by.groupBy("host").agg(F.sort_array(F.collect_set(F.when(F.col("_low"), F.col("node")))).alias("low"), F.sort_array(F.collect_set(F.when(~F.col("_low"), F.col("node")))).alias("small"))
+    return ws.put(low, "low")
+
+
+def extract(pages: DataFrame, **limits) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every row of ``pages``; ``limits`` as for :func:`style_trees`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(read(p), frozenset(low or ()), markup) for p, low in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
+            texts, last, gone = [], None, ()
+            for page, *nodes in zip(b.column("html"), b.column("low"), b.column("small"), strict=True):
+                if last != nodes:
+                    last, gone = nodes, [frozenset(x.as_py() or ()) for x in nodes]
+                texts.append(main_text(read(page.as_py()), *gone))
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        release()
 
-    low = style_trees(pages, threshold=threshold, borrow=borrow)
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(hosts, "page_id long, url string, html string, host long")
-    return keyed.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    low = style_trees(pages, **limits)
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_key().alias("host"))
+    return keyed.join(low, "host", "left").select("page_id", "url", "html", "low", "small").mapInArrow(run, "page_id long, url string, text string, n_chars long")

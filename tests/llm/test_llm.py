@@ -190,26 +190,50 @@ def plain_article(page):
     return "\n".join(p for p in parts if p)
 
 
-def test_html_articles(spark, small):
-    pages = spark.read.parquet(f"{small}/pages.parquet")
-    got = {r["page_id"]: r for r in html.extract(pages).collect()}
+@pytest.mark.parametrize("limits", [{}, {"hint": 1.0}], ids=["marks", "tree alone"])
+def test_html_articles(spark, small, limits):
+    pages = spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet")
+    got = {r["page_id"]: r for r in html.extract(pages, **limits).collect()}
     for r in pages.collect():
         assert got[r["page_id"]]["text"] == plain_article(r["html"]) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
-def test_style_tree_alone_removes_what_repeats(spark):
+def test_style_tree_removes_what_repeats_and_small_places(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     say = lambda n: " ".join(word() for _ in range(n))
     fixed = [say(6) for _ in range(3)]
     rows = [(i, f"http://site.example/{i}", f"<body><div class=top>{fixed[i % 3]}</div><div class=text><p>{say(30)}</p><p>{say(30)}</p></div><div class=end>{fixed[0]}</div></body>") for i in range(60)]
-    rows += [(100, None, None), (101, "http://x", ""), (102, "http://x", "<p>a &amp; b<br>c<p>d"), (103, "http://y", "<body><nav>n</nav><article><header><h1>T</h1><i>by</i></header><p>x<b>y</b></p><aside>s</aside><form>f</form><section class='comments'><p>c</p></section></article><p>out</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html.extract(pages, markup=False).collect()}
-    for i, _, page in rows[:60]:
+    got = {r["page_id"]: r["text"] for r in html.extract(pages, hint=1.0).collect()}
+    for i, _, page in rows:
         assert got[i] == "\n".join(re.findall("<p>(.*?)</p>", page))
-    full = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
-    assert (full[100], full[101], full[102], full[103]) == ("", "", "a & b c\nd", "T\nxy")
+    # No article element; wrappers and parts whose names only resemble noise; a teaser article; adverts that never repeat; comments by class.
+    rows, want = [], {}
+    for i in range(40):
+        body = [say(rng.randint(20, 60)) for _ in range(rng.randint(2, 9))]
+        share, related = say(12), say(12)
+        parts = "".join(f"<p>{p}</p>" for p in body) + f"<div class='share-price'>{share}</div><section id=related-work><p>{related}</p></section>"
+        head = say(4)
+        rows.append((i, "https://u:p@News.Example:80/a", f"<body class=with-header><div class='layout has-sidebar'><div class=bar>{say(2)}<ul><li>{say(1)}<li>{say(1)}</ul></div><article class=teaser>{say(5)}</article><div class=story><h1>{head}</h1>{parts}<form><label>{say(2)}</label></form></div><div class=promo>{say(6)}</div><div class=comments><p>{say(20)}</p></div></div></body>"))
+        want[i] = "\n".join([head, *body, share, related])
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_defined_cases(spark):
+    deep, long = "<div>" * 100_000 + "end", "<body><p>" + "word &amp; " * 500_000 + "</p></body>"
+    rows = [(100, None, None), (101, "http://x", ""), (102, "http://x", "<p>a &amp; b<br>c<p>d"), (103, "http://x", "<![x[ foo"), (104, "http://x", "<p>a<![ b"), (105, "http://x", "<p>a</p><![CDATA[<p>x</p>]]><p>b</p>"), (106, "http://x", deep), (107, None, long), (7, "http://x", "<p>one"), (7, "http://x", "<p>two"), (None, "http://x", "<p>one"), (7, "http://x", "<p>one"), (108, "//y", "<body><nav>n</nav><article><header><h1>T</h1><i>by</i></header><p>x<b>y</b></p><aside>s</aside><form>f</form><section class='comments'><p>c</p></section></article></body>"), (109, "//y", "<p>a</x></b></div>b<script>var x = '<p>no</p>'</script><style>p{}</style>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "low": F.lit(1), "node": F.lit(2)})
+    out = html.extract(pages).collect()
+    got = {r["page_id"]: r["text"] for r in out}
+    assert (got[100], got[101], got[102], got[105], got[106], got[108], got[109]) == ("", "", "a & b c\nd", "a\nb", "end", "T\nxy", "ab")
+    assert got[107] == " ".join(["word &"] * 500_000) and got[104].startswith("a")
+    assert sorted((r["text"] for r in out if r["page_id"] in (7, None))) == ["one", "one", "one", "two"]
+    rng = random.Random(6)
+    bits = ["<", ">", "<p", "</p>", "<!", "<![", "]]>", "<!--", "-->", "<?", "<div class=", "'", '"', "&", "&#", "&#x110000;", "&amp;", "</", "<script>", "</script>", "a", " ", "<li>", "<td>", "<table>", "<ul>", "<h1>", "<header>", "</header>"]
+    for _ in range(3000):
+        html.main_text(html.read("".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))), frozenset())
 
 
 def test_passages_planted(spark):
