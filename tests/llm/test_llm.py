@@ -367,7 +367,7 @@ def test_sainte_lague_quotients(spark):
 
 
 def test_kneser_keeps_trusted(spark, small):
-    big = small.replace("0.001", "0.01")
+    big = small.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     truth = {r["doc_id"]: r["quality"] for r in labels.where("toxic = 0").collect()}
     held = labels.where("doc_id % 3 <> 0")  # the rest is judged without having been seen
@@ -377,15 +377,67 @@ def test_kneser_keeps_trusted(spark, small):
     assert sum(not k for k, q in unseen if not q) / sum(1 - q for _, q in unseen) > 0.8
 
 
-def test_kneser_shares_add_up(spark, docs, labels):
+def brute_kneser(texts, order):
+    """A function that gives a text's log probability, and one for a word's share after some words, by nested dictionaries."""
+    pad = lambda t: ["<s>"] * (order - 1) + WORD.findall(t or "") + ["</s>"]
+    level = Counter(tuple(s[p - order + 1 : p + 1]) for t in texts if WORD.search(t or "") for s in [pad(t)] for p in range(order - 1, len(s)))
+    levels = {order: level}
+    for m in range(order - 1, 0, -1):
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
+    vocab = {g[0] for g in levels[1]}
+    d = {m: kneser.discounts([sum(a == k for a in c.values()) for k in (1, 2, 3, 4)]) for m, c in levels.items()}
+    total, free = defaultdict(int), defaultdict(float)
+    for m, c in levels.items():
+        for g, a in c.items():
+            total[g[:-1], m] += a
+            free[g[:-1], m] += d[m][min(a, 3) - 1]
+
+    def share(context, word, m=order):
+        if m == 0:
+            return 1 / (len(vocab) + 1)
+        ctx = tuple(context[len(context) - m + 1 :])
+        lower = share(context, word, m - 1)
+        if (ctx, m) not in total:
+            return lower
+        a = levels[m].get((*ctx, word), 0)
+        return (max(0.0, a - d[m][min(a, 3) - 1]) if a else 0.0) / total[ctx, m] + free[ctx, m] / total[ctx, m] * lower
+
+    def text_log(t):
+        s = pad(t)
+        return sum(math.log(share(s[p - order + 1 : p], s[p])) for p in range(order - 1, len(s)))
+
+    return text_log, share, vocab
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_kneser_brute(spark, docs, labels, rows, order, monkeypatch):
     from cadence.llm.common import Workspace
 
-    m = kneser.fit(docs, kneser.trusted_ids(labels), Workspace(spark, "t"))
-    letters = sorted({c for r in docs.collect() for c in r["text"] if not c.isspace()} | {kneser.AGAIN})
-    total = sum(math.exp(kneser.word_scores(m, ["th" + c])[0][0] - 0) for c in letters)
-    assert 0 < total < 1
+    monkeypatch.setattr(kneser, "HEAD", 50)
+    trusted = kneser.trusted_ids(labels)
+    ids = {r["doc_id"] for r in trusted.where(F.pmod(kneser._place(23), F.lit(kneser.HELD)) != 0).collect()}
+    text_log, share, vocab = brute_kneser([t for d, t in rows if d in ids], order)
+    for context in (["<s>"] * 2, ["the", "and"], ["<s>", "The"], ["nowhere", "seen"]):
+        assert sum(share(context, w, order) for w in [*vocab, "unseen"]) == pytest.approx(1)
+    df = table(spark, rows)
+    got = kneser.perplexities(df, trusted, order=order).collect()
+    assert len(got) == len(rows)
+    want = {d: (len(WORD.findall(t or "")), text_log(t)) for d, t in rows}
+    for r in got:
+        n, log_p = want[r["doc_id"]]
+        assert r["n_words"] == n and (r["perplexity"] is None) == (n == 0)
+        if n:
+            assert -math.log(r["perplexity"]) * (n + 1) == pytest.approx(log_p, abs=1e-4 * (n + 1))
+    ws = Workspace(spark, "t")
+    grams, floor = kneser.fit(docs, trusted, ws, order=order)
+    model = kneser.hashed(grams, order)
+    runs = [sorted(tuple(map(str, r)) for r in kneser.log_shares(df.repartition(k), model, floor, ws, order, k).collect()) for k in (1, 3)]
+    assert runs[0] == runs[1]
+
+
+def test_kneser_without_trusted(spark):
     empty = kneser.classify(table(spark, ODD), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
-    assert all(r["kept"] == (r["n_words"] > 0) for r in empty)
+    assert len(empty) == len(ODD) and all(r["kept"] == (r["n_words"] > 0) for r in empty)
 
 
 def brute_lines(rows, least=20):
