@@ -1,36 +1,42 @@
 """Quality rules: a linear-chain conditional random field labels every line.
 
 Lines are marked content or boilerplate by Viterbi decoding; the share of a
-document's words in content lines decides whether it is kept. The field is
-trained by gradient ascent on labelled documents: the lines of documents with
-quality 1 count as content, those of quality 0 as boilerplate, and the chain
-weights settle what single lines leave open.
+document's words in content lines decides whether it is kept.
+
+The field is trained on labelled documents, line by line. A line of a good document counts as content and one of a
+bad document as boilerplate, but a line that documents of both kinds hold counts as most of them are
+(boilerplate on ties), and one that repeats an earlier line of its document is boilerplate; so labels change inside documents and the
+weights of label pairs are learnt from such changes. Every step of the ascent takes expected counts over all
+training lines in the tasks and sends a few sums to the driver.
 
 Defined cases: a null text has no words and no lines, so it fails the base
-rule; rows that repeat give rows that repeat; null ids are carried along;
-without labelled documents of both kinds every line is content, so that only the base
-rule decides; extra columns are ignored.
+rule; texts of any length are whole, in training too; ties between label sequences go to content; rows that repeat give rows that repeat; null ids are carried along;
+an empty table gives an empty result; without labelled documents of both kinds every line is content, so that only the base
+rule decides; other columns are ignored (or carried, by :func:`keep`), whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm import words as W
-from cadence.llm.common import release
+from cadence.llm.common import Workspace, release
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 N_FEATURES = 10
-#: Bounds of the training sample: documents, and lines of a document.
-MAX_DOCS, MAX_LINES = 2000, 400
+#: Bound of the training sample: labelled ids.
+MAX_DOCS = 2000
 _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
 _LETTER = re.compile(r"[\W\d_]+")
 _IS_SYMBOL = np.zeros(256, bool)
@@ -85,24 +91,23 @@ class Field:
         return Field(np.concatenate([[1e3], np.zeros(N_FEATURES - 1)]), np.zeros((2, 2)), np.zeros(2))
 
 
-def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Maximise the conditional log-likelihood, with all documents batched step by step along the chain."""
-    docs = [d for d in docs if len(d[0])]
-    if len({y for _, y in docs}) < 2:
-        return Field.content()
-    n, length = len(docs), max(len(x) for x, _ in docs)
-    x = np.zeros((n, length, N_FEATURES))
-    on = np.zeros((n, length), bool)
-    y = np.array([label for _, label in docs])
-    for i, (rows, _) in enumerate(docs):
-        x[i, : len(rows)], on[i, : len(rows)] = rows, True
-    size = np.array([1 / max(1, (y == k).sum()) for k in (0, 1)])[y] * n / 2  # both kinds weigh the same
-    size = size / on.sum(1) ** 0.5
-    theta = np.zeros(N_FEATURES + 4 + 2)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    weight = size[:, None] * on
-    for step in range(1, steps + 1):
-        w, pair, start = theta[:N_FEATURES], theta[N_FEATURES:-2].reshape(2, 2), theta[-2:]
+Sequence = tuple[np.ndarray, np.ndarray, float]
+
+
+def likelihood(docs: list[Sequence], theta: np.ndarray, cells: int = 200_000) -> tuple[float, np.ndarray]:
+    """Weighted log-likelihood of the labels and its gradient; ``docs``: features and labels by line, and a weight. Documents of like length go side by side."""
+    w, pair, start = theta[:N_FEATURES], theta[N_FEATURES:-2].reshape(2, 2), theta[-2:]
+    docs = sorted(docs, key=lambda d: -len(d[0]))
+    value, grad, at = 0.0, np.zeros_like(theta), 0
+    while at < len(docs):
+        length = len(docs[at][0])
+        part = docs[at : at + max(1, cells // length)]
+        at += len(part)
+        n = len(part)
+        x, y, on = np.zeros((n, length, N_FEATURES)), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
+        for i, (rows, labels, _) in enumerate(part):
+            x[i, : len(rows)], y[i, : len(rows)], on[i, : len(rows)] = rows, labels, True
+        weight = np.array([d[2] for d in part])
         unary = np.zeros((n, length, 2))
         unary[:, :, 1] = x @ w
         fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2))
@@ -114,17 +119,46 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 200, rate: float
             bwd[:, t] = np.where(on[:, t + 1, None], np.logaddexp(pair[:, 0] + nxt[:, :1], pair[:, 1] + nxt[:, 1:]), 0)
         total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         post = np.exp(fwd + bwd - total[:, None, None])
-        truth = np.stack([1 - y, y], 1)[:, None, :]
-        grad = np.zeros_like(theta)
-        grad[:N_FEATURES] = np.einsum("nl,nlf->f", weight * (truth - post)[:, :, 1], x)
-        both = np.exp(fwd[:, :-1, :, None] + pair + (unary + bwd)[:, 1:, None, :] - total[:, None, None, None]) * weight[:, 1:, None, None]
-        same = (weight[:, 1:].sum(1)[:, None] * np.stack([1 - y, y], 1)).sum(0)
-        grad[N_FEATURES:-2] = (np.diag(same) - both.sum((0, 1))).ravel()
-        grad[-2:] = (weight[:, :1] * (truth[:, 0] - post[:, 0])).sum(0)
-        grad = grad / n - ridge * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Field(theta[:N_FEATURES].copy(), theta[N_FEATURES:-2].reshape(2, 2).copy(), theta[-2:].copy())
+        each = weight[:, None] * on
+        grad[:N_FEATURES] += np.einsum("nl,nlf->f", each * (y - post[:, :, 1]), x)
+        inner = each[:, 1:, None, None]
+        both = np.exp(fwd[:, :-1, :, None] + pair + (unary + bwd)[:, 1:, None, :] - total[:, None, None, None])
+        truth = np.zeros((n, max(0, length - 1), 2, 2))
+        np.put_along_axis(truth.reshape(n, -1, 4), (2 * y[:, :-1] + y[:, 1:])[:, :, None], 1.0, 2)
+        grad[N_FEATURES:-2] += ((truth - both) * inner).sum((0, 1)).ravel()
+        grad[-2:] += (weight[:, None] * (np.stack([1 - y[:, 0], y[:, 0]], 1) - post[:, 0])).sum(0)
+        path = (np.take_along_axis(unary, y[:, :, None], 2)[:, :, 0] * on).sum(1) + start[y[:, 0]] + (pair[y[:, :-1], y[:, 1:]] * on[:, 1:]).sum(1)
+        value += float((weight * (path - total)).sum())
+    return value, grad
+
+
+def ascend(evaluate, steps: int = 30, ridge: float = 1e-3, tol: float = 1e-4) -> np.ndarray:
+    """Weights at the maximum of a concave function less a ridge, by BFGS; ``evaluate`` takes some weights at once, so one pass over the data tries several step lengths."""
+    size = N_FEATURES + 6
+
+    def at(thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        return [(ridge / 2 * float(t @ t) - f, ridge * t - g) for t, (f, g) in zip(thetas, evaluate(thetas), strict=True)]
+
+    theta, h = np.zeros(size), np.eye(size)
+    f, g = at([theta])[0]
+    for _ in range(steps):
+        if np.abs(g).max() < tol:
+            break
+        way = -h @ g
+        tries = [theta + a * way for a in (2.0, 0.7, 0.1)]
+        found = at(tries)
+        k = min(range(len(tries)), key=lambda k: found[k][0])
+        if found[k][0] >= f - 1e-9:
+            if np.array_equal(h, np.eye(size)):
+                break
+            h = np.eye(size)
+            continue
+        s, y = tries[k] - theta, found[k][1] - g
+        theta, (f, g) = tries[k], found[k]
+        if (sy := float(s @ y)) > 1e-12:
+            v = np.eye(size) - np.outer(s, y) / sy
+            h = v @ h @ v.T + np.outer(s, s) / sy
+    return np.round(theta, 9)
 
 
 def viterbi(field: Field, scores: list[float]) -> list[int]:
@@ -144,21 +178,64 @@ def viterbi(field: Field, scores: list[float]) -> list[int]:
     return out[::-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Field:
-    """Fit on at most ``max_docs`` labelled documents, chosen by a hash of their id; that bound also bounds the broadcast."""
+def line_labels(docs: DataFrame, labels: DataFrame, max_docs: int, seed: int) -> DataFrame:
+    """``x, y, quality`` of the sampled documents: features of all lines with words (float32) and their labels (bytes), packed."""
     ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     ids = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "quality")  # ids bounded by max_docs
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t)[0] for t in b.column("text").to_pylist()]
-            packed = [np.asarray(f[:MAX_LINES], np.float32).tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary()), b.column("quality").cast(pa.int32())], names=["doc_id", "x", "quality"])
+            for text, quality in zip(b.column("text"), b.column("quality").to_pylist(), strict=True):
+                lines = [t for t in (text.as_py() or "").split("\n") if t.strip(SPACES)]
+                if lines:
+                    x = np.asarray(features("\n".join(lines))[0], np.float32)
+                    keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in lines]
+                    doc = xxhash.xxh3_64_intdigest("\n".join(lines).encode("utf-8", "surrogatepass")) - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([quality], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([keys], pa.list_(pa.int64()))], names=["doc", "quality", "x", "keys"])
+
+    found = rows.mapInArrow(extract, "doc long, quality int, x binary, keys array<long>").dropDuplicates(["doc", "quality"])
+    found = Workspace(docs.sparkSession, "crf").put(found, "lines")
+    lines = found.select("doc", "quality", F.posexplode("keys").alias("no", "key"))
+    first = lines.groupBy("doc", "quality", "key").agg(F.min("no").alias("first"))
+    votes = first.groupBy("key").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    voted = lines.join(first, ["doc", "quality", "key"]).join(votes, "key")
+    y = F.when(F.col("no") > F.col("first"), 0).when(F.col("bad") == 0, 1).when(F.col("good") > F.col("bad"), 1).otherwise(0)
+    labels = voted.groupBy("doc", "quality").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", y.cast("int").alias("y")))), lambda r: r["y"]).alias("y"))
+    return found.select("doc", "quality", "x").join(labels, ["doc", "quality"])
+
 
-    got = rows.mapInArrow(extract, "doc_id long, x binary, quality int").limit(2 * max_docs).collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    return fit_field([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES).astype(float), r["quality"]) for r in got])
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: int = 11) -> Field:
+    """Fit on the whole texts of at most ``max_docs`` labelled ids, chosen by a hash; that bound also bounds the broadcast of ids."""
+    ws = Workspace(docs.sparkSession, "crf")
+    rows = ws.put(line_labels(docs, labels, max_docs, seed), "labelled")
+    counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return Field.content()
+    n = sum(counts.values())
+    schema = "part int, k int, value double, grad array<double>"
+
+    def evaluate(thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, docs = TaskContext.get().partitionId(), []
+            for b in batches:
+                for x, y, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("quality").to_pylist(), strict=True):
+                    x = np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(float)
+                    docs.append((x, np.asarray(y), 0.5 / counts[q] / len(x) ** 0.5))  # both kinds weigh the same
+            docs.sort(key=lambda d: (len(d[0]), d[0].tobytes()))
+            got = [likelihood(docs, t) for t in thetas]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(got), pa.int32()), pa.array(range(len(got)), pa.int32()), pa.array([f for f, _ in got]), pa.array([g.tolist() for _, g in got], pa.list_(pa.float64()))], names=["part", "k", "value", "grad"])
+
+        got = rows.select("x", "y", "quality").mapInArrow(run, schema).collect()
+        out = []
+        for k in range(len(thetas)):
+            own = [r for r in got if r["k"] == k]
+            out.append((math.fsum(r["value"] for r in own), np.array([math.fsum(c) for c in zip(*(r["grad"] for r in own), strict=True)])))
+        return out
+
+    theta = ascend(evaluate) if n else np.zeros(N_FEATURES + 6)
+    ws.drop("labelled")
+    return Field(theta[:N_FEATURES].copy(), theta[N_FEATURES:-2].reshape(2, 2).copy(), theta[-2:].copy())
 
 
 def _repeat_words(w: W.Words, n_texts: int) -> np.ndarray:
@@ -223,7 +300,7 @@ def assess(docs: DataFrame, field: Field, *, min_share: float = 0.5, min_words:
 
 
 def keep(docs: DataFrame, field: Field, *, min_share: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """The rows of ``docs`` that :func:`assess` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`assess` keeps, with all their columns, whatever their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
