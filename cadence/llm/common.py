@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,14 +23,24 @@ _ROOT = "cadence-llm"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset a temporary folder serves, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cadence-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{_ROOT}-{spark.sparkContext.applicationId}"
 
 
+def free(base: str, *frames: DataFrame) -> str:
+    """A column name like ``base`` that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 class Workspace:
     """Written tables of one operator call, below the shared folder.
 

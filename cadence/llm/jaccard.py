@@ -9,18 +9,18 @@ a third of all documents hold costs its shard one entry from each chunk. With th
 likeness must share one of the first ``n - ceil(t n) + 1``; a class whose
 unshared shingles alone fill that prefix has no partner and goes no further.
 
-Classes with the same prefix and size form a group; prefixes are joined group
-by group, pairs of groups are filtered by size and by the place of the shared
-shingle, and what is left is expanded to members and verified on the sets.
-Since links are wanted for components, every group is first verified against a
-few hubs of each prefix shingle, then against others by some of the shingles. Only pairs that these links have
-not already put into one component are then joined in full, so a group of near
+Classes with the same prefix and size form a group. Groups are joined by prefix shingles, a
+shingle of very many groups in parts; pairs of groups are filtered by size and by the place of the shared
+shingle, and what is left is expanded to members, filtered by bitmaps and verified on the sets.
+Since links are wanted for components, members are first verified against a
+few hubs of each prefix shingle, then groups are joined by some of the shingles, then by all. Pairs of groups and members that these links have
+already put into one component go no further, so a group of near
 copies of any size costs links in proportion to its members.
 
 Defined cases: words are lower-cased in A-Z only; under ``size`` words the whole
 sequence is one shingle; without words, or null, the set is empty and linked
 with nothing; rows that repeat give rows that repeat; null ids count as the largest;
-an empty table gives an empty result; other columns are ignored.
+texts of any length are whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
 from cadence.llm.components import connected
-from cadence.llm.common import Workspace, n_shuffle, release
+from cadence.llm.common import Workspace, free, n_shuffle, release
 from cadence.llm.lines import LAST, _grouped, _meet, _table
 
 #: Shingles travel as 48 bits: the shard's, 8 to sort into bins, and 32.
@@ -84,12 +84,17 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-_DOCS = "doc binary, n binary, d1 binary, d2 binary, head binary, several binary, owners binary"
+_DOCS = "doc binary, t1 binary, t2 binary, n binary, d1 binary, d2 binary, head binary, several binary, owners binary"
 _DOC_NAMES = [c.split()[0] for c in _DOCS.split(", ")]
 
 
+def text_marks(docs: DataFrame) -> list:
+    """Two hashes of the text, by which rows with one id are told apart."""
+    return [F.xxhash64(F.lit(k), F.col("text")).alias(f"t{k}") for k in (1, 2)]
+
+
 def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) -> DataFrame:
-    """``doc_id, n, d1, d2, tokens``: for each row its set's size and digest, and for one row of equal ones in a chunk the shingles that others may share, rarest first (null where its prefix holds none)."""
+    """``doc_id, t1, t2, n, node, d2, tokens``: for each row its text's marks, its set's size, number and second digest, and for one row of equal ones in a chunk the shingles that others may share, rarest first (null where its prefix holds none)."""
     spark = docs.sparkSession
     n_shards = shards_of(spark)
     bits = n_shards.bit_length() - 1
@@ -103,6 +108,7 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
         part, no = TaskContext.get().partitionId(), 0
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+            marks = [b.column(t).to_numpy() for t in ("t1", "t2")]
             for i, j in W.chunks(b.column("text")):
                 w = W.split(b.column("text").slice(i, j - i))
                 owner, key = sets(w, size)
@@ -123,7 +129,7 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
                 owners, who, key = owner[several].astype(wide), owner[~several].astype(wide), key[~several]
                 block = (part << 32) + no
                 no += 1
-                out = [[no % n_shards, block, *[None] * 5, ids[i:j].tobytes(), n.astype(np.int64).tobytes(), d1.tobytes(), d2.tobytes(), head.tobytes(), times.astype(np.uint32).tobytes(), owners.tobytes()]]
+                out = [[no % n_shards, block, *[None] * 5, ids[i:j].tobytes(), *(t[i:j].tobytes() for t in marks), n.astype(np.int64).tobytes(), d1.tobytes(), d2.tobytes(), head.tobytes(), times.astype(np.uint32).tobytes(), owners.tobytes()]]
                 bin_of = (key >> bin_shift).astype(np.int64)
                 cut = np.searchsorted(bin_of, np.arange(n_shards * BINS + 1))
                 low = (key & np.uint64((1 << low_bits) - 1)).astype(low_type)
@@ -185,8 +191,8 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
             cut = np.concatenate([[0], np.cumsum(m)])
             may = (n - m < prefix_size(n, percent)) & (m > 0)
             tokens = [key[cut[i] : cut[i + 1]].tobytes() if may[i] else None for i in range(len(doc))]
-            cols = [pa.array(doc), pa.array(n), *(pa.array(np.frombuffer(table[d], np.int64)) for d in ("d1", "d2")), pa.array(tokens, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "d1", "d2", "tokens"])
+            cols = [pa.array(doc), *(pa.array(np.frombuffer(table[d], np.int64)) for d in ("t1", "t2")), pa.array(n), *(pa.array(np.frombuffer(table[d], np.int64)) for d in ("d1", "d2")), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t1", "t2", "n", "node", "d2", "tokens"])
         release()
 
     def _renamed(batches):
@@ -194,10 +200,16 @@ def shared_shingles(docs: DataFrame, ws: Workspace, size: int, percent: int) ->
             yield b.rename_columns(["shard", *b.schema.names[1:]])
 
     p = n_shuffle(spark)
-    sent = docs.select("doc_id", "text").mapInArrow(send, asked)
+    sent = docs.select("doc_id", "text", *text_marks(docs)).mapInArrow(send, asked)
     met = sent.repartition(p, "shard").sortWithinPartitions("shard").mapInArrow(settle, answered)
-    back = met.repartition(p, "block").sortWithinPartitions("block").mapInArrow(gather, "doc_id long, n long, d1 long, d2 long, tokens binary")
-    return ws.put(back, "sets")
+    back = met.repartition(p, "block").sortWithinPartitions("block").mapInArrow(gather, "doc_id long, t1 long, t2 long, n long, node long, d2 long, tokens binary")
+    found = ws.put(back, "sets")
+    # Sets are told apart by 128 bits and numbered by the first 64, but where those are equal by chance.
+    clash = found.groupBy("node").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi")).where("lo <> hi").select("node")
+    if not clash.isEmpty():
+        clash = clash.select(F.col("node").alias("_node"))
+        found = ws.put(found.join(clash, F.col("node") == F.col("_node"), "left").withColumn("node", F.when(F.col("_node").isNull(), F.col("node")).otherwise(F.xxhash64("node", "d2"))).drop("_node"), "sets2")
+    return found
 
 
 def candidates(sets_: DataFrame, ws: Workspace, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -270,37 +282,54 @@ def hub_pairs(post: DataFrame, percent: int, seeds: tuple[int, ...], central: bo
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    bits = np.bincount((W.mixed(tokens.view(np.uint64)) % np.uint64(64 * SIG_WORDS)).astype(np.int64), minlength=64 * SIG_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def classes(sets_: DataFrame) -> DataFrame:
+    """``node, n, tokens``: one row for each distinct set that may have a partner."""
+    return sets_.where("tokens is not null").groupBy("node").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens"))
+
+
+#: So many groups of a shingle meet in one task; a shingle of more is split.
+SPLIT = 512
+
+
+def group_pairs(post: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """``ga, gb``: pairs of groups (a group with itself too) that share a prefix shingle, may reach the likeness by sizes and the shingle's places, and are not wholly in one component."""
+    if share > 1:
+        post = post.where(F.pmod(F.xxhash64(F.lit(9), "token"), F.lit(share)) == 0)
+    groups = post.groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("i").alias("i"), F.first("m").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    by = groups.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count(F.lit(1)).alias("_k")).where("_lo <> _hi")
+    parts = F.floor(F.col("_k") / SPLIT) + 1
+    rows = groups.join(by, "token")
+    x = rows.withColumn("part", F.pmod(F.xxhash64("grp"), parts)).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
+    torn = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.grp") <= F.col("y.grp")) & torn & may_reach("x", "y", percent))
+    return met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct()
+
+
 def open_pairs(post: DataFrame, nodes: DataFrame, percent: int, share: int = 1) -> DataFrame:
-    """All pairs, or those of one ``share``-th of the shingles, that may reach the likeness and are in different components yet.
+    """The members of :func:`group_pairs`, of all or one ``share``-th of the shingles, that are in different components yet.
 
     Parity bitmaps of the sets bound the symmetric difference from below: bits
     that differ, and the shingles that only one set has. That leaves little but
     links even between components of near copies.
     """
-    if share > 1:
-        post = post.where(F.pmod(F.xxhash64(F.lit(9), "token"), F.lit(share)) == 0)
-    torn = post.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rows = post.join(torn, "token", "left_semi").join(nodes.select("node", "sig"), "node")
-    rows = rows.select("token", "node", "n", "i", "m", "root", *[F.col("sig")[k].alias(f"s{k}") for k in range(SIG_WORDS)])
-    x, y = rows.alias("x"), rows.alias("y")
+    members = post.where("i = 0").select("grp", "node", "n", "m", "root").join(nodes.select("node", "sig"), "node")
+    members = members.select("grp", "node", "n", "m", "root", *[F.col("sig")[k].alias(f"s{k}") for k in range(SIG_WORDS)])
+    x, y, pairs = members.alias("x"), members.alias("y"), group_pairs(post, percent, share)
     differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SIG_WORDS)), F.lit(0))
     differ = differ + F.col("x.n") - F.col("x.m") + F.col("y.n") - F.col("y.m")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y", percent) & ((100 - percent) * (F.col("x.n") + F.col("y.n")) >= (100 + percent) * differ))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    once = (F.col("ga") < F.col("gb")) | (F.col("x.node") < F.col("y.node"))
+    met = pairs.join(x, F.col("ga") == F.col("x.grp")).join(y, (F.col("gb") == F.col("y.grp")) & once & (F.col("x.root") != F.col("y.root")) & ((100 - percent) * (F.col("x.n") + F.col("y.n")) >= (100 + percent) * differ))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((W.mixed(tokens.view(np.uint64)) % np.uint64(64 * SIG_WORDS)).astype(np.int64), minlength=64 * SIG_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def classes(sets_: DataFrame) -> DataFrame:
-    """``node, n, tokens``: one row for each distinct set that may have a partner."""
-    return sets_.where("tokens is not null").groupBy(F.col("d1").alias("node")).agg(F.min("n").alias("n"), F.first("tokens").alias("tokens"))
-
-
-def join_documents(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``: the size of its set, and the smallest id that links reach."""
+def components(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
+    """For every row of ``docs`` its id (``_id``, LAST for null), its text's marks ``t1, t2``, the size ``n`` of its set, and ``root``, a number of its component (null without words)."""
     ws = Workspace(docs.sparkSession, "jaccard")
     found = shared_shingles(docs, ws, size, percent)
     nodes, post = candidates(found, ws, percent)
@@ -317,14 +346,39 @@ def join_documents(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Data
     links = links.union(some)
     post = rooted(post, ws.put(connected(links, ws, "c2"), "roots2"), "post3")
     more = ws.put(verify(ws.put(open_pairs(post, nodes, percent), "pairs3"), nodes, percent), "links3")
-    ws.drop("post", "post2", "post3", "pairs1", "pairs2", "pairs3")
+    ws.drop("post", "post2", "post3", "pairs1", "pairs2", "pairs3", "nodes", "roots1", "roots2")
     roots = ws.put(connected(links.union(more), ws, "c3"), "roots3")
-    # Classes and then components take the smallest id of their rows.
-    rows = found.select(F.col("doc_id").alias("_id"), "n", F.col("d1").alias("node"))
-    least = rows.groupBy("node").agg(F.min("_id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = ws.put(least, "classes")
-    tops = least.groupBy("root").agg(F.min("id").alias("top"))
-    named = ws.put(least.join(tops, "root").select("node", "top"), "named")
-    own = F.when(F.col("_id") != LAST, F.col("_id"))
-    out = rows.where("n > 0").join(named, "node").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("top") != LAST, F.col("top")).alias("component_id"))
-    return out.unionByName(rows.where("n = 0").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")))
+    ws.drop("links1", "links2", "links3")
+    rows = found.select(F.col("doc_id").alias("_id"), "t1", "t2", "n", "node")
+    named = rows.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return named.drop("node").unionByName(rows.where("n = 0").drop("node").withColumn("root", F.lit(None).cast("long")))
+
+
+def join_documents(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``: the size of its set, and the smallest id that links reach."""
+    rows = components(docs, size=size, percent=percent)
+    tops = rows.where("root is not null").groupBy("root").agg(F.min("_id").alias("top"))
+    out = rows.join(tops, "root", "left").withColumn("top", F.coalesce("top", "_id"))
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("top").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` less those of each component that are not its first, by id (null last) and then text: one row stays.
+
+    Rows are told apart by id and text, so two texts with one id are judged each for itself; of
+    rows equal in both one stays. Rows without words are linked with nothing and all stay. Columns are kept as they are, whatever their names.
+    """
+    ws = Workspace(docs.sparkSession, "first")
+    rows = ws.put(components(docs, size=size, percent=percent).where("root is not null").select("_id", "t1", "t2", "root"), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct("_id", "t1", "t2")).alias("w"))
+    names = [free(c, docs) for c in ("_id", "_t1", "_t2")]
+    judged = rows.join(first, "root").select(*[F.col(c).alias(x) for c, x in zip(("_id", "t1", "t2"), names, strict=True)], (F.struct("_id", "t1", "t2") == F.col("w")).alias("won"))
+    gone = ws.put(judged.where("not won").drop("won").distinct(), "gone")
+    again = ws.put(judged.where("won").groupBy(*names).count().where("count > 1").drop("count"), "again")
+    keyed = docs.withColumns(dict(zip(names, [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), *text_marks(docs)], strict=True)))
+    kept = keyed.join(gone, names, "left_anti")
+    if not again.isEmpty():
+        one = kept.join(again, names, "left_semi").groupBy(*names).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+        kept = kept.join(again, names, "left_anti").drop(*names).unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
