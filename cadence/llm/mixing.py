@@ -8,9 +8,10 @@ of blocks by the divisor method of Sainte-Laguë (the highest quotients
 same way. Each shard then takes a seeded run of its blocks, twice round at most.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source
-is a source of its own, last in order; rows that repeat are rows of their own;
-an empty table gives an empty result; other columns are carried along unless
-their names clash with the result's, in which case the result's win.
+is a source of its own, last in order; rows that repeat, or share an id or have none, are rows of their own, and
+those equal in id and text may stand for each other; texts of any length are whole; ties between quotients go to the lower source or shard;
+an empty table gives an empty result; other columns are ignored by :func:`mix` and carried by :func:`mixed_documents`, whatever their names.
+All sources, a row for each, meet in one window, and the shards of a source in bundles.
 """
 
 from __future__ import annotations
@@ -79,31 +80,20 @@ def sainte_lague(parts: DataFrame, group: list[str], weight: str, seats: str, ti
     return seat.groupBy(*keep).agg((F.first("_low") + won).cast("long").alias(out))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken``.
+#: So many shards at most are ranked together; larger sources deal their blocks to bundles of shards first.
+BUNDLE = 1024
 
-    Texts are read once and never shuffled: a table of sizes is written to the
-    shared folder first. Sources and shards are joined to it as small tables;
-    Spark broadcasts them only below its own size limit, else it splits a hot
-    source's rows with a skewed join.
-    """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "mix")
-    sizes = ws.put(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = ws.put(source_targets(sizes, weights, share, cap).withColumn("_shards", F.ceil(F.col("source_size") / F.lit(float(shard_words))).cast("long")), "targets")
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = (
-        sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]), "inner")
-        .drop(targets["source"])
-        .withColumn("_place", place)
-        .withColumn("shard", F.when(F.col("_shards") > 1, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("_shards"))).otherwise(F.lit(0).cast("long")))
-    )
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").cast("long").alias("shard_size"))
-    n_blocks = F.floor(F.col("target") / block_words + 0.5).cast("long")
+
+def _quotas(sizes: DataFrame, targets: DataFrame, ws: Workspace, block_words: int, seed: int) -> DataFrame:
+    """Per source and shard (``_s, _h``) its size, whole turns, the words of the turn that is begun, and where that starts."""
+    shards = sizes.groupBy("source", "shard").agg(F.sum("size").cast("long").alias("shard_size")).withColumn("bundle", F.floor(F.col("shard") / BUNDLE))
     quota = targets.withColumn("_all", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words + 0.5).cast("long"))
-    quota = sainte_lague(quota, [], "target", "_all", "source", "_blocks").withColumn("_ideal_blocks", n_blocks)
-    per = shards.join(quota.select(F.col("source").alias("_s"), "_blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    per = sainte_lague(per, ["source"], "shard_size", "_blocks", "shard", "_quota")
+    quota = sainte_lague(quota, [], "target", "_all", "source", "_blocks")
+    bundles = shards.groupBy("source", "bundle").agg(F.sum("shard_size").cast("long").alias("bundle_size"))
+    bundles = bundles.join(quota.select(F.col("source").alias("_s"), "_blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    bundles = sainte_lague(bundles, ["source"], "bundle_size", "_blocks", "bundle", "_held").select(F.col("source").alias("_s"), F.col("bundle").alias("_b"), "_held")
+    per = shards.join(bundles, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bundle") == F.col("_b"))).drop("_s", "_b")
+    per = sainte_lague(per, ["source", "bundle"], "shard_size", "_held", "shard", "_quota")
     size, words = F.col("shard_size"), F.least(F.col("_quota") * block_words, 2 * F.col("shard_size"))
     per = (
         per.withColumn("_words", words)
@@ -111,9 +101,23 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
         .withColumn("_more", F.col("_words") - F.col("_turns") * size)
         .withColumn("_from", F.when(size > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.ceil(size / block_words).cast("long")) * block_words).otherwise(F.lit(0).cast("long")))
     )
-    per = ws.put(per.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "_turns", "_more", "_from"), "shards")
+    return ws.put(per.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "_turns", "_more", "_from"), "shards")
+
+
+def _laid(docs: DataFrame, carry: bool, weights: tuple[int, ...], share: float, cap: float, block_words: int, shard_words: int, seed: int) -> DataFrame:
+    spark = docs.sparkSession
+    ws = Workspace(spark, "mix")
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_place"), F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("_deal"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if carry else []))
+    sizes = ws.put(base.drop("_doc"), "sizes")
+    targets = ws.put(source_targets(sizes, weights, share, cap).withColumn("_shards", F.ceil(F.col("source_size") / F.lit(float(shard_words))).cast("long")), "targets")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"]), "inner").drop(targets["source"])
+        return rows.withColumn("shard", F.when(F.col("_shards") > 1, F.pmod("_deal", F.col("_shards"))).otherwise(F.lit(0).cast("long")))
+
+    per = _quotas(dealt(sizes), targets, ws, block_words, seed)
     stream = Window.partitionBy("source", "shard").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = dealt.withColumn("_end", F.sum("size").over(stream)).withColumn("_start", F.col("_end") - F.col("size"))
+    laid = dealt(base if carry else sizes).withColumn("_end", F.sum("size").over(stream)).withColumn("_start", F.col("_end") - F.col("size"))
     laid = laid.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left")
 
     def overlap(low: Column, high: Column) -> Column:
@@ -121,5 +125,23 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
 
     stop = F.col("_from") + F.col("_more")
     part = overlap(F.col("_from"), F.least(stop, F.col("shard_size"))) + overlap(F.lit(0).cast("long"), stop - F.col("shard_size"))
-    taken = F.coalesce(F.col("_turns") * F.col("size") + part, F.lit(0).cast("long")).cast("long")
-    return laid.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), taken.alias("taken"))
+    return laid.withColumn("taken", F.coalesce(F.col("_turns") * F.col("size") + part, F.lit(0).cast("long")).cast("long"))
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken``.
+
+    Texts are read once and never shuffled: a table of sizes is written to the
+    shared folder first. Sources and shards are joined to it as small tables;
+    Spark broadcasts them only below its own size limit, else it splits a hot
+    source's rows with a skewed join.
+    """
+    laid = _laid(docs, False, weights, share, cap, block_words, shard_words, seed)
+    return laid.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "taken")
+
+
+def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: its words taken, rounded to whole copies. All columns are kept, whatever their names and whatever the ids."""
+    laid = _laid(docs, True, weights, share, cap, block_words, shard_words, seed)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0).cast("long")))).otherwise(F.lit(0)).cast("int")
+    return laid.where("taken > 0").select("_doc", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_doc.*")
