@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines match when they are equal or one edit of one character apart. A line
+Two lines match when they are equal or within ``max_edits`` edits of one character (one, by default). A line
 goes when an earlier line, by document id and then line number, matches it,
 whether or not that one goes too; so the result does not depend on any order of
 work. Lines shorter than ``min_chars`` match equal ones only, from ``equal_chars`` on; blank lines never match.
@@ -10,14 +10,15 @@ text. For near lines, all variants with one character deleted are emitted as
 hashed keys with the place of the deletion, and the line itself as one more. Lines with an equal key and an
 equal place differ in that character only; a line equal to another's variant
 lacks one character. In each bucket only the earliest is linked, so a bucket of
-any size makes as many links as it has lines. Links are verified on the lines'
-texts. Variants are emitted for those lines only that share one half with a line
-of fitting length, since one edit leaves a half untouched; a bitmap of fixed
-size tells which, and its false hits only cost variants.
+any size makes as many links as it has lines. Larger bounds delete recursively (:func:`far_links`), at a cost that
+grows with the line's length to the power of the bound. Links are verified on the lines'
+texts. Variants are emitted for those lines only that share a piece with a line
+of fitting length, since edits leave one of ``max_edits + 1`` pieces untouched; a bitmap
+tells which, sized from their number up to 2**30 bits, and its false hits only cost variants.
 
 Defined cases: null text has no lines and stays null; a null id counts as the last;
-rows that repeat, with the same id, count as one and lose the same lines; an empty table gives an empty
-result; other columns are carried along.
+rows that repeat, with the same id, count as one and lose the same lines; texts and lines of any length are whole; an empty table gives an empty
+result; other columns are carried along, whatever their names, but for the two that are added.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
-from cadence.llm.common import Workspace, n_shuffle, release
+from cadence.llm.common import Workspace, free, n_shuffle, release
 
 LAST = 2**63 - 1
-#: The bitmap's size in bits, as a power of two.
-BITS = 26
+#: Bounds of the bitmap's size in bits, as powers of two.
+BITS = (20, 30)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -103,17 +104,31 @@ def sums(found: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return total - np.repeat(total[at], size + 1), at, size
 
 
-def half_keys(found: Lines, which: np.ndarray) -> np.ndarray:
-    """Four keys for each line: its halves as a line of its length, and as one that lacks a character of the next length."""
-    run, at, n = sums(found, which)
-    back = powers(_INVERSE, int(n.max()) + 2 if len(n) else 1)
-
-    def part(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (run[at + high] - run[at + low]) * back[low]
+def piece_keys(found: Lines, which: np.ndarray, max_edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and lines (as numbers into ``which``): lines within ``max_edits`` edits share a key.
 
-    h, g, zero = n // 2, (n + 1) // 2, np.zeros_like(n)
-    keys = [part(zero, h), part(h, n), part(zero, g), part(np.maximum(g - 1, 0), n)]
-    return np.stack([W.mixed(k + W.mixed((c * 2 + s).astype(np.uint64) + np.uint64(7))) for k, c, s in zip(keys, (n, n, n + 1, n + 1), (0, 1, 0, 1), strict=True)], 1)
+    The longer of two such lines, cut into ``max_edits + 1`` pieces, has one that no edit touches, and the
+    shorter holds it, moved by at most ``max_edits`` places. So a line gives its own pieces, and
+    for each longer length in reach what may be a piece there. With one edit these are halves.
+    """
+    run, at, n = sums(found, which)
+    back = powers(_INVERSE, int(n.max()) + max_edits + 2 if len(n) else 1)
+    keys, lines = [], []
+    for more in range(max_edits + 1):
+        whole = n + more
+        for j in range(max_edits + 1):
+            low, high = whole * j // (max_edits + 1), whole * (j + 1) // (max_edits + 1)
+            # With one edit and one character more, a first half stays in place and a second one moves by one.
+            shifts = [0] if not more and max_edits == 1 else [-j] if max_edits == 1 else range(-max_edits, max_edits + 1)
+            for shift in shifts:
+                ok = np.flatnonzero((low + shift >= 0) & (high + shift <= n) & (high > low))
+                a, b = (low + shift)[ok], (high + shift)[ok]
+                part = (run[at[ok] + b] - run[at[ok] + a]) * back[a]
+                keys.append(W.mixed(part + W.mixed((whole[ok] * (max_edits + 1) + j).astype(np.uint64) + np.uint64(7))))
+                lines.append(ok)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(lines)
 
 
 def variants(found: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,8 +199,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 _DROPS = "doc binary, line binary, lo binary"
 
 
-def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int, equal_chars: int) -> DataFrame:
-    """Packed drops of equal lines from ``equal_chars``, and the numbers (``refs``) of lines from ``min_chars`` that share a half with another."""
+def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int, equal_chars: int, max_edits: int) -> DataFrame:
+    """Packed drops of equal lines from ``equal_chars``, and the numbers (``refs``) of lines from ``min_chars`` that share a piece with another (see :func:`piece_keys`)."""
     n = shards_of(docs.sparkSession)
     schema = "shard int, lo binary, hi binary, doc binary, line binary, gone_doc binary, gone_line binary, gone_lo binary, key binary, ref binary"
 
@@ -199,10 +214,11 @@ def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int, equal_chars: int
             out = [[*r, None, None, None, None, None] for r in _by_shard(found.lo[keep], n, found.lo[keep], found.hi[keep], found.doc[keep], found.line[keep])]
             if len(gone):
                 out.append([no % n, None, None, None, None, found.doc[gone].tobytes(), found.line[gone].tobytes(), found.lo[gone].tobytes(), None, None])
-            keep = keep[found.end[keep] - found.begin[keep] >= min_chars]
-            keys = half_keys(found, keep).ravel()
-            refs = np.repeat((found.lo[keep] >> np.uint64(32)).astype(np.uint32), 4)
-            out += [[s, *[None] * 7, k, r] for s, k, r in _by_shard(keys, n, keys, refs)]
+            if max_edits:
+                keep = keep[found.end[keep] - found.begin[keep] >= min_chars]
+                keys, line = piece_keys(found, keep, max_edits)
+                refs = (found.lo[keep] >> np.uint64(32)).astype(np.uint32)[line]
+                out += [[s, *[None] * 7, k, r] for s, k, r in _by_shard(keys, n, keys, refs)]
             yield _table(out, schema)
         release()
 
@@ -226,8 +242,14 @@ def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int, equal_chars: int
     return ws.put(dealt.mapInArrow(settle, _DROPS + ", refs binary"), "equal")
 
 
-def bitmap(equal: DataFrame, size: int = BITS) -> np.ndarray:
-    """Which line numbers may share a half: 2 ** size bits, put together slice by slice, whatever the input."""
+def bitmap_bits(equal: DataFrame) -> int:
+    """Room for eight times the lines that share a piece, so that few others are taken for one, within BITS."""
+    n = equal.agg(F.sum(F.octet_length("refs") / 4)).first()[0] or 0
+    return min(BITS[1], max(BITS[0], int(8 * n).bit_length()))
+
+
+def bitmap(equal: DataFrame, size: int) -> np.ndarray:
+    """Which line numbers may share a piece: 2 ** size bits, put together slice by slice, whatever the input."""
     slices = 64
     width = (1 << size) // slices
 
@@ -257,8 +279,85 @@ def bitmap(equal: DataFrame, size: int = BITS) -> np.ndarray:
 _LINKS = "doc long, line int, lo long, to_doc long, to_line int"
 
 
-def near_links(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
-    """For lines one edit from an earlier line, that line; not yet verified."""
+def deletions(points: list[int], max_edits: int) -> dict[tuple[tuple[int, ...], tuple[int, ...]], None]:
+    """All variants with up to ``max_edits`` characters deleted, by recursion: what is left, and where in it characters are missing."""
+    out = {}
+
+    def go(rest: tuple[int, ...], gaps: tuple[int, ...], start: int, left: int) -> None:
+        out[rest, gaps] = None
+        if left:
+            for p in range(start, len(rest)):
+                go(rest[:p] + rest[p + 1 :], (*gaps, p), p, left - 1)
+
+    go(tuple(points), (), 0, max_edits)
+    return out
+
+
+def far_links(docs: DataFrame, bits: np.ndarray, size: int, min_chars: int, max_edits: int) -> DataFrame:
+    """:func:`near_links` for any bound.
+
+    Two lines are within the bound where they have variants with the same rest, of which the gaps they share
+    (there one character replaces another) and those only one has add up to no more. So each variant is keyed by its rest
+    and every choice of its gaps as the shared ones. All lines of a bucket whose gaps together, less
+    the shared, are within the bound match; the earliest of them, for each number of gaps, is linked.
+    """
+    from itertools import combinations
+
+    n = shards_of(docs.sparkSession)
+    schema = "shard int, key binary, gaps binary, shared binary, doc binary, line binary, lo binary"
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for ids, texts in _rows(batches):
+            found = find(ids, texts, min_chars)
+            at = (found.lo >> np.uint64(64 - size)).astype(np.int64)
+            may = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            order, first = earliest(found.lo[may], found.hi[may], found.doc[may], found.line[may])
+            for x in may[order[first]].tolist():
+                keys, gaps, shared = [], [], []
+                for rest, missing in deletions(found.points[found.begin[x] : found.end[x]].tolist(), max_edits):
+                    raw = np.array(rest, np.uint32).tobytes()
+                    for c in range(len(missing) + 1):
+                        for common in dict.fromkeys(combinations(missing, c)):
+                            keys.append(xxhash.xxh3_64_intdigest(raw + b"|" + np.array(common, np.uint32).tobytes() + bytes([c])))
+                            gaps.append(len(missing))
+                            shared.append(c)
+                key = np.array(keys, np.uint64)
+                k = len(key)
+                yield _table(list(_by_shard(key, n, key, np.array(gaps, np.int8), np.array(shared, np.int8), np.full(k, found.doc[x]), np.full(k, found.line[x], np.int32), np.full(k, found.lo[x]))), schema)
+        release()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            cols = [_meet(rows, c, k) for c, k in (("key", np.uint64), ("gaps", np.int8), ("shared", np.int8), ("doc", np.int64), ("line", np.int32), ("lo", np.uint64))]
+            order = np.lexsort((cols[4], cols[3], cols[1], cols[0]))
+            key, gaps, shared, doc, line, lo = (c[order] for c in cols)
+            cut = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else [], len(key)).astype(np.int64)
+            out = []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                heads = {}
+                for k in range(s, e):
+                    heads.setdefault(int(gaps[k]), k)
+                for k in range(s, e):
+                    room = max_edits + int(shared[k]) - int(gaps[k])
+                    near = [h for g, h in heads.items() if g <= room and lo[h] != lo[k] and (doc[h], line[h]) < (doc[k], line[k])]
+                    if near:
+                        h = min(near, key=lambda h: (doc[h], line[h]))
+                        out.append((int(doc[k]), int(line[k]), int(lo[k : k + 1].view(np.int64)[0]), int(doc[h]), int(line[h])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*set(out), strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=[f.split()[0] for f in _LINKS.split(", ")])
+
+    dealt = docs.select("doc_id", "text").mapInArrow(send, schema).repartition(n_shuffle(docs.sparkSession), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(link, _LINKS).distinct()
+
+
+def near_links(docs: DataFrame, bits: np.ndarray, size: int, min_chars: int, max_edits: int = 1) -> DataFrame:
+    """For lines within ``max_edits`` edits from an earlier line, such a line; not yet verified."""
+    if max_edits > 1:
+        return far_links(docs, bits, size, min_chars, max_edits)
     n = shards_of(docs.sparkSession)
     schema = "shard int, key binary, place binary, doc binary, line binary, lo binary"
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -267,7 +366,7 @@ def near_links(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
         bits = shared.value
         for ids, texts in _rows(batches):
             found = find(ids, texts, min_chars)
-            at = (found.lo >> np.uint64(64 - BITS)).astype(np.int64)
+            at = (found.lo >> np.uint64(64 - size)).astype(np.int64)
             may = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             order, first = earliest(found.lo[may], found.hi[may], found.doc[may], found.line[may])
             may = may[order[first]]
@@ -312,18 +411,25 @@ def near_links(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
     return dealt.mapInArrow(link, _LINKS).distinct()
 
 
-def within_one(a: str, b: str) -> bool:
-    """Whether the edit distance is at most 1."""
-    if abs(len(a) - len(b)) > 1:
+def within(a: str, b: str, bound: int) -> bool:
+    """Whether the edit distance is at most ``bound``."""
+    if abs(len(a) - len(b)) > bound:
         return False
-    if len(a) > len(b):
-        a, b = b, a
-    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
-
-
-def verified(docs: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
-    """``doc, line, lo`` of the links whose lines' texts are within one edit."""
+    if bound == 1:
+        if len(a) > len(b):
+            a, b = b, a
+        i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+        return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1)
+    return row[-1] <= bound
+
+
+def verified(docs: DataFrame, links: DataFrame, ws: Workspace, max_edits: int = 1) -> DataFrame:
+    """``doc, line, lo`` of the links whose lines' texts are within ``max_edits`` edits."""
     links = ws.put(links, "links")
     need = links.select("doc", "line").union(links.select("to_doc", "to_line")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
     need = ws.put(need, "needed")
@@ -343,21 +449,21 @@ def verified(docs: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = pa.array([within_one(x, y) for x, y in zip(b.column("said").to_pylist(), b.column("to_said").to_pylist(), strict=True)], pa.bool_())
+            ok = pa.array([within(x, y, max_edits) for x, y in zip(b.column("said").to_pylist(), b.column("to_said").to_pylist(), strict=True)], pa.bool_())
             yield b.select(["doc", "line", "lo"]).filter(ok)
 
     return both.select("doc", "line", "lo", "said", "to_said").mapInArrow(check, "doc long, line int, lo long").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equal_chars: int | None = None) -> DataFrame:
-    """``docs`` with ``text`` rid of repeated lines, and ``n_lines, n_removed`` (lines with or without words).
+def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equal_chars: int = 1, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` rid of repeated lines, and two columns ``counts``: its lines, with or without words, and those removed.
 
-    ``max_edits`` is 0 (equal lines only) or 1. ``equal_chars``, by default ``min_chars``, is the least length of lines that match equal ones.
+    Lines match equal ones from ``equal_chars`` on, and those within ``max_edits`` edits from ``min_chars`` on; 0 is equal lines only. Input columns named as ``counts`` give way.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
+    if max_edits < 0:
+        raise ValueError("max_edits must not be negative")
     ws = Workspace(docs.sparkSession, "lines")
-    equal = equal_lines(docs, ws, min_chars, min_chars if equal_chars is None else min(equal_chars, min_chars))
+    equal = equal_lines(docs, ws, min_chars, min(equal_chars, min_chars), max_edits)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,18 +472,22 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equ
 
     drops = equal.select("doc", "line", "lo").mapInArrow(unpack, "doc long, line int, lo long")
     if max_edits:
-        drops = drops.unionByName(verified(docs, near_links(docs, bitmap(equal), min_chars), ws))
-    drops = ws.put(drops.groupBy("doc").agg(F.collect_set(F.struct("line", "lo")).alias("_drops")), "drops")
+        size = bitmap_bits(equal)
+        drops = drops.unionByName(verified(docs, near_links(docs, bitmap(equal, size), size, min_chars, max_edits), ws, max_edits))
+    at, gone_lines = free("_doc", docs), free("_drops", docs)
+    drops = ws.put(drops.groupBy("doc").agg(F.collect_set(F.struct("line", "lo")).alias("drops")), "drops")
+    ws.drop("equal", "links", "needed", "said")
+    drops = drops.select(F.col("doc").alias(at), F.col("drops").alias(gone_lines))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest]).join(drops.withColumnRenamed("doc", "_doc"), key == F.col("_doc"), "left").drop("_doc")
+    rest = [c for c in docs.columns if c not in counts]
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest]).join(drops, key == F.col(at), "left").drop(at)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in rest) + ", n_lines int, n_removed int"
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in rest), *(f"`{c}` int" for c in counts)])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lines, gone = b.column("text").to_pylist(), [], []
-            for i, (text, drop) in enumerate(zip(texts, b.column("_drops").to_pylist(), strict=True)):
+            for i, (text, drop) in enumerate(zip(texts, b.column(gone_lines).to_pylist(), strict=True)):
                 parts = text.split("\n") if text is not None else []
                 out = set()
                 for d in drop or ():
@@ -388,7 +498,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equ
                 if out:
                     texts[i] = "\n".join(p for k, p in enumerate(parts) if k not in out)
             cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int32()), pa.array(gone, pa.int32())], names=[*rest, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int32()), pa.array(gone, pa.int32())], names=[*rest, *counts])
 
     return rows.mapInArrow(rebuild, schema)
 

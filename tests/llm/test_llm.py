@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadence.llm import bpe, fingerprints, hmm, html, jaccard, kneser, lines, mixing, passages, quality
+from cadence.llm import words as W
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD = [(9_000_001, None), (9_000_002, ""), (9_000_003, "a b"), (9_000_004, "A  b"), (9_000_005, " \t\n"), (9_000_006, "x" * 5000), (None, "no id here at all, really none")]
@@ -148,6 +149,65 @@ def test_quality_base_and_accuracy(spark, small):
     assert kept.schema == docs.schema and {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if r["kept"]}
 
 
+def test_field_by_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    k = quality.N_FEATURES
+    docs = [(rng.normal(size=(n, k)), rng.integers(0, 2, n), float(rng.random())) for n in (1, 4, 7, 3, 2)]
+    theta = rng.normal(size=k + 6)
+
+    def value(t):
+        out, (w, pair, start) = 0.0, (t[:k], t[k:-2].reshape(2, 2), t[-2:])
+        worth = lambda x, y: start[y[0]] + sum(pair[a, b] for a, b in zip(y, y[1:], strict=False)) + sum(float(r @ w) for r, c in zip(x, y, strict=True) if c)
+        for x, y, weight in docs:
+            every = [worth(x, z) for z in itertools.product((0, 1), repeat=len(x))]
+            out += weight * (worth(x, y.tolist()) - math.log(sum(map(math.exp, every))))
+            field = quality.Field(w, pair, start)
+            best = quality.viterbi(field, (x @ w).tolist())
+            assert worth(x, best) == pytest.approx(max(every))
+        return out
+
+    f, g = quality.likelihood(docs, theta, cells=8)
+    assert f == pytest.approx(value(theta))
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        assert g[i] == pytest.approx((value(theta + step) - value(theta - step)) / 2e-5, abs=1e-5)
+    top = quality.ascend(lambda ts: [quality.likelihood(docs, t) for t in ts], steps=200)
+    f, g = quality.likelihood(docs, top)
+    assert np.abs(g - 1e-3 * top).max() < 1e-3
+
+
+def test_labels_change_inside_documents(spark, small):
+    """Menus inside prose are found line by line, and lines of both kinds of documents take the label of most."""
+    rng = random.Random(12)
+    prose = lambda: " ".join(rng.choice(["the", "old", "river", "ran", "slowly", "past", "town"]) for _ in range(14)) + "."
+    menu = lambda: " | ".join(rng.choice(["HOME", "LOGIN", "CART", "HELP"]) for _ in range(5)) + " |"
+    rows, labels, quoted = [], [], [prose() for _ in range(12)]
+    for d in range(240):
+        good = d % 2
+        own = [((rng.choice(quoted) if rng.random() < 0.5 else prose()) if good else menu()) for _ in range(rng.randint(4, 9))]
+        if d % 3:
+            own.insert(rng.randrange(len(own)), "ALL RIGHTS RESERVED | 2020 |" if good else rng.choice(quoted))
+        rows.append((d, "\n".join(own)))
+        labels.append((d, good, 0))
+    rows += [(400 + d, "ALL RIGHTS RESERVED | 2020 |\n" + menu()) for d in range(160)]
+    labels += [(400 + d, 0, 0) for d in range(160)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    taught = quality.line_labels(docs, labels, 1000, 11).collect()
+    assert any(len(set(r["y"])) == 2 for r in taught)
+    field = quality.train(docs, labels)
+    mixed = [prose(), prose(), menu(), menu(), menu(), prose(), "ALL RIGHTS RESERVED | 2020 |", prose()]
+    scores = [sum(a * b for a, b in zip(f, field.w, strict=True)) for f in quality.features("\n".join(mixed))[0]]
+    assert quality.viterbi(field, scores) == [1, 1, 0, 0, 0, 1, 0, 1]
+    again = quality.train(docs.repartition(7), labels)
+    assert abs(field.w - again.w).max() < 1e-6
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = table(spark, ODD)
@@ -440,12 +500,16 @@ def test_kneser_without_trusted(spark):
     assert len(empty) == len(ODD) and all(r["kept"] == (r["n_words"] > 0) for r in empty)
 
 
-def brute_lines(rows, least=20):
+def brute_lines(rows, least=20, equal=1):
     gone, seen, cut = set(), set(), set()
-    variants = set()
+    variants, short = set(), set()
     for d, t in sorted(((d, t) for d, t in rows if d is not None)):
         for k, line in enumerate((t or "").split("\n")):
             line = line.strip(" \t\n\x0b\x0c\r")
+            if equal <= len(line) < least:
+                if line in short:
+                    gone.add((d, k))
+                short.add(line)
             if len(line) < least:
                 continue
             own = [(line[:p] + line[p + 1 :], p) for p in range(len(line))]
@@ -473,6 +537,40 @@ def test_lines_brute(spark):
         assert got[d]["text"] == want and got[d]["n_removed"] == sum(e == d for e, _ in gone)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i, *[0] * len(b)]
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("bound", [0, 1, 2, 3])
+def test_lines_within_any_bound(spark, bound):
+    rng = random.Random(bound)
+    base = ["".join(rng.choice("ab ") for _ in range(rng.randint(6, 11))) for _ in range(9)]
+
+    def change(x):
+        for _ in range(rng.randint(0, bound + 2)):
+            p = rng.randrange(len(x) + 1)
+            x = x[:p] + rng.choice(["", "a", "b", "c"]) + x[p + rng.randint(0, 1) :]
+        return x
+
+    rows = [(i, "\n".join(change(rng.choice(base)) for _ in range(rng.randint(0, 3)))) for i in range(60)]
+    gone, seen = set(), []
+    for d, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            line = line.strip(" ")
+            if len(line) >= 5 and any(distance(line, e) <= bound for e in seen):
+                gone.add((d, k))
+            if len(line) >= 5:
+                seen.append(line)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, rows), min_chars=5, max_edits=bound, equal_chars=5).collect()}
+    assert got == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
+    assert all(lines.within(a, b, bound) == (distance(a, b) <= bound) for a in base for b in map(change, base))
+
+
 def test_short_equal_lines(spark, tmp_path):
     """Equal lines of any length go; near ones only from 20 characters."""
     from cadence.llm import entry
@@ -509,6 +607,85 @@ def test_empty_tables(spark, name):
     assert run[name]().count() == 0
 
 
+#: A text over the size at which batches of texts are cut.
+LONG = " ".join(f"w{k * 7919 % 100003}" + (".\n" if k % 12 == 0 else "") for k in range(560_000))
+
+
+def odd_documents(spark, docs):
+    """Null and shared ids, equal rows, null and long texts, and columns whose names the stages use themselves."""
+    own = [(r["doc_id"], r["text"], r["source"]) for r in docs.limit(60).collect()]
+    prose = " ".join(f"Quiet water number {k} went past the old mill." for k in range(30))
+    other = " ".join(f"Another tale {k * k} was told beside the winter fire." for k in range(30))
+    own += [(None, prose, "a"), (None, prose, "a"), (None, other, None), (7, other + " And more of it.", "b"), (7, prose.upper(), "b"), (8, None, "b"), (9, "", None), (None, None, None), (10, LONG, "a"), (own[0][0], own[0][1], own[0][2])]
+    df = spark.createDataFrame(own, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text"), "copies": F.lit("x")})
+    for c in ("_copies", "_copy", "_doc", "_drops", "n_lines", "n_removed", "_id", "_t1", "_t2", "size", "taken", "shard", "root", "_place", "won"):
+        df = df.withColumn(c, F.lit(c))
+    return df.repartition(3)
+
+
+def test_pipeline_stages_on_odd_rows(spark, small, docs):
+    import corpus_pipeline as p
+
+    df = odd_documents(spark, docs).cache()
+    rows = df.collect()
+    text = lambda rs: Counter((r["doc_id"], r["text"]) for r in rs)
+    kept = p.quality_rules(spark, df, small)
+    assert kept.columns == df.columns and (None, None) not in text(kept.collect())
+    less = p.line_dedup(spark, df, small)
+    out = less.collect()
+    assert less.columns == df.columns and all(r["n_lines"] == "n_lines" and r["_doc"] == "_doc" for r in out)
+    assert sum(r["text"] is None for r in out) == sum(r["text"] is None for r in rows)
+    first = p.ngram_jaccard(spark, df, small)
+    out = text(first.collect())
+    assert first.columns == df.columns
+    # By brute force over rows: equal rows count as one, and one of each component stays.
+    named = {k: (f"{i:05d}", k[1]) for i, k in enumerate(sorted(text(rows), key=lambda k: (math.inf if k[0] is None else k[0], str(k[1]))))}
+    root = {d: r for d, (_, r) in brute_components(list(named.values())).items()}
+    for k, (d, t) in named.items():
+        if WORD.search(t or ""):
+            group = [x for x in named if root[named[x][0]] == root[d]]
+            ids = {x[0] for x in group}
+            least = min(math.inf if x is None else x for x in ids)
+            assert sum(out[x] for x in group) == 1
+            assert next(math.inf if x[0] is None else x[0] for x in group if out[x]) == least
+        else:
+            assert out[k] == text(rows)[k]
+    mixed = p.source_mix(spark, df, small)
+    out = text(mixed.collect())
+    assert mixed.columns == df.columns and all(out[k] <= 2 * n for k, n in text(rows).items()) and set(out) <= set(text(rows))
+    assert not any(k[1] is None or not WORD.search(k[1]) for k in out)
+    words = lambda c, s: sum(n * len(WORD.findall(t or "")) for (d, t), n in c.items() if s(d))
+    total = sum(r["taken"] for r in mixing.mix(df).collect())
+    assert abs(words(out, lambda d: True) - total) < 0.6 * max(len(WORD.findall(r["text"] or "")) for r in rows) + 50_000
+    none = df.where("false")
+    for name, stage in p.STAGES:
+        assert stage(spark, none, small).count() == 0, name
+    ids = Counter((r["doc_id"], r["n_tokens"]) for r in p.sentencepiece(spark, df.where("length(text) < 5000 or text is null"), small).collect())
+    t = bpe.table(bpe.model_path())
+    assert ids == Counter((r["doc_id"], len(t.lib.encode(r["text"] or "")) + 1) for r in rows if len(r["text"] or "") < 5000)
+
+
+@pytest.mark.parametrize("name", ["jaccard", "fingerprints", "bpe", "quality", "hmm", "mix", "lines", "passages", "kneser"])
+def test_long_texts(spark, docs, labels, name):
+    """Texts beyond the size at which batches are cut are read whole, beside others."""
+    assert len(LONG) > W.CHUNK_BYTES
+    rows = [(1, LONG), (2, "a short one"), (3, LONG + " and an end"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    n = len(WORD.findall(LONG))
+    run = {
+        "jaccard": lambda: [(r["doc_id"], r["component_id"]) for r in jaccard.join_documents(df).collect()] and sorted(r["component_id"] for r in jaccard.join_documents(df).collect()) == [1, 1, 2, 4],
+        "fingerprints": lambda: {r["doc_id"]: r["n_chars"] for r in fingerprints.fingerprints_with_edits(df).collect()} == {d: len(t or "") for d, t in rows},
+        "bpe": lambda: {r["doc_id"]: r["decoded_sha256"] for r in bpe.encode_frame(df.where("doc_id <> 3"), bpe.model_path(), with_ids=False).collect()}[1] == hashlib.sha256(bpe.table(bpe.model_path()).lib.decode(bpe.table(bpe.model_path()).lib.encode(LONG)).encode()).hexdigest(),
+        "quality": lambda: {r["doc_id"]: r["n_words"] for r in quality.assess(df, quality.train(docs, labels)).collect()} == {1: n, 2: 3, 3: n + 3, 4: 0},
+        "hmm": lambda: {r["doc_id"]: r["n_tokens"] for r in hmm.score(df.where("doc_id <> 3"), rounds=1).collect()} == {1: n + 1, 2: 4, 4: 1},
+        "mix": lambda: {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == {1: n, 2: 3, 3: n + 3, 4: 0},
+        "lines": lambda: {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}[3].endswith("and an end"),
+        "passages": lambda: [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in passages.find_passages(df).collect()] == [(3, 1, 0, n)],
+        "kneser": lambda: {r["doc_id"]: r["n_words"] for r in kneser.perplexities(df, df.select("doc_id")).collect()} == {1: n, 2: 3, 3: n + 3, 4: 0},
+    }
+    assert run[name]()
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
