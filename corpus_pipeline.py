@@ -1,4 +1,9 @@
-"""Prepares the documents table in five stages, each written as Parquet and read again as the next one's documents."""
+"""Prepares the documents table in five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage decides on rows, not on ids: null ids are rows like others, rows may share an id or be equal. An
+empty table gives an empty one, texts of any length are whole, and columns beyond those of documents are carried along by
+all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm import bpe, jaccard, lines, mixing, quality
-from cadence.llm.common import WORD_BYTES, Workspace, read_table
+from cadence.llm.common import WORD_BYTES, Workspace, free, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line labels keep."""
+    """Rows that the base rules and the line labels keep. A null or empty text fails; equal rows fare alike."""
     return quality.keep(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; those that lose all their words go."""
-    columns = docs.columns
-    kept = lines.dedup_lines(docs)
-    kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD_BYTES))
-    if "n_chars" in columns:
+    """Rows without lines that an earlier row has; those that lose all their words go. Equal rows with one id lose the same lines; a null id counts as the last; a null text stays null."""
+    counts = (free("_lines", docs), free("_removed", docs))
+    kept = lines.dedup_lines(docs, counts=counts)
+    whole = F.col(counts[1]) == 0
+    kept = kept.where(whole | F.col("text").rlike(WORD_BYTES))
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return kept.select(*[f"`{c}`" for c in columns])
+        kept = kept.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that with the smallest id."""
-    found = jaccard.join_documents(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    gone = Workspace(spark, "pipeline").put(gone, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component of near duplicates: the first by id (null last) and text. Rows without words all stay."""
+    return jaccard.first_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: the words it takes, rounded to whole copies (none, one or two)."""
-    mixed = mixing.mix(docs).where("size > 0")
-    copies = mixed.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_copies")).where("_copies > 0")
-    copies = Workspace(spark, "pipeline").put(copies, "copies")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    """Rows as often as the mix takes them: the words it takes of a row, rounded to whole copies (none, one or two). Rows without words go; a null source is one of its own."""
+    return mixing.mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of them and of the decoded text."""
+    """Token ids of each row, with digests of them and of the decoded text; a null text is an empty one."""
     return bpe.encode_frame(docs, bpe.model_path(), with_ids=True).drop("decoded")
 
 
