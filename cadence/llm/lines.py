@@ -38,7 +38,7 @@ from cadence.llm.common import Workspace, free, n_shuffle, release
 
 LAST = 2**63 - 1
 #: Bounds of the bitmap's size in bits, as powers of two.
-BITS = (20, 30)
+BITS = (26, 30)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -243,9 +243,9 @@ def equal_lines(docs: DataFrame, ws: Workspace, min_chars: int, equal_chars: int
 
 
 def bitmap_bits(equal: DataFrame) -> int:
-    """Room for eight times the lines that share a piece, so that few others are taken for one, within BITS."""
+    """Room for 64 times the lines that share a piece, so that few others are taken for one, within BITS. A false hit costs some thirty times its line."""
     n = equal.agg(F.sum(F.octet_length("refs") / 4)).first()[0] or 0
-    return min(BITS[1], max(BITS[0], int(8 * n).bit_length()))
+    return min(BITS[1], max(BITS[0], int(64 * n).bit_length()))
 
 
 def bitmap(equal: DataFrame, size: int) -> np.ndarray:
