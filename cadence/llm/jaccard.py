@@ -296,35 +296,52 @@ def classes(sets_: DataFrame) -> DataFrame:
 SPLIT = 512
 
 
-def group_pairs(post: DataFrame, percent: int, share: int = 1) -> DataFrame:
-    """``ga, gb``: pairs of groups (a group with itself too) that share a prefix shingle, may reach the likeness by sizes and the shingle's places, and are not wholly in one component."""
+def _like(percent: int, a: str = "a", o: str = "a"):
+    """Whether two sets ``x, y`` may reach the likeness by their parity bitmaps; of groups, by the bits that all (``a``) and any (``o``) of their members have.
+
+    Bits that must differ, and the shingles that no other set has, bound the symmetric difference from below.
+    """
+    col = F.col
+    bits = sum((F.bit_count((col(f"x.{a}{k}").bitwiseAND(F.bitwise_not(f"y.{o}{k}"))).bitwiseOR(col(f"y.{a}{k}").bitwiseAND(F.bitwise_not(f"x.{o}{k}")))) for k in range(SIG_WORDS)), F.lit(0))
+    alone = col("x.n") - col("x.m") + col("y.n") - col("y.m")
+    return (100 - percent) * (col("x.n") + col("y.n")) >= (100 + percent) * (bits + alone)
+
+
+def group_bits(post: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``grp`` and the bits of its members' bitmaps: ``a0 ..`` that all have, ``o0 ..`` that any has."""
+    members = post.where("i = 0").select("grp", "node").join(nodes.select("node", "sig"), "node")
+    words = [F.col("sig")[k] for k in range(SIG_WORDS)]
+    return members.groupBy("grp").agg(*[F.bit_and(w).alias(f"a{k}") for k, w in enumerate(words)], *[F.bit_or(w).alias(f"o{k}") for k, w in enumerate(words)])
+
+
+def group_pairs(post: DataFrame, bits: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """``ga, gb``: pairs of groups (a group with itself too) that share a prefix shingle, may reach the likeness, and are not wholly in one component.
+
+    Sizes, the shingle's places and bitmaps filter them.
+    """
     if share > 1:
         post = post.where(F.pmod(F.xxhash64(F.lit(9), "token"), F.lit(share)) == 0)
     groups = post.groupBy("token", "grp").agg(F.first("n").alias("n"), F.first("i").alias("i"), F.first("m").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     by = groups.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count(F.lit(1)).alias("_k")).where("_lo <> _hi")
     parts = F.floor(F.col("_k") / SPLIT) + 1
-    rows = groups.join(by, "token")
+    rows = groups.join(by, "token").join(bits, "grp")
     x = rows.withColumn("part", F.pmod(F.xxhash64("grp"), parts)).alias("x")
     y = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
     torn = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.grp") <= F.col("y.grp")) & torn & may_reach("x", "y", percent))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.grp") <= F.col("y.grp")) & torn & may_reach("x", "y", percent) & _like(percent, "a", "o"))
     return met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct()
 
 
-def open_pairs(post: DataFrame, nodes: DataFrame, percent: int, share: int = 1) -> DataFrame:
+def open_pairs(post: DataFrame, nodes: DataFrame, bits: DataFrame, percent: int, share: int = 1) -> DataFrame:
     """The members of :func:`group_pairs`, of all or one ``share``-th of the shingles, that are in different components yet.
 
-    Parity bitmaps of the sets bound the symmetric difference from below: bits
-    that differ, and the shingles that only one set has. That leaves little but
-    links even between components of near copies.
+    The sets' own bitmaps leave little but links even between components of near copies.
     """
     members = post.where("i = 0").select("grp", "node", "n", "m", "root").join(nodes.select("node", "sig"), "node")
-    members = members.select("grp", "node", "n", "m", "root", *[F.col("sig")[k].alias(f"s{k}") for k in range(SIG_WORDS)])
-    x, y, pairs = members.alias("x"), members.alias("y"), group_pairs(post, percent, share)
-    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SIG_WORDS)), F.lit(0))
-    differ = differ + F.col("x.n") - F.col("x.m") + F.col("y.n") - F.col("y.m")
+    members = members.select("grp", "node", "n", "m", "root", *[F.col("sig")[k].alias(f"a{k}") for k in range(SIG_WORDS)])
+    x, y, pairs = members.alias("x"), members.alias("y"), group_pairs(post, bits, percent, share)
     once = (F.col("ga") < F.col("gb")) | (F.col("x.node") < F.col("y.node"))
-    met = pairs.join(x, F.col("ga") == F.col("x.grp")).join(y, (F.col("gb") == F.col("y.grp")) & once & (F.col("x.root") != F.col("y.root")) & ((100 - percent) * (F.col("x.n") + F.col("y.n")) >= (100 + percent) * differ))
+    met = pairs.join(x, F.col("ga") == F.col("x.grp")).join(y, (F.col("gb") == F.col("y.grp")) & once & (F.col("x.root") != F.col("y.root")) & _like(percent))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
@@ -334,6 +351,7 @@ def components(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFram
     found = shared_shingles(docs, ws, size, percent)
     nodes, post = candidates(found, ws, percent)
     post = ws.put(post.withColumn("root", F.col("node")), "post")
+    bits = ws.put(group_bits(post, nodes), "bits")
     links = ws.put(verify(ws.put(hub_pairs(post, percent, (1, 2, 3, 4), True), "pairs1"), nodes, percent), "links1")
     roots = ws.put(connected(links, ws, "c1"), "roots1")
 
@@ -342,11 +360,11 @@ def components(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFram
 
     # A part of the shingles first: what it links is one component by the time all are joined.
     post = rooted(post, roots, "post2")
-    some = ws.put(verify(ws.put(open_pairs(post, nodes, percent, 8), "pairs2"), nodes, percent), "links2")
+    some = ws.put(verify(ws.put(open_pairs(post, nodes, bits, percent, 8), "pairs2"), nodes, percent), "links2")
     links = links.union(some)
     post = rooted(post, ws.put(connected(links, ws, "c2"), "roots2"), "post3")
-    more = ws.put(verify(ws.put(open_pairs(post, nodes, percent), "pairs3"), nodes, percent), "links3")
-    ws.drop("post", "post2", "post3", "pairs1", "pairs2", "pairs3", "nodes", "roots1", "roots2")
+    more = ws.put(verify(ws.put(open_pairs(post, nodes, bits, percent), "pairs3"), nodes, percent), "links3")
+    ws.drop("post", "post2", "post3", "pairs1", "pairs2", "pairs3", "nodes", "bits", "roots1", "roots2")
     roots = ws.put(connected(links.union(more), ws, "c3"), "roots3")
     ws.drop("links1", "links2", "links3")
     rows = found.select(F.col("doc_id").alias("_id"), "t1", "t2", "n", "node")
