@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.functions import scalar, taxonomy, vector
-from cadence.operators import align, baseline, gate, intervals, metrics, registry, report, rules
-from cadence.plans.schema import feature_columns
+from cadence.operators import align, baseline, gate, intervals, metrics, model, registry, report, rules
+from cadence.plans import end_to_end
+from cadence.plans.schema import SPEAKERS, feature_columns, meta_first, realign
+from cadence.sources import providers, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,9 +70,9 @@ def classify_per_file(spark, d):
 @_query(f"""WITH {SEG} SELECT event_id, CASE WHEN arousal > 0.8 THEN 'arousal=' || printf('%.2f', arousal) || ' > threshold(0.80)'
  WHEN arousal < 0.55 AND exertion > 0.95 THEN 'arousal=' || printf('%.2f', arousal) || ' < threshold(0.55); exertion=' || printf('%.2f', exertion) || ' > threshold(0.95)'
  WHEN arousal < 0.55 THEN 'arousal=' || printf('%.2f', arousal) || ' < threshold(0.55); exertion=' || printf('%.2f', exertion) || ' <= threshold(0.95)'
- ELSE 'arousal within thresholds' END AS reason FROM (SELECT event_id, round(arousal, 2) AS arousal, exertion FROM seg)""")
+ ELSE 'arousal=' || printf('%.2f', arousal) || ' within [0.55, 0.80]' END AS reason FROM (SELECT event_id, floor(arousal * 100) / 100 AS arousal, exertion FROM seg)""")
 def state_reasons(spark, d):
-    seg = _segments(spark, d).withColumn("arousal", F.round("arousal", 2))
+    seg = _segments(spark, d).withColumn("arousal", F.floor(F.col("arousal") * 100) / 100)
     return rules.classify(seg, limits=rules.DEFAULTS).select("event_id", "reason")
 
 
@@ -113,10 +115,10 @@ Z = """z AS (SELECT *, CASE WHEN n > 0 THEN sum_a / n END AS m, CASE WHEN n > 0
   ELSE (arousal - m) / greatest(sqrt(v), 0.05) END AS arousal_z, CASE WHEN n < 30 THEN 'low' WHEN n < 100 THEN 'medium' ELSE 'high' END AS baseline_conf, n >= 30 AS using_individual FROM z)"""
 
 
-@_query(f"WITH {_decayed('file')} SELECT event_id, file, round(n, 6) AS n, round(sum_a, 6) AS sum_a, round(sum_sq_a, 9) AS sum_sq_a FROM r")
+@_query(f"WITH {_decayed('file')} SELECT event_id, file, round(n, 6) AS n, round(sum_a, 6) AS sum_a, round(sum_sq_a + 3.3e-9, 6) AS sum_sq_a FROM r")
 def running_baseline(spark, d):
     rows = baseline.running(_segments(spark, d), speaker="file", order_by="event_id")
-    return rows.select("event_id", "file", F.round("n", 6).alias("n"), F.round("sum_a", 6).alias("sum_a"), F.round("sum_sq_a", 9).alias("sum_sq_a"))  # squares end at the eighth place, so none is a tie
+    return rows.select("event_id", "file", F.round("n", 6).alias("n"), F.round("sum_a", 6).alias("sum_a"), F.round(F.col("sum_sq_a") + 3.3e-9, 6).alias("sum_sq_a"))  # squares end at the eighth place, so none is near a tie
 
 
 @_query(f"WITH {_decayed('speaker')}, {Z} SELECT event_id, round(arousal_z, 6) AS arousal_z, baseline_conf, using_individual FROM p")
@@ -133,12 +135,12 @@ def classify_with_baseline(spark, d):
     return _six(out.select("event_id", "file", "state", "confidence", "arousal_z", "exertion_z", "using_individual"))
 
 
-@_query(f"""WITH {_decayed('speaker')}, {Z}, {LIM}, s AS (SELECT *, {STATE} FROM p, lim) SELECT count(DISTINCT file) AS n_files, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers,
+@_query(f"""WITH {_decayed('speaker')}, {Z}, {LIM}, s AS (SELECT *, {STATE} FROM p, lim) SELECT round(sum(event_id % 7 / 2.0), 6) AS total_sec, count(DISTINCT file) AS n_files, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers,
  round(avg(arousal), 6) AS avg_arousal, round(avg(exertion), 6) AS avg_exertion, count(*) FILTER (state = 'fatigued') AS n_fatigued, count(*) FILTER (state = 'excited') AS n_excited,
  count(*) FILTER (baseline_conf = 'low' AND confidence = 'medium') AS n_low_confidence, count(*) FILTER (NOT using_individual) AS n_cold FROM s""")
 def report_scalars(spark, d):
-    rows = baseline.classify_with_baseline(_segments(spark, d), speaker="speaker", order_by="event_id")
-    return _six(report.scalars(rows, file="file", speaker="speaker").drop("total_sec"))
+    rows = baseline.classify_with_baseline(_segments(spark, d).withColumn("sec", F.col("event_id") % 7 / 2.0), speaker="speaker", order_by="event_id")
+    return _six(report.scalars(rows, file="file", speaker="speaker", duration="sec"))
 
 
 @_query(f"""WITH {SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS k, count(*) OVER (PARTITION BY file) AS c FROM seg),
@@ -207,50 +209,66 @@ def metric_pack(spark, d):
     return _six(metrics.metric_pack(_pairs(spark, d), "y", "p", ("f",)))
 
 
-def _registry(spark, d, n=50):
+def _registry(spark, d):
     e = _table(spark, d, "embeddings")
     id_ = F.col("vec_id")
-    return e.where(id_ < n).select(
+    return e.select(
         F.format_string("persist_%03d", id_ + 1).alias("speaker_id"), (id_ + 1).alias("insert_no"), F.format_string("auto_spk_%03d", id_ + 1).alias("label"), F.col("embedding").cast("array<double>").alias("centroid"),
         (id_ % 40 + 1).alias("n_samples"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("first_seen"), F.expr("timestamp'2024-03-01 00:00:00' - make_interval(0, 0, 0, cast(vec_id as int))").alias("last_seen"),
         F.lit(False).alias("registered"), F.transform(F.sequence(F.lit(1).cast("long"), id_ % 5), lambda x: x / 10.0).alias("match_history"), F.lit(None).cast("string").alias("possible_match"), F.lit(None).cast("double").alias("possible_sim"),
     )
 
 
-REG = """reg AS (SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, vec_id + 1 AS insert_no, CAST(embedding AS DOUBLE[]) AS centroid, vec_id % 40 + 1 AS n_samples,
- TIMESTAMP '2024-03-01' - to_days(CAST(vec_id AS INTEGER)) AS last_seen, vec_id % 5 AS h FROM embeddings WHERE vec_id < 50),
- q AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8)) AS u FROM embeddings),
+def _asked(spark, d):
+    """Vectors that none of the registry's equals: each embedding backwards."""
+    return _table(spark, d, "embeddings").select("vec_id", F.reverse("embedding").alias("embedding"))
+
+
+REG = """reg AS (SELECT 'persist_' || CASE WHEN vec_id < 99 THEN lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') ELSE CAST(vec_id + 1 AS VARCHAR) END AS speaker_id, vec_id + 1 AS insert_no, CAST(embedding AS DOUBLE[]) AS centroid, vec_id % 40 + 1 AS n_samples,
+ TIMESTAMP '2024-03-01' - to_days(CAST(vec_id AS INTEGER)) AS last_seen, vec_id % 5 AS h FROM embeddings),
+ v AS (SELECT vec_id, list_reverse(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+ q AS (SELECT vec_id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-8)) AS u FROM v),
  s AS (SELECT vec_id, speaker_id, insert_no, n_samples, last_seen, list_dot_product(u, centroid) AS sim FROM q, reg),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, insert_no) AS k FROM s) WHERE k = 1)"""
 
 
 @_query(f"WITH {REG} SELECT vec_id, speaker_id, round(sim, 6) AS similarity FROM best")
 def nn_match(spark, d):
-    return _six(registry.nearest(_table(spark, d, "embeddings"), _registry(spark, d), id_col="vec_id").select("vec_id", "speaker_id", "similarity"))
+    return _six(registry.nearest(_asked(spark, d), _registry(spark, d), id_col="vec_id").select("vec_id", "speaker_id", "similarity"))
 
 
 @_query(f"""WITH {REG}, t AS (SELECT *, 0.55 + CASE WHEN n_samples <= 5 THEN 0.07 WHEN n_samples <= 30 THEN 0.03 ELSE -0.03 END + CASE WHEN date_diff('day', last_seen, TIMESTAMP '2024-03-15') > 30 THEN 0.05 ELSE 0 END AS thr FROM best)
  SELECT vec_id, speaker_id, round(sim, 6) AS similarity, round(thr, 6) AS threshold, CASE WHEN sim >= thr THEN 'match' WHEN sim >= thr - 0.05 THEN 'uncertain' ELSE 'new' END AS decision FROM t""")
 def match_decision(spark, d):
-    return _six(registry.decide(_table(spark, d, "embeddings"), _registry(spark, d), id_col="vec_id", as_of=F.lit("2024-03-15 00:00:00").cast("timestamp")))
+    return _six(registry.decide(_asked(spark, d), _registry(spark, d), id_col="vec_id", as_of=F.lit("2024-03-15 00:00:00").cast("timestamp")))
 
 
 @_query("""WITH a AS (SELECT CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id = 3), b AS (SELECT CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id = 7),
  m AS (SELECT list_transform(generate_series(1, 64), lambda i: (4 * a.c[i] + 8 * b.c[i]) / 12) AS c FROM a, b), n AS (SELECT c, sqrt(list_dot_product(c, c)) + 1e-8 AS size FROM m)
- SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, CASE WHEN vec_id = 3 THEN 12 ELSE vec_id % 40 + 1 END AS n_samples,
- round(CASE WHEN vec_id = 3 THEN (SELECT c[1] / size FROM n) ELSE embedding[1]::DOUBLE END, 6) AS c1 FROM embeddings WHERE vec_id < 50 AND vec_id <> 7""")
+ SELECT 'persist_' || CASE WHEN vec_id < 99 THEN lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') ELSE CAST(vec_id + 1 AS VARCHAR) END AS speaker_id, CASE WHEN vec_id = 3 THEN 12 ELSE vec_id % 40 + 1 END AS n_samples,
+ array_to_string(list_transform(CASE WHEN vec_id = 3 THEN (SELECT list_transform(c, lambda x: x / size) FROM n) ELSE CAST(embedding AS DOUBLE[]) END, lambda x: printf('%.5f', x)), ' ') AS centroid FROM embeddings WHERE vec_id <> 7""")
 def registry_merge(spark, d):
     out, _ = registry.merge(_registry(spark, d), "persist_004", "persist_008")
-    return _six(out.select("speaker_id", "n_samples", F.col("centroid")[0].alias("c1")))
+    return out.select("speaker_id", "n_samples", F.array_join(F.transform("centroid", lambda x: F.format_string("%.5f", x)), " ").alias("centroid"))
 
 
-@_query("SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, vec_id % 40 + 1 AS n_samples FROM embeddings WHERE vec_id < 50 AND vec_id <> 9")
+@_query("SELECT 'persist_' || CASE WHEN vec_id < 99 THEN lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') ELSE CAST(vec_id + 1 AS VARCHAR) END AS speaker_id, vec_id % 40 + 1 AS n_samples FROM embeddings WHERE vec_id <> 9")
 def registry_delete(spark, d):
     return registry.erase(_registry(spark, d), "persist_010")[0].select("speaker_id", "n_samples")
 
 
-@_query("""SELECT 'persist_' || lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') AS speaker_id, vec_id % 40 + 1 AS n_samples, CASE WHEN vec_id % 40 + 1 <= 5 THEN 'cold' WHEN vec_id % 40 + 1 <= 30 THEN 'warm'
- WHEN 14 + vec_id > 30 THEN 'stale' ELSE 'stable' END AS stage, round(CASE WHEN vec_id % 5 = 0 THEN 0.1 / 2 ELSE (vec_id % 5 + 1) / 20.0 END, 6) AS avg_similarity FROM embeddings WHERE vec_id < 50""")
+ID = "'persist_' || CASE WHEN vec_id < 99 THEN lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') ELSE CAST(vec_id + 1 AS VARCHAR) END"
+
+
+def _cascade(spark, d):
+    known = _registry(spark, d).withColumns({"possible_match": F.when(F.col("insert_no") % 3 == 0, "persist_010"), "possible_sim": F.when(F.col("insert_no") % 3 == 0, 0.5)})
+    sums = known.select("speaker_id", F.col("insert_no").cast("double").alias("n"))
+    left, kept = registry.erase(known, "persist_010", sums)
+    return left.select(F.lit("registry").alias("tbl"), "speaker_id", F.col("n_samples").cast("double").alias("n"), "possible_match").unionByName(kept.select(F.lit("baselines").alias("tbl"), "speaker_id", "n", F.lit(None).cast("string").alias("possible_match")))
+
+
+@_query("""SELECT 'persist_' || CASE WHEN vec_id < 99 THEN lpad(CAST(vec_id + 1 AS VARCHAR), 3, '0') ELSE CAST(vec_id + 1 AS VARCHAR) END AS speaker_id, vec_id % 40 + 1 AS n_samples, CASE WHEN vec_id % 40 + 1 <= 5 THEN 'cold' WHEN vec_id % 40 + 1 <= 30 THEN 'warm'
+ WHEN 14 + vec_id > 30 THEN 'stale' ELSE 'stable' END AS stage, round(CASE WHEN vec_id % 5 = 0 THEN 0.1 / 2 ELSE (vec_id % 5 + 1) / 20.0 END, 6) AS avg_similarity FROM embeddings""")
 def registry_summary(spark, d):
     return _six(registry.summary(_registry(spark, d), F.lit("2024-03-15 00:00:00").cast("timestamp")).select("speaker_id", "n_samples", "stage", "avg_similarity"))
 
@@ -324,14 +342,14 @@ def segment_slice(spark, d):
     return _six(_table(spark, d, "embeddings").select("vec_id", F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"), F.size(part).alias("n")))
 
 
-@_query("""WITH t AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_quantity::DOUBLE / 50 - 0.5 AS a_quantity, l_discount::DOUBLE * 10 - 0.5 AS b_discount, l_tax::DOUBLE * 12 - 0.5 AS c_tax FROM lineitem),
+# Numbers have six places and never end in a tie at the third, so both sides print them alike.
+@_query("""WITH t AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, round(l_quantity::DOUBLE / 50 - 0.50013, 6) AS a_quantity, round(l_discount::DOUBLE * 10 - 0.50013, 6) AS b_discount, round(l_tax::DOUBLE * 12 - 0.50013, 6) AS c_tax FROM lineitem),
  u AS (SELECT rid, l_orderkey, l_linenumber, unnest(['a', 'b', 'c']) AS f, unnest([1, 2, 3]) AS i, unnest([a_quantity, b_discount, c_tax]) AS c FROM t),
  r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(c) DESC, i) AS k FROM u)
- SELECT l_orderkey, l_linenumber, string_agg(f || CASE WHEN c > 0 THEN '↑' ELSE '↓' END, ' | ' ORDER BY k) AS reasons FROM r WHERE k <= 2 GROUP BY rid, l_orderkey, l_linenumber""")
+ SELECT l_orderkey, l_linenumber, string_agg(f || CASE WHEN c > 0 THEN '↑' ELSE '↓' END || '(' || printf('%+.3f', c) || ')', ' | ' ORDER BY k) AS reasons FROM r WHERE k <= 2 GROUP BY rid, l_orderkey, l_linenumber""")
 def topk_contrib(spark, d):
-    t = _lineitem(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50 - 0.5).alias("a_quantity"), (F.col("l_discount") * 10 - 0.5).alias("b_discount"), (F.col("l_tax") * 12 - 0.5).alias("c_tax"))
-    said = metrics.top_reasons(t, ["a_quantity", "b_discount", "c_tax"], 2)
-    return t.select("l_orderkey", "l_linenumber", F.regexp_replace(said, r"\([^)]*\)", "").alias("reasons"))
+    t = _lineitem(spark, d).select("l_orderkey", "l_linenumber", *[F.round(x - 0.50013, 6).alias(n) for n, x in (("a_quantity", F.col("l_quantity") / 50), ("b_discount", F.col("l_discount") * 10), ("c_tax", F.col("l_tax") * 12))])
+    return t.select("l_orderkey", "l_linenumber", metrics.top_reasons(t, ["a_quantity", "b_discount", "c_tax"], 2).alias("reasons"))
 
 
 CONTRIB = " UNION ALL ".join(f"SELECT {i} AS pos, '{f}' AS feature, (l_{f}::DOUBLE - {m}) / {s} AS c, l_{f}::DOUBLE AS v FROM lineitem" for i, (f, m, s) in enumerate((("quantity", 25, 50), ("discount", 0.05, 0.1), ("tax", 0.04, 0.08))))
@@ -349,18 +367,30 @@ def global_importance(spark, d):
     return _six(metrics.global_importance(_contrib(spark, d)).drop("grp"))
 
 
-@_query(f"WITH u AS ({CONTRIB}), g AS (SELECT feature, avg(abs(c)) AS c FROM u GROUP BY feature) SELECT 'other' AS grp, round(sum(c), 6) AS contribution FROM g")
+GROUPED = (("F0semitoneFrom27.5Hz_sma3nz_amean", "F0", "l_quantity::DOUBLE / 50"), ("F0semitoneFrom27.5Hz_sma3nz_stddevNorm", "F0", "l_discount::DOUBLE"), ("jitterLocal_sma3nz_amean", "jitter", "l_tax::DOUBLE - 0.04"), ("mfcc1_sma3_amean", "MFCC", "l_extendedprice::DOUBLE / 100000"), ("slopeV0-500_sma3nz_amean", "spectral_tilt", "l_tax::DOUBLE * l_discount::DOUBLE"))
+
+
+@_query("WITH u AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{g}' AS grp, {x} AS c FROM lineitem" for f, g, x in GROUPED) + "), a AS (SELECT feature, grp, avg(abs(c)) AS c FROM u GROUP BY 1, 2) SELECT grp, round(sum(c), 6) AS contribution FROM a GROUP BY grp")
 def group_importance(spark, d):
-    return _six(metrics.group_importance(metrics.global_importance(_contrib(spark, d))))
+    li = _lineitem(spark, d)
+    t = li.select(*[F.expr(x.replace("::DOUBLE", "")).alias(f) for f, _, x in GROUPED])
+    return _six(metrics.group_importance(metrics.global_importance(metrics.contributions(t, [], [f for f, _, _ in GROUPED]))))
+
+
+def _short(name: str) -> str:
+    """SQL of the replacements in order."""
+    for old, new in taxonomy.SHORT:
+        name = f"replace({name}, '{old}', '{new}')"
+    return name
 
 
 @_query(f"""WITH n(pos, name) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(taxonomy.FEATURE_NAMES))})
  SELECT pos, name, CASE WHEN contains(name, 'F0') THEN 'F0' WHEN contains(lower(name), 'jitter') THEN 'jitter' WHEN contains(lower(name), 'shimmer') THEN 'shimmer' WHEN contains(name, 'HNR') THEN 'HNR'
  WHEN contains(lower(name), 'loudness') THEN 'loudness' WHEN contains(lower(name), 'mfcc') THEN 'MFCC' WHEN contains(name, 'F1') OR contains(name, 'F2') OR contains(name, 'F3') THEN 'formant'
  WHEN contains(name, 'Voiced') OR contains(lower(name), 'voice') THEN 'rhythm' WHEN contains(lower(name), 'slope') OR contains(name, 'alphaRatio') OR contains(name, 'H1') THEN 'spectral_tilt' ELSE 'other' END AS first_group,
- {" OR ".join(f"contains(name, '{p}')" for p, _ in taxonomy.FATIGUE_CORE.values())} AS core FROM n""")
+ {" OR ".join(f"contains(name, '{p}')" for p, _ in taxonomy.FATIGUE_CORE.values())} AS core, {_short("name")} AS short FROM n""")
 def feature_taxonomy(spark, d):
-    return taxonomy.classify_table(taxonomy.names_frame(spark)).select("pos", "name", "first_group", "core")
+    return taxonomy.classify_table(taxonomy.names_frame(spark)).select("pos", "name", "first_group", "core", "short")
 
 
 @_query(f"""WITH n(name) AS (VALUES {", ".join(f"('{n}')" for n in taxonomy.FEATURE_NAMES)}), g(grp, weight, pat) AS (VALUES {", ".join(f"('{g}', {w}, '{p}')" for g, (w, ps) in taxonomy.GROUPS.items() for p in ps)})
@@ -418,7 +448,7 @@ def vector_cosine(spark, d):
 @_query()
 def match_and_update(spark, d):
     e = _table(spark, d, "embeddings").withColumn("scope", (F.col("label") % 4).cast("string"))
-    empty = _registry(spark, d, 0)
+    empty = _registry(spark, d).where("false")
     return registry.match_and_update(e, empty, id_col="vec_id", order_by="vec_id", scope="scope", base=0.2)[1]
 
 
@@ -444,3 +474,268 @@ def tree_shap(spark, d):
     rows = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") % 100).cast("double").alias("cust"), (F.col("o_totalprice").cast("double") / 500000).alias("y"))
     models = Regressors.train(rows, features=["price", "cust"], arousal="y", exertion="y", trees=3, depth=3)
     return explain(rows, models.arousal, ["price", "cust"], ["o_orderkey"])
+
+
+@_query(f"SELECT 'registry' AS tbl, {ID} AS speaker_id, (vec_id % 40 + 1)::DOUBLE AS n, CAST(NULL AS VARCHAR) AS possible_match FROM embeddings WHERE vec_id <> 9 UNION ALL SELECT 'baselines', {ID}, (vec_id + 1)::DOUBLE, NULL FROM embeddings WHERE vec_id <> 9")
+def registry_cascade(spark, d):
+    return _cascade(spark, d)
+
+
+@_query(f"SELECT {ID} AS speaker_id, CASE WHEN vec_id = 4 THEN 'Ann' ELSE replace({ID}, 'persist', 'auto_spk') END AS label, vec_id = 4 AS registered FROM embeddings")
+def registry_rename(spark, d):
+    return registry.rename(_registry(spark, d), "persist_005", " Ann ").select("speaker_id", "label", "registered")
+
+
+@_query(f"SELECT vec_id AS position, {ID} AS speaker_id FROM embeddings")
+def registry_ids(spark, d):
+    return registry.speaker_ids(_registry(spark, d)).select(F.col("position").cast("long").alias("position"), "speaker_id")
+
+
+@_query(f"""WITH s AS (SELECT vec_id, {ID} AS speaker_id, replace({ID}, 'persist', 'auto_spk') AS label, vec_id % 40 + 1 AS n FROM embeddings)
+ SELECT speaker_id, label, n AS n_samples, CASE WHEN n <= 5 THEN 'cold' WHEN n <= 30 THEN 'warm' WHEN 14 + vec_id > 30 THEN 'stale' ELSE 'stable' END AS stage,
+ CASE WHEN vec_id % 5 = 0 THEN '0.0500' ELSE printf('%.4f', (vec_id % 5 + 1) / 20.0) END AS avg_similarity, TIMESTAMP '2024-01-01' AS first_seen, TIMESTAMP '2024-03-01' - to_days(CAST(vec_id AS INTEGER)) AS last_seen,
+ speaker_id || ' (' || label || ')' AS choice FROM s""")
+def registry_table(spark, d):
+    return registry.display(_registry(spark, d), F.lit("2024-03-15 00:00:00").cast("timestamp"))
+
+
+@_query(f"SELECT {ID} AS speaker_id, vec_id % 40 + 1 AS n_samples, TIMESTAMP '2024-03-01' - to_days(CAST(vec_id AS INTEGER)) AS last_seen, embedding[64]::DOUBLE AS c64 FROM embeddings WHERE vec_id % 2 = 0")
+def registry_round_trip(spark, d):
+    """Saved whole, then as half of it, then not at all since nothing changed."""
+    path, known = tables.scratch_path(spark, "registry"), _registry(spark, d)
+    tables.save_registry(known, path)
+    tables.save_registry(known.where("(insert_no - 1) % 2 = 0"), path)
+    tables.save_registry(known.where("false"), path, dirty=False)
+    return tables.load_registry(spark, path).select("speaker_id", "n_samples", "last_seen", F.col("centroid")[63].alias("c64"))
+
+
+@_query(f"""WITH {SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS k, count(*) OVER (PARTITION BY file) AS c FROM seg),
+ w AS (SELECT file, arousal, CASE WHEN k > 200 THEN pow(200.0 / 201, c - greatest(k, 200)) ELSE pow(200.0 / 201, greatest(0, c - 200)) END AS w FROM k)
+ SELECT file AS speaker_id, round(sum(w), 6) AS n, round(sum(w * arousal), 6) AS sum_a, round(sum(w * arousal * arousal), 6) AS sum_sq_a, 200 AS max_n FROM w GROUP BY file""")
+def baseline_round_trip(spark, d):
+    path = tables.scratch_path(spark, "baselines")
+    tables.save_baselines(baseline.final_state(_segments(spark, d), speaker="file", order_by="event_id"), path)
+    return _six(tables.load_baselines(spark, path))
+
+
+@_query(ORACLE_SQL["align_fallback"])
+def aligner_round_trip(spark, d):
+    rows = _table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    path = tables.scratch_path(spark, "aligner")
+    tables.save_aligner(align.fit(rows, speaker="o_custkey", features=["o_totalprice"]), path)
+    return _six(align.align(rows, speaker="o_custkey", features=["o_totalprice"], aligner=tables.load_aligner(spark, path)).drop("o_custkey"))
+
+
+@_query("""WITH b AS (SELECT 'C' || o_custkey AS spk, avg(o_totalprice::DOUBLE) AS m, count(*) AS n FROM orders GROUP BY 1) SELECT spk AS speaker, 'o_totalprice' AS feature, n, round(m, 6) AS mean, n < 3 AS use_global FROM b
+ UNION ALL SELECT NULL, 'o_totalprice', NULL, round(avg(o_totalprice::DOUBLE), 6), false FROM orders""")
+def aligner_json(spark, d):
+    """The document of an earlier tool, made here from a fit, read back as rows."""
+    rows = _table(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey")).alias("spk"), F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    fitted = align.fit(rows, speaker="spk", features=["o_totalprice"])
+    figures = lambda: F.struct(F.create_map("feature", "mean").alias("mean"), F.create_map("feature", "std").alias("std"), "n", "use_global")
+    own = fitted.where("speaker is not null").agg(F.map_from_entries(F.collect_list(F.struct("speaker", figures()))).alias("baselines"))
+    every = fitted.where("speaker is null").select(figures().alias("global"))
+    text = own.crossJoin(every).select(F.to_json(F.struct(F.array(F.lit("o_totalprice")).alias("feature_cols"), "global", "baselines")).alias("value"))
+    path = tables.scratch_path(spark, "aligner-json")
+    text.coalesce(1).write.text(path)
+    return tables.aligner_from_json(spark, path).select("speaker", "feature", "n", F.round("mean", 6).alias("mean"), "use_global")
+
+
+@_query(f"WITH {SEG} SELECT CAST(event_id AS VARCHAR) AS event_id, file, printf('%.6f', arousal) AS arousal FROM seg")
+def csv_round_trip(spark, d):
+    """Written with a byte order mark, which the reader takes off again."""
+    path = tables.scratch_path(spark, "csv")
+    tables.write_states_csv(_segments(spark, d).select("event_id", "file", F.format_string("%.6f", "arousal").alias("arousal")), path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff").strip('"')) for c in rows.columns])
+
+
+@_query(f"WITH {SEG} SELECT file AS trace_id, '2024-05-01' AS date, count(*) AS n_segments, round(avg(arousal), 6) AS arousal_mean FROM seg GROUP BY file")
+def trace_round_trip(spark, d):
+    found = _segments(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.avg("arousal").alias("a")).collect()  # a record for each request
+    path = tables.scratch_path(spark, "trace")
+    tables.append_trace(spark, [{"trace_id": r["file"], "date": "2024-05-01", "n_segments": r["n"], "arousal_mean": r["a"], "timing_ms": {"total_ms": 1.0}} for r in found], path)
+    return _six(spark.read.schema("trace_id string, date string, n_segments long, arousal_mean double").json(path).select("trace_id", F.col("date").cast("string").alias("date"), "n_segments", "arousal_mean"))
+
+
+@_query(f"WITH u AS ({CONTRIB}), t AS (VALUES ('metrics', 1), ('shap_arousal', 3), ('groups_arousal', 1), ('shap_exertion', 3), ('groups_exertion', 1), ('predictions', 500), ('parameters', 2)) SELECT col0 AS sheet, CAST(col1 AS BIGINT) AS n FROM t")
+def training_report(spark, d):
+    ranked = metrics.global_importance(_contrib(spark, d))
+    pairs = _table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), *[F.col(c).cast("double").alias(n) for c, n in (("l_tax", "true_arousal"), ("l_discount", "pred_arousal"), ("l_tax", "true_exertion"), ("l_discount", "pred_exertion"))])
+    frames = report.training_report(metrics.metric_pack(pairs, "true_arousal", "pred_arousal"), {"arousal": ranked, "exertion": ranked}, pairs, {"trees": 300, "depth": 6}, order_by="k")
+    path = tables.scratch_path(spark, "report")
+    tables.write_report(frames, path)
+    out = None
+    for name in frames:
+        n = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def _wavs(spark, d):
+    path = tables.scratch_path(spark, "wavs")
+    rows = _table(spark, d, "embeddings").select(F.format_string("%d.wav", "vec_id").alias("name"), F.col("embedding").alias("samples"))
+    return path, tables.write_wav(rows, path.removeprefix("file:"))
+
+
+@_query("SELECT CAST(vec_id AS VARCHAR) || '.wav' AS name, CAST(44 + 2 * len(embedding) AS BIGINT) AS n_bytes FROM embeddings")
+def wav_files(spark, d):
+    path, written = _wavs(spark, d)
+    found = tables.audio_files(spark, path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").cast("long").alias("n_bytes"))
+
+
+@_query("SELECT vec_id, len(embedding) AS n, 16000 AS sample_rate, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(trunc(x * 32767) AS DOUBLE) / 32768)), 5) AS total FROM embeddings")
+def decoded_audio(spark, d):
+    """Written as WAV files, scanned and decoded again."""
+    path, _ = _wavs(spark, d)
+    rows = providers.with_decoded(tables.audio_files(spark, path), "content").where("error is null")
+    no = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long")
+    return rows.select(no.alias("vec_id"), F.size("samples").cast("long").alias("n"), "sample_rate", F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@_query("SELECT count(*) FILTER (vec_id % 3 = 0) AS success, count(*) FILTER (vec_id % 3 <> 0) AS failed FROM embeddings")
+def error_counts(spark, d):
+    path, _ = _wavs(spark, d)
+    files = tables.audio_files(spark, path).withColumn("no", F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long"))
+    broken = files.withColumn("content", F.when(F.col("no") % 3 == 0, F.col("content")).otherwise(F.lit(b"broken")))
+    return providers.outcomes(providers.with_decoded(broken, "content"), "path")[0]
+
+
+@_query("SELECT doc_id, lang, source, n_chars FROM documents")
+def metadata_scan(spark, d):
+    return tables.training_metadata(spark, f"{d}/documents.parquet", "text")
+
+
+@_query("SELECT count(*) AS n FROM lineitem")
+def scan_counts(spark, d):
+    return tables.file_counts(spark, f"{d}/lineitem.parquet").agg(F.sum("n").alias("n"))
+
+
+@_query("SELECT l_tax::DOUBLE AS l_tax, l_quantity::DOUBLE AS l_quantity FROM lineitem")
+def realigned(spark, d):
+    return realign(_lineitem(spark, d), ["l_tax", "l_quantity"])
+
+
+@_query("SELECT 'segment_id,start_sec,speaker_label,l_linenumber,l_quantity' AS names, count(*) AS n FROM lineitem")
+def column_order(spark, d):
+    rows = meta_first(_lineitem(spark, d).select("l_linenumber", F.col("l_suppkey").alias("speaker_label"), "l_quantity", F.col("l_orderkey").alias("segment_id"), F.col("l_tax").alias("start_sec")))
+    return rows.agg(F.lit(",".join(rows.columns)).alias("names"), F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT vec_id, vec_id % 20 >= 0.3 * 32 AS long_enough FROM embeddings")
+def min_length(spark, d):
+    part = _table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, (F.col("vec_id") % 20).cast("int")).alias("audio"))
+    return part.select("vec_id", gate.long_enough("audio", 0.3, 32).alias("long_enough"))
+
+
+@_query(f"WITH {SEG} SELECT event_id, 'Ann' AS speaker FROM seg UNION ALL SELECT event_id, CAST(speaker AS VARCHAR) FROM seg")
+def speaker_override(spark, d):
+    seg = _segments(spark, d).select("event_id", F.col("speaker").cast("string").alias("speaker"))
+    return end_to_end.union_frames([end_to_end.with_speaker(seg, "speaker", "Ann"), end_to_end.with_speaker(seg, "speaker", "unknown")])
+
+
+@_query(f"SELECT vec_id, {ID} AS speaker_id FROM embeddings")
+def display_ids(spark, d):
+    shown = registry.display(_registry(spark, d)).select(scalar.display_to_id(F.col("choice")).alias("speaker_id"), F.col("speaker_id").alias("own"))
+    return _registry(spark, d).select((F.col("insert_no") - 1).alias("vec_id"), F.col("speaker_id").alias("own")).join(shown, "own").select("vec_id", "speaker_id")
+
+
+@_query("""WITH c AS (SELECT CAST(label AS VARCHAR) AS l, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) AS n_speakers, sum(n)::BIGINT AS total, '{' || string_agg('"' || l || '":' || n, ',' ORDER BY l) || '}' AS segments FROM c""")
+def cluster_counts(spark, d):
+    return registry.cluster_counts(_table(spark, d, "embeddings"), "label").select("n_speakers", "total", F.to_json("segments_per_speaker").alias("segments"))
+
+
+@_query(f"""WITH {SEG}, st AS (SELECT DISTINCT speaker, speaker % 120 AS n FROM seg), s AS (SELECT seg.*, n, (n - 30) / 70.0 AS t FROM seg JOIN st USING (speaker))
+ SELECT event_id, round(CASE WHEN n < 30 THEN (arousal - 0.72) / 0.19 WHEN n < 100 THEN (arousal - (t * 0.5 + (1 - t) * 0.72)) / (t * 0.2 + (1 - t) * 0.19) ELSE (arousal - 0.5) / 0.2 END + 1.1e-8, 6) AS arousal_z,
+ CASE WHEN n < 30 THEN 'low' WHEN n < 100 THEN 'medium' ELSE 'high' END AS baseline_conf FROM s""")
+def stored_baseline(spark, d):
+    """All rows against stored state that they don't change: means of 0.5 and deviations of 0.2."""
+    n = (F.col("speaker") % 120).cast("double")
+    state = _segments(spark, d).select("speaker").distinct().select(F.col("speaker").alias("speaker_id"), n.alias("n"), (n * 0.5).alias("sum_a"), (n * 0.29).alias("sum_sq_a"))
+    return _six(baseline.process(_segments(spark, d), speaker="speaker", order_by="event_id", update=False, state=state).select("event_id", (F.col("arousal_z") + 1.1e-8).alias("arousal_z"), "baseline_conf"))
+
+
+@_query("""WITH t AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_quantity::DOUBLE / 50 - 0.50013 AS a, l_discount::DOUBLE * 10 - 0.50013 AS b, l_tax::DOUBLE * 12 - 0.50013 AS c FROM lineitem),
+ u AS (SELECT rid, l_orderkey, l_linenumber, unnest(['a', 'b', 'c']) AS f, unnest([1, 2, 3]) AS i, unnest([a, b, c]) AS x FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(x) DESC, i DESC) AS k FROM u)
+ SELECT l_orderkey, l_linenumber, string_agg(f, ',' ORDER BY k) AS features, round(sum(x), 6) AS total FROM r WHERE k <= 2 GROUP BY rid, l_orderkey, l_linenumber""")
+def topk_map(spark, d):
+    t = _lineitem(spark, d).select("l_orderkey", "l_linenumber", *[(x - 0.50013).alias(n) for n, x in (("a", F.col("l_quantity") / 50), ("b", F.col("l_discount") * 10), ("c", F.col("l_tax") * 12))])
+    m = metrics.top_map(["a", "b", "c"], 2)
+    return _six(t.select("l_orderkey", "l_linenumber", F.array_join(F.map_keys(m), ",").alias("features"), F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x).alias("total")))
+
+
+@_query("SELECT o_orderkey AS k, o_totalprice::DOUBLE AS price, CAST(NULL AS DOUBLE) AS tax FROM orders UNION ALL SELECT l_orderkey, l_extendedprice::DOUBLE, l_tax::DOUBLE FROM lineitem")
+def union_of_frames(spark, d):
+    a = _table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("price"))
+    b = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_tax").cast("double").alias("tax"), F.col("l_extendedprice").cast("double").alias("price"))
+    return end_to_end.union_frames([a, b])
+
+
+@_query("SELECT vec_id, 50 AS n, round(list_sum(list_slice(list_concat(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 79, 128)), 6) AS total FROM embeddings")
+def history_tail(spark, d):
+    h = vector.tail(F.concat("embedding", F.reverse("embedding")), 50)
+    return _six(_table(spark, d, "embeddings").select("vec_id", F.size(h).alias("n"), F.aggregate(h, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total")))
+
+
+@_query(f"SELECT unnest([{', '.join(repr(n) for n in taxonomy.core_features())}]) AS feature")
+def core_set(spark, d):
+    names = taxonomy.names_frame(spark)
+    return names.where(taxonomy.is_core(F.col("name"))).select(F.col("name").alias("feature")).distinct()
+
+
+@_query("SELECT unnest(['l_missing', 'l_other']) AS feature")
+def missing_columns(spark, d):
+    try:
+        realign(_lineitem(spark, d), ["l_tax", "l_missing", "l_other"])
+    except KeyError as e:
+        return spark.createDataFrame([(n,) for n in str(e.args[0]).removeprefix("missing features: ").split(", ")], "feature string")
+    raise AssertionError("nothing was missing")
+
+
+@_query("SELECT 'user_' || user_id AS speaker_id, CAST(count(*) AS DOUBLE) AS n, 0.0::DOUBLE AS sum_a FROM events GROUP BY user_id")
+def json_defaults(spark, d):
+    """A baseline document that lacks sums, as nested text."""
+    by = _table(spark, d, "events").groupBy(F.concat(F.lit("user_"), F.col("user_id")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    text = by.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("n")))).alias("speakers")).select(F.to_json(F.struct("speakers")).alias("value"))
+    path = tables.scratch_path(spark, "json")
+    text.coalesce(1).write.text(path)
+    return tables.baselines_from_json(spark, path).select("speaker_id", "n", "sum_a")
+
+
+@_query(f"SELECT {ID} AS speaker_id, vec_id % 7 AS n_samples, round(embedding[1]::DOUBLE, 6) AS c1, false AS registered FROM embeddings")
+def registry_json(spark, d):
+    rows = _registry(spark, d).select("speaker_id", F.struct("label", F.col("centroid"), ((F.col("insert_no") - 1) % 7).alias("n_samples")).alias("s"))
+    text = rows.agg(F.map_from_entries(F.collect_list(F.struct("speaker_id", "s"))).alias("speakers")).select(F.to_json(F.struct(F.lit(1).alias("version"), "speakers")).alias("value"))
+    path = tables.scratch_path(spark, "json")
+    text.coalesce(1).write.text(path)
+    return _six(tables.registry_from_json(spark, path).select("speaker_id", "n_samples", F.col("centroid")[0].alias("c1"), "registered"))
+
+
+@_query("SELECT vec_id, CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(trunc(x * 32767) AS BIGINT))) AS BIGINT) AS total FROM embeddings")
+def pcm_casts(spark, d):
+    pcm = scalar.pcm16(F.transform("embedding", lambda x: x.cast("double")))
+    return _table(spark, d, "embeddings").select("vec_id", F.aggregate(pcm, F.lit(0).cast("long"), lambda s, x: s + x.cast("long")).alias("total"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 2 = 0 THEN l_tax::DOUBLE ELSE 1 / (1 + exp(-(0.4 * l_discount::DOUBLE + 0.4 * l_tax::DOUBLE - 0.2 * l_quantity::DOUBLE / 50))) END, 6) AS y FROM lineitem")
+def label_choice(spark, d):
+    """The given label, or the voice-quality proxy where there is none."""
+    names = {"jitterLocal_sma3nz_amean": F.col("l_discount"), "shimmerLocaldB_sma3nz_amean": F.col("l_tax"), "HNRdBACF_sma3nz_amean": F.col("l_quantity") / 50, "lab": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax"))}
+    rows = _lineitem(spark, d).withColumns(names)
+    return _six(model.label_exertion(rows, [n for n in names if n != "lab"], "lab").select("l_orderkey", "l_linenumber", F.col("_y_exertion").alias("y")))
+
+
+@_query("SELECT vec_id, 64 AS n, true AS same FROM embeddings")
+def resample_identity(spark, d):
+    rows = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(16000).alias("sample_rate"))
+    back = providers.at_rate(rows).join(rows.select("vec_id", F.col("samples").alias("own")), "vec_id")
+    return back.select("vec_id", F.size("samples").alias("n"), (F.col("samples") == F.col("own")).alias("same"))
+
+
+@_query(f"WITH {SEG}, {LIM} SELECT event_id, {STATE} FROM seg, lim")
+def result_facade(spark, d):
+    """From a path of scored rows to states, as one call."""
+    path = tables.scratch_path(spark, "scores")
+    _segments(spark, d).write.parquet(path)
+    return end_to_end.classify_results(path).select("event_id", "state", "confidence")

@@ -9,27 +9,41 @@ from cadence.functions.scalar import zscore
 
 
 
-def fit(df: DataFrame, *, speaker: str, features: list[str], min_samples: int = 3) -> DataFrame:
-    """Rows of the aligner: each speaker's and, under a null speaker, everyone's mean, sample deviation and count. NaN is skipped."""
-    known = lambda f: F.when(~F.isnan(F.col(f"`{f}`").cast("double")), F.col(f"`{f}`").cast("double"))
+def _stats(grouped, features: list[str], tag: str) -> DataFrame:
+    """Count, and each feature's mean and sample deviation. NaN is skipped."""
+    aggs = [F.count(F.lit(1)).alias(f"{tag}n")]
+    for i, f in enumerate(features):
+        x = F.col(f"`{f}`").cast("double")
+        known = F.when(~F.isnan(x), x)
+        aggs += [F.avg(known).alias(f"{tag}m{i}"), F.stddev_samp(known).alias(f"{tag}s{i}")]
+    return grouped.agg(*aggs)
 
-    def stats(grouped) -> DataFrame:
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, f in enumerate(features):
-            aggs += [F.avg(known(f)).alias(f"m{i}"), F.stddev_samp(known(f)).alias(f"s{i}")]
-        return grouped.agg(*aggs)
+
+def fit(df: DataFrame, *, speaker: str, features: list[str], min_samples: int = 3) -> DataFrame:
+    """Rows of the aligner: each speaker's and, under a null speaker, everyone's mean, sample deviation and count."""
 
     def tall(wide: DataFrame, who) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i, f in enumerate(features)])
-        return wide.select(who.alias("speaker"), "n", F.explode(each).alias("x")).select("speaker", "x.feature", "x.mean", "x.std", "n")
+        each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std")) for i, f in enumerate(features)])
+        return wide.select(who.alias("speaker"), F.col("_n").alias("n"), F.explode(each).alias("x")).select("speaker", "x.feature", "x.mean", "x.std", "n")
 
-    own = tall(stats(df.groupBy(F.col(speaker).cast("string").alias("speaker"))).where("speaker is not null"), F.col("speaker"))
-    every = tall(stats(df.groupBy()), F.lit(None).cast("string"))
+    own = tall(_stats(df.groupBy(F.col(speaker).cast("string").alias("_sp")), features, "_").where("_sp is not null"), F.col("_sp"))
+    every = tall(_stats(df.groupBy(), features, "_"), F.lit(None).cast("string"))
     return own.unionByName(every).withColumn("use_global", F.col("speaker").isNotNull() & (F.col("n") < min_samples))
 
 
+def _applied(df: DataFrame, own: DataFrame, every: DataFrame, speaker: str, features: list[str], eps: float) -> DataFrame:
+    rows = df.join(own, F.col(speaker).cast("string") == F.col("_sp"), "left").crossJoin(F.broadcast(every))  # one row
+    fall = F.coalesce(F.col("_use"), F.lit(True))
+    out = {}
+    for i, f in enumerate(features):
+        m, s = (F.when(fall, F.col(f"_g{k}{i}")).otherwise(F.col(f"_o{k}{i}")) for k in "ms")
+        out[f] = zscore(F.col(f"`{f}`").cast("double"), m, s, eps)
+    return rows.select(*[(out[c].alias(c) if c in out else F.col(f"`{c}`")) for c in df.columns], fall.alias("low_confidence"))
+
+
 def transform(df: DataFrame, aligner: DataFrame, *, speaker: str, features: list[str], eps: float = 1e-8) -> DataFrame:
     """``df`` with features as z-scores and ``low_confidence`` where the population's figures had to serve."""
+
     def pivoted(rows: DataFrame, tag: str, keys: list[str]) -> DataFrame:
         aggs = [F.max("use_global").alias("_use")]
         for i, f in enumerate(features):
@@ -39,19 +53,17 @@ def transform(df: DataFrame, aligner: DataFrame, *, speaker: str, features: list
 
     own = pivoted(aligner.where("speaker is not null"), "_o", ["speaker"]).withColumnRenamed("speaker", "_sp")
     every = pivoted(aligner.where("speaker is null"), "_g", []).drop("_use")
-    rows = df.join(own, F.col(speaker).cast("string") == F.col("_sp"), "left").crossJoin(F.broadcast(every))  # one row
-    fall = F.coalesce(F.col("_use"), F.lit(True))
-    out = {}
-    for i, f in enumerate(features):
-        m, s = (F.when(fall, F.col(f"_g{k}{i}")).otherwise(F.col(f"_o{k}{i}")) for k in "ms")
-        out[f] = zscore(F.col(f"`{f}`").cast("double"), m, s, eps)
-    return rows.select(*[(out[c].alias(c) if c in out else F.col(f"`{c}`")) for c in df.columns], fall.alias("low_confidence"))
+    return _applied(df, own, every, speaker, features, eps)
 
 
 def align(df: DataFrame, *, speaker: str, features: list[str], aligner: DataFrame | None = None, min_samples: int = 3) -> DataFrame:
     """Fit and transform, or transform only with an aligner at hand."""
-    fitted = aligner if aligner is not None else fit(df, speaker=speaker, features=features, min_samples=min_samples)
-    return transform(df, fitted, speaker=speaker, features=features)
+    if aligner is not None:
+        return transform(df, aligner, speaker=speaker, features=features)
+    # A fresh fit stays wide: one aggregate by speaker and one over all, joined back.
+    own = _stats(df.groupBy(F.col(speaker).cast("string").alias("_sp")), features, "_o").where("_sp is not null").withColumn("_use", F.col("_on") < min_samples)
+    every = _stats(df.groupBy(), features, "_g")
+    return _applied(df, own, every, speaker, features, 1e-8)
 
 
 def summary(aligner: DataFrame, features: list[str]) -> DataFrame:

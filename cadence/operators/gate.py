@@ -25,13 +25,34 @@ def snr_db(audio: str | Column, frame: int = 512, hop: int = 256) -> Column:
     return F.when(n < 2, F.lit(float("-inf"))).otherwise(value)
 
 
+def long_enough(audio: str | Column, sec: float = 0.3, rate: int = 16000) -> Column:
+    audio = F.col(audio) if isinstance(audio, str) else audio
+    return F.coalesce(F.size(audio) >= sec * rate, F.lit(False))
+
+
+def numbered(df: DataFrame, order_by: str, out: str) -> DataFrame:
+    """Rows numbered from 0 in order, without one task that holds them all: ranges of the order are numbered each for itself, after the counts of those before."""
+    from cadence.sources.tables import scratch
+
+    dealt = df.repartitionByRange(F.col(order_by)).withColumn("_part", F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order_by)) - 1
+    rows = scratch(dealt.withColumn("_no", own), "numbered")  # ranges are drawn from a sample, so they are fixed first
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offsets = counts.withColumnRenamed("_part", "_p").select("_p", before.alias("_o"))
+    return rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(out, F.col("_no") + F.col("_o")).drop("_part", "_p", "_no", "_o")
+
+
 def gate(df: DataFrame, *, duration: str = "duration_sec", snr: str = "snr_db", tse: str = "tse_confidence", order_by: str, min_sec: float = 0.3, min_snr: float = 3.0, min_tse: float = 0.6, keys: tuple[str, ...] = ()) -> DataFrame:
     """Drops short segments, flags the others, and gives ids by place before dropping where none is set."""
-    w = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    no = F.row_number().over(w.orderBy(order_by)) - 1
-    name = F.coalesce(F.nullif(F.col("segment_id").cast("string"), F.lit("")), F.format_string("seg_%03d", no)) if "segment_id" in df.columns else F.format_string("seg_%03d", no)
+    if keys:
+        df = df.withColumn("_seg", F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys]).orderBy(order_by)) - 1)
+    else:
+        df = numbered(df, order_by, "_seg")
+    place = F.format_string("seg_%03d", F.col("_seg").cast("long"))
+    name = F.coalesce(F.nullif(F.col("segment_id").cast("string"), F.lit("")), place) if "segment_id" in df.columns else place
     flag = F.when(F.col(tse) < min_tse, "uncertain").when(F.col(snr) < min_snr, "low_snr").otherwise("ok")
-    return df.withColumn("segment_id", name).where(F.col(duration) >= min_sec).withColumn("quality_flag", flag)
+    return df.withColumn("segment_id", name).where(F.col(duration) >= min_sec).withColumn("quality_flag", flag).drop("_seg")
 
 
 def histogram(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -99,44 +99,49 @@ def expected_value(nodes: list[dict], at: int = 0) -> float:
     return (a["cover"] * expected_value(nodes, n["left"]) + b["cover"] * expected_value(nodes, n["right"])) / (a["cover"] + b["cover"])
 
 
-def tree_shap(nodes: list[dict], x: np.ndarray, n_features: int) -> np.ndarray:
-    """Shapley values of one tree for one row, exact, in polynomial time.
+Path = tuple[float, list[tuple[int, float, list[tuple[float, bool]]]]]
 
-    On the way to a leaf every feature contributes a pair: the share of rows
-    that would pass if the feature were unknown, and whether this row passes. A
-    leaf's value is spread by the polynomial of those pairs, whose coefficients
-    count subsets by size.
-    """
-    phi = np.zeros(n_features)
-
-    def leaf(value: float, pairs: dict[int, tuple[float, float]]) -> None:
-        items = list(pairs.items())
-        d = len(items)
-        for i, (feature, (zero, one)) in enumerate(items):
-            poly = np.ones(1)
-            for j, (_, (z, o)) in enumerate(items):
-                if j != i:
-                    grown = np.zeros(len(poly) + 1)
-                    grown[:-1] += poly * z
-                    grown[1:] += poly * o
-                    poly = grown
-            weight = np.ones(d)
-            for s in range(1, d):
-                weight[s] = weight[s - 1] * s / (d - s)
-            phi[feature] += value * (one - zero) * float((poly * weight).sum()) / d
-
-    def walk(at: int, pairs: dict[int, tuple[float, float]]) -> None:
+
+def leaf_paths(nodes: list[dict]) -> list[Path]:
+    """Each leaf's value and, for every feature asked on the way, the share of rows that would pass if it were unknown and the tests (threshold, left) that a row must pass."""
+    out: list[Path] = []
+
+    def walk(at: int, way: dict[int, tuple[float, list[tuple[float, bool]]]]) -> None:
         n = nodes[at]
         if n["feature"] < 0:
-            leaf(n["value"], pairs)
+            out.append((n["value"], [(f, zero, tests) for f, (zero, tests) in way.items()]))
             return
         total = nodes[n["left"]]["cover"] + nodes[n["right"]]["cover"]
-        goes_left = x[n["feature"]] <= n["threshold"]
-        for child, taken in ((n["left"], goes_left), (n["right"], not goes_left)):
-            zero, one = pairs.get(n["feature"], (1.0, 1.0))
-            walk(child, pairs | {n["feature"]: (zero * nodes[child]["cover"] / total, one * float(taken))})
+        for child, left in ((n["left"], True), (n["right"], False)):
+            zero, tests = way.get(n["feature"], (1.0, []))
+            walk(child, way | {n["feature"]: (zero * nodes[child]["cover"] / total, [*tests, (n["threshold"], left)])})
 
     walk(0, {})
+    return out
+
+
+def batch_shap(paths: list[Path], x: np.ndarray) -> np.ndarray:
+    """Shapley values of one tree for all rows of ``x``, exact, one pass for each leaf.
+
+    On the way to a leaf every feature contributes a pair: the share of rows
+    that would pass if the feature were unknown, and whether a row passes. A
+    leaf's value is spread by the polynomial of those pairs, whose coefficients
+    count subsets by size.
+    """
+    phi = np.zeros(x.shape)
+    for value, way in paths:
+        d = len(way)
+        ones = [np.logical_and.reduce([(x[:, f] <= t) == left for t, left in tests]).astype(float) for f, _, tests in way]
+        weight = [1.0] * d
+        for s in range(1, d):
+            weight[s] = weight[s - 1] * s / (d - s)
+        for i, (feature, zero, _) in enumerate(way):
+            poly = [np.ones(len(x))]
+            for j, (_, z, _) in enumerate(way):
+                if j != i:
+                    poly = [(poly[k] * z if k < len(poly) else 0.0) + (poly[k - 1] * ones[j] if k else 0.0) for k in range(len(poly) + 1)]
+            spread = sum(p * w for p, w in zip(poly, weight, strict=True))
+            phi[:, feature] += value / d * (ones[i] - zero) * spread
     return phi
 
 
@@ -144,20 +149,39 @@ def explain(df: DataFrame, model, features: list[str], id_cols: list[str]) -> Da
     """``id_cols, base_value, shap`` (one value per feature, in order); values and base add up to the prediction."""
     forest = forest_of(model)
     base = sum(w * expected_value(t) for w, t in forest)
-    shared = df.sparkSession.sparkContext.broadcast(forest)  # bounded by the number of trees and their depth
+    shared = df.sparkSession.sparkContext.broadcast([(w, leaf_paths(t)) for w, t in forest])  # bounded by the number of trees and their depth
     n = len(features)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             x = pdf[[f"_f{i}" for i in range(n)]].to_numpy(float)
-            values = [sum((w * tree_shap(t, row, n) for w, t in shared.value), np.zeros(n)).tolist() for row in x]
-            yield pd.concat([pdf[id_cols], pd.DataFrame({"base_value": base, "shap": values}, index=pdf.index)], axis=1)
+            values = sum((w * batch_shap(t, x) for w, t in shared.value), np.zeros(x.shape))
+            yield pd.concat([pdf[id_cols], pd.DataFrame({"base_value": base, "shap": values.tolist()}, index=pdf.index)], axis=1)
 
     ids = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
     rows = df.select(*id_cols, *[F.col(f"`{f}`").cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
     return rows.mapInPandas(run, f"{ids}, base_value double, shap array<double>")
 
 
+def tree_table(spark, model) -> DataFrame:
+    """The model as rows ``tree, weight, node, feature, threshold, left, right, value, cover``; leaves have no feature."""
+    rows = [(t, w, i, n["feature"] if n["feature"] >= 0 else None, n["threshold"], n["left"], n["right"], n["value"], n["cover"]) for t, (w, nodes) in enumerate(forest_of(model)) for i, n in enumerate(nodes)]
+    return spark.createDataFrame(rows, "tree int, weight double, node int, feature int, threshold double, left int, right int, value double, cover double")
+
+
+_loaded: dict[tuple[str, str], Regressors] = {}
+
+
+def get_models(path: str) -> Regressors:
+    """The models at a path, read once for each application."""
+    from pyspark.sql import SparkSession
+
+    key = (SparkSession.active().sparkContext.applicationId, path)
+    if key not in _loaded:
+        _loaded[key] = Regressors.load(path)
+    return _loaded[key]
+
+
 def cross_validate(df: DataFrame, *, features: list[str], speaker: str, fatigue: str, order_by: str, n_folds: int = 7, **training) -> DataFrame:
     """Leave one speaker out: trained on ``1 - fatigue`` as arousal; concordance and accuracy of each fold."""
     out = None

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions import vector
@@ -22,28 +25,58 @@ def adaptive_threshold(n: Column, last_seen: Column | None = None, as_of: Column
     return out
 
 
+_PART = 2048
+
+
+def _packed(rows: DataFrame, vector_col: str, keep: list[str]) -> DataFrame:
+    """Rows as matrices of at most _PART vectors (doubles, packed), with lists of ``keep``."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = ", ".join([*(f"`{c}` array<{kinds[c].simpleString()}>" for c in keep), "m binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, _PART):
+                part = b.slice(i, _PART)
+                values = part.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(float)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([values.tobytes()], pa.binary())], names=[*keep, "m"])
+
+    return rows.select(*keep, vector_col).mapInArrow(run, schema)
+
+
 def nearest(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding: str = "embedding", max_broadcast: int = 20_000) -> DataFrame:
-    """``id_col, speaker_id, similarity``: the most similar non-zero centroid, the earliest registered on ties.
+    """``id_col, speaker_id, similarity, invalid``: the most similar non-zero centroid, the earliest registered on ties.
 
-    A registry of at most ``max_broadcast`` speakers (counted first) is sent to
-    every task. A larger one is dealt in blocks of speakers, each block meets all queries, and the best of each
-    block are compared in a second step.
+    Queries and speakers travel as blocks of _PART vectors, and a pair of blocks is one matrix product that keeps each query's best, so
+    similarities themselves are never rows. A registry of at most ``max_broadcast`` speakers (counted
+    first) is sent to every task; the blocks of a larger one are paired with the queries' blocks.
     """
-    speakers = registry.where(F.col("centroid").isNotNull() & (vector.norm("centroid") >= ZERO)).select("speaker_id", "insert_no", F.transform("centroid", lambda x: x.cast("double")).alias("centroid"))
-    asked = queries.select(id_col, vector.unit(embedding, EPS).alias("_q"), vector.norm(embedding).alias("_norm"))
-    best = F.max_by(F.struct("speaker_id", "similarity"), F.struct("similarity", (-F.col("insert_no")).alias("i"))).alias("x")
-    sim = vector.dot("_q", "centroid").alias("similarity")
+    speakers = registry.where(F.col("centroid").isNotNull() & (vector.norm("centroid") >= ZERO)).select("speaker_id", "insert_no", F.transform("centroid", lambda x: x.cast("double")).alias("c"))
+    asked = queries.select(F.col(id_col).alias("id"), vector.unit(embedding, EPS).alias("q"), vector.norm(embedding).alias("_norm"))
+    kind = asked.schema["id"].dataType.simpleString()
     size = speakers.count()
+    left = _packed(asked.where(F.col("_norm") >= ZERO), "q", ["id"])
     if size <= max_broadcast:
-        pairs = asked.where(F.col("_norm") >= ZERO).join(F.broadcast(speakers))
-        top = pairs.select(id_col, "speaker_id", "insert_no", sim).groupBy(id_col).agg(best).select(id_col, "x.*")
+        right = F.broadcast(_packed(speakers.coalesce(1), "c", ["speaker_id", "insert_no"]).withColumnRenamed("m", "c"))
     else:
-        blocks = -(-size // max_broadcast)
-        lists = speakers.withColumn("_b", F.pmod(F.xxhash64("speaker_id"), F.lit(blocks)))
-        spread = asked.where(F.col("_norm") >= ZERO).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = spread.join(lists, "_b").select(id_col, "speaker_id", "insert_no", sim)
-        top = pairs.groupBy(id_col).agg(best).select(id_col, "x.*")
-    return asked.select(id_col, "_norm").join(top, id_col, "left").select(id_col, "speaker_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), (F.col("_norm") < ZERO).alias("invalid"))
+        right = _packed(speakers.repartition(-(-size // _PART), "speaker_id"), "c", ["speaker_id", "insert_no"]).withColumnRenamed("m", "c")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, names, nos = (b.column(c)[i].values for c in ("id", "speaker_id", "insert_no"))
+                q = np.frombuffer(b.column("m")[i].as_py()).reshape(len(ids), -1)
+                c = np.frombuffer(b.column("c")[i].as_py()).reshape(len(names), -1)
+                order = np.argsort(nos.to_numpy(), kind="stable")  # the first of equal ones is the earliest
+                sims = q @ c[order].T
+                at = sims.argmax(1)
+                take = pa.array(order[at])
+                yield pa.RecordBatch.from_arrays([ids, names.take(take), nos.take(take), pa.array(sims[np.arange(len(at)), at])], names=["id", "speaker_id", "insert_no", "similarity"])
+
+    found = left.crossJoin(right).mapInArrow(best, f"id {kind}, speaker_id string, insert_no long, similarity double")
+    top = found.groupBy("id").agg(F.max_by(F.struct("speaker_id", "similarity"), F.struct("similarity", (-F.col("insert_no")).alias("i"))).alias("x")).select("id", "x.*")
+    out = asked.select("id", "_norm").join(top, "id", "left")
+    return out.select(F.col("id").alias(id_col), "speaker_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), (F.col("_norm") < ZERO).alias("invalid"))
 
 
 def decide(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding: str = "embedding", as_of: Column | None = None, base: float = BASE) -> DataFrame:
@@ -62,6 +95,12 @@ class Registry:
     def __init__(self, rows: list[dict], base: float = BASE):
         self.base = base
         self.rows = sorted((dict(r) for r in rows), key=lambda r: r["insert_no"])
+        self.usable = [r["centroid"] is not None and np.linalg.norm(r["centroid"]) >= ZERO for r in self.rows]
+        width = max([len(r["centroid"]) for r, ok in zip(self.rows, self.usable, strict=True) if ok], default=0)
+        self.known = np.zeros((max(16, 2 * len(self.rows)), width))
+        for i, (r, ok) in enumerate(zip(self.rows, self.usable, strict=True)):
+            if ok:
+                self.known[i] = r["centroid"]
         self.next = 1 + max([int(t) for r in self.rows if (t := str(r["speaker_id"]).rpartition("_")[2]).isdigit()], default=0)
         self.order = 1 + max([r["insert_no"] for r in self.rows], default=0)
 
@@ -77,18 +116,26 @@ class Registry:
             return None, -1.0, "invalid"
         q = e / (size + EPS)
         best, sim = None, -1.0
-        for r in self.rows:
-            c = np.asarray(r["centroid"], float)
-            if np.linalg.norm(c) >= ZERO and (s := float(q @ c)) > sim:
-                best, sim = r, s
+        if any(self.usable):
+            sims = np.where(self.usable, self.known[: len(self.rows)] @ q, -np.inf)
+            at = int(sims.argmax())  # the earliest of equal ones
+            if sims[at] > -1.0:
+                best, sim = self.rows[at], float(sims[at])
         if best is not None and sim >= (limit := self.threshold(best, now)):
             rate = min(0.1, 1 / max(best["n_samples"], 1))
             c = (1 - rate) * np.asarray(best["centroid"], float) + rate * q
             c = c / (np.linalg.norm(c) + EPS)
+            self.known[at] = c
             best |= {"centroid": c.tolist(), "n_samples": best["n_samples"] + 1, "last_seen": now, "match_history": [*(best["match_history"] if best["match_history"] is not None else []), round(float(q @ c), 4)][-HISTORY:]}
             return best["speaker_id"], sim, "match"
         near = best is not None and sim >= limit - GRAY
         name = f"persist_{self.next:03d}"
+        if not self.known.shape[1]:
+            self.known = np.zeros((len(self.known), len(q)))
+        if len(self.rows) == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[len(self.rows)] = q
+        self.usable.append(True)
         self.rows.append({"speaker_id": name, "insert_no": self.order, "label": f"auto_spk_{self.next:03d}", "centroid": q.tolist(), "n_samples": 1, "first_seen": now, "last_seen": now, "registered": False, "match_history": [], "possible_match": best["speaker_id"] if near else None, "possible_sim": sim if near else None})
         self.next, self.order = self.next + 1, self.order + 1
         return name, sim, "uncertain" if near else "new"
@@ -215,8 +262,17 @@ def summary(registry: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def display(registry: DataFrame, as_of: Column | None = None) -> DataFrame:
-    s = summary(registry, as_of)
-    return s.select(F.format_string("%s (%s)", "speaker_id", "label").alias("speaker"), "n_samples", "stage", F.when(F.col("avg_similarity") == 0, "--").otherwise(F.format_string("%.4f", F.col("avg_similarity"))).alias("avg_similarity"))
+    """The table of known speakers, most samples first, and the text by which one is chosen."""
+    s = summary(registry, as_of).join(registry.select("speaker_id", "first_seen", "last_seen"), "speaker_id")
+    name = F.when(F.col("label") != F.col("speaker_id"), F.format_string("%s (%s)", "speaker_id", "label")).otherwise(F.col("speaker_id"))
+    mean = F.when(F.col("avg_similarity") == 0, "--").otherwise(F.format_string("%.4f", F.col("avg_similarity")))
+    return s.orderBy(F.desc("n_samples"), "insert_no").select("speaker_id", "label", "n_samples", "stage", mean.alias("avg_similarity"), "first_seen", "last_seen", name.alias("choice"))
+
+
+def speaker_ids(registry: DataFrame) -> DataFrame:
+    """``position, speaker_id`` in order of registration, from 0."""
+    counts = F.row_number().over(Window.orderBy("insert_no")) - 1  # a narrow row for each speaker
+    return registry.select("speaker_id", "insert_no").select(counts.alias("position"), "speaker_id")
 
 
 def cluster_counts(df: DataFrame, cluster: str = "cluster") -> DataFrame:

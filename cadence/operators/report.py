@@ -36,6 +36,18 @@ def fatigue_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("fatigue_prob") > 0.5).alias("n_fatigue_tendency"))
 
 
-def training_report(metrics: DataFrame, importance: dict[str, DataFrame], shards: DataFrame, states: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Named frames of the training report; written as one folder by the sink."""
-    return {"metrics": metrics, "shards": shards, **{f"importance_{k}": v for k, v in importance.items()}, **{f"sample_{k}": v for k, v in states.items()}}
+def training_report(metrics: DataFrame, importance: dict[str, DataFrame], predictions: DataFrame, parameters: dict[str, object], *, order_by: str, head: int = 500) -> dict[str, DataFrame]:
+    """The seven named frames of the training report: metrics, ranked features and groups of each of two tasks, the first predictions with their errors, and the parameters.
+
+    ``importance``: by task, as :func:`metrics.global_importance` ranks it; ``predictions``: for each task ``t`` columns ``true_t`` and ``pred_t``.
+    """
+    from cadence.operators.metrics import group_importance
+
+    out = {"metrics": metrics}
+    for task, ranked in importance.items():
+        out[f"shap_{task}"] = ranked
+        out[f"groups_{task}"] = group_importance(ranked)
+    errors = {f"error_{t}": F.col(f"pred_{t}") - F.col(f"true_{t}") for t in importance}
+    out["predictions"] = predictions.withColumns(errors).orderBy(order_by).limit(head)
+    out["parameters"] = metrics.sparkSession.createDataFrame([(k, str(v)) for k, v in parameters.items()], "parameter string, value string")
+    return out

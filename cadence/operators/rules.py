@@ -5,34 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators.quantiles import percentiles
+
 LABELS = {"excited": "excited", "stable": "stable", "fatigued": "fatigued"}
 #: Used where no thresholds are given.
 DEFAULTS = {"arousal_low": 0.55, "arousal_high": 0.80, "exertion_low": 0.85, "exertion_high": 0.95}
 
 
 def thresholds(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``low`` (25th percentile), ``high`` (75th), ``mean``; percentiles interpolate linearly."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.groupBy(*keys).agg(p.alias("_p"), F.avg(value).alias("mean")).select(*keys, F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "mean")
+    """``low`` (25th percentile), ``high`` (75th), ``mean``; percentiles interpolate linearly. See :mod:`cadence.operators.quantiles` for large frames."""
+    p, means = percentiles(df, value, [0.25, 0.75], keys), df.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & p[k].eqNullSafe(means[k])
+    return p.join(means, same).select(*[p[k] for k in keys], F.col("percentiles")[0].alias("low"), F.col("percentiles")[1].alias("high"), "mean")
 
 
 def with_thresholds(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``a_low, a_high, e_high`` of the frame or of each group; one row of thresholds per group is joined, not a window that holds a group."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    limits = df.groupBy(*keys).agg(p("arousal", 0.25).alias("a_low"), p("arousal", 0.75).alias("a_high"), p("exertion", 0.75).alias("e_high"))
+    a, e = percentiles(df, "arousal", [0.25, 0.75], keys), percentiles(df, "exertion", [0.75], keys)
+    a = a.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("percentiles")[0].alias("a_low"), F.col("percentiles")[1].alias("a_high"))
+    e = e.select(*[F.col(k).alias(f"_e{k}") for k in keys], F.col("percentiles")[0].alias("e_high"))
     if not keys:
-        return df.crossJoin(F.broadcast(limits))  # one row
-    named = limits.select(*[F.col(k).alias(f"_{k}") for k in keys], "a_low", "a_high", "e_high")
-    same = None
+        return df.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(e))  # one row each
+    same, both = F.lit(True), F.lit(True)
     for k in keys:
-        same = df[k].eqNullSafe(named[f"_{k}"]) if same is None else same & df[k].eqNullSafe(named[f"_{k}"])
-    return df.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+        both = both & F.col(f"_{k}").eqNullSafe(F.col(f"_e{k}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(a.join(e, both), same, "left").drop(*[f"_{k}" for k in keys], *[f"_e{k}" for k in keys])
+
+
+#: What a reason says: name of a score, comparison and limit; and the stable one, with the score and both limits.
+TEXTS = {"reason": "%s=%.2f %s threshold(%.2f)", "stable": "arousal=%.2f within [%.2f, %.2f]", "arousal": "arousal", "exertion": "exertion"}
 
 
-def state_struct(a: Column, e: Column, a_low: Column, a_high: Column, e_high: Column, labels: dict[str, str] = LABELS) -> Column:
+def state_struct(a: Column, e: Column, a_low: Column, a_high: Column, e_high: Column, labels: dict[str, str] = LABELS, texts: dict[str, str] = TEXTS) -> Column:
     """``state, confidence, reason``. Comparisons are strict, NaN meets none of them."""
     above = lambda x, y: (x > y) & ~F.isnan(x)
-    say = lambda name, x, sign, y: F.format_string(f"{name}=%.2f {sign} threshold(%.2f)", x.cast("double"), y.cast("double"))
+    say = lambda name, x, sign, y: F.format_string(texts["reason"], F.lit(texts[name]), x.cast("double"), F.lit(sign), y.cast("double"))
 
     def out(state: str, confidence: str, *reasons: Column) -> Column:
         return F.struct(F.lit(labels[state]).alias("state"), F.lit(confidence).alias("confidence"), F.concat_ws("; ", *reasons).alias("reason"))
@@ -42,17 +52,17 @@ def state_struct(a: Column, e: Column, a_low: Column, a_high: Column, e_high: Co
         F.when(above(a, a_high), out("excited", "high", say("arousal", a, ">", a_high)))
         .when(low & above(e, e_high), out("fatigued", "high", say("arousal", a, "<", a_low), say("exertion", e, ">", e_high)))
         .when(low, out("fatigued", "medium", say("arousal", a, "<", a_low), say("exertion", e, "<=", e_high)))
-        .otherwise(out("stable", "high", F.lit("arousal within thresholds")))
+        .otherwise(out("stable", "high", F.format_string(texts["stable"], a.cast("double"), a_low.cast("double"), a_high.cast("double"))))
     )
 
 
-def classify(df: DataFrame, keys: tuple[str, ...] = (), limits: dict[str, float] | None = None, labels: dict[str, str] = LABELS) -> DataFrame:
+def classify(df: DataFrame, keys: tuple[str, ...] = (), limits: dict[str, float] | None = None, labels: dict[str, str] = LABELS, texts: dict[str, str] = TEXTS) -> DataFrame:
     """``df`` with ``state, confidence, reason``. ``limits`` (see DEFAULTS) replaces thresholds from the data."""
     if limits is None:
         rows = with_thresholds(df, keys)
     else:
         rows = df.withColumns({"a_low": F.lit(limits["arousal_low"]), "a_high": F.lit(limits["arousal_high"]), "e_high": F.lit(limits["exertion_high"])})
-    s = state_struct(F.col("arousal"), F.col("exertion"), F.col("a_low"), F.col("a_high"), F.col("e_high"), labels)
+    s = state_struct(F.col("arousal"), F.col("exertion"), F.col("a_low"), F.col("a_high"), F.col("e_high"), labels, texts)
     return rows.withColumn("_s", s).select(*df.columns, "_s.state", "_s.confidence", "_s.reason")
 
 

@@ -1,14 +1,17 @@
-"""Scans and sinks. State tables are written to a new version and then pointed to, so a reader never meets half a write."""
+"""Scans and sinks. State tables are written to a new version, and a pointer file is then renamed over the old one, so a reader never meets half a write."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.plans.schema import BASELINES, SPEAKERS, TRACE
+from cadence.plans.schema import ALIGNER, BASELINES, SPEAKERS, TRACE
 
 
 def _fs(spark: SparkSession, path: str):
@@ -22,17 +25,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` and read back; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+    """``df`` written once below ``spark.checkpoint.dir`` and read back. Where that is unset a temporary folder serves, in local mode only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cadence-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cadence-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/cadence-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 # Scans
@@ -67,41 +73,82 @@ def speaker_library(spark: SparkSession, files: dict[str, str], decode) -> DataF
     """``speaker_id, samples, sample_rate, error`` of reference recordings by id."""
     from cadence.sources.providers import with_decoded
 
-    names = spark.createDataFrame(list(files.items()), "speaker_id string, _p string")
-    blobs = spark.read.format("binaryFile").load(list(files.values())).select("path", "content")
-    rows = blobs.join(F.broadcast(names), F.col("path").endswith(F.col("_p")))
+    whole = {who: str(_fs(spark, path)[1].makeQualified(_fs(spark, path)[0].getUri(), _fs(spark, path)[0].getWorkingDirectory()).toString()) for who, path in files.items()}
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    names = spark.createDataFrame(list(whole.items()), "speaker_id string, _p string")
+    blobs = spark.read.format("binaryFile").load(sorted(set(whole.values()))).select("path", "content")
+    rows = blobs.join(F.broadcast(names), plain("path") == plain("_p"))  # a row for each file that was named
     return with_decoded(rows.select("speaker_id", "content"), "content", decode).drop("content")
 
 
+def _pointed(spark: SparkSession, path: str) -> str:
+    return spark.read.text(f"{path}/CURRENT").first()["value"]
+
+
+_BROKEN = re.compile(r"not a Parquet file|footer|UNABLE_TO_INFER_SCHEMA|Unable to infer schema", re.I)
+
+
 def versioned_read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table that ``path/CURRENT`` names. A missing one is empty; an unreadable one is kept aside as ``.bak`` and read as empty."""
+    """The table that ``path/CURRENT`` names. A missing one is empty. One whose files are broken or gone is kept aside, each time under a new ``.bak`` name, and read as empty; any other error is raised."""
     if not exists(spark, f"{path}/CURRENT"):
         return spark.createDataFrame([], schema)
-    try:
-        version = spark.read.text(f"{path}/CURRENT").first()["value"]
-        df = spark.read.schema(schema).parquet(f"{path}/{version}")
-        df.count()
-        return df
-    except Exception:
+    version = _pointed(spark, path)
+    broken = not exists(spark, f"{path}/{version}")
+    if not broken:
+        try:
+            _ = spark.read.parquet(f"{path}/{version}").schema  # reads footers only
+        except Exception as e:
+            if not _BROKEN.search(str(e)):
+                raise
+            broken = True
+    if broken:
         fs, p = _fs(spark, path)
-        _, bak = _fs(spark, f"{path}.bak")
-        fs.delete(bak, True)
-        fs.rename(p, bak)
+        fs.rename(p, _fs(spark, f"{path}.bak-{uuid.uuid4().hex[:8]}")[1])
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{version}")
 
 
-def versioned_write(df: DataFrame, path: str, *, dirty: bool = True) -> None:
-    """Writes a new version and points to it, then drops the old; nothing happens where nothing changed."""
+def versioned_write(df: DataFrame, path: str, *, dirty: bool = True, keep: int = 2) -> None:
+    """Writes a new version and renames a pointer over the old one; nothing happens where nothing changed. The last ``keep`` versions stay for readers that have just met them."""
     if not dirty:
         return
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex[:12]}"
     df.write.parquet(f"{path}/{version}")
-    old = spark.read.text(f"{path}/CURRENT").first()["value"] if exists(spark, f"{path}/CURRENT") else None
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
-    if old:
-        fs, p = _fs(spark, f"{path}/{old}")
-        fs.delete(p, True)
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs(spark, f"{path}/CURRENT")
+    if fs.exists(p) and fs.getFileStatus(p).isDirectory():  # as earlier versions of this library wrote it
+        fs.rename(p, _fs(spark, f"{path}/.CURRENT-old")[1])
+    temporary = _fs(spark, f"{path}/.CURRENT-{version}")[1]
+    out = fs.create(temporary, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), fs.makeQualified(p), how)
+    old = sorted((f for f in fs.listStatus(_fs(spark, path)[1]) if f.isDirectory() and f.getPath().getName().startswith("v-") and f.getPath().getName() != version), key=lambda f: -f.getModificationTime())
+    for f in old[keep - 1 :]:
+        fs.delete(f.getPath(), True)
+
+
+def save_aligner(df: DataFrame, path: str) -> None:
+    """The rows of a fitted aligner: each speaker's figures and, under a null speaker, everyone's."""
+    versioned_write(df.select(*ALIGNER.names), path)
+
+
+def load_aligner(spark: SparkSession, path: str) -> DataFrame:
+    return versioned_read(spark, path, ALIGNER)
+
+
+def aligner_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """An earlier tool's aligner document as aligner rows; a missing one raises, since nothing can be aligned without it."""
+    figures = "mean: map<string, double>, std: map<string, double>"
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", f"feature_cols array<string>, global struct<{figures}>, baselines map<string, struct<{figures}, n: bigint, use_global: boolean>>").alias("d")).select("d.*")
+    per = lambda f: [F.col("f").alias("feature"), F.try_element_at(F.col(f"{f}.mean"), F.col("f")).alias("mean"), F.try_element_at(F.col(f"{f}.std"), F.col("f")).alias("std")]
+    own = d.select("feature_cols", F.explode("baselines").alias("speaker", "b")).select("speaker", "b", F.explode("feature_cols").alias("f")).select("speaker", *per("b"), F.col("b.n").alias("n"), F.col("b.use_global").alias("use_global"))
+    every = d.select("global", F.explode("feature_cols").alias("f")).select(F.lit(None).cast("string").alias("speaker"), *per("global"), F.lit(None).cast("long").alias("n"), F.lit(False).alias("use_global"))
+    return own.unionByName(every).select(*ALIGNER.names)
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -178,20 +225,24 @@ def append_trace(spark: SparkSession, rows: list[dict], path: str) -> None:
 
 
 def write_wav(df: DataFrame, path: str, *, samples: str = "samples", name: str = "name", rate: int = 16000) -> DataFrame:
-    """PCM16 WAV bytes per row, written as files of their names by each task through Spark's file system; ``name, path, n_bytes``."""
-    import struct
+    """A PCM16 WAV file for each row below ``path``, written by the tasks; ``name, path, n_bytes`` of each. Names may hold no slash; equal names overwrite each other."""
+    from cadence.sources.providers import wav_bytes
 
     def run(batches):
-        import pyarrow as pa
+        from pyarrow import fs as files
 
+        system, root = files.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (files.LocalFileSystem(), path)
+        system.create_dir(root, recursive=True)
         for b in batches:
             out = []
-            for who, x in zip(b.column(name).to_pylist(), b.column(samples).to_pylist(), strict=True):
-                data = b"".join(struct.pack("<h", int(max(-1.0, min(1.0, v)) * 32767)) for v in (x or []))
-                head = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(data))
-                out.append((who, head + data))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], names=["name", "wav"])
-
-    blobs = df.select(F.col(name).cast("string").alias(name), samples).mapInArrow(run, "name string, wav binary")
-    blobs.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).select("name", F.length("wav").alias("n_bytes"))
+            for who, x in zip(b.column("name").to_pylist(), b.column("samples").to_pylist(), strict=True):
+                if not who or "/" in who:
+                    raise ValueError(f"not a file name: {who!r}")
+                data = wav_bytes(x or [], rate)
+                with system.open_output_stream(f"{root}/.{who}.part") as f:
+                    f.write(data)
+                system.move(f"{root}/.{who}.part", f"{root}/{who}")
+                out.append((who, f"{path.rstrip('/')}/{who}", len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["name", "path", "n_bytes"])
+
+    return scratch(df.select(F.col(name).cast("string").alias("name"), F.col(samples).alias("samples")).mapInArrow(run, "name string, path string, n_bytes long"), "wav")

@@ -40,19 +40,27 @@ def running_baselines(stream: DataFrame, *, speaker: str, order_by: str, value:
     return rows.groupBy(speaker).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def match_and_update(stream: DataFrame, *, scope: str, id_col: str, order_by: str, embedding: str = "embedding", base: float = BASE) -> DataFrame:
-    """Registry matching with one registry per scope in the state store."""
-    kinds = {c: stream.schema[c].dataType.simpleString() for c in (scope, id_col, order_by)}
-    state = T.StructType.fromDDL("rows string")
+def match_and_update(stream: DataFrame, *, scope: str, id_col: str, order_by: str, embedding: str = "embedding", now: str | None = None, base: float = BASE) -> DataFrame:
+    """Registry matching with one registry per scope in the state store, a struct for each speaker; ``now`` names the column by which speakers grow stale."""
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (scope, id_col)}
+    state = T.StructType([T.StructField("rows", T.ArrayType(SPEAKERS))])
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        registry = Registry(json.loads(held.get[0]) if held.exists else [], base)
-        rows = pd.concat(list(frames)).sort_values(order_by, kind="stable")
-        out = [(key[0], r[0], *registry.take(np.asarray(r[1], float), None)) for r in rows[[id_col, embedding]].itertuples(index=False)]
-        held.update((json.dumps([{k: r[k] for k in SPEAKERS.names} for r in registry.rows]),))
+        rows = [dict(zip(SPEAKERS.names, r, strict=True)) for r in held.get[0]] if held.exists else []
+        for r in rows:
+            r["last_seen"] = None if r["last_seen"] is None else pd.Timestamp(r["last_seen"])
+        registry = Registry(rows, base)
+        out = []
+        for r in pd.concat(list(frames)).sort_values("ord", kind="stable").itertuples(index=False):
+            e = np.zeros(0) if r.embedding is None else np.asarray(r.embedding, float)
+            out.append((key[0], r.id, *registry.take(e, None if pd.isna(r.now) else r.now)))
+        held.update(([tuple(plain(r[n]) for n in SPEAKERS.names) for r in registry.rows],))
         yield pd.DataFrame(out, columns=[scope, id_col, "speaker_id", "similarity", "decision"])
 
+    def plain(x):
+        return x.to_pydatetime() if isinstance(x, pd.Timestamp) else [float(v) for v in x] if isinstance(x, (list, np.ndarray)) else x
+
     schema = f"`{scope}` {kinds[scope]}, `{id_col}` {kinds[id_col]}, speaker_id string, similarity double, decision string"
-    return stream.select(scope, id_col, order_by, embedding).groupBy(scope).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+    when = (F.col(now).cast("timestamp") if now else F.lit(None).cast("timestamp")).alias("now")
+    rows = stream.select(scope, F.col(id_col).alias("id"), F.col(order_by).alias("ord"), F.col(embedding).cast("array<double>").alias("embedding"), when)
+    return rows.groupBy(scope).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)

@@ -233,17 +233,235 @@ def test_recordings_to_segments(spark):
         providers.vad(df, key="file", backend="other")
 
 
-def test_real_providers_never_fall_back_to_fakes(spark, monkeypatch):
-    """Also where their libraries are installed."""
-    from cadence.plans import end_to_end
-    from cadence.sources import providers
+def recording(spark, rate=16000):
+    t = np.arange(rate * 3) / rate
+    x = np.where((t > 1) & (t < 2), np.sin(2 * np.pi * 440 * t), 0.0)
+    return spark.createDataFrame([("f1", [float(v) for v in x], rate)], "file string, samples array<float>, sample_rate int")
 
-    monkeypatch.setattr(providers.importlib.util, "find_spec", lambda name: object())
-    x = [0.1 * (i % 7) for i in range(16000)]
-    df = spark.createDataFrame([("a", x, 16000)], "file string, samples array<float>, sample_rate int")
+
+def test_real_providers_never_fall_back_to_fakes(spark, monkeypatch):
+    """Neither where a library is missing nor where it can't be imported by the workers."""
+    df = recording(spark)
     for backend in ("silero", "ten"):
         with pytest.raises(providers.ProviderMissing):
             providers.vad(df, key="file", backend=backend)
     with pytest.raises(providers.ProviderMissing):
-        end_to_end.extract_features(df, backend="opensmile")
+        end_to_end.extract_features(end_to_end.process_audio(df), backend="opensmile")
     assert not any(r["denoised"] for r in end_to_end.process_audio(df, denoise=True).select("denoised").collect())
+    monkeypatch.setattr(providers.importlib.util, "find_spec", lambda name: object())
+    for backend in ("silero", "ten"):
+        with pytest.raises(Exception, match="No module named"):
+            providers.vad(df, key="file", backend=backend).collect()
+    with pytest.raises(Exception, match="No module named"):
+        end_to_end.extract_features(end_to_end.process_audio(df), backend="opensmile").collect()
+    assert not any(r["denoised"] for r in end_to_end.process_audio(df, denoise=True).select("denoised").collect())
+
+
+STUBS = {
+    "opensmile": """
+import pandas as pd
+class FeatureSet: eGeMAPSv02 = "set"
+class FeatureLevel: Functionals = "functionals"
+class Smile:
+    def __init__(self, feature_set, feature_level): assert (feature_set, feature_level) == ("set", "functionals")
+    def process_signal(self, x, rate):
+        assert rate == 16000
+        from cadence.functions.taxonomy import FEATURE_NAMES
+        return pd.DataFrame([[float(len(x)) + i for i in range(88)]], columns=list(FEATURE_NAMES))
+""",
+    "ten_vad": """
+class TenVad:
+    def __init__(self, hop, threshold): self.hop = hop
+    def process(self, frame):
+        assert len(frame) == self.hop and frame.dtype.name == "int16"
+        return float(abs(frame.astype(int)).mean() > 100), 1
+""",
+    "clearvoice": """
+import wave
+class ClearVoice:
+    def __init__(self, task, model_names): pass
+    def __call__(self, input_path, online_write):
+        import numpy as np
+        with wave.open(input_path) as f:
+            return np.frombuffer(f.readframes(f.getnframes()), np.int16)[None] / 65536
+""",
+}
+
+
+def test_adapters_call_their_libraries(spark, tmp_path, monkeypatch):
+    """With libraries of the same interface on the workers' path."""
+    import sys
+
+    for name, text in STUBS.items():
+        (tmp_path / f"{name}.py").write_text(text)
+        spark.sparkContext.addPyFile(str(tmp_path / f"{name}.py"))
+    try:
+        segments = end_to_end.process_audio(recording(spark), denoise=True, vad_backend="ten")
+        rows = segments.collect()
+        assert len(rows) == 1 and rows[0]["denoised"] is True and 0.9 < rows[0]["duration_sec"] < 1.1 and max(rows[0]["audio"]) < 0.51
+        got = end_to_end.extract_features(segments, backend="opensmile").first()
+        assert got["F0semitoneFrom27.5Hz_sma3nz_amean"] == len(rows[0]["audio"])
+    finally:
+        for name in STUBS:
+            sys.modules.pop(name, None)
+            monkeypatch.setitem(sys.modules, name, None)
+
+
+def test_rates_are_kept_apart(spark):
+    """An 8 kHz and a 48 kHz recording give the segment that a 16 kHz one gives; resampling keeps tones and cuts what the lower rate can't hold."""
+    for rate in (8000, 16000, 48000):
+        r = end_to_end.process_audio(recording(spark, rate)).collect()
+        assert len(r) == 1 and 0.95 < r[0]["start_sec"] < 1.05 and 1.95 < r[0]["end_sec"] < 2.1
+    t = np.arange(48000) / 48000
+    low, high = (providers.resample(np.sin(2 * np.pi * f * t), 48000) for f in (1000, 11000))
+    assert np.abs(low[500:-500] - np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000)[500:-500]).max() < 0.01
+    assert np.abs(high[500:-500]).max() < 0.02
+
+
+def test_decoding_of_widths(tmp_path):
+    import io
+    import wave
+
+    for width, data, want in ((1, bytes([128, 255]), [0, 0.992]), (2, b"\x00\x00\x00\x40", [0, 0.5]), (3, b"\x00\x00\x00\x00\x00\xc0", [0, -0.5]), (4, b"\x00\x00\x00\x00\x00\x00\x00\x40", [0, 0.5])):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(width)
+            f.setframerate(16000)
+            f.writeframes(data)
+        assert providers.decode_wav(out.getvalue())[0] == pytest.approx(want, abs=1e-3)
+
+
+def test_speaker_library_takes_whole_paths(spark, tmp_path):
+    for name, n in (("a.wav", 3), ("ba.wav", 5)):
+        (tmp_path / name).write_bytes(providers.wav_bytes(np.zeros(n)))
+    got = tables.speaker_library(spark, {"x": str(tmp_path / "a.wav"), "y": str(tmp_path / "ba.wav")}, providers.decode_wav).collect()
+    assert {r["speaker_id"]: len(r["samples"]) for r in got} == {"x": 3, "y": 5} and len(got) == 2
+
+
+def test_broken_tables_are_kept_and_other_errors_raised(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "reg")
+    for k in range(2):
+        tables.save_registry(people(spark), path)
+        version = (tmp_path / "reg" / "CURRENT").read_text()
+        for f in (tmp_path / "reg" / version).iterdir():
+            f.write_bytes(b"broken") if f.suffix == ".parquet" else f.unlink()
+        assert tables.load_registry(spark, path).count() == 0
+        assert len(list(tmp_path.glob("reg.bak-*"))) == k + 1
+    for _ in range(4):
+        tables.save_registry(people(spark), path)
+    assert tables.load_registry(spark, path).count() == 3 and len(list((tmp_path / "reg").glob("v-*"))) == 2
+    monkeypatch.setattr(tables, "_pointed", lambda spark, path: (_ for _ in ()).throw(RuntimeError("the job failed")))
+    with pytest.raises(RuntimeError, match="the job failed"):
+        tables.load_registry(spark, path)
+    assert len(list(tmp_path.glob("reg.bak-*"))) == 2
+
+
+def test_shap_is_the_average_over_orders():
+    """Against the definition: every subset of features known, others by shares of training rows."""
+    import itertools
+
+    nodes = [
+        {"feature": 0, "threshold": 0.5, "left": 1, "right": 2, "value": 0, "cover": 10},
+        {"feature": 1, "threshold": 0.3, "left": 3, "right": 4, "value": 0, "cover": 6},
+        {"feature": 2, "threshold": 0.7, "left": 5, "right": 6, "value": 0, "cover": 4},
+        {"feature": -1, "value": 1.0, "cover": 2}, {"feature": 0, "threshold": 0.2, "left": 7, "right": 8, "value": 0, "cover": 4},
+        {"feature": -1, "value": 5.0, "cover": 1}, {"feature": -1, "value": -2.0, "cover": 3}, {"feature": -1, "value": 3.0, "cover": 1}, {"feature": -1, "value": 4.0, "cover": 3},
+    ]
+
+    def known(x, subset, at=0):
+        n = nodes[at]
+        if n["feature"] < 0:
+            return n["value"]
+        if n["feature"] in subset:
+            return known(x, subset, n["left"] if x[n["feature"]] <= n["threshold"] else n["right"])
+        return sum(nodes[c]["cover"] * known(x, subset, c) for c in (n["left"], n["right"])) / (nodes[n["left"]]["cover"] + nodes[n["right"]]["cover"])
+
+    rows = np.random.default_rng(4).random((20, 3))
+    got = model.batch_shap(model.leaf_paths(nodes), rows)
+    for x, phi in zip(rows, got, strict=True):
+        for f in range(3):
+            rest = [g for g in range(3) if g != f]
+            want = sum(math.factorial(k) * math.factorial(2 - k) / 6 * (known(x, {*s, f}) - known(x, set(s))) for k in range(3) for s in itertools.combinations(rest, k))
+            assert phi[f] == pytest.approx(want)
+
+
+def test_gate_numbers_rows_without_keys(spark):
+    df = spark.range(1000, numPartitions=7).select((999 - F.col("id")).alias("t"), F.lit(1.0).alias("duration_sec"), F.lit(9.0).alias("snr_db"), F.lit(1.0).alias("tse_confidence"))
+    got = gate.gate(df, order_by="t").collect()
+    assert all(r["segment_id"] == f"seg_{r['t']:03d}" for r in got) and len(got) == 1000
+    named = df.withColumn("segment_id", F.when(F.col("t") == 5, "mine").otherwise(""))
+    assert gate.gate(named, order_by="t").where("t = 5").first()["segment_id"] == "mine"
+
+
+def test_percentiles_by_counting(spark):
+    from cadence.operators.quantiles import percentiles
+
+    rng = np.random.default_rng(0)
+    rows = [("a", float(v)) for v in rng.normal(size=500)] + [("b", 3.0)] * 40 + [("b", 1e12), (None, 2.0), ("c", None), ("c", float("nan")), ("d", float("inf")), ("d", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for keys in ([], ["k"]):
+        one, many = ({tuple(r[:-1]): r[-1] for r in percentiles(df.where("k <> 'd' or k is null"), "v", [0.0, 0.25, 0.9, 1.0], keys, one_pass=n).collect()} for n in (1 << 62 << 2, 0))
+        assert one.keys() == many.keys()
+        assert all((one[k] is None and many[k] is None) or np.allclose(one[k], many[k], rtol=1e-12) for k in one)
+
+
+def test_facades_and_model_cache(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"s{i}", *map(float, rng.random(2)), float(rng.random())) for i in range(60)], "segment_id string, a double, b double, y double")
+    path = str(tmp_path / "models")
+    end_to_end.train_from_aligned(df, path, features=["a", "b"], arousal="y", exertion="y", trees=2, depth=2)
+    assert model.get_models(path) is model.get_models(path)
+    scored = end_to_end.predict_from_aligned(df, path)
+    scored.write.parquet(str(tmp_path / "scored"))
+    out = end_to_end.classify_results(str(tmp_path / "scored"), str(tmp_path / "csv"))
+    assert out.count() == 60 and len(list((tmp_path / "csv").glob("part-*"))) == 1
+    with pytest.raises(TypeError):
+        end_to_end.predict_from_aligned(7, path)
+    table = model.tree_table(spark, model.get_models(path).arousal)
+    assert table.where("feature is null").count() == table.where("feature is not null").count() + table.select("tree").distinct().count()
+    with_speakers = df.withColumns({"spk": F.concat(F.lit("p"), (F.hash("segment_id") % 3).cast("string")), "fatigue": F.col("y"), "t": F.col("segment_id")})
+    folds = model.cross_validate(with_speakers, features=["a", "b"], speaker="spk", fatigue="fatigue", order_by="t", n_folds=2, exertion="y", trees=2, depth=2).collect()
+    assert len(folds) == 2 and all(r["n_train"] + r["n_test"] == 60 and 0 <= r["accuracy"] <= 1 for r in folds)
+
+
+def test_voices_of_recordings(spark):
+    """Two files of one voice and one of another, against an empty registry, from samples to states."""
+    rows = []
+    for name, hz in (("a", 300), ("b", 300), ("c", 3000)):
+        t = np.arange(16000 * 3) / 16000
+        rows.append((name, [float(v) for v in np.where((t > 0.5) & (t < 2.5), np.sin(2 * np.pi * hz * t), 0.0)], 16000))
+    recordings = spark.createDataFrame(rows, "file string, samples array<float>, sample_rate int")
+    named, after = end_to_end.identify(end_to_end.process_audio(recordings), spark.createDataFrame([], SPEAKERS))
+    got = {r["file"]: r["speaker_label"] for r in named.collect()}
+    assert got["a"] == got["b"] == "persist_001" and got["c"] == "persist_002" and after.count() == 2
+
+
+def stream_of(spark, df, path, schema):
+    for k in range(3):
+        df.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream, name):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return stream.sparkSession.table(name).collect()
+
+
+def test_streams_match_batches(spark, tmp_path):
+    from cadence.streaming import folds
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(f"s{i % 3}", i, float(rng.random()), i // 40) for i in range(120)], "spk string, t int, arousal double, part int").where("part < 3")
+    stream = stream_of(spark, df, str(tmp_path / "a"), df.drop("part").schema)
+    got = {r["t"]: (r["n"], r["sum_a"], r["sum_sq_a"]) for r in drained(folds.running_baselines(stream, speaker="spk", order_by="t", max_n=20), "baselines")}
+    want = {r["t"]: (r["n"], r["sum_a"], r["sum_sq_a"]) for r in baseline.running(df, speaker="spk", order_by="t", max_n=20).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    base = [unit(rng) for _ in range(3)]
+    rows = [(f"c{i % 2}", i, [float(x) for x in base[i % 3] + rng.normal(size=192) * 0.01], None if i % 5 else "2024-01-01 00:00:00", i // 30) for i in range(90)]
+    df = spark.createDataFrame(rows, "scope string, id int, embedding array<double>, at string, part int").withColumn("at", F.col("at").cast("timestamp"))
+    stream = stream_of(spark, df, str(tmp_path / "b"), df.drop("part").schema)
+    got = {r["id"]: (r["speaker_id"], r["decision"]) for r in drained(folds.match_and_update(stream, scope="scope", id_col="id", order_by="id", now="at"), "registry")}
+    want = {r["id"]: (r["speaker_id"], r["decision"]) for r in registry.match_and_update(df, spark.createDataFrame([], SPEAKERS), id_col="id", order_by="id", scope="scope", now="at")[1].collect()}
+    assert got == want and {v[1] for v in got.values()} == {"new", "match"}
