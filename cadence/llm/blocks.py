@@ -21,8 +21,10 @@ from cadence.llm import words as W
 from cadence.llm.common import Workspace, n_shuffle, release, rows_of
 
 BLOCK_BYTES = 2 << 20
-#: Class 0 is the end of a text, the others are classes of word forms.
+#: Class 0 is the end of a text, the others below are classes of word forms; common words follow, a class each.
 N_CLASSES = 4096
+#: A common word occurs so often in training, and is at least one in SHARE words there, so there are at most SHARE.
+LEAST, SHARE = 20, 1 << 17
 
 
 def form_classes(w: W.Words, which: np.ndarray) -> np.ndarray:
@@ -77,11 +79,11 @@ def shards_of(spark) -> int:
     return 1 << (4 * n_shuffle(spark) - 1).bit_length()
 
 
-def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
+def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Total training counts for each block's vocabulary, and by class its training tokens and distinct words.
 
-    Returns ``block, totals`` (int64 in vocabulary order, packed) and an array
-    of shape (classes, 2).
+    Returns ``block, totals`` (int64 in vocabulary order, packed), an array
+    of shape (classes, 2), and the sorted hashes of the common words, whose classes follow N_CLASSES.
     """
     spark = blocks.sparkSession
     n = shards_of(spark)
@@ -105,7 +107,7 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
     dealt = asked.repartition(n_shuffle(spark), "shard").sortWithinPartitions("shard")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["shard", "block", "totals", "stats"], (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        names, kinds = ["shard", "block", "totals", "stats", "often"], (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
         def settled(shard: int, rows: list[dict]) -> pa.RecordBatch:
             hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
@@ -116,11 +118,13 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
             back, at, out = total[inverse], 0, []
             for r in rows:
                 size = len(r["hashes"]) // 8
-                out.append([shard, r["block"], back[at : at + size].tobytes(), None])
+                out.append([shard, r["block"], back[at : at + size].tobytes(), None, None])
                 at += size
             tokens = np.bincount(classes[index], total, N_CLASSES).astype(np.int64)
             kinds_of = np.bincount(classes[index], total > 0, N_CLASSES).astype(np.int64)
-            out.append([shard, -1, None, np.stack([tokens, kinds_of]).tobytes()])
+            many = total >= LEAST
+            often = np.stack([hashes[index[many]].view(np.int64), total[many], classes[index[many]].astype(np.int64)])
+            out.append([shard, -1, None, np.stack([tokens, kinds_of]).tobytes(), often.tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         held: list[dict] = []
@@ -134,7 +138,7 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
             yield settled(held[0]["shard"], held)
         release()
 
-    replies = ws.put(dealt.mapInArrow(answer, "shard int, block long, totals binary, stats binary"), "replies")
+    replies = ws.put(dealt.mapInArrow(answer, "shard int, block long, totals binary, stats binary, often binary"), "replies")
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, N_CLASSES), np.int64)
@@ -147,7 +151,30 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
     stats = np.zeros((N_CLASSES, 2), np.int64)
     for r in rows:
         stats[r["class"]] = r["tokens"], r["kinds"]
-    return replies.where("block >= 0").select("block", "shard", "totals"), stats
+    least = max(LEAST, int(stats[:, 0].sum()) / SHARE)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("often").to_pylist():
+                word, total, kind = np.frombuffer(raw, np.int64).reshape(3, -1)
+                keep = total >= least
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (word, total, kind)], names=["word", "total", "class"])
+
+    got = replies.where("block < 0").select("often").mapInArrow(common, "word long, total long, class long").toArrow()  # at most SHARE rows
+    word, total, kind = (got.column(c).to_numpy() for c in ("word", "total", "class"))
+    order = np.argsort(word.view(np.uint64))
+    np.subtract.at(stats, kind, np.stack([total, np.ones_like(total)], 1))
+    stats = np.concatenate([stats, np.stack([total[order], np.ones_like(total)], 1)])
+    return replies.where("block >= 0").select("block", "shard", "totals"), stats, word.view(np.uint64)[order]
+
+
+def classes_of(hashes: np.ndarray, forms: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Each word's class: its own where it is common, else that of its form."""
+    out = forms.astype(np.uint32)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        out = np.where(common[at] == hashes, at + N_CLASSES, out).astype(np.uint32)
+    return out
 
 
 def joined(blocks: DataFrame, replies: DataFrame) -> DataFrame:

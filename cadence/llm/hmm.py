@@ -1,17 +1,18 @@
 """Scoring by a hidden Markov language model.
 
-Latent states emit word classes; a class emits its words by their counts in
-the training texts. Baum-Welch counts are taken over all training texts: every
-task adds up its expected counts, shards add up the tasks', and only sums whose
-size depends on states and classes alone reach the driver. The
+Latent states emit words: each word that is common in training by itself (how many there are
+follows from the texts, up to a bound that keeps the table small enough for every task), and rarer ones through
+classes of word forms, which emit their words by their counts in the training texts. Baum-Welch counts are
+taken over all training texts: every task adds up its expected counts, shards of the classes add up the tasks', and
+sums whose size depends on states and classes alone reach the driver. The
 scaled forward recursion then gives each whole text's exact likelihood.
 
 Tokens are words with A-Z lower-cased, then one end. A word that training has
 not seen takes the share that its class keeps for such words.
 
 Defined cases: a null text is the end alone; a null id trains; rows that repeat are rows of
-their own; without training texts the counts are zero and all known shares
-uniform; an empty table gives an empty result.
+their own; texts of any length are whole, one sequence each; without training texts the counts are zero and all known shares
+uniform; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.blocks import N_CLASSES, encode, exchange, joined, unpacked_ids
+from cadence.llm.blocks import N_CLASSES, classes_of, encode, exchange, joined, unpacked_ids
 from cadence.llm.common import Workspace, release, rows_of, whole
 
 STATES, ROUNDS, STEP_TOKENS, GRAIN = 8, 5, 500_000, 1 << 16
+#: So many classes' sums meet in one task.
+SLICE = 1 << 14
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -112,14 +115,16 @@ def with_ends(sizes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nd
     return sizes + 1, np.insert(classes, np.cumsum(sizes), 0)
 
 
-def train(blocks: DataFrame, tokens: np.ndarray, *, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(blocks: DataFrame, tokens: np.ndarray, common: np.ndarray, *, states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch over the training texts of all blocks. Sums are of whole numbers (counts times GRAIN), so their order does not matter."""
     first, move, emit = start_model(tokens, states, seed)
-    rows = blocks.select("train", "sizes", "ids", "classes")
+    rows = blocks.select("train", "sizes", "ids", "hashes", "classes")
+    width, n_slices = 1 + states + len(tokens), -(-(1 + states + len(tokens)) // SLICE)
+    sent = blocks.sparkSession.sparkContext.broadcast(common)  # at most SHARE hashes
     for _ in range(rounds):
 
         def count(batches: Iterator[pa.RecordBatch], model=(first, move, emit)) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((states, 1 + states + N_CLASSES), np.int64)
+            total, common = np.zeros((states, width), np.int64), sent.value
             sizes, seen, held = [], [], 0
 
             def flush() -> None:
@@ -133,7 +138,7 @@ def train(blocks: DataFrame, tokens: np.ndarray, *, states: int = STATES, rounds
 
             for r in rows_of(batches):
                 size, on = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.array(r["train"], bool)
-                classes = np.frombuffer(r["classes"], np.uint16)
+                classes = classes_of(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint16), common)
                 ids = unpacked_ids(r["ids"], len(classes))[np.repeat(on, size)]
                 size, got = with_ends(size[on], classes[ids])
                 sizes.append(size)
@@ -142,22 +147,25 @@ def train(blocks: DataFrame, tokens: np.ndarray, *, states: int = STATES, rounds
                 if held >= STEP_TOKENS:
                     flush()
             flush()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(states, dtype=np.int32)), pa.array([x.tobytes() for x in total], pa.binary())], names=["state", "counts"])
+            parts = [x[k * SLICE : (k + 1) * SLICE].tobytes() for x in total for k in range(n_slices)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "counts"])
             release()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for b in batches:
-                for r in b.to_pylist():
-                    total[r["state"]] = total.get(r["state"], 0) + np.frombuffer(r["counts"], np.int64)
+                for r in rows_of([b]):
+                    total[r["part"]] = total.get(r["part"], 0) + np.frombuffer(r["counts"], np.int64)
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["state", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
-        schema = "state int, counts binary"
-        got = rows.mapInArrow(count, schema).repartition(states, "state").mapInArrow(add, schema).collect()
-        sums = np.zeros((states, 1 + states + N_CLASSES))
+        schema = "part int, counts binary"
+        got = rows.mapInArrow(count, schema).repartition(states * n_slices, "part").mapInArrow(add, schema).collect()
+        sums = np.zeros((states, width))
         for r in got:
-            sums[r["state"]] = np.frombuffer(bytes(r["counts"]), np.int64) / GRAIN
+            state, k = divmod(r["part"], n_slices)
+            part = np.frombuffer(bytes(r["counts"]), np.int64) / GRAIN
+            sums[state, k * SLICE : k * SLICE + len(part)] = part
         first = sums[:, 0] + 0.1
         move = sums[:, 1 : 1 + states] + 0.1
         emit = sums[:, 1 + states :] + 0.01
@@ -173,17 +181,20 @@ def score(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, add: f
     ws = Workspace(docs.sparkSession, "hmm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), (~held_out()).alias("train"))
     blocks = ws.put(encode(rows), "blocks")
-    replies, stats = exchange(blocks, ws)
+    replies, stats, common = exchange(blocks, ws)
     ends = blocks.select(F.sum(F.size(F.filter("train", lambda x: x)).cast("long")).alias("n")).first()["n"] or 0
     stats[0] = ends, int(ends > 0)
     n_all, n_kinds = int(stats[:, 0].sum()), int(stats[:, 1].sum())
-    model = train(blocks, stats[:, 0].astype(float), states=states, rounds=rounds, seed=seed)
+    model = train(blocks, stats[:, 0].astype(float), common, states=states, rounds=rounds, seed=seed)
     below = stats[:, 0] + add * (stats[:, 1] + 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((common, below, *model))  # sizes depend on states and classes alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_below = np.log10(n_all + add * (n_kinds + 1))
+        common, below, *model = shared.value
         for r in rows_of(batches):
-            sizes, classes = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["classes"], np.uint16)
+            sizes = np.frombuffer(r["sizes"], np.int32).astype(np.int64)
+            classes = classes_of(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint16), common)
             total = np.concatenate([np.frombuffer(x, np.int64) for x in r["totals"]]) if r["totals"] else np.zeros(0, np.int64)
             ids = unpacked_ids(r["ids"], len(classes))
             ends_at = np.cumsum(sizes)
@@ -193,7 +204,8 @@ def score(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, add: f
                 return sums[ends_at] - sums[ends_at - sizes]
 
             base = by_text(np.log10(total + add) - base_below) + np.log10(ends + add) - base_below
-            inside = by_text(np.log10(total + add) - np.log10(below[classes])) + np.log10(ends + add) - np.log10(below[0])
+            share = np.where(classes < N_CLASSES, np.log10(total + add) - np.log10(below[classes]), 0.0)  # a common word is its class
+            inside = by_text(share) + np.log10(ends + add) - np.log10(below[0])
             chain = forward(*with_ends(sizes, classes[ids]), *model)
             known = by_text((total > 0).astype(np.int64)) + int(ends > 0)
             n = len(sizes)
@@ -203,4 +215,4 @@ def score(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, add: f
             )
         release()
 
-    return joined(blocks, replies).select("doc_ids", "train", "sizes", "ids", "classes", "totals").mapInArrow(run, SCHEMA)
+    return joined(blocks, replies).select("doc_ids", "train", "sizes", "ids", "hashes", "classes", "totals").mapInArrow(run, SCHEMA)

@@ -244,6 +244,59 @@ def test_forward_is_exact():
     assert a.sum() == pytest.approx(3, rel=1e-5) and b.sum() == pytest.approx(8, rel=1e-5) and c.sum() == pytest.approx(11, rel=1e-5)
 
 
+def test_baum_welch_is_the_dense_one(spark, docs, monkeypatch):
+    """Training over blocks and slices of classes against loops over single sequences; and shares of all words add up."""
+    import numpy as np
+
+    from cadence.llm import blocks as B
+    from cadence.llm.common import Workspace
+
+    monkeypatch.setattr(hmm, "SLICE", 1000)
+    monkeypatch.setattr(B, "LEAST", 5)
+    df = docs.limit(60).select("doc_id", "text", (F.col("doc_id") % 4 != 0).alias("train"))
+    ws = Workspace(spark, "t")
+    blocks = ws.put(B.encode(df, block_bytes=20_000), "blocks")
+    _, stats, common = B.exchange(blocks, ws)
+    assert len(common) > 20 and len(stats) == B.N_CLASSES + len(common)
+    rows = df.collect()
+    count = Counter(x for r in rows if r["train"] for x in WORD.findall(low(r["text"] or "")))
+    assert len(common) == sum(c >= 5 for c in count.values()) and sorted(stats[B.N_CLASSES :, 0]) == sorted(c for c in count.values() if c >= 5)
+    stats[0] = sum(r["train"] for r in rows), 1
+    assert stats[:, 0].sum() == sum(count.values()) + stats[0, 0] and (stats >= 0).all()
+    seqs = []
+    for b in blocks.collect():
+        size, hashes = np.frombuffer(bytes(b["sizes"]), np.int32), np.frombuffer(bytes(b["hashes"]), np.uint64)
+        ids = B.classes_of(hashes, np.frombuffer(bytes(b["classes"]), np.uint16), common)[B.unpacked_ids(bytes(b["ids"]), len(hashes))]
+        seqs += [np.append(x, 0) for x, on in zip(np.split(ids, np.cumsum(size)[:-1]), b["train"], strict=True) if on]
+    tokens, k = stats[:, 0].astype(float), 3
+    first, move, emit = hmm.start_model(tokens, k, 5)
+    for _ in range(2):
+        f, m, e = np.full(k, 0.1), np.full((k, k), 0.1), np.full(emit.shape, 0.01)
+        for x in seqs:
+            x = x.astype(int)
+            fwd = np.zeros((len(x), k))
+            bwd = np.ones((len(x), k))
+            fwd[0] = first * emit[:, x[0]]
+            fwd[0] /= fwd[0].sum()
+            for t in range(1, len(x)):
+                fwd[t] = fwd[t - 1] @ move * emit[:, x[t]]
+                fwd[t] /= fwd[t].sum()
+            for t in range(len(x) - 2, -1, -1):
+                bwd[t] = move @ (emit[:, x[t + 1]] * bwd[t + 1])
+                bwd[t] /= bwd[t].sum()
+            post = fwd * bwd
+            post /= post.sum(1, keepdims=True)
+            f += post[0]
+            np.add.at(e.T, x, post)
+            for t in range(len(x) - 1):
+                both = fwd[t][:, None] * move * emit[:, x[t + 1]] * bwd[t + 1]
+                m += both / both.sum()
+        first, move, emit = f / f.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
+    got = hmm.train(blocks, tokens, common, states=k, rounds=2)
+    for x, y in zip(got, (first, move, emit), strict=True):
+        assert np.allclose(x, y, rtol=2e-3, atol=2e-5)
+
+
 def plain_article(page):
     body = re.search(r"<article>(.*?)(</article>|$)", page, re.S).group(1)
     parts = (" ".join(stdlib_html.unescape(re.sub("<[^>]+>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body))
