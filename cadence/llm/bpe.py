@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cadence.llm.common import release
+from cadence.llm.common import caches, release
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -176,6 +176,16 @@ def table(model_file: str) -> PrefixTable:
     return _tables[model_file]
 
 
+def _forget() -> None:
+    for t in _tables.values():
+        t.said.clear()
+        t.meant.clear()
+        t.pairs.clear()
+
+
+caches.append(_forget)
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the public vocabulary file stands on this machine."""
     import public_tokenizers
@@ -205,6 +215,6 @@ def encode_frame(docs: DataFrame, model_file: str, *, with_ids: bool = True) ->
                         c.append(x)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=names)
-        release()
+        release(keep=True)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -84,8 +84,15 @@ def rows_of(batches: Iterator) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def release() -> None:
-    """Give freed memory back to the system at the end of a task, since idle workers live on."""
+#: Functions that empty what a module keeps in a worker from task to task.
+caches: list = []
+
+
+def release(keep: bool = False) -> None:
+    """Give freed memory back to the system, since idle workers live on; and, but for ``keep``, what operators hold for their own next tasks."""
+    if not keep:
+        for empty in caches:
+            empty()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -94,7 +94,7 @@ class Field:
 Sequence = tuple[np.ndarray, np.ndarray, float]
 
 
-def likelihood(docs: list[Sequence], theta: np.ndarray, cells: int = 200_000) -> tuple[float, np.ndarray]:
+def likelihood(docs: list[Sequence], theta: np.ndarray, cells: int = 40_000) -> tuple[float, np.ndarray]:
     """Weighted log-likelihood of the labels and its gradient; ``docs``: features and labels by line, and a weight. Documents of like length go side by side."""
     w, pair, start = theta[:N_FEATURES], theta[N_FEATURES:-2].reshape(2, 2), theta[-2:]
     docs = sorted(docs, key=lambda d: -len(d[0]))
@@ -185,6 +185,7 @@ def line_labels(docs: DataFrame, labels: DataFrame, max_docs: int, seed: int) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "quality")  # ids bounded by max_docs
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for text, quality in zip(b.column("text"), b.column("quality").to_pylist(), strict=True):
                 lines = [t for t in (text.as_py() or "").split("\n") if t.strip(SPACES)]
@@ -217,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: in
 
     def evaluate(thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()  # what other operators' tasks have left in this worker
             part, docs = TaskContext.get().partitionId(), []
             for b in batches:
                 for x, y, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("quality").to_pylist(), strict=True):
@@ -225,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: in
             docs.sort(key=lambda d: (len(d[0]), d[0].tobytes()))
             got = [likelihood(docs, t) for t in thetas]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(got), pa.int32()), pa.array(range(len(got)), pa.int32()), pa.array([f for f, _ in got]), pa.array([g.tolist() for _, g in got], pa.list_(pa.float64()))], names=["part", "k", "value", "grad"])
+            release()
 
         got = rows.select("x", "y", "quality").mapInArrow(run, schema).collect()
         out = []
