@@ -102,7 +102,7 @@ def _settle(docs: DataFrame, found: DataFrame, ws: Workspace) -> DataFrame:
 
     Only texts of buckets with several rows are fetched. Grouping by digest and
     canonical text compares bytes and folds copies before the shuffle, so a
-    group of copies of any size sends one row from each task.
+    group of copies of any size sends one row from each task. Raw variants are listed for clashing digests alone.
     """
     many = ws.put(found.groupBy("_fp").count().where("count > 1").select("_fp"), "many")
     ids = ws.put(found.join(many, "_fp", "left_semi").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_key")).distinct(), "bucketed")
@@ -115,11 +115,17 @@ def _settle(docs: DataFrame, found: DataFrame, ws: Workspace) -> DataFrame:
                 raw = [xxhash.xxh3_128_digest((t or "").encode()) for t in b.column("text").slice(i, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([digest(f) for f in form], pa.binary()), pa.array([f.encode() for f in form], pa.binary())], names=["_raw", "_fp", "_form"])
 
-    one = texts.mapInArrow(forms, "_raw binary, _fp binary, _form binary").groupBy("_fp", "_form").agg(F.collect_set("_raw").alias("_raws"))
-    several = Window.partitionBy("_fp")
-    clash = one.withColumn("_n", F.count(F.lit(1)).over(several)).where("_n > 1").withColumn("_no", F.row_number().over(several.orderBy("_form")))
-    clash = ws.put(clash.where("_no > 1").select("_fp", F.explode("_raws").alias("_raw"), "_no"), "clashes")
-    return found.join(clash, ["_fp", "_raw"], "left").withColumn("_name", F.concat(F.lower(F.hex("_fp")), F.when(F.col("_no").isNull(), "").otherwise(F.concat(F.lit("-"), F.col("_no").cast("string")))))
+    each = texts.mapInArrow(forms, "_raw binary, _fp binary, _form binary")
+    clash = each.select("_fp", "_form").distinct().groupBy("_fp").count().where("count > 1").select("_fp")
+    clash, name = ws.put(clash, "clashing"), F.lower(F.hex("_fp"))
+    if clash.isEmpty():
+        return found.withColumn("_name", name)
+    several = each.join(clash, "_fp", "left_semi").distinct()
+    no = F.row_number().over(Window.partitionBy("_fp").orderBy("_form"))  # different texts of one 128-bit digest
+    numbered = several.select("_fp", "_form").distinct().withColumn("_no", no).where("_no > 1")
+    named = ws.put(several.join(numbered, ["_fp", "_form"]).select("_fp", "_raw", "_no"), "clashes")
+    found = found.join(named, ["_fp", "_raw"], "left")
+    return found.withColumn("_name", F.concat(name, F.when(F.col("_no").isNull(), "").otherwise(F.concat(F.lit("-"), F.col("_no").cast("string")))))
 
 
 def _following(found: DataFrame, ws: Workspace) -> DataFrame:
