@@ -405,7 +405,7 @@ def concat_renumber(spark, d):
     return intervals.renumbered(_segments(spark, d).select("event_id", "file"), ["file", "event_id"]).select("event_id", "segment_no")
 
 
-@_query(f"WITH {SEG}, r AS (SELECT file, row_number() OVER (ORDER BY file, event_id) - 1 AS no FROM seg) SELECT file, min(no) AS at FROM r GROUP BY file HAVING min(no) > 0")
+@_query(f"WITH {SEG}, r AS (SELECT file, row_number() OVER (ORDER BY file, event_id) - 1 AS no FROM seg) SELECT file, min(no) AS pos FROM r GROUP BY file HAVING min(no) > 0")
 def file_boundaries(spark, d):
     return intervals.file_boundaries(intervals.renumbered(_segments(spark, d).select("event_id", "file"), ["file", "event_id"]), "file", "segment_no")
 
@@ -445,14 +445,37 @@ def vector_cosine(spark, d):
     return _six(e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", vector.cosine("embedding", "other").alias("cosine")))
 
 
-@_query()
+#: Vectors of a scope in order, with their norm and unit vector; the folds' SQL takes one of each scope in a step.
+ORDERED = """e AS (SELECT vec_id, label % 4 AS scope, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), z AS (SELECT *, sqrt(list_dot_product(x, x)) AS size FROM e),
+ r AS MATERIALIZED (SELECT vec_id, scope, size, list_transform(x, lambda y: y / (size + 1e-8)) AS q, row_number() OVER (PARTITION BY scope ORDER BY vec_id) AS k FROM z)"""
+
+
+@_query(f"""WITH RECURSIVE {ORDERED}, f AS (
+ SELECT scope, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(c DOUBLE[], n BIGINT)[]) AS known, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS no, CAST(NULL AS DOUBLE) AS similarity, CAST(NULL AS VARCHAR) AS decision FROM (SELECT DISTINCT scope FROM r)
+ UNION ALL
+ SELECT scope, k, CASE decision WHEN 'invalid' THEN known
+  WHEN 'match' THEN list_transform(known, lambda s, i: CASE WHEN i = pos THEN {{'c': list_transform(moved, lambda y: y / (sqrt(list_dot_product(moved, moved)) + 1e-8)), 'n': s.n + 1}} ELSE s END)
+  ELSE list_append(known, {{'c': q, 'n': CAST(1 AS BIGINT)}}) END, vec_id, CASE decision WHEN 'invalid' THEN NULL WHEN 'match' THEN pos ELSE len(known) + 1 END, similarity, decision
+ FROM (SELECT *, CASE WHEN size < 1e-6 THEN 'invalid' WHEN best >= thr THEN 'match' WHEN best >= thr - 0.05 THEN 'uncertain' ELSE 'new' END AS decision,
+   CASE WHEN size < 1e-6 THEN -1.0 ELSE coalesce(best, -1.0) END AS similarity, list_transform(known[pos].c, lambda y, i: (1 - rate) * y + rate * q[i]) AS moved
+  FROM (SELECT *, 0.2 + CASE WHEN n <= 5 THEN 0.07 WHEN n <= 30 THEN 0.03 ELSE -0.03 END AS thr, least(0.1, 1.0 / n) AS rate
+   FROM (SELECT *, known[pos].n AS n FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS pos
+    FROM (SELECT f.scope, r.k, f.known, r.vec_id, r.size, r.q, list_transform(f.known, lambda s: list_dot_product(s.c, r.q)) AS sims FROM f JOIN r ON r.scope = f.scope AND r.k = f.k + 1))))))
+ SELECT vec_id, CAST(scope AS VARCHAR) AS scope, 'persist_' || CASE WHEN no < 100 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS speaker_id, round(similarity, 6) AS similarity, decision FROM f WHERE k > 0""")
 def match_and_update(spark, d):
     e = _table(spark, d, "embeddings").withColumn("scope", (F.col("label") % 4).cast("string"))
     empty = _registry(spark, d).where("false")
-    return registry.match_and_update(e, empty, id_col="vec_id", order_by="vec_id", scope="scope", base=0.2)[1]
+    return _six(registry.match_and_update(e, empty, id_col="vec_id", order_by="vec_id", scope="scope", base=0.2)[1])
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {ORDERED}, f AS (
+ SELECT scope, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[][]) AS sums, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS cluster FROM (SELECT DISTINCT scope FROM r)
+ UNION ALL
+ SELECT scope, k, CASE WHEN size < 1e-6 THEN sums WHEN best >= 0.2 THEN list_transform(sums, lambda s, i: CASE WHEN i = pos THEN list_transform(s, lambda y, j: y + q[j]) ELSE s END) ELSE list_append(sums, q) END,
+  vec_id, CASE WHEN size < 1e-6 THEN NULL WHEN best >= 0.2 THEN pos - 1 ELSE len(sums) END
+ FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS pos
+  FROM (SELECT f.scope, r.k, f.sums, r.vec_id, r.size, r.q, list_transform(f.sums, lambda s: list_dot_product(s, r.q) / (sqrt(list_dot_product(s, s)) + 1e-8)) AS sims FROM f JOIN r ON r.scope = f.scope AND r.k = f.k + 1)))
+ SELECT CAST(scope AS VARCHAR) AS scope, vec_id, cluster FROM f WHERE k > 0""")
 def greedy_cluster(spark, d):
     e = _table(spark, d, "embeddings").withColumn("scope", F.col("label") % 4)
     return registry.greedy_cluster(e, scope="scope", id_col="vec_id", order_by="vec_id", threshold=0.2)
@@ -476,6 +499,34 @@ def tree_shap(spark, d):
     return explain(rows, models.arousal, ["price", "cust"], ["o_orderkey"])
 
 
+#: Two stated trees over price (0) and cust (1): tree, weight, node, feature (-1: a leaf), threshold, left, right, value, cover.
+FOREST = [
+    (0, 1.0, 0, 0, 150000.0, 1, 2, 0.0, 10.0), (0, 1.0, 1, 1, 50.0, 3, 4, 0.0, 6.0), (0, 1.0, 2, 0, 300000.0, 5, 6, 0.0, 4.0), (0, 1.0, 3, -1, 0.0, -1, -1, 0.25, 2.0), (0, 1.0, 4, -1, 0.0, -1, -1, 0.5, 4.0), (0, 1.0, 5, 1, 20.0, 7, 8, 0.0, 3.0),
+    (0, 1.0, 6, -1, 0.0, -1, -1, 2.0, 1.0), (0, 1.0, 7, -1, 0.0, -1, -1, -1.0, 1.0), (0, 1.0, 8, -1, 0.0, -1, -1, 1.0, 2.0), (1, 0.5, 0, 1, 70.0, 1, 2, 0.0, 8.0), (1, 0.5, 1, -1, 0.0, -1, -1, 3.0, 6.0), (1, 0.5, 2, -1, 0.0, -1, -1, -2.0, 2.0),
+]
+NODES = ", ".join(str(r) for r in FOREST)
+
+
+@_query(f"""WITH RECURSIVE nodes AS (SELECT * FROM (VALUES {NODES}) AS v(tree, weight, node, feature, threshold, l, r, value, cover)),
+ x AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_custkey % 100 AS DOUBLE) AS cust FROM orders), known AS (SELECT * FROM (VALUES (0), (1), (2), (3)) AS v(s)),
+ walk AS (SELECT o_orderkey, price, cust, s, n.tree, n.node, CAST(1 AS DOUBLE) AS w FROM x, known, nodes n WHERE n.node = 0
+ UNION ALL
+ SELECT o_orderkey, price, cust, s, t.tree, c.node, t.w * CASE WHEN (s >> n.feature) & 1 = 0 THEN c.cover / n.cover ELSE 1 END
+ FROM walk t JOIN nodes n ON n.tree = t.tree AND n.node = t.node AND n.feature >= 0 JOIN nodes c ON c.tree = t.tree AND c.node IN (n.l, n.r)
+ WHERE (s >> n.feature) & 1 = 0 OR (CASE WHEN n.feature = 0 THEN price ELSE cust END <= n.threshold) = (c.node = n.l)),
+ v AS (SELECT o_orderkey, s, sum(t.w * n.value * n.weight) AS v FROM walk t JOIN nodes n ON n.tree = t.tree AND n.node = t.node AND n.feature < 0 GROUP BY ALL),
+ p AS (SELECT o_orderkey, max(v) FILTER (s = 0) AS v0, max(v) FILTER (s = 1) AS v1, max(v) FILTER (s = 2) AS v2, max(v) FILTER (s = 3) AS v3 FROM v GROUP BY ALL)
+ SELECT o_orderkey, round(v0, 6) AS base_value, round((v1 - v0 + v3 - v2) / 2, 6) AS price, round((v2 - v0 + v3 - v1) / 2, 6) AS cust FROM p""")
+def forest_shap(spark, d):
+    """Attributions of a stated forest, against the average over orders of features."""
+    from cadence.operators.model import explain_forest
+
+    rows = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") % 100).cast("double").alias("cust"))
+    keys = ("feature", "threshold", "left", "right", "value", "cover")
+    forest = [(w, [dict(zip(keys, r[3:], strict=True)) for r in FOREST if r[0] == t]) for t, w in sorted({(r[0], r[1]) for r in FOREST})]
+    return _six(explain_forest(rows, forest, ["price", "cust"], ["o_orderkey"]).select("o_orderkey", "base_value", F.col("shap")[0].alias("price"), F.col("shap")[1].alias("cust")))
+
+
 @_query(f"SELECT 'registry' AS tbl, {ID} AS speaker_id, (vec_id % 40 + 1)::DOUBLE AS n, CAST(NULL AS VARCHAR) AS possible_match FROM embeddings WHERE vec_id <> 9 UNION ALL SELECT 'baselines', {ID}, (vec_id + 1)::DOUBLE, NULL FROM embeddings WHERE vec_id <> 9")
 def registry_cascade(spark, d):
     return _cascade(spark, d)

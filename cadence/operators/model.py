@@ -147,7 +147,11 @@ def batch_shap(paths: list[Path], x: np.ndarray) -> np.ndarray:
 
 def explain(df: DataFrame, model, features: list[str], id_cols: list[str]) -> DataFrame:
     """``id_cols, base_value, shap`` (one value per feature, in order); values and base add up to the prediction."""
-    forest = forest_of(model)
+    return explain_forest(df, forest_of(model), features, id_cols)
+
+
+def explain_forest(df: DataFrame, forest: list[tuple[float, list[dict]]], features: list[str], id_cols: list[str]) -> DataFrame:
+    """:func:`explain` for weights and nodes as :func:`forest_of` gives them."""
     base = sum(w * expected_value(t) for w, t in forest)
     shared = df.sparkSession.sparkContext.broadcast([(w, leaf_paths(t)) for w, t in forest])  # bounded by the number of trees and their depth
     n = len(features)
