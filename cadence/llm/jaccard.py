@@ -68,7 +68,7 @@ def set_digests(owner: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.n
     cut = np.concatenate([[0], np.cumsum(n)])
     out = []
     for salt in (0x5BF0_3635, 0x1F12_3BB5):
-        total = np.concatenate([[0], np.cumsum(W.mixed(key + np.uint64(salt << 20)), dtype=np.uint64)]).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mixed(key + np.uint64(salt << 20)), dtype=np.uint64)])
         out.append(W.mixed(total[cut[1:]] - total[cut[:-1]] + n.astype(np.uint64)))
     return out[0], out[1]
 

@@ -75,6 +75,21 @@ def test_jaccard_brute(spark, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_equal_sets_have_equal_digests():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(50)) for _ in range(rng.randrange(40))) for _ in range(200)]
+    texts = texts + [f"  {t}" for t in reversed(texts)]
+    w = W.split(pa.array(texts))
+    owner, key = jaccard.sets(w, 5)
+    found = list(zip(*(d.tolist() for d in jaccard.set_digests(owner, key, np.bincount(owner, minlength=len(texts)))), strict=True))
+    assert found == found[::-1]
+    distinct = {frozenset(key[owner == i].tolist()) for i in range(200)}
+    assert len(set(found)) == len(distinct) and len({a for a, _ in found}) == len(distinct)
+
+
 def test_jaccard_near_group(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
