@@ -381,6 +381,29 @@ def join_documents(docs: DataFrame, *, size: int = 5, percent: int = 75) -> Data
     return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("top").alias("component_id"))
 
 
+def linked_sets(docs: DataFrame, *, size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """``(documents, links)``: per row of ``docs`` its id, ``n_shingles``, ``set_id`` and ``n_links``; per link of two different sets ``a, b``, the set ids, once.
+
+    Here every pair of groups and of their members that the filters leave is verified, so no link is
+    lost and a group of n near copies costs up to n**2 / 2 pairs; :func:`join_documents` is for
+    components of such groups. ``n_links`` counts the other rows a row is linked with, copies of its own set included;
+    without words ``set_id`` is null and there are none.
+    """
+    ws = Workspace(docs.sparkSession, "links")
+    found = shared_shingles(docs, ws, size, percent)
+    nodes, post = candidates(found, ws, percent)
+    post = ws.put(post.withColumn("root", F.col("node")), "post")  # each set a component of its own, so none is skipped
+    pairs = ws.put(open_pairs(post, nodes, group_bits(post, nodes), percent), "pairs")
+    links = ws.put(verify(pairs.distinct(), nodes, percent), "links")
+    ws.drop("post", "pairs", "nodes")
+    named = found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("set_id"))
+    copies = named.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("k"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("b").alias("o")), F.struct(F.col("b").alias("set_id"), F.col("a").alias("o")))).alias("e")).select("e.*")
+    others = ends.join(copies.withColumnRenamed("set_id", "o"), "o").groupBy("set_id").agg(F.sum("k").alias("more"))
+    totals = copies.join(others, "set_id", "left").select("set_id", (F.col("k") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return named.join(totals, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
+
+
 def first_of_each(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` less those of each component that are not its first, by id (null last) and then text: one row stays.
 

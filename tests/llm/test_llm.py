@@ -90,6 +90,46 @@ def test_equal_sets_have_equal_digests():
     assert len(set(found)) == len(distinct) and len({a for a, _ in found}) == len(distinct)
 
 
+def brute_links(rows):
+    """Per row, in order, the number of other rows it is linked with; and the pairs of rows."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(low(t or ""))
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset())
+    where = defaultdict(list)
+    for d, s in enumerate(sets):
+        for x in s:
+            where[x].append(d)
+    out = set()
+    for d, s in enumerate(sets):
+        common = Counter(e for x in s for e in where[x] if e != d)
+        out |= {(min(d, e), max(d, e)) for e, n in common.items() if 100 * n >= 75 * (len(s) + len(sets[e]) - n)}
+    return Counter(d for p in out for d in p), {p for p in out if sets[p[0]] != sets[p[1]]}, sets
+
+
+def test_linked_sets_brute(spark, rows):
+    """All links inside components too: near copies of near copies, exact copies, odd and repeated rows."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = []
+    for d in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        near.append((8_000_000 + d, " ".join(w)))
+    rows = rows + near + [(8_500_000 + d, t) for d, t in near[:5]]
+    per_row, links = jaccard.linked_sets(table(spark, rows))
+    counts, pairs, sets = brute_links(rows)
+    got = per_row.collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=key) == sorted(((d, len(sets[i]), counts[i]) for i, (d, _) in enumerate(rows)), key=key)
+    named = {r["doc_id"]: r["set_id"] for r in got if r["doc_id"] is not None}
+    assert all((named[rows[i][0]] is None) == (not s) for i, s in enumerate(sets) if rows[i][0] is not None)
+    want = {tuple(sorted((named[rows[i][0]], named[rows[j][0]]))) for i, j in pairs if rows[i][0] is not None and rows[j][0] is not None}
+    found = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(found) == len(set(found)) and {tuple(sorted(p)) for p in found} == want
+
+
 def test_jaccard_near_group(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
