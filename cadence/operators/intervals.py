@@ -55,4 +55,4 @@ def renumbered(df: DataFrame, order_by: list[str], out: str = "segment_no") -> D
 
 def file_boundaries(df: DataFrame, file: str, number: str) -> DataFrame:
     """Numbers at which a new file begins, the first left out."""
-    return df.groupBy(file).agg(F.min(number).alias("at")).where("at > 0")
+    return df.groupBy(file).agg(F.min(number).alias("pos")).where("pos > 0")
