@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, fingerprints, hmm, html, jaccard, kneser, lines, mixing, negatives, neighbours, passages, quality
+from cadence.llm import bpe, fingerprints, hmm, html, jaccard, kneser, lines, mixing, negatives, neighbours, passages, quality, trie
 from cadence.llm.common import read_table
 
 
@@ -60,7 +60,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_fingerprints, op3_sentencepiece, op4_quality_rules, op5_hmm_score, op6_html_text, op7_substring_passages, op8_source_mix, op9_quality_classifier, op10_line_dedup, op11_nearest_vectors, op12_hard_negatives)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_fingerprints, op3_sentencepiece, op4_quality_rules, op5_hmm_score, op6_html_text, op7_substring_passages, op8_source_mix, op9_quality_classifier, op10_line_dedup, op11_nearest_vectors, op12_hard_negatives, op13_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
     "op12_hard_negatives": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
