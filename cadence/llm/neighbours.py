@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cadence.llm.common import Workspace
 from cadence.llm.vectors import by_width, in_blocks, matrix, numbered, sort_ids, usable
 
-WIDTH = 1.4
+WIDTH = 1.15
 P1 = 2 * NormalDist().cdf(WIDTH) - 1
 FIRST = 0.25  # of the unit vectors' distances, which end at 2
 
@@ -111,7 +111,7 @@ def search_stripe(rows: pa.Table, asked: pa.Table, k: int, projections: int, mis
     return out
 
 
-def nearest(df: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding", projections: int = 128, miss: float = 0.1, seed: int = 11, growth: float = 2.0) -> DataFrame:
+def nearest(df: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding", projections: int = 96, miss: float = 0.1, seed: int = 11, growth: float = 2.0) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of largest cosine found for each row whose id is divisible by ``every``, every row but itself a candidate.
 
     Every row is in the index, and no candidate is capped or sampled. A stripe's search ends at the distance of its own k-th row, so a
