@@ -74,4 +74,19 @@ ORACLE_SQL: dict[str, str] = {
  n AS (SELECT p.*, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_prefix_trie": """WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL),
+ ids AS (SELECT c, max(t) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda a, b:
+  list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, i: xor(p >> 1, (p & 1) * 3988292384))), 4294967295) % 6 AS h FROM own GROUP BY c),
+ h AS (SELECT i.*, least(i.h, coalesce(b.n, 0)) AS hb FROM ids i LEFT JOIN ids b ON b.c = i.c - i.c % 100),
+ seq AS (SELECT h.c, o.t AS d, o.role, o.text FROM h JOIN own o ON o.c = h.c - h.c % 100 AND o.t <= h.h UNION ALL SELECT h.c, hb + o.t - h.h, o.role, o.text FROM h JOIN own o ON o.c = h.c AND o.t > h.h),
+ path AS (SELECT c, d, length(text) AS size, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM seq UNION ALL SELECT c, 0, 0, '' FROM ids),
+ long AS (SELECT *, max(d) OVER (PARTITION BY c) = d AS ends FROM path),
+ node AS (SELECT d, k, min(c) AS m, count(*) AS n, any_value(size) AS size, count(*) FILTER (ends) AS n_ends, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS sha FROM long GROUP BY d, k),
+ up AS (SELECT v.*, p.k AS pk, u.m AS pm FROM node v LEFT JOIN path p ON p.c = v.m AND p.d = v.d - 1 LEFT JOIN node u ON u.d = p.d AND u.k = p.k),
+ kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL), reps AS (SELECT m AS c FROM node WHERE n = n_ends),
+ below AS (SELECT p.c, p.d, p.k, sum(CASE WHEN v.m = p.c THEN (v.n - 1) * v.size ELSE 0 END) OVER (PARTITION BY p.c ORDER BY p.d DESC) AS saved, p.c IN (SELECT c FROM reps) AS rep FROM path p JOIN node v ON v.d = p.d AND v.k = p.k),
+ sums AS (SELECT d, k, sum(saved) AS saved, count(*) FILTER (rep) AS leaves FROM below GROUP BY d, k)
+ SELECT m AS conv_id, u.d AS depth, pm AS parent_conv_id, u.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha AS ends_sha256
+  FROM up u JOIN sums USING (d, k) LEFT JOIN kids ON kids.d = u.d AND kids.k = u.k""",
 }

@@ -56,6 +56,18 @@ def test_table(spark, small):
     assert got(QUERIES["op13_prefix_trie"](spark, small)) == brute(rows)
 
 
+def test_sql(spark, small):
+    """The given SQL, on the table, against brute force."""
+    import duckdb
+
+    from cadence.llm.entry import ORACLE_SQL
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    rows = db.sql("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    assert sorted(db.sql(ORACLE_SQL["op13_prefix_trie"]).fetchall(), key=str) == brute(rows)
+
+
 def test_random(spark):
     g = np.random.default_rng(5)
     rows = []
