@@ -2,10 +2,10 @@
 
 Adding rows one by one, with all sums multiplied by ``max_n / (max_n + 1)``
 before each row once ``max_n`` is reached, has a closed form: with ``e`` decays
-so far, ``S = d**e * (S0 + sum(a * d**-e))``. That makes the fold a window sum.
-Decay factors would overflow after some hundred thousand rows of one speaker, so
-rows are taken in spans of ``SPAN`` decays: sums of a span are scaled to its own start,
-and the few spans of a speaker are chained by a second window.
+so far, ``S = d**e * (S0 + sum(a * d**-e))``. That makes the fold a window sum, and any stretch of rows one affine
+map of the sums before it. Stretches are ranges of the rows by speaker and order, so a speaker of any size is spread over tasks.
+Decay factors would overflow after some hundred thousand rows, so
+a range's rows are taken in spans of ``SPAN`` decays: sums of a span are scaled to its own start, and its few spans are chained.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators import ranges as scans
+from cadence.sources.tables import scratch
+
 MEAN, STD, COLD, WARM, MAX_N, SPAN = 0.72, 0.19, 30, 100, 200, 20_000
 
 
@@ -20,46 +23,61 @@ def _factor(max_n: int) -> float:
     return max_n / (max_n + 1)
 
 
-def _prepared(df: DataFrame, speaker: str, order_by: str, value: str, state: DataFrame | None, max_n: int) -> DataFrame:
-    """Adds stored sums ``n0, s0, q0``, the row's number ``k``, decays ``e`` up to and with it, and its span."""
+def _with_state(df: DataFrame, speaker: str, state: DataFrame | None) -> DataFrame:
+    """Adds stored sums ``n0, s0, q0``, zero for speakers without any."""
+    rows = df.where(F.col(speaker).isNotNull())
     if state is None:
-        rows = df.withColumns({"n0": F.lit(0.0), "s0": F.lit(0.0), "q0": F.lit(0.0)})
-    else:
-        old = state.select(F.col("speaker_id").alias("_sp"), F.col("n").alias("n0"), F.col("sum_a").alias("s0"), F.col("sum_sq_a").alias("q0"))
-        rows = df.join(old, F.col(speaker) == F.col("_sp"), "left").drop("_sp").na.fill(0.0, ["n0", "s0", "q0"])
-    rows = rows.where(F.col(speaker).isNotNull())
-    k = F.row_number().over(Window.partitionBy(speaker).orderBy(order_by))
-    before = F.greatest(F.lit(0.0), F.ceil(F.lit(float(max_n)) - F.col("n0")))  # rows without decay
-    return rows.withColumn("k", k).withColumn("e", F.greatest(F.lit(0.0), F.col("k") - before)).withColumn("_span", F.floor(F.col("e") / SPAN)).withColumn("_v", F.col(value).cast("double"))
-
-
-def running(df: DataFrame, *, speaker: str, order_by: str, value: str = "arousal", state: DataFrame | None = None, max_n: int = MAX_N) -> DataFrame:
-    """``df`` with ``n, sum_a, sum_sq_a`` before each row and ``n_after, sum_a_after, sum_sq_a_after``."""
+        return rows.withColumns({"n0": F.lit(0.0), "s0": F.lit(0.0), "q0": F.lit(0.0)})
+    old = state.select(F.col("speaker_id").alias("_sp"), F.col("n").alias("n0"), F.col("sum_a").alias("s0"), F.col("sum_sq_a").alias("q0"))
+    return rows.join(old, F.col(speaker) == F.col("_sp"), "left").drop("_sp").na.fill(0.0, ["n0", "s0", "q0"])
+
+
+def running(df: DataFrame, *, speaker: str, order_by: str, value: str = "arousal", state: DataFrame | None = None, max_n: int = MAX_N, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``n, sum_a, sum_sq_a`` before each row and ``n_after, sum_a_after, sum_sq_a_after``.
+
+    Rows are dealt into ``ranges`` by speaker and order, each of which is one affine map of the sums before it. A speaker's rows may fill any number of
+    ranges: the maps are chained, and what a range gets carried in is the state at its start. Rows of equal order keep the order in which they are read.
+    """
     d = _factor(max_n)
-    rows = _prepared(df, speaker, order_by, value, state, max_n)
-    scale = F.pow(F.lit(d), -(F.col("e") - F.col("_span") * SPAN))
-    rows = rows.withColumns({"_1": scale, "_a": scale * F.col("_v"), "_q": scale * F.col("_v") * F.col("_v")})
-    inside = Window.partitionBy(speaker).orderBy("k")
-    part = Window.partitionBy(speaker, "_span").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {f"{c}s": F.sum(c).over(part) for c in ("_1", "_a", "_q")}
-    rows = rows.withColumns(sums)
-    # Carry from earlier spans: their last running sums, scaled to this span's start.
-    ends = rows.groupBy(F.col(speaker).alias("_sp"), F.col("_span").alias("_sn")).agg(*[F.max_by(f"{c}s", "k").alias(f"{c}t") for c in ("_1", "_a", "_q")], F.max("n0").alias("n0"), F.max("s0").alias("s0"), F.max("q0").alias("q0"))
-    step = F.pow(F.lit(d), F.lit(float(SPAN)))
-    listed = ends.groupBy("_sp").agg(F.sort_array(F.collect_list(F.struct("_sn", "_1t", "_at", "_qt"))).alias("l"), F.max("n0").alias("n0"), F.max("s0").alias("s0"), F.max("q0").alias("q0"))
-    init = F.array(F.struct(F.lit(0).cast("bigint").alias("sn"), F.col("n0").alias("cn"), F.col("s0").alias("cs"), F.col("q0").alias("cq")))
-
-    def add(acc: Column, x: Column) -> Column:
+    rows = scans.dealt(_with_state(df, speaker, state), [speaker, order_by], ranges)
+    by = scans.inside(speaker, [order_by])
+    rows = rows.withColumns({"_k": F.row_number().over(by), "_v": F.col(value).cast("double")})
+    counts = scans.edges(rows, speaker, F.struct(F.count(F.lit(1)).alias("k")))
+    places = scans.chained(counts, lambda held, own, _: {"_k0": (held["_k0"] if held else 0) + own["k"]})
+    rows = scans.with_carried(rows, speaker, counts, places, "_k0 long").na.fill(0, ["_k0"])
+    before = F.greatest(F.lit(0.0), F.ceil(F.lit(float(max_n)) - F.col("n0")))  # a speaker's rows without decay
+    rows = rows.withColumn("_e", F.greatest(F.lit(0.0), F.col("_k0") + F.col("_k") - before) - F.greatest(F.lit(0.0), F.col("_k0") - before))  # decays since the range's start, up to and with the row
+    rows = rows.withColumn("_span", F.floor(F.col("_e") / SPAN))
+    scale = F.pow(F.lit(d), -(F.col("_e") - F.col("_span") * SPAN))
+    part = Window.partitionBy(scans.RANGE, speaker, "_span").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"_1s": F.sum(scale).over(part), "_as": F.sum(scale * F.col("_v")).over(part), "_qs": F.sum(scale * F.col("_v") * F.col("_v")).over(part)})
+    # The last running sums of a range's spans, at most one for SPAN rows.
+    ends = rows.groupBy(scans.RANGE, speaker, "_span").agg(F.max_by(F.struct("_e", "_1s", "_as", "_qs"), "_k").alias("x"))
+    ends = scratch(ends.select(scans.RANGE, speaker, "_span", "x.*"), "spans")
+    found = scans.edges(ends, speaker, F.struct(F.max("_e").alias("e"), F.collect_list(F.struct("_span", "_1s", "_as", "_qs")).alias("spans")))
+    starts = {r[scans.RANGE]: (r["n0"], r["s0"], r["q0"]) for r in rows.groupBy(scans.RANGE).agg(F.max_by(F.struct("n0", "s0", "q0"), F.struct(F.col(speaker))).alias("x")).select(scans.RANGE, "x.*").collect()} if state is not None else {}
+
+    def add(held: dict | None, own: dict, at: int) -> dict:
+        old = [held[c] for c in ("_cn", "_cs", "_cq")] if held else starts.get(at, (0.0, 0.0, 0.0))
+        return {c: d ** own["e"] * o + sum(d ** (own["e"] - s["_span"] * SPAN) * s[x] for s in own["spans"]) for c, o, x in zip(("_cn", "_cs", "_cq"), old, ("_1s", "_as", "_qs"), strict=True)}
+
+    rows = scans.with_carried(rows, speaker, found, scans.chained(found, add), "_cn double, _cs double, _cq double")
+    rows = rows.withColumns({c: F.coalesce(c, z) for c, z in (("_cn", "n0"), ("_cs", "s0"), ("_cq", "q0"))})
+    step = d**SPAN
+    listed = ends.groupBy(F.col(scans.RANGE).alias("_r"), F.col(speaker).alias("_sp")).agg(F.sort_array(F.collect_list(F.struct("_span", "_1s", "_as", "_qs"))).alias("_l")).where(F.size("_l") > 1)
+    zero = F.array(F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+
+    def follow(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        nxt = F.struct((x["_sn"] + 1).cast("bigint").alias("sn"), ((last["cn"] + x["_1t"]) * step).alias("cn"), ((last["cs"] + x["_at"]) * step).alias("cs"), ((last["cq"] + x["_qt"]) * step).alias("cq"))
-        return F.concat(acc, F.array(nxt))
+        return F.concat(acc, F.array(F.struct(((last["n"] + x["_1s"]) * step).alias("n"), ((last["s"] + x["_as"]) * step).alias("s"), ((last["q"] + x["_qs"]) * step).alias("q"))))
 
-    carry = listed.select("_sp", F.explode(F.aggregate("l", init, add)).alias("c")).select("_sp", "c.*")
-    rows = rows.join(carry, (F.col(speaker) == F.col("_sp")) & (F.col("_span") == F.col("sn")), "left").drop("_sp", "sn")
-    back = F.pow(F.lit(d), F.col("e") - F.col("_span") * SPAN)
-    after = {name: back * (F.col(c) + F.col(s)) for name, c, s in (("n_after", "cn", "_1s"), ("sum_a_after", "cs", "_as"), ("sum_sq_a_after", "cq", "_qs"))}
+    spans = listed.select("_r", "_sp", F.aggregate("_l", zero, follow).alias("_c"))  # what each span gets from those before it in the range
+    rows = rows.join(spans, (F.col(scans.RANGE) == F.col("_r")) & (F.col(speaker) == F.col("_sp")), "left")
+    own = F.element_at("_c", (F.col("_span") + 1).cast("int"))
+    back, whole = F.pow(F.lit(d), F.col("_e") - F.col("_span") * SPAN), F.pow(F.lit(d), F.col("_e"))
+    after = {name: whole * F.col(c) + back * (F.coalesce(own[x], F.lit(0.0)) + F.col(s)) for name, c, x, s in (("n_after", "_cn", "n", "_1s"), ("sum_a_after", "_cs", "s", "_as"), ("sum_sq_a_after", "_cq", "q", "_qs"))}
     rows = rows.withColumns(after)
-    prior = {a: F.coalesce(F.lag(f"{a}_after").over(inside), F.col(z)) for a, z in (("n", "n0"), ("sum_a", "s0"), ("sum_sq_a", "q0"))}
+    prior = {a: F.coalesce(F.lag(f"{a}_after").over(by), F.col(c)) for a, c in (("n", "_cn"), ("sum_a", "_cs"), ("sum_sq_a", "_cq"))}
     return rows.withColumns(prior).select(*df.columns, *prior, *after)
 
 
@@ -90,7 +108,7 @@ def process(df: DataFrame, *, speaker: str, order_by: str, update: bool = True,
     """Normalise each row; with ``update`` later rows see earlier ones, else all see the stored state."""
     if update:
         return normalised(running(df, speaker=speaker, order_by=order_by, state=state))
-    rows = _prepared(df, speaker, order_by, "arousal", state, MAX_N).withColumns({"n": F.col("n0"), "sum_a": F.col("s0"), "sum_sq_a": F.col("q0")})
+    rows = _with_state(df, speaker, state).withColumns({"n": F.col("n0"), "sum_a": F.col("s0"), "sum_sq_a": F.col("q0")})
     return normalised(rows.select(*df.columns, "n", "sum_a", "sum_sq_a"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators import ranges
+
 
 def _percentile(sorted_: Column, q: float) -> Column:
     """Linear interpolation in a sorted array."""
@@ -31,16 +33,8 @@ def long_enough(audio: str | Column, sec: float = 0.3, rate: int = 16000) -> Col
 
 
 def numbered(df: DataFrame, order_by: str, out: str) -> DataFrame:
-    """Rows numbered from 0 in order, without one task that holds them all: ranges of the order are numbered each for itself, after the counts of those before."""
-    from cadence.sources.tables import scratch
-
-    dealt = df.repartitionByRange(F.col(order_by)).withColumn("_part", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(order_by)) - 1
-    rows = scratch(dealt.withColumn("_no", own), "numbered")  # ranges are drawn from a sample, so they are fixed first
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    offsets = counts.withColumnRenamed("_part", "_p").select("_p", before.alias("_o"))
-    return rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(out, F.col("_no") + F.col("_o")).drop("_part", "_p", "_no", "_o")
+    """Rows numbered from 0 in order, without one task that holds them all; rows of equal order as they are read."""
+    return ranges.numbered(df, [order_by], out)
 
 
 def gate(df: DataFrame, *, duration: str = "duration_sec", snr: str = "snr_db", tse: str = "tse_confidence", order_by: str, min_sec: float = 0.3, min_snr: float = 3.0, min_tse: float = 0.6, keys: tuple[str, ...] = ()) -> DataFrame:

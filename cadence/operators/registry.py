@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions import vector
 from cadence.functions.scalar import age_days
+from cadence.operators import ranges
 from cadence.plans.schema import SPEAKERS
 
 BASE, GRAY, HISTORY, ZERO, EPS = 0.55, 0.05, 50, 1e-6, 1e-8
@@ -271,8 +272,7 @@ def display(registry: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 def speaker_ids(registry: DataFrame) -> DataFrame:
     """``position, speaker_id`` in order of registration, from 0."""
-    counts = F.row_number().over(Window.orderBy("insert_no")) - 1  # a narrow row for each speaker
-    return registry.select("speaker_id", "insert_no").select(counts.alias("position"), "speaker_id")
+    return ranges.numbered(registry.select("speaker_id", "insert_no"), ["insert_no"], "position").select("position", "speaker_id")
 
 
 def cluster_counts(df: DataFrame, cluster: str = "cluster") -> DataFrame:

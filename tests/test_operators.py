@@ -146,6 +146,68 @@ def test_islands_match_state_machine(spark):
     assert {(r["key"], round(r["start_sec"] / 0.032), round(r["end_sec"] / 0.032)) for r in got} == want
 
 
+@pytest.mark.parametrize("stored", [None, (40.0, 20.0, 9.0), (150.5, 70.0, 50.0), (200.7, 90.0, 60.0)])
+def test_one_speaker_over_many_ranges(spark, stored, monkeypatch):
+    """Nine rows in ten are one speaker's; every range holds some of them, and the sums are those of a loop."""
+    from cadence.operators import ranges
+
+    monkeypatch.setattr(baseline, "SPAN", 64)
+    g = np.random.default_rng(3)
+    values = {"big": g.random(1500), "a": g.random(60), "z": g.random(90), "m": g.random(1)}
+    rows = [(who, t, float(v), 0.9) for who, vs in values.items() for t, v in enumerate(vs)]
+    df = spark.createDataFrame([rows[i] for i in g.permutation(len(rows))], "spk string, t int, arousal double, exertion double")
+    state = stored and spark.createDataFrame([("big", *stored), ("z", 5.0, 2.0, 1.0), ("gone", 1.0, 1.0, 1.0)], "speaker_id string, n double, sum_a double, sum_sq_a double")
+    got = {(r["spk"], r["t"]): (r["n"], r["sum_a"], r["sum_sq_a"], r["n_after"], r["sum_a_after"], r["sum_sq_a_after"]) for r in baseline.running(df, speaker="spk", order_by="t", state=state, ranges=9).collect()}
+    end = {r["speaker_id"]: (r["n"], r["sum_a"], r["sum_sq_a"]) for r in baseline.final_state(df, speaker="spk", order_by="t", state=state).collect()}
+    for who, vs in values.items():
+        want, last = loop(vs, *({"big": stored, "z": (5.0, 2.0, 1.0)}.get(who, (0.0, 0.0, 0.0)) if stored else (0.0, 0.0, 0.0)))
+        after = want[1:] + [last]
+        assert np.allclose([got[who, t] for t in range(len(vs))], [(*a, *b) for a, b in zip(want, after, strict=True)], rtol=1e-9)
+        assert np.allclose(end[who], last, rtol=1e-9)
+    assert ("gone" in end) == bool(stored)
+    dealt = ranges.dealt(df, ["spk", "t"], 9)
+    assert dealt.where("spk = 'big'").select(ranges.RANGE).distinct().count() >= 8
+    assert dealt.groupBy(ranges.RANGE).count().agg(F.max("count")).first()[0] < len(rows) / 3
+
+
+def test_rows_of_one_time_and_no_rows(spark):
+    df = spark.createDataFrame([("a", 1, 0.5, 0.9)] * 500, "spk string, t int, arousal double, exertion double")
+    got = sorted(r["n"] for r in baseline.running(df, speaker="spk", order_by="t", ranges=6).collect())
+    assert np.allclose(got, sorted(n for n, _, _ in loop([0.5] * 500)[0]))
+    assert baseline.running(df.limit(0), speaker="spk", order_by="t").count() == 0
+
+
+def test_one_recording_over_many_ranges(spark):
+    g = np.random.default_rng(11)
+    rows, want = [], set()
+    for key, n in (("long", 4000), ("b", 50), ("quiet", 40), ("all", 800)):
+        probs = np.repeat(g.random(n // 2 + 1) > 0.55, 2)[:n] * 0.9 if key not in ("quiet", "all") else np.full(n, 0.0 if key == "quiet" else 0.9)
+        rows += [(key, i, float(p)) for i, p in enumerate(probs)]
+        want |= {(key, a, b) for a, b in islands(probs, 3, 96, 32)}
+    df = spark.createDataFrame([rows[i] for i in g.permutation(len(rows))], "key string, frame int, prob double")
+    for ranges in (1, 5, 40):
+        got = intervals.frames_to_segments(df, key="key", frame_sec=0.032, min_speech_ms=96, min_silence_ms=100, ranges=ranges)
+        assert {(r["key"], round(r["start_sec"] / 0.032), round(r["end_sec"] / 0.032)) for r in got.collect()} == want
+    segs = spark.createDataFrame([*[(k, a * 0.032, b * 0.032) for k, a, b in sorted(want)], ("long", 3.0, 3.5), ("long", 3.0, 3.5), (None, 1.0, 2.0), (None, 2.1, 3.0)], "key string, start_sec double, end_sec double")
+    merged = {}
+    for k, a, b in sorted(((r["key"], r["start_sec"], r["end_sec"]) for r in segs.collect()), key=lambda r: (r[0] or "", *r[1:])):
+        runs = merged.setdefault(k, [])
+        if runs and a - runs[-1][1] < 0.3:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    for ranges in (1, 7):
+        got = intervals.merge_close(segs, key="key", gap_sec=0.3, ranges=ranges).collect()
+        assert sorted((r["key"] or "", r["start_sec"], r["end_sec"]) for r in got) == sorted((k or "", a, b) for k, runs in merged.items() for a, b in runs)
+
+
+def test_numbers_over_ranges(spark):
+    rows = [("f1", i % 4, i) for i in range(300)] + [("f0", 0, -1), (None, 0, -2)]
+    got = intervals.renumbered(spark.createDataFrame(rows, "file string, t int, id int"), ["file", "t"]).orderBy("segment_no").collect()
+    assert [r["segment_no"] for r in got] == list(range(302))
+    assert [(r["file"] or "", r["t"]) for r in got] == sorted((f or "", t) for f, t, _ in rows)
+
+
 def test_snr_of_short_and_silent(spark):
     df = spark.createDataFrame([([0.0] * 2000,), ([1.0] * 100,)], "x array<double>")
     got = [r[0] for r in df.select(gate.snr_db("x")).collect()]
