@@ -90,18 +90,78 @@ def decide(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding: s
     return rows.select(id_col, "speaker_id", "similarity", "threshold", what.alias("decision"))
 
 
+class Columns:
+    """Vectors that are asked for the nearest, in blocks of rows, while some of them change between rows.
+
+    A block meets all columns in one product. Columns that change inside the block are corrected before the next row is answered, and new ones are
+    added. The few columns within rounding of the best are compared by their own sums of products, so answers don't depend on the blocks.
+    """
+
+    ROOM, NEAR = 32_000_000, 1e-9
+
+    def __init__(self, width: int = 0, room: int = 16):
+        self.m, self.size, self.dead, self.n = np.zeros((room, width)), np.ones(room), np.zeros(room, bool), 0
+        self.touched: set[int] = set()
+
+    def add(self, v: np.ndarray | None, size: float = 1.0) -> int:
+        if self.n == len(self.m):
+            grown = lambda x: np.concatenate([x, np.zeros_like(x)])
+            self.m, self.size, self.dead = grown(self.m), grown(self.size), grown(self.dead)
+        self.n += 1
+        self.put(self.n - 1, v, size)
+        return self.n - 1
+
+    def put(self, i: int, v: np.ndarray | None, size: float = 1.0) -> None:
+        """``None``: the column matches nothing."""
+        self.dead[i] = v is None
+        if v is not None:
+            if not self.m.shape[1]:
+                self.m = np.zeros((len(self.m), len(v)))
+            self.m[i], self.size[i] = v, size
+        self.touched.add(i)
+
+    def _sims(self, which, q: np.ndarray) -> np.ndarray:
+        return np.where(self.dead[which], -np.inf, self.m[which] @ q / self.size[which])
+
+    def nearest(self, rows: np.ndarray) -> Iterator[tuple[int | None, float]]:
+        """The first of the most similar columns for each row, as columns are by then."""
+        at = 0
+        while at < len(rows):
+            n = self.n
+            block = rows[at : at + max(16, min(256, self.ROOM // max(n, 1)))]
+            self.touched = set()
+            known = np.where(self.dead[:n], -np.inf, block @ self.m[:n].T / self.size[:n]) if n else np.zeros((len(block), 0))
+            for q, sims in zip(block, known, strict=True):
+                changed = [i for i in self.touched if i < n]
+                if changed:
+                    sims[changed] = self._sims(changed, q)
+                fresh = self._sims(slice(n, self.n), q) if self.n > n else np.zeros(0)
+                top = max(sims.max(initial=-np.inf), fresh.max(initial=-np.inf))
+                if top == -np.inf:
+                    yield None, -1.0
+                    continue
+                near = np.concatenate([np.flatnonzero(sims >= top - self.NEAR), n + np.flatnonzero(fresh >= top - self.NEAR)])
+                exact = (self.m[near] * q).sum(axis=1) / self.size[near]
+                best = int(exact.argmax())
+                yield int(near[best]), float(exact[best])
+            at += len(block)
+
+
 class Registry:
-    """The fold's state in a task: rows of the speakers table in order of registration."""
+    """The fold's state in a task: rows of the speakers table in order of registration. ``changed`` holds the names of those that a call has written."""
 
     def __init__(self, rows: list[dict], base: float = BASE):
         self.base = base
         self.rows = sorted((dict(r) for r in rows), key=lambda r: r["insert_no"])
-        self.usable = [r["centroid"] is not None and np.linalg.norm(r["centroid"]) >= ZERO for r in self.rows]
-        width = max([len(r["centroid"]) for r, ok in zip(self.rows, self.usable, strict=True) if ok], default=0)
-        self.known = np.zeros((max(16, 2 * len(self.rows)), width))
-        for i, (r, ok) in enumerate(zip(self.rows, self.usable, strict=True)):
-            if ok:
-                self.known[i] = r["centroid"]
+        usable = [r["centroid"] is not None and np.linalg.norm(r["centroid"]) >= ZERO for r in self.rows]
+        width = max([len(r["centroid"]) for r, ok in zip(self.rows, usable, strict=True) if ok], default=0)
+        self.known = Columns(width, max(16, 2 * len(self.rows)))
+        for r, ok in zip(self.rows, usable, strict=True):
+            self.known.add(np.asarray(r["centroid"], float) if ok else None)
+        self.changed: set[str] = set()
+        self._count()
+
+    def _count(self) -> None:
         self.next = 1 + max([int(t) for r in self.rows if (t := str(r["speaker_id"]).rpartition("_")[2]).isdigit()], default=0)
         self.order = 1 + max([r["insert_no"] for r in self.rows], default=0)
 
@@ -110,40 +170,58 @@ class Registry:
         out = self.base + (0.07 if n <= 5 else 0.03 if n <= 30 else -0.03)
         return out + 0.05 if now is not None and r["last_seen"] is not None and (now - r["last_seen"]).days > 30 else out
 
-    def take(self, e: np.ndarray, now: pd.Timestamp | None) -> tuple[str | None, float, str]:
-        """Match one vector and update: a match moves its centroid, anything else registers."""
-        size = float(np.linalg.norm(e))
-        if not size >= ZERO:
-            return None, -1.0, "invalid"
-        q = e / (size + EPS)
-        best, sim = None, -1.0
-        if any(self.usable):
-            sims = np.where(self.usable, self.known[: len(self.rows)] @ q, -np.inf)
-            at = int(sims.argmax())  # the earliest of equal ones
-            if sims[at] > -1.0:
-                best, sim = self.rows[at], float(sims[at])
+    def take(self, vectors: list[np.ndarray | None], times: list[pd.Timestamp | None]) -> list[tuple[str | None, float, str]]:
+        """Match vectors in order and update after each: a match moves its centroid, anything else registers."""
+        sizes = [0.0 if v is None else float(np.linalg.norm(v)) for v in vectors]
+        valid = [i for i, size in enumerate(sizes) if size >= ZERO]
+        out: list[tuple[str | None, float, str]] = [(None, -1.0, "invalid")] * len(vectors)
+        if valid:
+            units = np.stack([vectors[i] / (sizes[i] + EPS) for i in valid])
+            for i, q, (at, sim) in zip(valid, units, self.known.nearest(units), strict=True):
+                out[i] = self._update(q, times[i], at if sim > -1.0 else None, sim)
+        return out
+
+    def _update(self, q: np.ndarray, now: pd.Timestamp | None, at: int | None, sim: float) -> tuple[str, float, str]:
+        best = None if at is None else self.rows[at]
         if best is not None and sim >= (limit := self.threshold(best, now)):
             rate = min(0.1, 1 / max(best["n_samples"], 1))
             c = (1 - rate) * np.asarray(best["centroid"], float) + rate * q
             c = c / (np.linalg.norm(c) + EPS)
-            self.known[at] = c
+            self.known.put(at, c)
             best |= {"centroid": c.tolist(), "n_samples": best["n_samples"] + 1, "last_seen": now, "match_history": [*(best["match_history"] if best["match_history"] is not None else []), round(float(q @ c), 4)][-HISTORY:]}
+            self.changed.add(best["speaker_id"])
             return best["speaker_id"], sim, "match"
         near = best is not None and sim >= limit - GRAY
         name = f"persist_{self.next:03d}"
-        if not self.known.shape[1]:
-            self.known = np.zeros((len(self.known), len(q)))
-        if len(self.rows) == len(self.known):
-            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        self.known[len(self.rows)] = q
-        self.usable.append(True)
+        self.known.add(q)
         self.rows.append({"speaker_id": name, "insert_no": self.order, "label": f"auto_spk_{self.next:03d}", "centroid": q.tolist(), "n_samples": 1, "first_seen": now, "last_seen": now, "registered": False, "match_history": [], "possible_match": best["speaker_id"] if near else None, "possible_sim": sim if near else None})
+        self.changed.add(name)
         self.next, self.order = self.next + 1, self.order + 1
-        return name, sim, "uncertain" if near else "new"
+        return name, sim if best is not None else -1.0, "uncertain" if near else "new"
+
+    def forget(self, speaker_id: str) -> bool:
+        """Erase a speaker and all references to them; later vectors don't match them."""
+        at = next((i for i, r in enumerate(self.rows) if r["speaker_id"] == speaker_id), None)
+        if at is None:
+            return False
+        others = [r for i, r in enumerate(self.rows) if i != at]
+        for r in others:
+            if r.get("possible_match") == speaker_id:
+                r |= {"possible_match": None, "possible_sim": None}
+                self.changed.add(r["speaker_id"])
+        known = Columns(self.known.m.shape[1], max(16, 2 * len(others)))
+        for i in range(len(self.rows)):
+            if i != at:
+                known.add(None if self.known.dead[i] else self.known.m[i])
+        self.rows, self.known = others, known
+        self.changed.discard(speaker_id)
+        self._count()
+        return True
 
 
 def match_and_update(batch: DataFrame, registry: DataFrame, *, id_col: str, order_by: str, scope: str | None = None, embedding: str = "embedding", now: str | None = None, base: float = BASE) -> tuple[DataFrame, DataFrame]:
-    """``(registry', out)``. Within a scope rows are taken in order, which only one task can do; scopes run side by side.
+    """``(registry', out)``. Within a scope rows are taken in order, which only one task can do; scopes run side by side. A block of rows meets the
+    registry in one product, and what the rows of the block change in it is corrected.
 
     Both results come from one fold whose rows are written once.
     """
@@ -159,12 +237,10 @@ def match_and_update(batch: DataFrame, registry: DataFrame, *, id_col: str, orde
     def fold(_, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.astype(object).where(known.notna(), None) if len(known) else known
         state = Registry(known.drop(columns="scope").to_dict("records") if len(known) else [], base)
-        out = []
-        for r in rows.sort_values("ord", kind="stable").itertuples():
-            stamp = None if pd.isna(r.now) else r.now
-            e = np.zeros(0) if r.embedding is None else np.asarray(r.embedding, float)
-            who, sim, what = state.take(e, stamp)
-            out.append({"kind": "out", "id": r.id, "speaker_id": who, "similarity": sim, "decision": what})
+        rows = rows.sort_values("ord", kind="stable")
+        vectors = [None if e is None else np.asarray(e, float) for e in rows["embedding"]]
+        done = state.take(vectors, [None if pd.isna(t) else t for t in rows["now"]])
+        out = [{"kind": "out", "id": i, "speaker_id": who, "similarity": sim, "decision": what} for i, (who, sim, what) in zip(rows["id"], done, strict=True)]
         out += [{"kind": "registry", **r} for r in state.rows]
         tag = rows["scope"].iloc[0] if len(rows) else known["scope"].iloc[0]
         frame = pd.DataFrame(out, columns=["kind", "id", "similarity", "decision", *SPEAKERS.names])
@@ -183,27 +259,24 @@ def greedy_cluster(df: DataFrame, *, scope: str, id_col: str, order_by: str, emb
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sums: list[np.ndarray] = []
-        sizes: list[int] = []
-        labels: list[int | None] = []
-        for e in rows.sort_values("ord", kind="stable")["embedding"]:
-            v = np.asarray(e, float) if e is not None else np.zeros(0)
-            size = float(np.linalg.norm(v))
-            if size < ZERO:
-                labels.append(0 if compat else None)
-                continue
-            q = v / (size + EPS)
-            sims = [float(q @ s) / n if compat else float(q @ s) / float(np.linalg.norm(s) + EPS) for s, n in zip(sums, sizes, strict=True)]
-            best = int(np.argmax(sims)) if sims else -1
-            if best >= 0 and sims[best] >= threshold:
-                sums[best], sizes[best] = sums[best] + q, sizes[best] + 1
-                labels.append(best)
-            else:
-                sums.append(q)
-                sizes.append(1)
-                labels.append(len(sums) - 1)
-        got = rows.sort_values("ord", kind="stable")
-        return pd.DataFrame({"scope": got["scope"], "id": got["id"], "cluster": pd.array(labels, "Int64")})
+        rows = rows.sort_values("ord", kind="stable")
+        vectors = [np.zeros(0) if e is None else np.asarray(e, float) for e in rows["embedding"]]
+        norms = [float(np.linalg.norm(v)) for v in vectors]
+        labels: list[int | None] = [0 if compat else None] * len(rows)
+        valid = [i for i, size in enumerate(norms) if size >= ZERO]
+        if valid:
+            units = np.stack([vectors[i] / (norms[i] + EPS) for i in valid])
+            groups, sums, sizes = Columns(units.shape[1]), [], []
+            for i, q, (best, sim) in zip(valid, units, groups.nearest(units), strict=True):
+                if best is not None and sim >= threshold:
+                    sums[best], sizes[best] = sums[best] + q, sizes[best] + 1
+                    groups.put(best, sums[best], sizes[best] if compat else float(np.linalg.norm(sums[best]) + EPS))
+                    labels[i] = best
+                else:
+                    sums.append(q)
+                    sizes.append(1)
+                    labels[i] = groups.add(q, 1 if compat else float(np.linalg.norm(q) + EPS))
+        return pd.DataFrame({"scope": rows["scope"], "id": rows["id"], "cluster": pd.array(labels, "Int64")})
 
     rows = df.select(F.col(scope).cast("string").alias("scope"), F.col(id_col).alias("id"), F.col(order_by).alias("ord"), F.col(embedding).cast("array<double>").alias("embedding"))
     return rows.groupBy("scope").applyInPandas(run, f"scope string, id {kind}, cluster long").withColumnRenamed("id", id_col)

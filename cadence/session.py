@@ -9,15 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _sent: set[str] = set()
 
 
 def build(app: str = "cadence", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that results rely on: UTC, adaptive execution, Arrow transfer."""
+    """A session with the settings that results rely on: UTC, adaptive execution, Arrow transfer, a state store that holds maps."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
     return b.config(map=fixed | conf).getOrCreate()
 
 

@@ -511,7 +511,7 @@ def drained(stream, name):
     return stream.sparkSession.table(name).collect()
 
 
-def test_streams_match_batches(spark, tmp_path):
+def test_streams_match_batches(spark, tmp_path, rocks):
     from cadence.streaming import folds
 
     rng = np.random.default_rng(9)
@@ -527,3 +527,131 @@ def test_streams_match_batches(spark, tmp_path):
     got = {r["id"]: (r["speaker_id"], r["decision"]) for r in drained(folds.match_and_update(stream, scope="scope", id_col="id", order_by="id", now="at"), "registry")}
     want = {r["id"]: (r["speaker_id"], r["decision"]) for r in registry.match_and_update(df, spark.createDataFrame([], SPEAKERS), id_col="id", order_by="id", scope="scope", now="at")[1].collect()}
     assert got == want and {v[1] for v in got.values()} == {"new", "match"}
+
+
+def people_in_order(n=60, seed=4):
+    g = np.random.default_rng(seed)
+    who = g.standard_normal((6, 16))
+    return [("a" if k % 3 else "b", k, (who[g.integers(0, 6)] + g.standard_normal(16) * 0.2).tolist(), None) for k in range(n)]
+
+
+EVENTS = "scope string, id int, embedding array<double>, erase string"
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def batches(spark, rows):
+    """``{id: (speaker, decision)}`` and the registry of each scope by the batch fold, an erase event at its place."""
+    known, out = spark.createDataFrame([], SPEAKERS).withColumn("scope", F.lit("")), {}
+    part = []
+    for r in [*rows, ("", -1, None, "nobody")]:
+        if r[3] is None:
+            part.append(r)
+            continue
+        if part:
+            left, done = registry.match_and_update(spark.createDataFrame(part, EVENTS), known, id_col="id", order_by="id", scope="scope")
+            out |= {x["id"]: (x["speaker_id"], x["decision"]) for x in done.collect()}
+            known = left.unionByName(known.join(left, "scope", "left_anti"))
+        hit = F.col("scope") == r[0]
+        kept, = registry.erase(known.where(hit), r[3])
+        known, part = kept.unionByName(known.where(~hit)), []
+        known = tables.scratch(known, "known")
+    return out, known
+
+
+def test_stream_by_speaker_restarts_and_erases(spark, tmp_path, rocks):
+    """Started from a stored table, stopped, restarted from its checkpoint, with a speaker erased in flight: as the batch fold."""
+    from cadence.streaming import folds
+
+    rows = people_in_order()
+    stored, _ = registry.match_and_update(spark.createDataFrame(rows[:20], EVENTS), spark.createDataFrame([], SPEAKERS), id_col="id", order_by="id", scope="scope")
+    gone = [("a", 35, None, "persist_001"), ("b", 50, None, "persist_999")]
+    later = sorted([r for r in rows[20:] if r[1] not in (35, 50)] + gone, key=lambda r: r[1])
+    want, known = batches(spark, rows[:20] + later)
+    folder, state, sink = str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "out")
+
+    def run(part):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+        done = folds.match_and_update(stream, scope="scope", id_col="id", order_by="id", erase="erase", registry=stored)
+        done.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    run(later[:12])
+    run(later[12:30])
+    run(later[30:])
+    got = {r["id"]: (r["speaker_id"], r["decision"]) for r in spark.read.parquet(sink).collect()}
+    assert got.pop(35) == ("persist_001", "erased")
+    assert got.pop(50) == ("persist_999", "unknown")
+    assert got == {i: v for i, v in want.items() if i >= 20}
+    shown = lambda df: sorted((r["scope"], r["speaker_id"], r["n_samples"], r["possible_match"] or "", [round(x, 9) for x in r["centroid"]]) for r in df.collect())
+    assert shown(folds.speakers_of(spark, state)) == shown(known)
+    assert "persist_001" not in {r["speaker_id"] for r in folds.speakers_of(spark, state).where("scope = 'a'").collect()}
+
+
+def one_by_one(known, rows, base=0.55):
+    """The fold as plain loops over all speakers."""
+    known, out = [[np.array(c), n] for c, n in known], []
+    for e in rows:
+        q = e / (np.linalg.norm(e) + 1e-8)
+        sims = [float(np.sum(c * q)) for c, _ in known]
+        best = int(np.argmax(sims)) if sims else -1
+        limit = base + (0.07 if known[best][1] <= 5 else 0.03 if known[best][1] <= 30 else -0.03) if sims else 0
+        if sims and sims[best] >= limit:
+            c, n = known[best]
+            rate = min(0.1, 1 / max(n, 1))
+            c = (1 - rate) * c + rate * q
+            known[best] = [c / (np.linalg.norm(c) + 1e-8), n + 1]
+            out.append(best)
+        else:
+            known.append([q, 1])
+            out.append(len(known) - 1)
+    return out, known
+
+
+def test_blocks_equal_rows():
+    """Blocks of rows against a registry that changes inside them, also with equal centroids and far more rows than a block holds."""
+    g = np.random.default_rng(8)
+    people = g.standard_normal((40, 24))
+    rows = [people[i] + g.standard_normal(24) * g.uniform(0.1, 1.2) for i in g.integers(0, 40, 900)]
+    start = [(v / np.linalg.norm(v), int(n)) for v, n in zip(people[:15], g.integers(1, 60, 15), strict=True)]
+    start.append(start[3])
+    want, known = one_by_one(start, rows)
+    state = registry.Registry([{"speaker_id": f"persist_{i:03d}", "insert_no": i, "centroid": c.tolist(), "n_samples": n, "last_seen": None, "match_history": []} for i, (c, n) in enumerate(start)])
+    got = state.take(rows, [None] * len(rows))
+    assert [int(who.rpartition("_")[2]) for who, _, _ in got] == want
+    assert np.allclose([r["centroid"] for r in state.rows], [c for c, _ in known], rtol=1e-9)
+    again = registry.Registry([{"speaker_id": f"persist_{i:03d}", "insert_no": i, "centroid": c.tolist(), "n_samples": n, "last_seen": None, "match_history": []} for i, (c, n) in enumerate(start)])
+    assert [x for r in rows for x in again.take([r], [None])] == got
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_clustering_in_blocks_equals_rows(spark, compat):
+    g = np.random.default_rng(9)
+    people = g.standard_normal((12, 10))
+    rows = [("s", k, (people[g.integers(0, 12)] + g.standard_normal(10) * 0.5).tolist() if k % 50 else [0.0] * 10) for k in range(700)]
+    sums, sizes, want = [], [], []
+    for _, _, e in rows:
+        v = np.array(e)
+        if not v.any():
+            want.append(0 if compat else None)
+            continue
+        q = v / (np.linalg.norm(v) + 1e-8)
+        sims = [float(q @ s) / n if compat else float(q @ s) / (np.linalg.norm(s) + 1e-8) for s, n in zip(sums, sizes, strict=True)]
+        best = int(np.argmax(sims)) if sims else -1
+        if sims and sims[best] >= 0.55:
+            sums[best], sizes[best] = sums[best] + q, sizes[best] + 1
+        else:
+            best = len(sums)
+            sums.append(q)
+            sizes.append(1)
+        want.append(best)
+    df = spark.createDataFrame(rows, "scope string, id int, embedding array<double>").repartition(4)
+    got = registry.greedy_cluster(df, scope="scope", id_col="id", order_by="id", compat=compat).orderBy("id").collect()
+    assert [r["cluster"] for r in got] == want
