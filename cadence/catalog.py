@@ -237,6 +237,12 @@ def nn_match(spark, d):
     return _six(registry.nearest(_asked(spark, d), _registry(spark, d), id_col="vec_id").select("vec_id", "speaker_id", "similarity"))
 
 
+@_query(f"WITH {REG} SELECT vec_id, speaker_id, round(sim, 6) AS similarity FROM best")
+def nn_match_cells(spark, d):
+    """As for a registry that is too large to be sent to all tasks."""
+    return _six(registry.nearest(_asked(spark, d), _registry(spark, d), id_col="vec_id", max_broadcast=0).select("vec_id", "speaker_id", "similarity"))
+
+
 @_query(f"""WITH {REG}, t AS (SELECT *, 0.55 + CASE WHEN n_samples <= 5 THEN 0.07 WHEN n_samples <= 30 THEN 0.03 ELSE -0.03 END + CASE WHEN date_diff('day', last_seen, TIMESTAMP '2024-03-15') > 30 THEN 0.05 ELSE 0 END AS thr FROM best)
  SELECT vec_id, speaker_id, round(sim, 6) AS similarity, round(thr, 6) AS threshold, CASE WHEN sim >= thr THEN 'match' WHEN sim >= thr - 0.05 THEN 'uncertain' ELSE 'new' END AS decision FROM t""")
 def match_decision(spark, d):

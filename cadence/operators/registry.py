@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import vector
 from cadence.functions.scalar import age_days
-from cadence.operators import ranges
+from cadence.operators import cells, ranges
 from cadence.plans.schema import SPEAKERS
 
 BASE, GRAY, HISTORY, ZERO, EPS = 0.55, 0.05, 50, 1e-6, 1e-8
@@ -48,36 +48,42 @@ def _packed(rows: DataFrame, vector_col: str, keep: list[str]) -> DataFrame:
 def nearest(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding: str = "embedding", max_broadcast: int = 20_000) -> DataFrame:
     """``id_col, speaker_id, similarity, invalid``: the most similar non-zero centroid, the earliest registered on ties.
 
-    Queries and speakers travel as blocks of _PART vectors, and a pair of blocks is one matrix product that keeps each query's best, so
-    similarities themselves are never rows. A registry of at most ``max_broadcast`` speakers (counted
-    first) is sent to every task; the blocks of a larger one are paired with the queries' blocks.
+    A registry of at most ``max_broadcast`` speakers (counted first) is sent to every task, and each block of _PART queries meets it in one
+    matrix product that keeps each query's best. A larger one is cut into cells around pivots, of which a query visits only those that can hold its best.
     """
+    return nearest_visits(queries, registry, id_col=id_col, embedding=embedding, max_broadcast=max_broadcast)[0]
+
+
+def nearest_visits(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding: str = "embedding", max_broadcast: int = 20_000) -> tuple[DataFrame, dict | None]:
+    """:func:`nearest`, and how many of all cells the queries visited (None for a registry that was sent whole)."""
     speakers = registry.where(F.col("centroid").isNotNull() & (vector.norm("centroid") >= ZERO)).select("speaker_id", "insert_no", F.transform("centroid", lambda x: x.cast("double")).alias("c"))
     asked = queries.select(F.col(id_col).alias("id"), vector.unit(embedding, EPS).alias("q"), vector.norm(embedding).alias("_norm"))
     kind = asked.schema["id"].dataType.simpleString()
     size = speakers.count()
-    left = _packed(asked.where(F.col("_norm") >= ZERO), "q", ["id"])
-    if size <= max_broadcast:
-        right = F.broadcast(_packed(speakers.coalesce(1), "c", ["speaker_id", "insert_no"]).withColumnRenamed("m", "c"))
+    usable = asked.where(F.col("_norm") >= ZERO)
+    if size > max_broadcast:
+        top, visited = cells.nearest(usable, speakers.select(F.col("speaker_id").alias("name"), F.col("insert_no").alias("no"), "c"), size)
+        top = top.withColumnsRenamed({"name": "speaker_id", "no": "insert_no"})
     else:
-        right = _packed(speakers.repartition(-(-size // _PART), "speaker_id"), "c", ["speaker_id", "insert_no"]).withColumnRenamed("m", "c")
+        right = F.broadcast(_packed(speakers.coalesce(1), "c", ["speaker_id", "insert_no"]).withColumnRenamed("m", "c"))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, names, nos = (b.column(c)[i].values for c in ("id", "speaker_id", "insert_no"))
-                q = np.frombuffer(b.column("m")[i].as_py()).reshape(len(ids), -1)
-                c = np.frombuffer(b.column("c")[i].as_py()).reshape(len(names), -1)
-                order = np.argsort(nos.to_numpy(), kind="stable")  # the first of equal ones is the earliest
-                sims = q @ c[order].T
-                at = sims.argmax(1)
-                take = pa.array(order[at])
-                yield pa.RecordBatch.from_arrays([ids, names.take(take), nos.take(take), pa.array(sims[np.arange(len(at)), at])], names=["id", "speaker_id", "insert_no", "similarity"])
-
-    found = left.crossJoin(right).mapInArrow(best, f"id {kind}, speaker_id string, insert_no long, similarity double")
-    top = found.groupBy("id").agg(F.max_by(F.struct("speaker_id", "similarity"), F.struct("similarity", (-F.col("insert_no")).alias("i"))).alias("x")).select("id", "x.*")
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids, names, nos = (b.column(c)[i].values for c in ("id", "speaker_id", "insert_no"))
+                    q = np.frombuffer(b.column("m")[i].as_py()).reshape(len(ids), -1)
+                    c = np.frombuffer(b.column("c")[i].as_py()).reshape(len(names), -1)
+                    order = np.argsort(nos.to_numpy(), kind="stable")  # the first of equal ones is the earliest
+                    sims = q @ c[order].T
+                    at = sims.argmax(1)
+                    take = pa.array(order[at])
+                    yield pa.RecordBatch.from_arrays([ids, names.take(take), nos.take(take), pa.array(sims[np.arange(len(at)), at])], names=["id", "speaker_id", "insert_no", "similarity"])
+
+        found = _packed(usable, "q", ["id"]).crossJoin(right).mapInArrow(best, f"id {kind}, speaker_id string, insert_no long, similarity double")
+        top = found.groupBy("id").agg(F.max_by(F.struct("speaker_id", "similarity"), F.struct("similarity", (-F.col("insert_no")).alias("i"))).alias("x")).select("id", "x.*")
+        visited = None
     out = asked.select("id", "_norm").join(top, "id", "left")
-    return out.select(F.col("id").alias(id_col), "speaker_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), (F.col("_norm") < ZERO).alias("invalid"))
+    return out.select(F.col("id").alias(id_col), "speaker_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), (F.col("_norm") < ZERO).alias("invalid")), visited
 
 
 def decide(queries: DataFrame, registry: DataFrame, *, id_col: str, embedding: str = "embedding", as_of: Column | None = None, base: float = BASE) -> DataFrame:

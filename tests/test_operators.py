@@ -121,6 +121,34 @@ def test_large_registry_is_not_broadcast(spark):
     assert sorted(a) == sorted(b)
 
 
+@pytest.mark.parametrize("kind", ["clustered", "spread", "one cell"])
+def test_cells_are_exact(spark, kind):
+    """Against all pairs: voices in clusters, without any structure, and crowded into one place, with equal and longer centroids among them."""
+    g = np.random.default_rng(2)
+    d, n, asked = 16, 2500, 300
+    centres = g.standard_normal((30 if kind == "clustered" else 1 if kind == "one cell" else n, d))
+    known = centres[g.integers(0, len(centres), n)] + g.standard_normal((n, d)) * (1.0 if kind == "spread" else 0.08)
+    known /= np.linalg.norm(known, axis=1)[:, None]
+    known[100:130] = known[100]
+    known[200:220] *= g.uniform(0.5, 2, 20)[:, None]
+    q = known[g.integers(0, n, asked)] + g.standard_normal((asked, d)) * 0.05
+    q[0] = 0
+    reg = spark.createDataFrame([(f"p_{i}", i, v.tolist()) for i, v in enumerate(known)] + [("none", n, None), ("zero", n + 1, [0.0] * d)], "speaker_id string, insert_no long, centroid array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id int, embedding array<double>").repartition(3)
+    got, visited = registry.nearest_visits(df, reg, id_col="id", max_broadcast=10)
+    rows = {r["id"]: r for r in got.collect()}
+    unit = q / (np.linalg.norm(q, axis=1)[:, None] + 1e-8)
+    sims = unit @ known.T
+    assert len(rows) == asked and rows[0]["invalid"] and rows[0]["speaker_id"] is None
+    for i in range(1, asked):
+        top = sims[i].max()
+        assert abs(rows[i]["similarity"] - top) < 1e-12
+        assert rows[i]["speaker_id"] == f"p_{np.flatnonzero(sims[i] >= top - 1e-13)[0]}"
+    assert visited["possible"] == (asked - 1) * visited["cells"]
+    if kind == "clustered":
+        assert visited["visits"] < 0.25 * visited["possible"]
+
+
 def islands(probs, quiet, min_frames_ms, frame_ms):
     out, start, silence, n = [], None, 0, len(probs)
     for i, p in enumerate(probs):
