@@ -487,22 +487,102 @@ def greedy_cluster(spark, d):
     return registry.greedy_cluster(e, scope="scope", id_col="vec_id", order_by="vec_id", threshold=0.2)
 
 
-@_query()
+def _boost_sql(tag: str, rows: str, features: int, trees: int, depth: int, rate: float, scale: int, models: str = "(0)") -> str:
+    """Boosted trees in SQL: ``{tag}_e{trees}`` holds ``model, id, pred`` and the columns of ``rows`` (id, y, fold, f0, ...); nodes are numbered as in a heap, from 1. Every value of a feature is a bin's bound."""
+    f, unit = [f"f{i}" for i in range(features)], 2.0**scale
+    out = [
+        f"{tag}_b AS (SELECT m.model, sum(round_even(y * {unit}, 0)) / {unit} / count(*) AS base FROM {rows} r, (VALUES {models}) AS m(model) WHERE r.fold <> m.model GROUP BY m.model)",
+        f"{tag}_e0 AS MATERIALIZED (SELECT b.model, r.*, b.base AS pred FROM {rows} r, {tag}_b b)",
+    ]
+    for t in range(trees):
+        at = f"{tag}_n{t}_0"
+        out.append(f"{at} AS MATERIALIZED (SELECT *, 1 AS node, round_even((pred - y) * {unit}, 0) AS g, fold <> model AS used FROM {tag}_e{t})")
+        for level in range(depth):
+            at, on, split = f"{tag}_n{t}_{level}", f"{tag}_n{t}_{level + 1}", f"{tag}_s{t}_{level}"
+            out.append(f"""{split} AS MATERIALIZED (WITH h AS (SELECT model, node, feature, x, sum(g) AS g, count(*) AS h FROM (SELECT model, node, g, unnest({list(range(features))}) AS feature, unnest([{", ".join(f)}]) AS x FROM {at} WHERE used AND node >= {2**level}) GROUP BY ALL),
+  c AS (SELECT model, node, feature, x, sum(g) OVER w / {unit} AS gl, CAST(sum(h) OVER w AS DOUBLE) AS hl, sum(g) OVER a / {unit} AS g, CAST(sum(h) OVER a AS DOUBLE) AS h FROM h WINDOW w AS (PARTITION BY model, node, feature ORDER BY x), a AS (PARTITION BY model, node, feature)),
+  v AS (SELECT model, node, feature, x, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain, h FROM c WHERE hl < h)
+  SELECT * FROM v WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY gain DESC, feature, x) = 1)""")
+            goes = "CASE s.feature " + " ".join(f"WHEN {i} THEN n.{c}" for i, c in enumerate(f)) + " END"
+            out.append(f"{on} AS MATERIALIZED (SELECT n.* REPLACE (CASE WHEN s.node IS NULL THEN n.node ELSE 2 * n.node + CAST({goes} > s.x AS INTEGER) END AS node) FROM {at} n LEFT JOIN {split} s ON s.model = n.model AND s.node = n.node)")
+        at = f"{tag}_n{t}_{depth}"
+        out.append(f"{tag}_l{t} AS (SELECT model, node, -sum(g) / {unit} / (count(*) + 1) * {rate} AS v, count(*) AS cover FROM {at} WHERE used GROUP BY model, node)")
+        out.append(f"{tag}_e{t + 1} AS MATERIALIZED (SELECT n.model, n.id, y, fold, {', '.join(f)}, pred + v AS pred FROM {at} n JOIN {tag}_l{t} l ON l.model = n.model AND l.node = n.node)")
+    return ",\n ".join(out)
+
+
+BOOST = {"depth": 2, "rate": 0.3, "scale": 30}
+BOOST_ROWS = """r AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS f0, CAST(l_tax AS DOUBLE) AS f1, CAST(l_linenumber AS DOUBLE) AS f2, l_returnflag AS flag,
+ l_quantity::DOUBLE / 100 + l_discount::DOUBLE * 5 AS ya, l_tax::DOUBLE * 6 + l_linenumber::DOUBLE / 20 AS ye FROM lineitem)"""
+
+
+def _boost_rows(spark, d):
+    return _lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.col("l_linenumber").cast("double").alias("line"), (F.col("l_quantity") / 100 + F.col("l_discount") * 5).alias("y"), (F.col("l_tax") * 6 + F.col("l_linenumber").cast("double") / 20).alias("e"))
+
+
+@_query(f"""WITH {BOOST_ROWS}, ra AS (SELECT id, ya AS y, -1 AS fold, f0, f1, f2 FROM r), re AS (SELECT id, ye AS y, -1 AS fold, f0, f1, f2 FROM r), {_boost_sql("a", "ra", 3, 3, **BOOST)}, {_boost_sql("e", "re", 3, 3, **BOOST)}
+ SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, a.pred)), 6) AS arousal, round(greatest(0, least(1, e.pred)), 6) AS exertion, round(greatest(0, least(1, 1 - a.pred)), 6) AS fatigue_prob FROM r JOIN a_e3 a USING (id) JOIN e_e3 e USING (id)""")
 def gbt_predict(spark, d):
-    from cadence.operators.model import Regressors
+    """Both regressors, grown to a stated depth, against trees grown in SQL."""
+    rows = _boost_rows(spark, d)
+    models = model.Regressors.train(rows, features=["l_quantity", "l_tax", "line"], arousal="y", exertion="e", trees=3, subsample=1.0, **BOOST)
+    return _six(models.predict(rows).select("l_orderkey", "l_linenumber", "arousal", "exertion", "fatigue_prob"))
 
-    rows = _lineitem(spark, d).withColumns({"y": F.col("l_discount") * 10, "e": F.col("l_tax") * 10})
-    models = Regressors.train(rows, features=["l_quantity", "l_extendedprice", "l_tax"], arousal="y", exertion="e", trees=5, depth=3)
-    return models.predict(rows).select("l_orderkey", "l_linenumber", "arousal", "exertion", "fatigue_prob")
 
+FOLDS_SQL = "f AS (SELECT flag, row_number() OVER (ORDER BY min(l_orderkey), flag) - 1 AS fold, count(*) AS n_test, (SELECT count(*) FROM r) - count(*) AS n_train FROM r GROUP BY flag)"
+
+
+@_query(f"""WITH {BOOST_ROWS}, {FOLDS_SQL}, rf AS MATERIALIZED (SELECT id, ya AS y, f.fold, f0, f1, f2 FROM r JOIN f USING (flag)), {_boost_sql("a", "rf", 3, 2, models="(0), (1), (2)", **BOOST)},
+ t AS (SELECT model AS fold, y, greatest(0, least(1, pred)) AS p, pred FROM a_e2 WHERE fold = model)
+ SELECT f.fold, flag AS speaker, n_train, n_test, round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) * (avg(y) - avg(p))), 4) AS ccc,
+ round(avg(CAST((greatest(0, least(1, 1 - pred)) > 0.5) = (1 - y > 0.5) AS INTEGER)), 4) AS accuracy FROM t JOIN f ON f.fold = t.fold GROUP BY ALL""")
+def cross_validate(spark, d):
+    """Leave one speaker out, the folds' models grown side by side."""
+    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_tax", "l_linenumber")], (1 - (F.col("l_quantity").cast("double") / 100 + F.col("l_discount").cast("double") * 5)).alias("fatigue"))
+    return model.cross_validate(rows, features=["l_quantity", "l_tax", "l_linenumber"], speaker="l_returnflag", fatigue="fatigue", order_by="l_orderkey", trees=2, subsample=1.0, **BOOST)
 
-@_query()
-def tree_shap(spark, d):
-    from cadence.operators.model import Regressors, explain
 
-    rows = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") % 100).cast("double").alias("cust"), (F.col("o_totalprice").cast("double") / 500000).alias("y"))
-    models = Regressors.train(rows, features=["price", "cust"], arousal="y", exertion="y", trees=3, depth=3)
-    return explain(rows, models.arousal, ["price", "cust"], ["o_orderkey"])
+def _shap_rows(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice").cast("double") / 20000).cast("double").alias("price"), (F.col("o_custkey") % 20).cast("double").alias("cust")).withColumn("y", F.col("price") / 40 + F.when((F.col("price") > 5) & (F.col("cust") > 7), 0.3).otherwise(0.1))
+
+
+def _shap_sql(trees: int) -> str:
+    """``p``: base value and both attributions of each order, by the average over orders of features, from trees grown in SQL."""
+    nodes = []
+    for t in range(trees):
+        nodes += [f"SELECT {t}, node, feature, x, 2 * node, 2 * node + 1, 0.0, h FROM a_s{t}_{k}" for k in range(BOOST["depth"])]
+        nodes.append(f"SELECT {t}, node, -1, 0.0, -1, -1, v, cover FROM a_l{t}")
+    return f"""r AS MATERIALIZED (SELECT *, price / 40 + CASE WHEN price > 5 AND cust > 7 THEN 0.3 ELSE 0.1 END AS y FROM (SELECT o_orderkey, floor(CAST(o_totalprice AS DOUBLE) / 20000) AS price, CAST(o_custkey % 20 AS DOUBLE) AS cust FROM orders)),
+ ra AS (SELECT o_orderkey AS id, y, -1 AS fold, price AS f0, cust AS f1 FROM r), {_boost_sql("a", "ra", 2, trees, **BOOST)},
+ leafs AS (SELECT * FROM ({" UNION ALL ".join(nodes)}) AS v(tree, node, feature, threshold, l, r, value, cover)),
+ nodes AS MATERIALIZED (SELECT tree, node, feature, threshold, l, r, value, cover FROM leafs),
+ known AS (SELECT * FROM (VALUES (0), (1), (2), (3)) AS v(s)), x AS (SELECT DISTINCT price, cust FROM r),
+ walk AS (SELECT price, cust, s, n.tree, n.node, CAST(1 AS DOUBLE) AS w FROM x, known, nodes n WHERE n.node = 1
+ UNION ALL
+ SELECT price, cust, s, t.tree, c.node, t.w * CASE WHEN (s >> n.feature) & 1 = 0 THEN c.cover / n.cover ELSE 1 END
+ FROM walk t JOIN nodes n ON n.tree = t.tree AND n.node = t.node AND n.feature >= 0 JOIN nodes c ON c.tree = t.tree AND c.node IN (n.l, n.r)
+ WHERE (s >> n.feature) & 1 = 0 OR (CASE WHEN n.feature = 0 THEN price ELSE cust END <= n.threshold) = (c.node = n.l)),
+ v AS (SELECT price, cust, s, sum(t.w * n.value) AS v FROM walk t JOIN nodes n ON n.tree = t.tree AND n.node = t.node AND n.feature < 0 GROUP BY ALL),
+ q AS (SELECT price, cust, max(v) FILTER (s = 0) AS v0, max(v) FILTER (s = 1) AS v1, max(v) FILTER (s = 2) AS v2, max(v) FILTER (s = 3) AS v3 FROM v GROUP BY ALL),
+ p AS (SELECT o_orderkey, (SELECT base FROM a_b) + v0 AS base_value, (v1 - v0 + v3 - v2) / 2 AS price, (v2 - v0 + v3 - v1) / 2 AS cust FROM r JOIN q ON q.price = r.price AND q.cust = r.cust)"""
+
+
+@_query(f"WITH RECURSIVE {_shap_sql(3)} SELECT o_orderkey, round(base_value, 6) AS base_value, round(price, 6) AS price, round(cust, 6) AS cust, 'ok' AS shap_status FROM p")
+def tree_shap(spark, d):
+    """Attributions of grown trees, against trees grown and averaged over orders of features in SQL."""
+    rows = _shap_rows(spark, d)
+    models = model.Regressors.train(rows, features=["price", "cust"], arousal="y", exertion="y", trees=3, subsample=1.0, **BOOST)
+    out = model.explain(rows, models.arousal, ["price", "cust"], ["o_orderkey"])
+    return _six(out.select("o_orderkey", "base_value", F.col("shap")[0].alias("price"), F.col("shap")[1].alias("cust"), "shap_status"))
+
+
+@_query(f"""WITH RECURSIVE {_shap_sql(2)}, s AS (SELECT o_orderkey, 'price' || CASE WHEN price > 0 THEN '↑' ELSE '↓' END || '(' || printf('%+.3f', price) || ')' AS a, 'cust' || CASE WHEN cust > 0 THEN '↑' ELSE '↓' END || '(' || printf('%+.3f', cust) || ')' AS b, abs(price) >= abs(cust) AS first FROM p)
+ SELECT o_orderkey, CASE WHEN first THEN a || ' | ' || b ELSE b || ' | ' || a END AS shap_reason FROM s""")
+def classify_with_shap(spark, d):
+    """States with what drove each score."""
+    rows = _shap_rows(spark, d)
+    models = model.Regressors.train(rows, features=["price", "cust"], arousal="y", exertion="y", trees=2, subsample=1.0, **BOOST)
+    return rules.classify_with_shap(models.predict(rows, add_shap=True)).select("o_orderkey", "shap_reason")
 
 
 #: Two stated trees over price (0) and cust (1): tree, weight, node, feature (-1: a leaf), threshold, left, right, value, cover.

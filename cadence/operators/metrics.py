@@ -39,9 +39,9 @@ def contributions(df: DataFrame, id_cols: list[str], features: list[str], values
     return df.select(*id_cols, F.explode(F.array(*rows)).alias("x")).select(*id_cols, "x.*")
 
 
-def top_reasons(df: DataFrame, features: list[str], k: int = 3) -> Column:
-    """``feat↑(+0.123) | …`` of the largest contributions by size; ties in column order."""
-    rows = F.array(*[F.struct(-F.abs(F.col(f"`{f}`").cast("double")).alias("a"), F.lit(i).alias("i"), F.lit(f.split("_")[0]).alias("f"), F.col(f"`{f}`").cast("double").alias("c")) for i, f in enumerate(features)])
+def top_reasons(df: DataFrame, features: list[str], k: int = 3, prefix: str = "") -> Column:
+    """``feat↑(+0.123) | …`` of the largest contributions by size, in columns named by ``prefix`` and feature; ties in column order."""
+    rows = F.array(*[F.struct(-F.abs(F.col(f"`{prefix}{f}`").cast("double")).alias("a"), F.lit(i).alias("i"), F.lit(f.split("_")[0]).alias("f"), F.col(f"`{prefix}{f}`").cast("double").alias("c")) for i, f in enumerate(features)])
     best = F.slice(F.array_sort(rows), 1, k)
     return F.array_join(F.transform(best, lambda x: F.concat(x["f"], F.when(x["c"] > 0, F.lit("↑")).otherwise(F.lit("↓")), F.format_string("(%+.3f)", x["c"]))), " | ")
 

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadence.functions.scalar import clip01, exertion_proxy, fatigue_probability
-from cadence.operators import metrics
+from cadence.operators import boosting, metrics
 
 
 def label_exertion(df: DataFrame, features: list[str], label: str | None) -> DataFrame:
@@ -24,71 +22,43 @@ def label_exertion(df: DataFrame, features: list[str], label: str | None) -> Dat
 class Regressors:
     """Arousal and exertion models over one ordered feature list, and the space (raw or z) they were fitted in."""
 
-    def __init__(self, features: list[str], arousal, exertion, input_space: str = "raw"):
+    def __init__(self, features: list[str], arousal: boosting.Forest, exertion: boosting.Forest, input_space: str = "raw"):
         self.features, self.arousal, self.exertion, self.input_space = features, arousal, exertion, input_space
 
     @classmethod
-    def train(cls, df: DataFrame, *, features: list[str], arousal: str, exertion: str | None = None, input_space: str = "raw", trees: int = 200, depth: int = 6, rate: float = 0.05, subsample: float = 0.8, seed: int = 42) -> Regressors:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import GBTRegressor
-
+    def train(cls, df: DataFrame, *, features: list[str], arousal: str, exertion: str | None = None, input_space: str = "raw", trees: int = 200, depth: int = 6, rate: float = 0.05, subsample: float = 0.8, seed: int = 42, **more) -> Regressors:
+        """Both models grow in the same passes; rows with a missing feature or target are left out."""
         rows = label_exertion(df, features, exertion).withColumn("_y_arousal", F.col(arousal).cast("double"))
-        plain = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"_f{i}") for i, f in enumerate(features)], "_y_arousal", "_y_exertion")
-        data = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x", handleInvalid="skip").transform(plain).select("_x", "_y_arousal", "_y_exertion").persist()
-        try:
-            fit = lambda y: GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="_p", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed).fit(data)
-            return cls(features, fit("_y_arousal"), fit("_y_exertion"), input_space)
-        finally:
-            data.unpersist()
-
-    def predict(self, df: DataFrame, *, input_space: str | None = None) -> DataFrame:
-        """``df`` with ``arousal, exertion, fatigue_prob``; other columns stay."""
-        from pyspark.ml.feature import VectorAssembler
+        grown = boosting.train(rows, features, ["_y_arousal", "_y_exertion"], trees=trees, depth=depth, rate=rate, subsample=subsample, seed=seed, **more)
+        return cls(features, grown["_y_arousal", None], grown["_y_exertion", None], input_space)
 
+    def predict(self, df: DataFrame, *, input_space: str | None = None, add_shap: bool = False) -> DataFrame:
+        """``df`` with ``arousal, exertion, fatigue_prob``; other columns stay. With ``add_shap`` also ``shap_arousal_*``, ``shap_exertion_*``, the attributions of both scores by feature, and ``shap_status``."""
         if input_space and input_space != self.input_space:
             raise ValueError(f"the models were fitted on {self.input_space} features, not {input_space}")
         missing = [f for f in self.features if f not in df.columns]
         if missing:
             raise KeyError(f"missing features: {', '.join(missing)}")
-        rows = df.withColumns({f"_f{i}": F.col(f"`{f}`").cast("double") for i, f in enumerate(self.features)})
-        rows = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(self.features))], outputCol="_x", handleInvalid="keep").transform(rows)
-        rows = self.exertion.copy({self.exertion.predictionCol: "_e"}).transform(self.arousal.copy({self.arousal.predictionCol: "_a"}).transform(rows))
-        return rows.select(*[F.col(f"`{c}`") for c in df.columns], clip01(F.col("_a")).alias("arousal"), clip01(F.col("_e")).alias("exertion"), fatigue_probability(F.col("_e")).alias("fatigue_prob"))
+        rows = boosting.scored(df, self.features, {"_a": self.arousal, "_e": self.exertion})
+        shap = []
+        if add_shap:
+            both = {"_a": self.arousal.trees, "_e": self.exertion.trees}
+            rows = boosting.explained(rows, self.features, both, {n: expected(t) for n, t in both.items()})
+            shap = [F.col(f"{n}_shap")[i].alias(f"shap_{name}_{f}") for n, name in (("_a", "arousal"), ("_e", "exertion")) for i, f in enumerate(self.features)] + [F.col("shap_status")]
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], clip01(F.col("_a")).alias("arousal"), clip01(F.col("_e")).alias("exertion"), fatigue_probability(F.col("_a")).alias("fatigue_prob"), *shap)
 
     def save(self, path: str) -> None:
-        self.arousal.write().overwrite().save(f"{path}/arousal")
-        self.exertion.write().overwrite().save(f"{path}/exertion")
         from pyspark.sql import SparkSession
 
-        meta = json.dumps({"features": self.features, "input_space": self.input_space})
-        SparkSession.active().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        text = json.dumps({"features": self.features, "input_space": self.input_space, "arousal": self.arousal.to_dict(), "exertion": self.exertion.to_dict()})
+        SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, path: str) -> Regressors:
-        from pyspark.ml.regression import GBTRegressionModel
         from pyspark.sql import SparkSession
 
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
-        return cls(meta["features"], GBTRegressionModel.load(f"{path}/arousal"), GBTRegressionModel.load(f"{path}/exertion"), meta["input_space"])
-
-
-def forest_of(model) -> list[tuple[float, list[dict]]]:
-    """Weight and nodes of each tree: feature, threshold, children, value and share of training rows."""
-    out = []
-    for weight, tree in zip(model.treeWeights, model.trees, strict=True):
-        nodes: list[dict] = []
-
-        def walk(n, nodes=nodes) -> int:
-            at = len(nodes)
-            nodes.append({"value": float(n.prediction()), "cover": float(n.impurityStats().count()), "feature": -1, "threshold": 0.0, "left": -1, "right": -1})
-            if n.subtreeDepth() > 0:
-                s = n.split()
-                nodes[at] |= {"feature": s.featureIndex(), "threshold": float(s.threshold()), "left": walk(n.leftChild()), "right": walk(n.rightChild())}
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append((float(weight), nodes))
-    return out
+        d = json.loads(SparkSession.active().read.text(path).first()["value"])
+        return cls(d["features"], boosting.Forest.from_dict(d["arousal"]), boosting.Forest.from_dict(d["exertion"]), d["input_space"])
 
 
 def expected_value(nodes: list[dict], at: int = 0) -> float:
@@ -99,77 +69,26 @@ def expected_value(nodes: list[dict], at: int = 0) -> float:
     return (a["cover"] * expected_value(nodes, n["left"]) + b["cover"] * expected_value(nodes, n["right"])) / (a["cover"] + b["cover"])
 
 
-Path = tuple[float, list[tuple[int, float, list[tuple[float, bool]]]]]
-
-
-def leaf_paths(nodes: list[dict]) -> list[Path]:
-    """Each leaf's value and, for every feature asked on the way, the share of rows that would pass if it were unknown and the tests (threshold, left) that a row must pass."""
-    out: list[Path] = []
-
-    def walk(at: int, way: dict[int, tuple[float, list[tuple[float, bool]]]]) -> None:
-        n = nodes[at]
-        if n["feature"] < 0:
-            out.append((n["value"], [(f, zero, tests) for f, (zero, tests) in way.items()]))
-            return
-        total = nodes[n["left"]]["cover"] + nodes[n["right"]]["cover"]
-        for child, left in ((n["left"], True), (n["right"], False)):
-            zero, tests = way.get(n["feature"], (1.0, []))
-            walk(child, way | {n["feature"]: (zero * nodes[child]["cover"] / total, [*tests, (n["threshold"], left)])})
+def expected(forest: list[tuple[float, list[dict]]]) -> float:
+    """The forest's mean over its training rows, to which attributions add."""
+    return sum(w * expected_value(t) for w, t in forest)
 
-    walk(0, {})
-    return out
 
-
-def batch_shap(paths: list[Path], x: np.ndarray) -> np.ndarray:
-    """Shapley values of one tree for all rows of ``x``, exact, one pass for each leaf.
-
-    On the way to a leaf every feature contributes a pair: the share of rows
-    that would pass if the feature were unknown, and whether a row passes. A
-    leaf's value is spread by the polynomial of those pairs, whose coefficients
-    count subsets by size.
-    """
-    phi = np.zeros(x.shape)
-    for value, way in paths:
-        d = len(way)
-        ones = [np.logical_and.reduce([(x[:, f] <= t) == left for t, left in tests]).astype(float) for f, _, tests in way]
-        weight = [1.0] * d
-        for s in range(1, d):
-            weight[s] = weight[s - 1] * s / (d - s)
-        for i, (feature, zero, _) in enumerate(way):
-            poly = [np.ones(len(x))]
-            for j, (_, z, _) in enumerate(way):
-                if j != i:
-                    poly = [(poly[k] * z if k < len(poly) else 0.0) + (poly[k - 1] * ones[j] if k else 0.0) for k in range(len(poly) + 1)]
-            spread = sum(p * w for p, w in zip(poly, weight, strict=True))
-            phi[:, feature] += value / d * (ones[i] - zero) * spread
-    return phi
-
-
-def explain(df: DataFrame, model, features: list[str], id_cols: list[str]) -> DataFrame:
-    """``id_cols, base_value, shap`` (one value per feature, in order); values and base add up to the prediction."""
-    return explain_forest(df, forest_of(model), features, id_cols)
+def explain(df: DataFrame, model: boosting.Forest, features: list[str], id_cols: list[str]) -> DataFrame:
+    """``id_cols, base_value, shap`` (one value per feature, in order) and ``shap_status``; values and base add up to the prediction."""
+    return explain_forest(df, model.trees, features, id_cols)
 
 
 def explain_forest(df: DataFrame, forest: list[tuple[float, list[dict]]], features: list[str], id_cols: list[str]) -> DataFrame:
-    """:func:`explain` for weights and nodes as :func:`forest_of` gives them."""
-    base = sum(w * expected_value(t) for w, t in forest)
-    shared = df.sparkSession.sparkContext.broadcast([(w, leaf_paths(t)) for w, t in forest])  # bounded by the number of trees and their depth
-    n = len(features)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            x = pdf[[f"_f{i}" for i in range(n)]].to_numpy(float)
-            values = sum((w * batch_shap(t, x) for w, t in shared.value), np.zeros(x.shape))
-            yield pd.concat([pdf[id_cols], pd.DataFrame({"base_value": base, "shap": values.tolist()}, index=pdf.index)], axis=1)
+    """:func:`explain` for weights and nodes of trees."""
+    rows = df.select(*id_cols, *[F.col(f"`{f}`") for f in features if f not in id_cols])
+    out = boosting.explained(rows, features, {"_x": forest}, {"_x": expected(forest)})
+    return out.select(*id_cols, F.col("_x_base").alias("base_value"), F.col("_x_shap").alias("shap"), "shap_status")
 
-    ids = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
-    rows = df.select(*id_cols, *[F.col(f"`{f}`").cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
-    return rows.mapInPandas(run, f"{ids}, base_value double, shap array<double>")
 
-
-def tree_table(spark, model) -> DataFrame:
-    """The model as rows ``tree, weight, node, feature, threshold, left, right, value, cover``; leaves have no feature."""
-    rows = [(t, w, i, n["feature"] if n["feature"] >= 0 else None, n["threshold"], n["left"], n["right"], n["value"], n["cover"]) for t, (w, nodes) in enumerate(forest_of(model)) for i, n in enumerate(nodes)]
+def tree_table(spark, model: boosting.Forest) -> DataFrame:
+    """The model as rows ``tree, weight, node, feature, threshold, left, right, value, cover``; leaves have no feature, and the first tree is the base value."""
+    rows = [(t, w, i, n["feature"] if n["feature"] >= 0 else None, n["threshold"], n["left"], n["right"], n["value"], n["cover"]) for t, (w, nodes) in enumerate(model.trees) for i, n in enumerate(nodes)]
     return spark.createDataFrame(rows, "tree int, weight double, node int, feature int, threshold double, left int, right int, value double, cover double")
 
 
@@ -186,14 +105,19 @@ def get_models(path: str) -> Regressors:
     return _loaded[key]
 
 
-def cross_validate(df: DataFrame, *, features: list[str], speaker: str, fatigue: str, order_by: str, n_folds: int = 7, **training) -> DataFrame:
-    """Leave one speaker out: trained on ``1 - fatigue`` as arousal; concordance and accuracy of each fold."""
-    out = None
-    for fold in metrics.loso_folds(df, speaker, order_by, n_folds).collect():
-        train, test = metrics.fold_rows(df.withColumn("_target", 1 - F.col(fatigue)), speaker, fold["speaker"])
-        got = Regressors.train(train, features=features, arousal="_target", **training).predict(test)
-        right = ((1 - F.col("arousal")) > 0.5) == (F.col(fatigue) > 0.5)
-        one = got.agg(metrics.ccc("_target", "arousal").alias("ccc"), F.avg(right.cast("int")).alias("accuracy"))
-        one = one.select(F.lit(fold["fold"]).alias("fold"), F.lit(str(fold["speaker"])).alias("speaker"), F.lit(fold["n_train"]).alias("n_train"), F.lit(fold["n_test"]).alias("n_test"), "ccc", "accuracy")
-        out = one if out is None else out.unionByName(one)
-    return out
+def cross_validate(df: DataFrame, *, features: list[str], speaker: str, fatigue: str, order_by: str, n_folds: int = 7, exertion: str | None = None, **training) -> DataFrame:
+    """Leave one speaker out: trained on ``1 - fatigue`` as arousal; ``fold, speaker, n_train, n_test`` and concordance and accuracy to four places. No figure here depends on ``exertion``.
+
+    The folds' models grow side by side, in the same passes over rows that are binned once, and each held-out row is scored by its own fold's.
+    """
+    folds = metrics.loso_folds(df, speaker, order_by, n_folds).collect()  # at most ``n_folds``
+    table = df.sparkSession.createDataFrame([(r["speaker"], r["fold"]) for r in folds], T.StructType([T.StructField("_who", df.schema[speaker].dataType), T.StructField("_held", T.IntegerType())]))
+    rows = df.withColumn("_target", 1 - F.col(fatigue).cast("double")).join(F.broadcast(table), F.col(speaker) == F.col("_who"), "left").drop("_who")
+    grown = boosting.train(rows, features, ["_target"], fold="_held", folds=[r["fold"] for r in folds], **training)
+    first = grown["_target", folds[0]["fold"]]
+    held = rows.where(F.col("_held").isNotNull()).select("_held", "_target", fatigue, *[F.col(f"`{f}`") for f in features if f != fatigue])
+    got = boosting.scored(held, features, {"_p": first}, ("_held", {r["fold"]: grown["_target", r["fold"]] for r in folds})).withColumn("_a", clip01(F.col("_p")))
+    right = (fatigue_probability(F.col("_p")) > 0.5) == (F.col(fatigue) > 0.5)
+    scores = got.groupBy(F.col("_held").alias("fold")).agg(F.round(metrics.ccc("_target", "_a"), 4).alias("ccc"), F.round(F.avg(right.cast("int")), 4).alias("accuracy"))
+    sizes = df.sparkSession.createDataFrame([(r["fold"], str(r["speaker"]), r["n_train"], r["n_test"]) for r in folds], "fold int, speaker string, n_train long, n_test long")
+    return sizes.join(scores, "fold")

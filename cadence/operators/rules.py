@@ -66,6 +66,18 @@ def classify(df: DataFrame, keys: tuple[str, ...] = (), limits: dict[str, float]
     return rows.withColumn("_s", s).select(*df.columns, "_s.state", "_s.confidence", "_s.reason")
 
 
+NO_SHAP = "SHAP 列未找到"
+
+
+def classify_with_shap(df: DataFrame, keys: tuple[str, ...] = (), *, top_k: int = 3, prefix: str = "shap_arousal_", **more) -> DataFrame:
+    """:func:`classify` with ``shap_reason``: the ``top_k`` largest attributions of the arousal score, from columns named by ``prefix`` and feature; a fixed text where there are none."""
+    from cadence.operators.metrics import top_reasons
+
+    rows = classify(df, keys, **more)
+    features = [c.removeprefix(prefix) for c in df.columns if c.startswith(prefix)]
+    return rows.withColumn("shap_reason", top_reasons(rows, features, top_k, prefix) if features else F.lit(NO_SHAP))
+
+
 def downgraded(confidence: Column, baseline: Column) -> Column:
     """A rule's confidence, lowered by that of the speaker's baseline."""
     return (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadence.functions import scalar, taxonomy
-from cadence.operators import align, baseline, gate, intervals, metrics, model, registry, rules
+from cadence.operators import align, baseline, boosting, gate, intervals, metrics, model, registry, rules
 from cadence.plans import end_to_end
 from cadence.plans.schema import SPEAKERS, feature_columns, realign
 from cadence.sources import providers, tables
@@ -278,10 +278,9 @@ def test_shap_adds_up(spark):
     df = spark.createDataFrame([(i, *map(float, r), float(r[0] * 2 + r[1] * r[2])) for i, r in enumerate(x)], "id long, a double, b double, c double, y double")
     m = model.Regressors.train(df, features=["a", "b", "c"], arousal="y", exertion="y", trees=4, depth=3)
     rows = model.explain(df, m.arousal, ["a", "b", "c"], ["id"]).collect()
-    from pyspark.ml.linalg import Vectors
-
-    for r in rows[:50]:
-        assert r["base_value"] + sum(r["shap"]) == pytest.approx(m.arousal.predict(Vectors.dense(x[r["id"]])), abs=1e-6)
+    for r in rows:
+        assert r["base_value"] + sum(r["shap"]) == pytest.approx(m.arousal.predict(x[r["id"]][None])[0], abs=1e-9)
+        assert r["shap_status"] == "ok"
     with pytest.raises(ValueError):
         m.predict(df, input_space="z")
 
@@ -468,7 +467,7 @@ def test_shap_is_the_average_over_orders():
         return sum(nodes[c]["cover"] * known(x, subset, c) for c in (n["left"], n["right"])) / (nodes[n["left"]]["cover"] + nodes[n["right"]]["cover"])
 
     rows = np.random.default_rng(4).random((20, 3))
-    got = model.batch_shap(model.leaf_paths(nodes), rows)
+    got = boosting.shap_values(nodes, rows)
     for x, phi in zip(rows, got, strict=True):
         for f in range(3):
             rest = [g for g in range(3) if g != f]
@@ -476,6 +475,77 @@ def test_shap_is_the_average_over_orders():
             assert phi[f] == pytest.approx(want)
 
 
+def grown_in_loops(x, y, trees, depth, rate):
+    """Boosted trees row by row: all values are bounds, exact sums, the first best split."""
+    pred, out = np.full(len(y), y.mean()), []
+    for _ in range(trees):
+        g = pred - y
+
+        def grow(rows, level, g=g):
+            total, n = g[rows].sum(), len(rows)
+            best = (1e-6, None)
+            for f in range(x.shape[1]) if level < depth else ():
+                for v in np.unique(x[rows, f])[:-1]:
+                    left = rows[x[rows, f] <= v]
+                    gl, hl = g[left].sum(), len(left)
+                    gain = gl**2 / (hl + 1) + (total - gl) ** 2 / (n - hl + 1) - total**2 / (n + 1)
+                    if gain > best[0] * (1 + 1e-12):
+                        best = (gain, (f, v))
+            if best[1] is None:
+                pred[rows] += -total / (n + 1) * rate
+                return (-total / (n + 1) * rate, n)
+            f, v = best[1]
+            return (f, v, grow(rows[x[rows, f] <= v], level + 1), grow(rows[x[rows, f] > v], level + 1))
+
+        out.append(grow(np.arange(len(y)), 0))
+    return pred, out
+
+
+def test_boosting_equals_loops_whatever_the_partitions(spark):
+    g = np.random.default_rng(21)
+    x = np.round(g.random((400, 3)), 1)
+    y = x[:, 0] * (x[:, 1] > 0.5) + 0.2 * x[:, 2] + 0.05 * g.random(400)
+    want, _ = grown_in_loops(x, y, 12, 3, 0.3)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 1.0), (1.0, 1.0, float("nan"), 1.0), (1.0, 1.0, 1.0, None)], "a double, b double, c double, y double")
+    one = boosting.train(df.repartition(1), ["a", "b", "c"], ["y"], trees=12, depth=3, rate=0.3, subsample=1.0)["y", None]
+    assert np.allclose(one.predict(x), want, atol=1e-8)
+    many = boosting.train(df.repartition(7, "c"), ["a", "b", "c"], ["y"], trees=12, depth=3, rate=0.3, subsample=1.0)["y", None]
+    assert many.to_dict() == one.to_dict()
+    drawn = [boosting.train(df.repartition(k, "b"), ["a", "b", "c"], ["y"], trees=3, depth=2, rate=0.3, subsample=0.5)["y", None] for k in (1, 5)]
+    assert drawn[0].to_dict() == drawn[1].to_dict()
+    assert 120 < drawn[0].grown[0]["cover"][0] < 280
+
+
+def test_folds_equal_fits_without_them(spark):
+    g = np.random.default_rng(22)
+    x = np.round(g.random((300, 2)), 1)
+    rows = [(*map(float, r), float(r[0] + 0.3 * r[1] + 0.1 * g.random()), int(i % 4) if i % 4 < 3 else None) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    folds = boosting.train(df, ["a", "b"], ["y"], fold="fold", folds=[0, 1, 2], trees=4, depth=2, subsample=1.0, scale=30)
+    for k in (0, 1, 2):
+        alone = boosting.train(df.where(~F.col("fold").eqNullSafe(F.lit(k))), ["a", "b"], ["y"], trees=4, depth=2, subsample=1.0, scale=30)["y", None]
+        assert np.allclose(alone.predict(x), folds["y", k].predict(x), atol=1e-12)
+
+
+def test_attributions_of_missing_features_and_many_values(spark):
+    g = np.random.default_rng(23)
+    rows = [(i, *map(float, v), float(v.sum() / 3)) for i, v in enumerate(g.random((900, 3)))]
+    df = spark.createDataFrame(rows, "id long, f_a double, f_b double, f_c double, y double")
+    models = model.Regressors.train(df, features=["f_a", "f_b", "f_c"], arousal="y", exertion="y", trees=15, depth=4, rate=0.3)
+    assert boosting.bin_edges(df, ["f_a"], 64)[0].shape[0] <= 63
+    got = models.predict(df.union(spark.createDataFrame([(-1, None, 0.5, float("nan"), 0.0)], df.schema)), add_shap=True)
+    by = {r["id"]: r for r in got.collect()}
+    assert by[-1]["shap_status"] == "missing: f_a, f_c" and by[5]["shap_status"] == "ok"
+    base = model.expected(models.arousal.trees)
+    for i in range(0, 900, 50):
+        total = base + sum(by[i][f"shap_arousal_{f}"] for f in ("f_a", "f_b", "f_c"))
+        assert max(0, min(1, total)) == pytest.approx(by[i]["arousal"], abs=1e-9)
+    assert np.mean([abs(r["arousal"] - r["y"]) for i, r in by.items() if i >= 0]) < 0.05
+    stated = rules.classify_with_shap(got, top_k=2).where("id = 5").first()["shap_reason"]
+    assert stated.count(" | ") == 1 and stated.startswith("f")
+    assert rules.classify_with_shap(got.select("id", "arousal", "exertion")).first()["shap_reason"] == rules.NO_SHAP
+
+
 def test_gate_numbers_rows_without_keys(spark):
     df = spark.range(1000, numPartitions=7).select((999 - F.col("id")).alias("t"), F.lit(1.0).alias("duration_sec"), F.lit(9.0).alias("snr_db"), F.lit(1.0).alias("tse_confidence"))
     got = gate.gate(df, order_by="t").collect()
