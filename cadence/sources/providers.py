@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cadence.functions.taxonomy import FEATURE_NAMES
@@ -98,11 +98,20 @@ def with_decoded(df: DataFrame, column: str, decode: Callable[[bytes], tuple[np.
     return df.mapInPandas(run, _schema(df, "samples array<float>", "sample_rate int", "error string"))
 
 
-def outcomes(df: DataFrame, item: str, error: str = "error") -> tuple[DataFrame, DataFrame]:
-    """How many rows worked and failed, and ``log`` lines ``item: error`` of those that failed."""
+def observed(df: DataFrame, error: str = "error") -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that has ``success`` and ``failed`` once they have been written or collected: counts come from the pass itself."""
     failed = F.col(error).isNotNull()
-    counts = df.agg(F.count_if(~failed).alias("success"), F.count_if(failed).alias("failed"))
-    return counts, df.where(failed).select(F.concat_ws(": ", F.col(item).cast("string"), F.col(error)).alias("log"))
+    seen = Observation()
+    return df.observe(seen, F.count_if(~failed).alias("success"), F.count_if(failed).alias("failed")), seen
+
+
+def outcomes(df: DataFrame, item: str, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """How many rows worked and failed, and ``log`` lines ``item: error`` of those that failed, both from one pass over ``df``."""
+    from cadence.sources.tables import scratch
+
+    rows, seen = observed(df, error)
+    log = scratch(rows.where(F.col(error).isNotNull()).select(F.concat_ws(": ", F.col(item).cast("string"), F.col(error)).alias("log")), "log")
+    return df.sparkSession.createDataFrame([(seen.get["success"], seen.get["failed"])], "success long, failed long"), log
 
 
 def at_rate(df: DataFrame, samples: str = "samples", rate: str = "sample_rate", target: int = RATE) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Scans and sinks. State tables are written to a new version, and a pointer file is then renamed over the old one, so a reader never meets half a write."""
+"""Scans and sinks. State tables are numbered commits, so a reader never meets half a write and no writer overwrites another's unseen."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.plans.schema import ALIGNER, BASELINES, SPEAKERS, TRACE
+from cadence.sources import commits
 
+BASELINES_STORED = T.StructType([*BASELINES.fields, T.StructField("max_n", T.IntegerType())])
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+_fs, exists = commits.fs, commits.exists
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -81,22 +78,28 @@ def speaker_library(spark: SparkSession, files: dict[str, str], decode) -> DataF
     return with_decoded(rows.select("speaker_id", "content"), "content", decode).drop("content")
 
 
-def _pointed(spark: SparkSession, path: str) -> str:
-    return spark.read.text(f"{path}/CURRENT").first()["value"]
+_BROKEN = re.compile(r"not a Parquet file|footer|UNABLE_TO_INFER_SCHEMA|Unable to infer schema", re.I)
+
+#: The version of each table that this session has read or written last; a write starts from it.
+_seen: dict[tuple[str, str], int] = {}
 
 
-_BROKEN = re.compile(r"not a Parquet file|footer|UNABLE_TO_INFER_SCHEMA|Unable to infer schema", re.I)
+def _key(spark: SparkSession, path: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, path.rstrip("/")
 
 
-def versioned_read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table that ``path/CURRENT`` names. A missing one is empty. One whose files are broken or gone is kept aside, each time under a new ``.bak`` name, and read as empty; any other error is raised."""
-    if not exists(spark, f"{path}/CURRENT"):
+def versioned_read(spark: SparkSession, path: str, schema: T.StructType, *, version: int | None = None) -> DataFrame:
+    """The newest version, or one that is kept. A missing table is empty. One whose files are broken or gone is kept aside, each time under a new ``.bak`` name, and read as empty; any other error is raised."""
+    number, folder = commits.latest(spark, path)
+    if version is not None:
+        return spark.read.schema(schema).parquet(f"{path}/{commits.versions(spark, path)[version]}")
+    _seen[_key(spark, path)] = number
+    if folder is None:
         return spark.createDataFrame([], schema)
-    version = _pointed(spark, path)
-    broken = not exists(spark, f"{path}/{version}")
+    broken = not exists(spark, f"{path}/{folder}")
     if not broken:
         try:
-            _ = spark.read.parquet(f"{path}/{version}").schema  # reads footers only
+            _ = spark.read.parquet(f"{path}/{folder}").schema  # reads footers only
         except Exception as e:
             if not _BROKEN.search(str(e)):
                 raise
@@ -104,32 +107,42 @@ def versioned_read(spark: SparkSession, path: str, schema: T.StructType) -> Data
     if broken:
         fs, p = _fs(spark, path)
         fs.rename(p, _fs(spark, f"{path}.bak-{uuid.uuid4().hex[:8]}")[1])
+        _seen[_key(spark, path)] = 0
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{version}")
+    return spark.read.schema(schema).parquet(f"{path}/{folder}")
 
 
-def versioned_write(df: DataFrame, path: str, *, dirty: bool = True, keep: int = 2) -> None:
-    """Writes a new version and renames a pointer over the old one; nothing happens where nothing changed. The last ``keep`` versions stay for readers that have just met them."""
+def versioned_write(df: DataFrame, path: str, *, dirty: bool = True, keep: int = commits.KEEP) -> None:
+    """Commits a new version after the one that this session has read or written last (the newest, where it has not); :class:`commits.Conflict` where another writer came between.
+
+    Nothing happens where nothing changed. The last ``keep`` versions stay for readers that have just met them.
+    """
     if not dirty:
         return
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(f"{path}/{version}")
-    jvm = spark.sparkContext._jvm
-    fs, p = _fs(spark, f"{path}/CURRENT")
-    if fs.exists(p) and fs.getFileStatus(p).isDirectory():  # as earlier versions of this library wrote it
-        fs.rename(p, _fs(spark, f"{path}/.CURRENT-old")[1])
-    temporary = _fs(spark, f"{path}/.CURRENT-{version}")[1]
-    out = fs.create(temporary, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    hadoop = jvm.org.apache.hadoop.fs
-    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-    hadoop.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), fs.makeQualified(p), how)
-    old = sorted((f for f in fs.listStatus(_fs(spark, path)[1]) if f.isDirectory() and f.getPath().getName().startswith("v-") and f.getPath().getName() != version), key=lambda f: -f.getModificationTime())
-    for f in old[keep - 1 :]:
-        fs.delete(f.getPath(), True)
+    base = _seen.get(_key(spark, path), commits.latest(spark, path)[0])
+    _seen[_key(spark, path)] = commits.commit(df, path, base, keep=keep)
+
+
+def versioned_update(spark: SparkSession, path: str, schema: T.StructType, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Commits ``change`` of the newest version, taken again on a newer one as often as other writers come first: no writer's change is lost."""
+    _seen[_key(spark, path)] = commits.update(spark, path, lambda: versioned_read(spark, path, schema), change)
+
+
+def versioned_erase(spark: SparkSession, path: str, schema: T.StructType, change: Callable[[DataFrame], DataFrame]) -> None:
+    """``change`` on the newest and every kept version of a table, see :func:`commits.erase`. A missing table stays missing."""
+    if commits.latest(spark, path)[1] is not None:
+        _seen[_key(spark, path)] = commits.erase(spark, path, lambda: versioned_read(spark, path, schema), schema, change)
+
+
+def erase_speaker(spark: SparkSession, speaker_id: str, *, registry: str, baselines: str | None = None) -> None:
+    """A speaker leaves every kept version of the stored registry, references included, and of the stored baselines."""
+    from cadence.operators.registry import forget_references
+
+    gone = F.col("speaker_id") != speaker_id
+    versioned_erase(spark, registry, SPEAKERS, lambda df: forget_references(df.where(gone), speaker_id))
+    if baselines:
+        versioned_erase(spark, baselines, BASELINES_STORED, lambda df: df.where(gone))
 
 
 def save_aligner(df: DataFrame, path: str) -> None:
@@ -155,6 +168,11 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     return versioned_read(spark, path, SPEAKERS)
 
 
+def update_registry(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Commits ``change`` of the stored registry; see :func:`versioned_update`."""
+    versioned_update(spark, path, SPEAKERS, lambda df: change(df).select(*SPEAKERS.names))
+
+
 def save_registry(df: DataFrame, path: str, *, dirty: bool = True) -> None:
     versioned_write(df.select(*SPEAKERS.names), path, dirty=dirty)
 
@@ -200,7 +218,7 @@ def save_baselines(df: DataFrame, path: str, *, max_n: int = 200) -> None:
 
 
 def load_baselines(spark: SparkSession, path: str) -> DataFrame:
-    return versioned_read(spark, path, T.StructType([*BASELINES.fields, T.StructField("max_n", T.IntegerType())]))
+    return versioned_read(spark, path, BASELINES_STORED)
 
 
 # Sinks

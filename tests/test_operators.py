@@ -10,7 +10,7 @@ from cadence.functions import scalar, taxonomy
 from cadence.operators import align, baseline, boosting, gate, intervals, metrics, model, registry, rules
 from cadence.plans import end_to_end
 from cadence.plans.schema import SPEAKERS, feature_columns, realign
-from cadence.sources import providers, tables
+from cadence.sources import commits, providers, tables
 
 
 def loop(values, n=0.0, s=0.0, q=0.0, max_n=200):
@@ -432,7 +432,7 @@ def test_broken_tables_are_kept_and_other_errors_raised(spark, tmp_path, monkeyp
     path = str(tmp_path / "reg")
     for k in range(2):
         tables.save_registry(people(spark), path)
-        version = (tmp_path / "reg" / "CURRENT").read_text()
+        version = commits.latest(spark, path)[1]
         for f in (tmp_path / "reg" / version).iterdir():
             f.write_bytes(b"broken") if f.suffix == ".parquet" else f.unlink()
         assert tables.load_registry(spark, path).count() == 0
@@ -440,12 +440,78 @@ def test_broken_tables_are_kept_and_other_errors_raised(spark, tmp_path, monkeyp
     for _ in range(4):
         tables.save_registry(people(spark), path)
     assert tables.load_registry(spark, path).count() == 3 and len(list((tmp_path / "reg").glob("v-*"))) == 2
-    monkeypatch.setattr(tables, "_pointed", lambda spark, path: (_ for _ in ()).throw(RuntimeError("the job failed")))
+    monkeypatch.setattr(commits, "latest", lambda spark, path: (_ for _ in ()).throw(RuntimeError("the job failed")))
     with pytest.raises(RuntimeError, match="the job failed"):
         tables.load_registry(spark, path)
     assert len(list(tmp_path.glob("reg.bak-*"))) == 2
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Threads that add speakers at the same time: each change is in the last version, and a write from an older one is refused."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "reg")
+    tables.save_registry(people(spark), path)
+
+    def add(k):
+        def change(df):
+            new = df.limit(1).withColumns({"speaker_id": F.lit(f"persist_{900 + k}"), "insert_no": F.lit(900 + k).cast("long")})
+            return df.unionByName(new)
+
+        tables.update_registry(spark, path, change)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(8)))
+    assert {r["speaker_id"] for r in tables.load_registry(spark, path).collect()} == {r["speaker_id"] for r in people(spark).collect()} | {f"persist_{900 + k}" for k in range(8)}
+    assert commits.latest(spark, path)[0] == 9 and len(commits.versions(spark, path)) == 2
+    known = tables.load_registry(spark, path)
+    commits.commit(known.where("insert_no > 900"), path, 9)  # as another session would
+    with pytest.raises(commits.Conflict):
+        tables.save_registry(known, path)
+    assert tables.load_registry(spark, path).count() == 7
+    assert len([f for f in (tmp_path / "reg").iterdir() if f.name.startswith("v-")]) == 2
+
+
+def test_no_kept_file_holds_an_erased_voice(spark, tmp_path):
+    path, sums = str(tmp_path / "reg"), str(tmp_path / "sums")
+    gone = people(spark).first()["speaker_id"]
+    marked = people(spark).withColumn("possible_match", F.when(F.col("speaker_id") != gone, gone))
+    for _ in range(3):
+        tables.save_registry(marked, path)
+    tables.save_baselines(people(spark).select("speaker_id", F.lit(1.0).alias("n"), F.lit(1.0).alias("sum_a"), F.lit(1.0).alias("sum_sq_a")), sums)
+    marked.write.parquet(f"{path}/v-left-behind")
+    marked.write.parquet(f"{path}.bak-1/v-old")
+    tables.erase_speaker(spark, gone, registry=path, baselines=sums)
+    files = [str(f) for f in tmp_path.rglob("*.parquet")]
+    assert files and not any(gone in str(spark.read.parquet(f).collect()) for f in files)
+    assert len(commits.versions(spark, path)) >= 2 and all(tables.versioned_read(spark, path, SPEAKERS, version=v).count() == 2 for v in commits.versions(spark, path))
+    assert tables.load_registry(spark, path).count() == 2 == tables.load_baselines(spark, sums).count()
+    tables.erase_speaker(spark, gone, registry=str(tmp_path / "none"))
+
+
+def test_tables_of_the_earlier_layout_are_read(spark, tmp_path):
+    path = str(tmp_path / "reg")
+    people(spark).select(*SPEAKERS.names).write.parquet(f"{path}/v-1")
+    (tmp_path / "reg" / "CURRENT").write_text("v-1")
+    assert tables.load_registry(spark, path).count() == 3
+    tables.save_registry(people(spark).limit(1), path)
+    assert tables.load_registry(spark, path).count() == 1 and not (tmp_path / "reg" / "CURRENT").exists()
+
+
+def test_counts_come_from_one_pass(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def decode(raw):
+        calls.add(1)
+        return providers.decode_wav(raw)
+
+    rows = [("a", providers.wav_bytes(np.zeros(50))), ("b", b"no audio"), ("c", b"")]
+    counts, log = providers.outcomes(providers.with_decoded(spark.createDataFrame(rows, "path string, content binary"), "content", decode), "path")
+    assert tuple(counts.first()) == (1, 2)
+    assert sorted(r["log"][:3] for r in log.collect()) == ["b: ", "c: "]
+    assert calls.value == 3
+
+
 def test_shap_is_the_average_over_orders():
     """Against the definition: every subset of features known, others by shares of training rows."""
     import itertools
