@@ -15,7 +15,7 @@ from cadence.functions import scalar, taxonomy, vector
 from cadence.operators import align, baseline, gate, intervals, metrics, model, registry, report, rules
 from cadence.plans import end_to_end
 from cadence.plans.schema import SPEAKERS, feature_columns, meta_first, realign
-from cadence.sources import providers, tables
+from cadence.sources import providers, recordings, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -731,6 +731,17 @@ def decoded_audio(spark, d):
     return rows.select(no.alias("vec_id"), F.size("samples").cast("long").alias("n"), "sample_rate", F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
 
+@_query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, 16000 AS sample_rate, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(trunc(x * 32767) AS DOUBLE) / 32768)), 5) AS total FROM embeddings")
+def recording_ranges(spark, d):
+    """Written all or none and read again by ranges of 64 bytes, in pieces of 16 samples."""
+    path = tables.scratch_path(spark, "recordings")
+    recordings.write(_table(spark, d, "embeddings").select(F.format_string("%d.wav", "vec_id").alias("name"), F.col("embedding").alias("samples")), path)
+    pieces = recordings.read(spark, path, range_mb=64 / 2**20, chunk_sec=0.001)
+    no = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long")
+    sums = F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double")))
+    return pieces.where("error is null").groupBy(no.alias("vec_id"), "sample_rate").agg(F.sum("n").alias("n"), F.round(sums, 5).alias("total"))
+
+
 @_query("SELECT count(*) FILTER (vec_id % 3 = 0) AS success, count(*) FILTER (vec_id % 3 <> 0) AS failed FROM embeddings")
 def error_counts(spark, d):
     path, _ = _wavs(spark, d)

@@ -512,6 +512,89 @@ def test_counts_come_from_one_pass(spark):
     assert calls.value == 3
 
 
+def test_recordings_by_ranges(spark, tmp_path):
+    """Every sample once, whatever the ranges and pieces; broken files are rows that say why."""
+    import struct
+    import wave
+
+    from cadence.sources import recordings
+
+    g = np.random.default_rng(30)
+    want = {}
+    for width, channels, rate, n in ((2, 1, 16000, 5001), (1, 2, 8000, 333), (3, 1, 44100, 1000), (4, 2, 16000, 77), (2, 1, 16000, 0)):
+        name = f"w{width}c{channels}n{n}.wav"
+        with wave.open(str(tmp_path / name), "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(width)
+            f.setframerate(rate)
+            f.writeframes(g.integers(0, 256, n * channels * width).astype(np.uint8).tobytes())
+        want[name] = recordings.decoded((tmp_path / name).read_bytes()[44:], recordings.Header(1, channels, rate, width, 44, 0)) if n else np.zeros(0)
+    floats = g.random(100).astype("<f4")
+    body = b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<IHHIIHH", 16, 3, 1, 22050, 88200, 4, 32) + b"data" + struct.pack("<I", 400) + floats.tobytes() + b"tail"
+    (tmp_path / "float.wav").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body)
+    want["float.wav"] = floats
+    (tmp_path / "bad.wav").write_bytes(b"no audio at all")
+    (tmp_path / "other.txt").write_bytes(b"x")
+    for range_mb, chunk in ((64, 30), (0.0005, 0.01), (0.00003, 30)):
+        rows = recordings.read(spark, str(tmp_path), range_mb=range_mb, chunk_sec=chunk).orderBy("path", "first").collect()
+        got = {}
+        for r in rows:
+            name = r["path"].rpartition("/")[2]
+            if r["error"]:
+                assert name == "bad.wav" and "WAV" in r["error"]
+                continue
+            at = got.setdefault(name, [])
+            assert r["first"] == len(at) and r["n"] == len(r["samples"])
+            at += r["samples"]
+        assert got.keys() == want.keys() and sum(bool(r["error"]) for r in rows) == 1
+        assert all(np.allclose(got[n], want[n], atol=1e-7) for n in want)
+    with pytest.raises(Exception, match="FileNotFound"):
+        recordings.read(spark, str(tmp_path / "none")).count()
+
+
+def test_ranges_of_a_file_beyond_two_gigabytes(tmp_path):
+    """A sparse file with more than 4 GB of samples: ranges read only their own bytes."""
+    import struct
+
+    from cadence.sources import recordings
+
+    path, frames = tmp_path / "long.wav", 2_300_000_000
+    with path.open("wb") as f:
+        f.write(b"RF64" + struct.pack("<I", 0xFFFFFFFF) + b"WAVEds64" + struct.pack("<IQQQI", 28, 0, frames * 2, frames, 0) + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF))
+        start = f.tell()
+        f.seek(start + 2 * (frames - 1))
+        f.write(struct.pack("<h", 16384))
+    reader = recordings.Reader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == -(-path.stat().st_size // 2**26)
+    last = list(reader.read(parts[-1]))
+    assert last[-1].column("first")[0].as_py() + last[-1].column("n")[0].as_py() == frames and last[-1].column("samples")[0].as_py()[-1] == 0.5
+    before = list(reader.read(parts[-2]))
+    assert before[-1].column("first")[0].as_py() + before[-1].column("n")[0].as_py() == last[0].column("first")[0].as_py()
+
+
+def test_recordings_are_written_all_or_none(spark, tmp_path):
+    from cadence.sources import recordings
+
+    out = tmp_path / "out"
+    rows = [(f"r{i}.wav", [float(np.sin(k / 9)) for k in range(i * 7)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "name string, samples array<float>").repartition(4)
+    recordings.write(df, str(out))
+    assert sorted(f.name for f in out.iterdir()) == sorted(n for n, _ in rows)
+    back = {r["path"].rpartition("/")[2]: r["samples"] for r in recordings.read(spark, str(out)).collect()}
+    assert all(np.allclose(back[n], x, atol=1e-4) for n, x in rows)
+    more = spark.createDataFrame([("new.wav", [0.1]), ("a/b.wav", [0.1])], df.schema).repartition(2)
+    with pytest.raises(Exception, match="not a file name"):
+        recordings.write(more, str(out))
+    with pytest.raises(Exception, match="there already"):
+        recordings.write(spark.createDataFrame([("new.wav", [0.1]), ("r3.wav", [0.1])], df.schema).repartition(2), str(out))
+    with pytest.raises(Exception, match="written twice"):
+        recordings.write(spark.createDataFrame([("new.wav", [0.1]), ("new.wav", [0.1])], df.schema).repartition(2), str(out))
+    assert sorted(f.name for f in out.iterdir()) == sorted(n for n, _ in rows)
+    recordings.write(spark.createDataFrame([("r3.wav", [0.25] * 5)], df.schema), str(out), overwrite=True)
+    assert recordings.durations(recordings.read(spark, str(out))).where("path LIKE '%r3.wav'").first()["n"] == 5
+
+
 def test_shap_is_the_average_over_orders():
     """Against the definition: every subset of features known, others by shares of training rows."""
     import itertools
