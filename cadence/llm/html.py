@@ -10,9 +10,11 @@ A node with few presentations is a template: its children are places that every
 fills. A place whose new text is small beside that of the largest place is removed, and so is any branch
 whose text mostly recurs. In a node of many presentations (an article) children stay unless they
 recur. A place is small only beside a larger one of the same page. A host with few pages borrows from the tree of
-all hosts. Elements that HTML defines for other things than content (``nav``, ``footer``, ``aside`` and
-so on), roles and a few whole class names lower a branch's importance by ``hint``; none
-removes it by itself, and without them (``hint=1``) the tree decides alone. A heading is judged with what it heads.
+all hosts. Inside an ``article`` or ``main`` no size counts, and quotes, tables, lists of terms, figures and preformatted text stay also where they
+recur. Elements that HTML defines for other things than content (``nav``, ``footer``, ``aside`` and
+so on), roles and a few whole class names are of no importance, whatever their size, unless all articles of the page stand
+in them; a form, or an element with such a class, that holds all that is left of a page is kept. Without them
+(``names=False``) the tree decides alone. A heading is judged with what it heads.
 Only what browsers don't show as text (scripts, styles, form fields) is left out while reading.
 
 Statistics are counted in Spark by host, node and text, folded in each task before the
@@ -44,6 +46,8 @@ NO_TEXT = frozenset("head script style noscript template svg math iframe object
 NO_CONTENT = frozenset("nav header footer aside form dialog menu".split())
 NO_CONTENT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NO_CONTENT_CLASS = frozenset("ad ads advert advertisement banner sidebar menu navbar breadcrumb breadcrumbs footer header comments comment-list comments-area cookie-notice cookie-banner popup modal newsletter related related-posts share social pagination".split())
+ARTICLE = frozenset("article main".split())
+CONTENT = frozenset("blockquote table caption thead tbody tfoot tr td th pre figure figcaption dl dt dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -70,11 +74,12 @@ class Place:
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page in order as ``(node, text)``, and its tree: for each node its key, its parent's number and its marks."""
+    """Blocks of a page in order as ``(node, text)``, and its tree: for each node its key, its parent's number, its marks and its tag, and whether it is inside an article or holds one."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.keys, self.parents, self.marks = [_ROOT], [-1], [0]
+        self.keys, self.parents, self.marks, self.tags = [_ROOT], [-1], [0], [""]
+        self.inside, self.holds, self.plain_article = [False], [False], False
         self.number = {_ROOT: 0}
         self.stack = [Place("", 0, 0, False)]
         self.open: dict[str, int] = {}
@@ -108,7 +113,7 @@ class PageReader(HTMLParser):
             if self.stack[k].tag in stop:
                 return
 
-    def node_of(self, above: Place, label: str, mark: int) -> tuple[int, int]:
+    def node_of(self, above: Place, tag: str, label: str, mark: int, article: bool) -> tuple[int, int]:
         """The tree node of a new element, and its depth."""
         if above.depth >= DEPTH:
             return above.node, above.depth
@@ -119,6 +124,9 @@ class PageReader(HTMLParser):
             self.keys.append(key)
             self.parents.append(above.node)
             self.marks.append(mark)
+            self.tags.append(tag)
+            self.inside.append(self.inside[above.node] or article)
+            self.holds.append(False)
         return no, above.depth + 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -141,7 +149,7 @@ class PageReader(HTMLParser):
             or named.get("aria-hidden") == "true"
             or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         )
-        if tag in INLINE and not hint:
+        if tag in INLINE:  # also with a class that would mark a block: it is part of a sentence
             return
         self.flush()
         if tag in CLOSES_P:
@@ -168,7 +176,14 @@ class PageReader(HTMLParser):
                         break
                 else:
                     above = self.stack[0]
-            place = Place(tag, *self.node_of(above, label, mark), False)
+            article = tag in ARTICLE or (named.get("role") or "").lower() == "main"
+            place = Place(tag, *self.node_of(above, tag, label, mark, article), False)
+            if article:
+                no, free = place.node, True
+                while no > 0:  # at most DEPTH levels
+                    self.holds[no], free = True, free and not self.marks[no] & _HINT
+                    no = self.parents[no]
+                self.plain_article |= free
         self.stack.append(place)
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -216,26 +231,39 @@ def host_key(url: str | Column = "url") -> Column:
     return F.xxhash64(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*(?:[^/?#@]*@)?([^/?#:]*)", 1)))
 
 
-def main_text(reader: PageReader, low: frozenset[int], small: frozenset[int] = frozenset()) -> str:
-    """The blocks outside of branches in ``low``, and of those in ``small`` beside a larger place; where a page has small places only, the one with most text is its largest."""
+def main_text(reader: PageReader, low: frozenset[int], small: frozenset[int] = frozenset(), names: bool = True) -> str:
+    """The blocks outside of marked branches (with ``names``), of branches in ``low``, and of those in ``small`` beside a larger place; where a page has small places only, the one with most text is its largest."""
+    n = len(reader.keys)
+    marked = [names and bool(m & _HINT) and (reader.plain_article or not h) for m, h in zip(reader.marks, reader.holds, strict=True)]
+    out = _kept(reader, low, small, marked)
+    if not out and any(marked):
+        soft = [m and reader.tags[no] in NO_CONTENT and reader.tags[no] != "form" for no, m in enumerate(marked)]
+        out = _kept(reader, low, small, soft)
+    return "\n".join(out) if n else ""
+
+
+def _kept(reader: PageReader, low: frozenset[int], small: frozenset[int], marked: list[bool]) -> list[str]:
     n = len(reader.keys)
     size = [0] * n
     for node, text in reader.blocks:
         size[node] += len(text)
     for no in range(n - 1, 0, -1):  # parents come first
-        size[reader.parents[no]] += size[no]
+        if not marked[no]:
+            size[reader.parents[no]] += size[no]
+    stays = [reader.inside[no] and reader.tags[no] in CONTENT for no in range(n)]
+    gone = [marked[no] or (reader.keys[no] in low and not stays[no]) for no in range(n)]
     large = [-1] * n  # the place that the others of a parent are small beside
     for no in range(1, n):
-        if reader.keys[no] not in low and size[no] and not reader.marks[no] & _HEADING:
+        if not gone[no] and size[no] and not reader.marks[no] & _HEADING:
             at = reader.parents[no]
             rank = (reader.keys[no] not in small, size[no])
             if large[at] < 0 or rank > (reader.keys[large[at]] not in small, size[large[at]]):
                 large[at] = no
     kept = [True] * n
     for no in range(1, n):
-        key, at = reader.keys[no], reader.parents[no]
-        kept[no] = kept[at] and key not in low and (key not in small or large[at] == no)
-    return "\n".join(text for node, text in reader.blocks if kept[node])
+        at = reader.parents[no]
+        kept[no] = kept[at] and not gone[no] and (reader.keys[no] not in small or large[at] == no or reader.inside[at])
+    return [text for node, text in reader.blocks if kept[node]]
 
 
 #: Kinds of counted features: texts, presentations, a node's parent and marks, characters, ancestors.
@@ -314,9 +342,11 @@ def importances(pages: DataFrame, ws: Workspace, borrow: int) -> DataFrame:
     return own.select("host", "node", "parent", "marks", "seen", *mixed)
 
 
-def style_trees(pages: DataFrame, *, hint: float = 0.2, place: float = 0.15, recur: float = 0.5, presentations: float = 4.0, evidence: int = 4, borrow: int = 50) -> DataFrame:
+def style_trees(pages: DataFrame, *, names: bool = True, place: float = 0.15, recur: float = 0.5, presentations: float = 4.0, evidence: int = 4, borrow: int = 50) -> DataFrame:
     """``host, low, small``: for each host the nodes that open a branch of low importance, and those of them that are only small beside another place.
 
+    Marked nodes are not listed with ``names``, since a page's own reading knows them; the lists hold nodes that ``evidence`` pages show.
+
     ``place`` is the least share of the largest place's new text, ``recur`` of a branch's own text that must be new,
     ``presentations`` the number (as the entropy's exponential) from which a node is no template, and ``evidence`` the least pages of any host that must
     show a node before texts and places count against it.
@@ -325,22 +355,20 @@ def style_trees(pages: DataFrame, *, hint: float = 0.2, place: float = 0.15, rec
     t = ws.put(importances(pages, ws, borrow), "trees")
     ws.drop("features")
     marked, heading = F.col("marks").bitwiseAND(_HINT) > 0, F.col("marks").bitwiseAND(_HEADING) > 0
-    value = F.col("new") * F.when(marked, hint).otherwise(1.0)
-    rows = t.withColumn("value", value)
+    rows = t.withColumn("value", F.col("new")).where(~marked) if names else t.withColumn("value", F.col("new"))
     best = rows.where(~heading).groupBy("host", "parent").agg(F.max("value").alias("best"))
     above = t.select("host", F.col("node").alias("parent"), F.exp("entropy").alias("styles"))
     rows = rows.join(best, ["host", "parent"]).join(above, ["host", "parent"], "left")
     known = F.col("seen") >= evidence
     slot = known & ~heading & (F.coalesce("styles", F.lit(1.0)) < presentations) & (F.col("value") < place * F.col("best"))
-    said = marked & (F.col("value") < 0.5 * F.col("best"))
     again = known & (F.col("new") < recur * F.col("chars")) & (F.col("value") < F.col("best"))
-    by = rows.withColumns({"_low": said | again, "_small": slot}).where("_low or _small")
+    by = rows.withColumns({"_low": again, "_small": slot}).where("_low or _small")
     low = by.groupBy("host").agg(F.sort_array(F.collect_set(F.when(F.col("_low"), F.col("node")))).alias("low"), F.sort_array(F.collect_set(F.when(~F.col("_low"), F.col("node")))).alias("small"))
     return ws.put(low, "low")
 
 
-def extract(pages: DataFrame, **limits) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every row of ``pages``; ``limits`` as for :func:`style_trees`."""
+def extract(pages: DataFrame, *, names: bool = True, **limits) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every row of ``pages``; ``names`` and ``limits`` as for :func:`style_trees`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,10 +376,10 @@ def extract(pages: DataFrame, **limits) -> DataFrame:
             for page, *nodes in zip(b.column("html"), b.column("low"), b.column("small"), strict=True):
                 if last != nodes:
                     last, gone = nodes, [frozenset(x.as_py() or ()) for x in nodes]
-                texts.append(main_text(read(page.as_py()), *gone))
+                texts.append(main_text(read(page.as_py()), *gone, names))
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
         release()
 
-    low = style_trees(pages, **limits)
+    low = style_trees(pages, names=names, **limits)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_key().alias("host"))
     return keyed.join(low, "host", "left").select("page_id", "url", "html", "low", "small").mapInArrow(run, "page_id long, url string, text string, n_chars long")
