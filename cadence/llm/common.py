@@ -98,6 +98,21 @@ def release(keep: bool = False) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def apart(docs: DataFrame, ws: Workspace, id_col: str = "doc_id") -> tuple[DataFrame, str | None]:
+    """``docs`` and the column that tells its rows apart in the order of ids: None for ``id_col`` itself, where no id is null or comes twice.
+
+    Else rows are sorted by id (null last), then a digest of the text, then as they are read, and written with a number in that order; ranges of
+    the sort also split an id, or the rows without one.
+    """
+    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("ids")).first()
+    if counts["n"] == counts["ids"]:
+        return docs, None
+    no, read = free("_no", docs), free("_read", docs)
+    order = [F.asc_nulls_last(id_col), F.xxhash64("text"), F.col(read)]
+    rows = docs.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(n_shuffle(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return ws.put(rows.withColumn(no, F.monotonically_increasing_id()).drop(read), "apart"), no
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,8 +16,8 @@ texts. Variants are emitted for those lines only that share a piece with a line
 of fitting length, since edits leave one of ``max_edits + 1`` pieces untouched; a bitmap
 tells which, sized from their number up to 2**30 bits, and its false hits only cost variants.
 
-Defined cases: null text has no lines and stays null; a null id counts as the last;
-rows that repeat, with the same id, count as one and lose the same lines; texts and lines of any length are whole; an empty table gives an empty
+Defined cases: null text has no lines and stays null; a null id counts as the last; rows that share an id, or have none,
+are rows of their own, in the order of a digest of their texts and then as they are read, so a row that repeats loses the lines that the first one keeps; texts and lines of any length are whole; an empty table gives an empty
 result; other columns are carried along, whatever their names, but for the two that are added.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
-from cadence.llm.common import Workspace, free, n_shuffle, release
+from cadence.llm.common import Workspace, apart, free, n_shuffle, release
 
 LAST = 2**63 - 1
 #: Bounds of the bitmap's size in bits, as powers of two.
@@ -463,7 +463,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equ
     if max_edits < 0:
         raise ValueError("max_edits must not be negative")
     ws = Workspace(docs.sparkSession, "lines")
-    equal = equal_lines(docs, ws, min_chars, min(equal_chars, min_chars), max_edits)
+    columns = docs.columns
+    docs, no = apart(docs, ws)
+    named = docs.select(F.col(no or "doc_id").alias("doc_id"), "text")
+    equal = equal_lines(named, ws, min_chars, min(equal_chars, min_chars), max_edits)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -473,14 +476,14 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, max_edits: int = 1, equ
     drops = equal.select("doc", "line", "lo").mapInArrow(unpack, "doc long, line int, lo long")
     if max_edits:
         size = bitmap_bits(equal)
-        drops = drops.unionByName(verified(docs, near_links(docs, bitmap(equal, size), size, min_chars, max_edits), ws, max_edits))
+        drops = drops.unionByName(verified(named, near_links(named, bitmap(equal, size), size, min_chars, max_edits), ws, max_edits))
     at, gone_lines = free("_doc", docs), free("_drops", docs)
     drops = ws.put(drops.groupBy("doc").agg(F.collect_set(F.struct("line", "lo")).alias("drops")), "drops")
     ws.drop("equal", "links", "needed", "said")
     drops = drops.select(F.col("doc").alias(at), F.col("drops").alias(gone_lines))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rest = [c for c in docs.columns if c not in counts]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest]).join(drops, key == F.col(at), "left").drop(at)
+    key = F.coalesce(F.col(no or "doc_id").cast("long"), F.lit(LAST))
+    rest = [c for c in columns if c not in counts]
+    rows = docs.join(drops, key == F.col(at), "left").select(*[F.col(f"`{c}`") for c in [*rest, gone_lines]])
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in rest), *(f"`{c}` int" for c in counts)])
 
