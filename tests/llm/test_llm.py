@@ -358,7 +358,7 @@ def plain_article(page):
     return "\n".join(p for p in parts if p)
 
 
-@pytest.mark.parametrize("limits", [{}, {"hint": 1.0}], ids=["marks", "tree alone"])
+@pytest.mark.parametrize("limits", [{}, {"names": False}], ids=["marks", "tree alone"])
 def test_html_articles(spark, small, limits):
     pages = spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet")
     got = {r["page_id"]: r for r in html.extract(pages, **limits).collect()}
@@ -373,7 +373,7 @@ def test_style_tree_removes_what_repeats_and_small_places(spark):
     fixed = [say(6) for _ in range(3)]
     rows = [(i, f"http://site.example/{i}", f"<body><div class=top>{fixed[i % 3]}</div><div class=text><p>{say(30)}</p><p>{say(30)}</p></div><div class=end>{fixed[0]}</div></body>") for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html.extract(pages, hint=1.0).collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract(pages, names=False).collect()}
     for i, _, page in rows:
         assert got[i] == "\n".join(re.findall("<p>(.*?)</p>", page))
     # No article element; wrappers and parts whose names only resemble noise; a teaser article; adverts that never repeat; comments by class.
@@ -389,6 +389,36 @@ def test_style_tree_removes_what_repeats_and_small_places(spark):
     assert got == want
 
 
+def test_html_marked_parts_go_whatever_their_size(spark):
+    """Long comments, a long aside, a menu on hosts of one page and advert classes that differ by page, all beside a short article; a table, a quote and marked words inside it stay."""
+    r = random.Random(17)
+    say = lambda k: " ".join(f"w{r.randrange(5000)}" for _ in range(k))
+    rows, want = [], {}
+    for k in range(40):
+        head, first, cells, last = say(4), say(25), [say(1) for _ in range(3)], say(40)
+        quote = "a quote that every page of this host has"
+        comments = "".join(f"<article class='comment'><p>{say(30)}</p></article>" for _ in range(8))
+        menu = "".join(f"<a href='/x'>{say(2)}</a> " for _ in range(40))
+        page = f"""<html><body class="header"><nav>{menu}</nav><div class="ad slot-{k}">{say(60)}</div><article><h1>{head}</h1><p>{first} <span class="share">this</span> too</p>
+<table><tr><td>{cells[0]}</td><td>{cells[1]}</td></tr></table><blockquote>{quote}</blockquote><p>{last}</p><ul><li>{cells[2]}</li></ul></article><aside><p>{say(240)}</p></aside><section id="comments">{comments}</section><footer>{say(9)}</footer></body></html>"""
+        rows.append((k, f"http://{'solo' + str(k) if k >= 30 else 'host' + str(k % 3)}.example/p{k}", page))
+        want[k] = "\n".join([head, f"{first} this too", *cells[:2], quote, last, cells[2]])
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    low = html.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(len(r["low"]) + len(r["small"]) < 30 for r in low)
+
+
+def test_html_articles_inside_marked_elements():
+    text = lambda page: html.main_text(html.read(page), frozenset())
+    assert text("<form><div><p>all of it</p></div></form>") == "all of it"
+    assert text("<aside><article><p>only here</p></article></aside><nav>x</nav>") == "only here"
+    assert text("<nav>menu</nav><footer>end</footer>") == ""
+    assert text("<div class='menu'><p>said</p></div><nav>x</nav>") == "said"
+    assert text("<article><p>a</p></article><aside><article>teaser</article></aside>") == "a"
+    assert text("<main>" * 50_000 + "x") == "x"
+
+
 def test_html_defined_cases(spark):
     deep, long = "<div>" * 100_000 + "end", "<body><p>" + "word &amp; " * 500_000 + "</p></body>"
     rows = [(100, None, None), (101, "http://x", ""), (102, "http://x", "<p>a &amp; b<br>c<p>d"), (103, "http://x", "<![x[ foo"), (104, "http://x", "<p>a<![ b"), (105, "http://x", "<p>a</p><![CDATA[<p>x</p>]]><p>b</p>"), (106, "http://x", deep), (107, None, long), (7, "http://x", "<p>one"), (7, "http://x", "<p>two"), (None, "http://x", "<p>one"), (7, "http://x", "<p>one"), (108, "//y", "<body><nav>n</nav><article><header><h1>T</h1><i>by</i></header><p>x<b>y</b></p><aside>s</aside><form>f</form><section class='comments'><p>c</p></section></article></body>"), (109, "//y", "<p>a</x></b></div>b<script>var x = '<p>no</p>'</script><style>p{}</style>")]
@@ -774,6 +804,79 @@ def test_pipeline_stages_on_odd_rows(spark, small, docs):
 
 
 @pytest.mark.parametrize("name", ["jaccard", "fingerprints", "bpe", "quality", "hmm", "mix", "lines", "passages", "kneser"])
+def quoted_passages(seed=12, n=30):
+    """Passages of 100 words: 12 documents quote 15 to 30 words of each, some before its one full copy and some between three later copies with an edit about every 25 words."""
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    said = [[r.choice(vocabulary) for _ in range(100)] for _ in range(n)]
+    filler = lambda k: [r.choice(vocabulary) for _ in range(k)]
+
+    def quote(p):
+        size = r.randint(15, 30)
+        at = r.randint(0, 100 - size)
+        return p[at : at + size]
+
+    def edited(p):
+        out = list(p)
+        for at in range(r.randint(8, 20), 100, 25):
+            kind = r.choice("sid")
+            if kind == "s":
+                out[at] = "edit" + out[at]
+            elif kind == "i":
+                out.insert(at, "more")
+            else:
+                del out[at]
+        return out
+
+    docs, wanted, no = [], [], 0
+
+    def add(words):
+        nonlocal no
+        docs.append((no, " ".join(filler(20) + words + filler(20))))
+        no += 1
+
+    for k in range(12):
+        add([w for p in said for w in [*quote(p), *filler(5)]])
+    full = {}
+    for i, p in enumerate(said):
+        full[i] = no
+        add(p)
+    for k in range(3):
+        add([w for p in said[k::3] for w in [*quote(p), *filler(5)]])
+        for i, p in enumerate(said):
+            wanted.append((no, i))
+            add(edited(p))
+    return docs, wanted, full
+
+
+def test_edited_passages_among_quotes(spark):
+    """Recall of edited copies whose every piece others quote, against all planted pairs; a copy counts where most of it is found in an earlier copy of the same passage."""
+    docs, wanted, full = quoted_passages()
+    copies = {full[i]: i for i in full} | dict(wanted)
+    got = passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    found = {(r["doc_id"], copies[r["doc_id"]]) for r in got if r["doc_id"] in copies and copies.get(r["source_id"]) == copies[r["doc_id"]] and r["end_word"] - r["start_word"] >= 80}
+    assert len(found & set(wanted)) >= 0.9 * len(wanted)
+
+
+def test_passages_of_rows_without_ids(spark):
+    r = random.Random(5)
+    shared = " ".join(f"s{r.randrange(10**6)}" for _ in range(120))
+    rows = [(None, f"first {shared}"), (None, f"other {shared}"), (7, f"seven {shared}"), (7, f"more of it {shared}"), (8, "nothing of it")]
+    got = [(r["doc_id"], r["source_id"], r["end_word"] - r["start_word"]) for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7, 120), (None, None, 120), *[(None, 7, 120)] * 4], key=str)  # few holders: with every earlier one
+
+
+def test_lines_of_rows_without_ids(spark):
+    line = "the very same line of thirty-eight chars"
+    rows = [(None, f"{line}\none"), (None, f"{line}\ntwo"), (3, f"{line}!\nthree"), (3, f"{line}!\nfour"), (5, "five"), (5, "five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_no", F.lit(1))
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_no", "n_lines", "n_removed"]
+    texts = sorted(r["text"] for r in got.collect())
+    assert sum(line in t for t in texts) == 1 and sum("five" in t for t in texts) == 1
+    assert sum(len(t.split("\n")) for t in texts if t) == 6
+
+
 def test_long_texts(spark, docs, labels, name):
     """Texts beyond the size at which batches are cut are read whole, beside others."""
     assert len(LONG) > W.CHUNK_BYTES
