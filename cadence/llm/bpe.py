@@ -13,7 +13,8 @@ encoded once for each worker. Characters without a piece never merge and
 become byte tokens.
 
 Defined cases: a null text counts as empty; the empty text is the end id only;
-rows that repeat give rows that repeat; ids are carried along, null included.
+rows that repeat give rows that repeat; ids are carried along, null included. Each row is encoded by itself, so there are no
+ties; texts of any length are whole, in memory that grows with one text; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Likeness of two exact fingerprints is 1 where they are equal and 0 elsewhere.
 Defined cases: null counts as the empty text; rows are ordered by id, then by a
 digest of the text, null ids last; the last row's next is the first; a table of
 one row is its own next; an empty table gives an empty result; repeated
-rows give repeated results.
+rows give repeated results; texts of any length are whole, one text in memory at a time beside its edited form; columns other than ``doc_id`` and ``text`` are not read,
+whatever their names.
 """
 
 from __future__ import annotations
