@@ -435,9 +435,13 @@ def composite_ids(spark, d):
     return _six(seg.select(scalar.composite_id(F.col("file"), F.col("event_id").cast("string")).alias("id"), scalar.exertion_z(F.col("exertion")).alias("exertion_z")))
 
 
-@_query(f"WITH {SEG} SELECT event_id, CAST(round(CAST(arousal AS DECIMAL(18, 6)), 3) AS DOUBLE) AS arousal, CAST(round(CAST(exertion AS DECIMAL(18, 6)), 3) AS DOUBLE) AS exertion FROM seg")
+TIMES = {"start_sec": "event_id % 1000 * 0.1371 + 0.00031", "end_sec": "event_id % 1000 * 0.2503 + 0.00031", "duration_sec": "event_id % 1000 * 0.1132 + 0.00031"}  # never a tie at the first place
+
+
+@_query(f"WITH {SEG} SELECT event_id, CAST(round(CAST(arousal AS DECIMAL(18, 6)), 3) AS DOUBLE) AS arousal, CAST(round(CAST(exertion AS DECIMAL(18, 6)), 3) AS DOUBLE) AS exertion, {', '.join(f'CAST(round(CAST({x} AS DECIMAL(18, 6)), 1) AS DOUBLE) AS {c}' for c, x in TIMES.items())} FROM seg")
 def report_rows(spark, d):
-    return report.segment_report(_segments(spark, d).withColumn("arousal", F.round("arousal", 6))).select("event_id", "arousal", "exertion")
+    rows = _segments(spark, d).withColumn("arousal", F.round("arousal", 6)).withColumns({c: F.expr(x).cast("double") for c, x in TIMES.items()})
+    return report.segment_report(rows).select("event_id", "arousal", "exertion", *TIMES)
 
 
 @_query("SELECT count(*) FILTER (least(1, greatest(0, 1 - l_tax::DOUBLE * 8)) > 0.5) AS n_fatigue_tendency FROM lineitem")
@@ -695,18 +699,39 @@ def trace_round_trip(spark, d):
     return _six(spark.read.schema("trace_id string, date string, n_segments long, arousal_mean double").json(path).select("trace_id", F.col("date").cast("string").alias("date"), "n_segments", "arousal_mean"))
 
 
-@_query(f"WITH u AS ({CONTRIB}), t AS (VALUES ('metrics', 1), ('shap_arousal', 3), ('groups_arousal', 1), ('shap_exertion', 3), ('groups_exertion', 1), ('predictions', 500), ('parameters', 2)) SELECT col0 AS sheet, CAST(col1 AS BIGINT) AS n FROM t")
+REPORT_SQL = f"""WITH u AS ({CONTRIB}), g AS (SELECT feature, min(pos) AS pos, avg(abs(c)) AS c, CASE WHEN corr(c, v) > 0 THEN '+' ELSE '-' END AS direction FROM u GROUP BY feature),
+ t AS (SELECT l_tax::DOUBLE AS y, l_discount::DOUBLE AS p FROM lineitem),
+ k AS (SELECT row_number() OVER (ORDER BY c DESC, pos) AS rank, * FROM g), tasks AS (SELECT unnest(['arousal', 'exertion']) AS task),
+ e AS (SELECT l_discount::DOUBLE - l_tax::DOUBLE AS x FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax LIMIT 500)
+ SELECT 'metrics' AS sheet, 'ccc' AS item, round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) * (avg(y) - avg(p))), 6) AS x FROM t
+ UNION ALL SELECT 'metrics', 'mae', round(avg(abs(y - p)), 6) FROM t UNION ALL SELECT 'metrics', 'n', count(*) FROM t
+ UNION ALL SELECT 'shap_' || task, rank || ' ' || feature || ' ' || direction, round(c, 6) FROM k, tasks
+ UNION ALL SELECT 'groups_' || task, 'other', round(sum(c), 6) FROM k, tasks GROUP BY task
+ UNION ALL SELECT 'predictions', 'n', count(*) FROM e UNION ALL SELECT 'predictions', 'error_arousal', round(sum(x), 6) FROM e UNION ALL SELECT 'predictions', 'error_exertion', round(sum(x), 6) FROM e
+ UNION ALL SELECT 'parameters', 'trees', 300 UNION ALL SELECT 'parameters', 'depth', 6"""
+
+
+@_query(REPORT_SQL)
 def training_report(spark, d):
+    """What the seven written sheets hold."""
     ranked = metrics.global_importance(_contrib(spark, d))
-    pairs = _table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), *[F.col(c).cast("double").alias(n) for c, n in (("l_tax", "true_arousal"), ("l_discount", "pred_arousal"), ("l_tax", "true_exertion"), ("l_discount", "pred_exertion"))])
+    keys = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
+    pairs = _table(spark, d, "lineitem").select(keys.alias("k"), *[F.col(c).cast("double").alias(n) for c, n in (("l_tax", "true_arousal"), ("l_discount", "pred_arousal"), ("l_tax", "true_exertion"), ("l_discount", "pred_exertion"))])
     frames = report.training_report(metrics.metric_pack(pairs, "true_arousal", "pred_arousal"), {"arousal": ranked, "exertion": ranked}, pairs, {"trees": 300, "depth": 6}, order_by="k")
     path = tables.scratch_path(spark, "report")
     tables.write_report(frames, path)
-    out = None
-    for name in frames:
-        n = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    sheet = {name: spark.read.parquet(f"{path}/{name}") for name in frames}
+
+    def items(name: str, df: DataFrame, **values) -> DataFrame:
+        return df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("sheet"), F.lit(k).alias("item"), v.cast("double").alias("x")) for k, v in values.items()])).alias("r")).select("r.*")
+
+    out = items("metrics", sheet["metrics"], ccc=F.col("ccc"), mae=F.col("mae"), n=F.col("n"))
+    for task in ("arousal", "exertion"):
+        out = out.unionByName(sheet[f"shap_{task}"].select(F.lit(f"shap_{task}").alias("sheet"), F.concat_ws(" ", F.col("rank").cast("string"), "feature", "direction").alias("item"), F.col("contribution").alias("x")))
+        out = out.unionByName(sheet[f"groups_{task}"].select(F.lit(f"groups_{task}").alias("sheet"), F.col("grp").alias("item"), F.col("contribution").alias("x")))
+    sums = sheet["predictions"].agg(F.count(F.lit(1)).alias("n"), F.sum("error_arousal").alias("error_arousal"), F.sum("error_exertion").alias("error_exertion"))
+    out = out.unionByName(items("predictions", sums, **{c: F.col(c) for c in sums.columns}))
+    return _six(out.unionByName(sheet["parameters"].select(F.lit("parameters").alias("sheet"), F.col("parameter").alias("item"), F.col("value").cast("double").alias("x"))))
 
 
 def _wavs(spark, d):
@@ -765,10 +790,11 @@ def realigned(spark, d):
     return realign(_lineitem(spark, d), ["l_tax", "l_quantity"])
 
 
-@_query("SELECT 'segment_id,start_sec,speaker_label,l_linenumber,l_quantity' AS names, count(*) AS n FROM lineitem")
+@_query("SELECT 'segment_id,start_sec,speaker_label,l_linenumber' AS names, concat_ws(',', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS line, count(*) AS n FROM lineitem GROUP BY ALL")
 def column_order(spark, d):
-    rows = meta_first(_lineitem(spark, d).select("l_linenumber", F.col("l_suppkey").alias("speaker_label"), "l_quantity", F.col("l_orderkey").alias("segment_id"), F.col("l_tax").alias("start_sec")))
-    return rows.agg(F.lit(",".join(rows.columns)).alias("names"), F.count(F.lit(1)).alias("n"))
+    """Each row as its columns stand, and their names."""
+    rows = meta_first(_table(spark, d, "lineitem").select("l_linenumber", F.col("l_suppkey").alias("speaker_label"), F.col("l_orderkey").alias("segment_id"), F.col("l_partkey").alias("start_sec")))
+    return rows.groupBy(F.lit(",".join(rows.columns)).alias("names"), F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns]).alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT vec_id, vec_id % 20 >= 0.3 * 32 AS long_enough FROM embeddings")
@@ -874,11 +900,12 @@ def label_choice(spark, d):
     return _six(model.label_exertion(rows, [n for n in names if n != "lab"], "lab").select("l_orderkey", "l_linenumber", F.col("_y_exertion").alias("y")))
 
 
-@_query("SELECT vec_id, 64 AS n, true AS same FROM embeddings")
+@_query("SELECT vec_id, len(embedding) AS n, true AS same, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * i)), 6) AS moment FROM embeddings")
 def resample_identity(spark, d):
     rows = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(16000).alias("sample_rate"))
     back = providers.at_rate(rows).join(rows.select("vec_id", F.col("samples").alias("own")), "vec_id")
-    return back.select("vec_id", F.size("samples").alias("n"), (F.col("samples") == F.col("own")).alias("same"))
+    moment = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return _six(back.select("vec_id", F.size("samples").cast("long").alias("n"), (F.col("samples") == F.col("own")).alias("same"), moment.alias("moment")))
 
 
 @_query(f"WITH {SEG}, {LIM} SELECT event_id, {STATE} FROM seg, lim")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +47,40 @@ def align_features(features: DataFrame, *, speaker: str = "speaker_label", label
     return align.align(with_speaker(features, speaker, label), speaker=speaker, features=list(FEATURE_NAMES), aligner=aligner)
 
 
+def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """``keys`` and the mean ``vector`` of each group: tasks send one sum of a group for each batch, not its numbers as rows."""
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def folded(table: pa.Table, name: str, count: str | None) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        groups = table.select(keys).append_column("at", pa.array(np.arange(table.num_rows))).group_by(keys).aggregate([("at", "list")])
+        x = np.asarray(table[name].combine_chunks().flatten(), float).reshape(table.num_rows, -1)
+        n = np.ones(len(x)) if count is None else np.asarray(table[count], float)
+        at = groups["at_list"].to_pylist()
+        return groups.select(keys), np.stack([x[i].sum(axis=0) for i in at]), np.array([n[i].sum() for i in at])
+
+    def arrays(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                groups, x, n = folded(pa.Table.from_batches([b]), vector, None)
+                yield from groups.append_column("sums", arrays(x)).append_column("n", pa.array(n)).combine_chunks().to_batches()
+
+    def total(table: pa.Table) -> pa.Table:
+        groups, x, n = folded(table, "sums", "n")
+        return groups.append_column(vector, arrays(x / n[:, None]))
+
+    sums = rows.select(*keys, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(partial, ", ".join([*kinds, "sums array<double>", "n double"]))
+    return sums.groupBy(*keys).applyInArrow(total, ", ".join([*kinds, f"`{vector}` array<double>"]))
+
+
 def identify(segments: DataFrame, known: DataFrame, *, backend: str = "fake", threshold: float = registry.BASE) -> tuple[DataFrame, DataFrame]:
     """``(segments with speaker_label, registry')``: voices are clustered inside each file, and each cluster's mean voice is matched with the registry, file by file."""
     voiced = providers.embeddings(segments, backend=backend).withColumn("_at", F.struct("file", "start_sec"))
     clusters = registry.greedy_cluster(voiced.withColumn("_id", composite_id(F.col("file"), F.col("segment_id"))), scope="file", id_col="_id", order_by="start_sec", threshold=threshold)
     rows = voiced.join(clusters.select(F.col("_id"), "cluster"), composite_id(F.col("file"), F.col("segment_id")) == F.col("_id"), "left").drop("_id", "_at")
-    spread = rows.where("cluster is not null").select("file", "cluster", F.posexplode("embedding").alias("i", "x")).groupBy("file", "cluster", "i").agg(F.avg("x").alias("x"))
-    means = spread.groupBy("file", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    means = mean_vectors(rows.where("cluster is not null"), ["file", "cluster"], "embedding")
     means = means.withColumn("voice", F.concat_ws("#", "file", "cluster")).withColumn("no", F.struct("file", "cluster").cast("string"))
     after, matched = registry.match_and_update(means, known, id_col="voice", order_by="no")
     named = matched.select(F.col("voice").alias("_voice"), "speaker_id")
@@ -65,7 +96,7 @@ def classify_scores(scores: DataFrame, *, speaker: str, order_by: str, file: str
     return rules.classify(scores, keys)
 
 
-def classify_audio(recordings: DataFrame, models, *, denoise: bool = False, known: DataFrame | None = None, backend: str = "fake", vad_backend: str = "fake", embedding_backend: str = "fake", state: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+def classify_audio(recordings: DataFrame, models, *, denoise: bool = False, known: DataFrame | None = None, backend: str = "opensmile", vad_backend: str = "silero", embedding_backend: str = "modelscope", state: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
     """All steps from recordings to states: gate, voices (where a registry is given; it comes back changed), features, scores in the models' input space, rules."""
     segments, after = process_audio(recordings, denoise=denoise, vad_backend=vad_backend), None
     if known is not None:
