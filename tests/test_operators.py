@@ -512,6 +512,20 @@ def test_counts_come_from_one_pass(spark):
     assert calls.value == 3
 
 
+def test_training_rows(spark, tmp_path):
+    """Rows with audio in a struct: the first n, decoded, with the reason beside those that fail; metadata alone never reads the audio."""
+    wav = providers.wav_bytes(np.sin(np.arange(800) / 7))
+    rows = [((wav, "a.wav"), 0.5, "calm"), ((b"broken", "b.wav"), 0.25, "calm"), ((None, "c.wav"), None, "tense")]
+    ddl = "`audio-path` struct<bytes: binary, path: string>, score_arousal double, emotion string"
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "shard"))
+    got = tables.training_rows(spark, str(tmp_path / "shard"), providers.decode_wav).orderBy("score_arousal").collect()
+    assert [(r["score_arousal"], r["samples"] is not None, r["error"] is None) for r in got] == [(None, False, False), (0.25, False, False), (0.5, True, True)]
+    assert len(got[2]["samples"]) == 800 and got[2]["sample_rate"] == 16000
+    assert tables.training_rows(spark, str(tmp_path / "shard"), providers.decode_wav, n=2).count() == 2
+    plan = tables.training_metadata(spark, str(tmp_path / "shard"))._jdf.queryExecution().executedPlan().toString()
+    assert "audio-path" not in plan.split("ReadSchema")[1]
+
+
 def test_recordings_by_ranges(spark, tmp_path):
     """Every sample once, whatever the ranges and pieces; broken files are rows that say why."""
     import struct
