@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without lines that an earlier row has; those that lose all their words go. Equal rows with one id lose the same lines; a null id counts as the last; a null text stays null."""
+    """Rows without lines that an earlier row has; those that lose all their words go. Rows that share an id, or have none, are told apart by their texts and then by place, so a row that repeats goes; a null id counts as the last; a null text stays null."""
     counts = (free("_lines", docs), free("_removed", docs))
     kept = lines.dedup_lines(docs, counts=counts)
     whole = F.col(counts[1]) == 0
