@@ -36,7 +36,7 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x / size[:, None]) ** 2).sum(axis=1)) * size
 
 
-class Window5:
+class Running:
     """The running first ``k`` of one window: scores from ``low`` to ``high``, higher ones first, then smaller ids."""
 
     def __init__(self, low: int | None, high: int | None, k: int):
@@ -61,7 +61,7 @@ class Window5:
         self.best = sorted(self.best + new, key=lambda t: (-t[0], *t[1:]))[: self.k]
 
 
-def search(rows: pa.Table, asked: pa.Table, windows: list[list[Window5]], same: bool) -> None:
+def search(rows: pa.Table, asked: pa.Table, windows: list[list[Running]], same: bool) -> None:
     """Offer every stripe's row of the anchor's label (``same``, but not itself) or of another label to the anchor's windows, bucket by bucket."""
     x, a = matrix(rows["v"]), matrix(asked["v"])
     order = np.argsort(-_norms(x), kind="stable")
@@ -125,7 +125,7 @@ def hard_negatives(df: DataFrame, *, k: int = 5, positives: int = 5, every: int
         for width, part in by_width(left, "v").items():
             if width in others:
                 asked = others[width]
-                windows = [[Window5(None, None, positives)] for _ in range(asked.num_rows)]
+                windows = [[Running(None, None, positives)] for _ in range(asked.num_rows)]
                 search(part, asked, windows, True)
                 out += [(who, *b) for who, (w,) in zip(asked["row"].to_pylist(), windows, strict=True) for b in w.best]
         return pa.table({"anchor": pa.array([o[0] for o in out], pa.int64()), "score": _clipped([o[1] for o in out]), "exact": pa.array([str(o[1]) for o in out], pa.string()), "id": pa.array([None if o[2] else o[3] for o in out], pa.int64()), "row": pa.array([o[4] for o in out], pa.int64())})
@@ -146,7 +146,7 @@ def hard_negatives(df: DataFrame, *, k: int = 5, positives: int = 5, every: int
             if width in others:
                 asked = others[width]
                 named = [[(w["positive"], int(w["exact"])) for w in ws_] for ws_ in asked["windows"].to_pylist()]
-                open_ = [[(p, Window5(-(-low * s // 100), s * high // 100, k)) for p, s in ws_ if -(-low * s // 100) <= s * high // 100] for ws_ in named]
+                open_ = [[(p, Running(-(-low * s // 100), s * high // 100, k)) for p, s in ws_ if -(-low * s // 100) <= s * high // 100] for ws_ in named]
                 search(part, asked, [[w for _, w in ws_] for ws_ in open_], False)
                 out += [(who, p, *b) for who, ws_ in zip(asked["row"].to_pylist(), open_, strict=True) for p, w in ws_ for b in w.best]
         return pa.table({"anchor": pa.array([o[0] for o in out], pa.int64()), "positive": pa.array([o[1] for o in out], pa.int64()), "score": _clipped([o[2] for o in out]), "exact": pa.array([str(o[2]) for o in out], pa.string()), "id": pa.array([None if o[3] else o[4] for o in out], pa.int64()), "row": pa.array([o[5] for o in out], pa.int64())})

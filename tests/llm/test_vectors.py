@@ -53,7 +53,7 @@ def test_nearest(spark):
         total += len(near)
         hits += sum(any(abs(s - t) < 1e-9 for t in scores) for _, s in near)
     assert hits >= 0.95 * total
-    assert (5700 in got) is False  # alone in its length
+    assert 5700 not in got  # alone in its length
     assert [r[2] for r in sorted(got[650])] == sorted((r[2] for r in got[650]), reverse=True)
 
 
@@ -69,8 +69,8 @@ def test_few_rows(spark):
     rows = [(0, [1.0, 0.0], 0), (50, [-1.0, 0.0], 0), (7, [0.0, -2.0], 1)]
     got = [tuple(r) for r in neighbours.nearest(frame(spark, rows)).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 7, 0.0), (0, 2, 50, -1.0), (50, 1, 7, 0.0), (50, 2, 0, -1.0)]
-    assert neighbours.nearest(frame(spark, rows[:1])).count() == 0 == neighbours.nearest(frame(spark, []))\
-        .count()
+    assert neighbours.nearest(frame(spark, rows[:1])).count() == 0
+    assert neighbours.nearest(frame(spark, [])).count() == 0
 
 
 def brute_negatives(rows, k=5, every=100):
@@ -99,9 +99,10 @@ def test_negatives(spark, scale):
 
 def test_negatives_buckets_end_early(spark):
     """Long vectors first: short ones can't reach the window and are left out by their norm."""
-    from cadence.llm.negatives import Window5, search
     import pyarrow as pa
 
+    from cadence.llm.negatives import Running, search
+
     n = 3000
     x = np.zeros((n, 2))
     x[:, 0] = np.arange(n)[::-1]
@@ -109,7 +110,7 @@ def test_negatives_buckets_end_early(spark):
     asked = pa.table({"v": pa.array([[1.0, 0.0]]), "label": pa.array([0]), "row": pa.array([-1])})
     seen = []
 
-    class Seen(Window5):
+    class Seen(Running):
         def offer(self, scores, *rest):
             seen.append(len(scores))
             super().offer(scores, *rest)
