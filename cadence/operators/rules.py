@@ -66,6 +66,7 @@ def classify(df: DataFrame, keys: tuple[str, ...] = (), limits: dict[str, float]
     return rows.withColumn("_s", s).select(*df.columns, "_s.state", "_s.confidence", "_s.reason")
 
 
+#: Fixed value: what stands for reasons where there are no attributions.
 NO_SHAP = "SHAP 列未找到"
 
 
