@@ -916,3 +916,12 @@ def test_clustering_in_blocks_equals_rows(spark, compat):
     df = spark.createDataFrame(rows, "scope string, id int, embedding array<double>").repartition(4)
     got = registry.greedy_cluster(df, scope="scope", id_col="id", order_by="id", compat=compat).orderBy("id").collect()
     assert [r["cluster"] for r in got] == want
+
+
+def test_bounds_of_bins_come_from_all_rows(spark):
+    from cadence.operators import boosting
+
+    rows = spark.range(960_000, numPartitions=4).select((F.col("id") % 8).cast("double").alias("a"), (F.col("id") % 960).cast("double").alias("b"))
+    a, b = boosting.bin_edges(rows, ["a", "b"], 32)
+    assert a.tolist() == [0, 1, 2, 3, 4, 5, 6]
+    assert b.tolist() == [30 * k - 0.5 for k in range(1, 32)]
