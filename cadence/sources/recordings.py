@@ -1,7 +1,8 @@
 """Recordings as a data source: WAV files of any length, read by ranges of bytes and written all or none.
 
 ``read`` gives a row for each piece of a recording, at most ``chunk_sec`` long, so neither a file nor a task has to hold a whole one. A file
-is cut into ranges of ``range_mb``, each of which is a partition that reads the header and its own bytes only.
+is cut into ranges of ``range_mb``, each of which needs the header and its own bytes only; a partition is a run of ranges of ``task_mb``, in which
+every range also counts for what opening a file costs, so small files and small ranges share tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import fnmatch
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,9 @@ PIECES = "path string, sample_rate int, channels int, first long, n int, samples
 ARROW = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 UNKNOWN = 0xFFFFFFFF  # a size that its field can't hold
+OPEN = 1 << 16  # bytes that a range counts for beside its own
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 20
+MOVERS = 32
 
 
 def _system(path: str) -> tuple[files.FileSystem, str]:
@@ -89,13 +94,20 @@ def decoded(raw: bytes, h: Header) -> np.ndarray:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
+    """Ranges of a file that follow each other, all from ``first`` to ``stop``."""
+
     path: str
     size: int
     first: int
     stop: int
 
 
+@dataclass
+class Share(InputPartition):
+    ranges: list[Range]
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -103,6 +115,7 @@ class Reader(DataSourceReader):
         self.recursive = str(options.get("recursive", "false")).lower() == "true"
         self.range = max(1, int(float(options.get("range_mb", 64)) * 2**20))
         self.chunk_sec = float(options.get("chunk_sec", 30))
+        self.task = max(1, int(float(options.get("task_mb", 64)) * 2**20))
 
     def partitions(self) -> list[InputPartition]:
         """Ranges of the files' bytes; only names and sizes are read here."""
@@ -112,31 +125,59 @@ class Reader(DataSourceReader):
             raise FileNotFoundError(self.path)
         found = [info] if info.type == files.FileType.File else system.get_file_info(files.FileSelector(root, recursive=self.recursive))
         named = sorted((i for i in found if i.type == files.FileType.File and (i is info or fnmatch.fnmatch(i.base_name, self.pattern))), key=lambda i: i.path)
-        return [Range(i.path, i.size, at, min(at + self.range, i.size)) for i in named for at in range(0, max(i.size, 1), self.range)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        shares: list[Share] = []
+        load = self.task
+        for i in named:
+            for at in range(0, max(i.size, 1), self.range):
+                stop = min(at + self.range, i.size)
+                if load >= self.task:
+                    shares.append(Share([]))
+                    load = 0
+                held = shares[-1].ranges
+                if held and at and held[-1].path == i.path:
+                    held[-1].stop = stop
+                else:
+                    held.append(Range(i.path, i.size, at, stop))
+                load += stop - at + OPEN
+        return shares
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         system, _ = _system(self.path)
-
-        def row(*values) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, ARROW, strict=True)], schema=ARROW)
-
-        with system.open_input_file(partition.path) as f:
+        rows, held = [], 0
+        for part in partition.ranges:
+            for row in self._rows(system, part):
+                rows.append(row)
+                held += row[5].nbytes if row[5] is not None else 0
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, system: files.FileSystem, part: Range) -> Iterator[tuple]:
+        with system.open_input_file(part.path) as f:
             try:
-                h = header(f, partition.size)
+                h = header(f, part.size)
             except (ValueError, struct.error) as e:
-                if not partition.first:  # once for each file
-                    yield row(partition.path, None, None, None, None, None, f"{type(e).__name__}: {e}")
+                if not part.first:  # once for each file
+                    yield part.path, None, None, None, None, None, f"{type(e).__name__}: {e}"
                 return
             frames = h.size // h.frame
             place = lambda at: min(frames, max(0, -(-(at - h.start) // h.frame)))
-            first, stop = place(partition.first), place(partition.stop) if partition.stop < partition.size else frames
             step = max(1, int(self.chunk_sec * h.rate))
-            for at in range(first, stop, step):
-                n = min(step, stop - at)
-                f.seek(h.start + at * h.frame)
-                yield row(partition.path, h.rate, h.channels, at, n, decoded(f.read(n * h.frame), h).astype(np.float32), None)
-            if not partition.first and not frames:
-                yield row(partition.path, h.rate, h.channels, 0, 0, np.zeros(0, np.float32), None)
+            for start in range(part.first, part.stop, self.range):
+                end = min(start + self.range, part.stop)
+                first, stop = place(start), place(end) if end < part.size else frames
+                for at in range(first, stop, step):
+                    n = min(step, stop - at)
+                    f.seek(h.start + at * h.frame)
+                    yield part.path, h.rate, h.channels, at, n, decoded(f.read(n * h.frame), h).astype(np.float32), None
+            if not part.first and not frames:
+                yield part.path, h.rate, h.channels, 0, 0, np.zeros(0, np.float32), None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
 @dataclass
@@ -179,16 +220,23 @@ class Writer(DataSourceArrowWriter):
         there = {i.base_name for i in system.get_file_info(files.FileSelector(root, allow_not_found=True)) if i.type == files.FileType.File}
         if not self.overwrite and there & set(names):
             raise FileExistsError(f"{len(there & set(names))} of the files are there already")
-        moved = []
-        try:
-            for folder, name in pairs:
-                system.move(f"{folder}/{name}", f"{root}/{name}")
-                moved.append(name)
-        except Exception:
+        moved: list[str] = []
+
+        def move(pair: tuple[str, str]) -> None:
+            system.move(f"{pair[0]}/{pair[1]}", f"{root}/{pair[1]}")
+            moved.append(pair[1])
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            waiting = [pool.submit(move, p) for p in pairs]
+            wait(waiting, return_when=FIRST_EXCEPTION)
+            for w in waiting:
+                w.cancel()
+        failed = next((w.exception() for w in waiting if not w.cancelled() and w.exception()), None)
+        if failed:
             for name in moved:
                 if name not in there:
                     system.delete_file(f"{root}/{name}")
-            raise
+            raise failed
         self._clean()
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -220,7 +268,7 @@ class Recordings(DataSource):
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
     """``path, sample_rate, channels, first, n, samples, error``: pieces of the recordings below ``path``, mono; a file that can't be read is one row that says why.
 
-    Options: ``pattern``, ``recursive``, ``range_mb`` (bytes of a partition), ``chunk_sec`` (longest piece).
+    Options: ``pattern``, ``recursive``, ``range_mb`` (bytes of a range), ``task_mb`` (bytes of a partition), ``chunk_sec`` (longest piece).
     """
     spark.dataSource.register(Recordings)
     return spark.read.format(NAME).options(**options).load(path)

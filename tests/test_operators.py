@@ -925,3 +925,18 @@ def test_bounds_of_bins_come_from_all_rows(spark):
     a, b = boosting.bin_edges(rows, ["a", "b"], 32)
     assert a.tolist() == [0, 1, 2, 3, 4, 5, 6]
     assert b.tolist() == [30 * k - 0.5 for k in range(1, 32)]
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    from cadence.sources import recordings
+
+    for i in range(1500):
+        (tmp_path / f"{i}.wav").write_bytes(providers.wav_bytes(np.full(64, i / 2000), 16000))
+    reader = recordings.Reader({"path": str(tmp_path), "range_mb": 64 / 2**20, "chunk_sec": 0.001})
+    parts = reader.partitions()
+    assert len(parts) <= 6  # 4,500 ranges
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    found = {}
+    for r in rows:
+        found.setdefault(r["path"], []).append((r["first"], r["n"]))
+    assert len(found) == 1500 and all(v == [(0, 10), (10, 16), (26, 16), (42, 16), (58, 6)] for v in found.values())
