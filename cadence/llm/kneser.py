@@ -1,9 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney word n-gram model of trusted text.
 
 The model predicts every word of a text, and its end, from up to two words before. It is fitted on
-a bounded sample of trusted documents (whole texts): grams are counted in shards, lower orders
+all trusted documents but those held out for the thresholds (whole texts): grams are counted in shards, lower orders
 count the words that stand before, and totals, discounts and back-off weights come
-from joins of those counts by context. A word that the sample lacks has the share that
+from joins of those counts by context. A word that training lacks has the share that
 discounting leaves for one unseen word.
 
 Scores are joins of counts too. Telescoped over the orders, the logarithm of a text's
@@ -12,7 +12,7 @@ the gram adds to its back-off, and the weight it has as a context of the next wo
 sends a text's grams, in hash shards, to the model's shards, which sum their numbers by
 text, and the sums are added up. A bitmap of fixed size tells grams that the model surely lacks, and the
 HEAD commonest grams, the hot keys of that join, are held by each task. Beyond that no gram is hot in
-proportion to the corpus: the model, bounded by its sample, is dealt out ``copies`` times, more for a larger corpus. Numbers are
+proportion to the corpus: the model is dealt out ``copies`` times, more for a larger corpus. Numbers are
 whole (units of 2**-20), so sums don't depend on their order.
 
 A document is kept where its perplexity a word is at most a quantile of trusted documents
@@ -43,9 +43,7 @@ from cadence.operators.quantiles import percentiles
 
 ORDER = 3
 BEGIN, END = np.uint64(1), np.uint64(2)
-#: Bound of the sample of trusted documents.
-MAX_DOCS = 4000
-#: One in so many trusted documents is kept from the sample, for the thresholds.
+#: One in so many trusted documents is kept from training, for the thresholds.
 HELD = 5
 #: Commonest grams held by each task, and bits of the bitmap of all grams (as a power of two).
 HEAD, BITS = 1 << 17, 27
@@ -65,10 +63,12 @@ def _place(seed: int):
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
 
 
-def sample(docs: DataFrame, trusted: DataFrame, max_docs: int, seed: int) -> DataFrame:
-    """Texts of at most ``max_docs`` trusted ids in a seeded order, without those held out."""
-    ids = trusted.where(F.pmod(_place(seed), F.lit(HELD)) != 0).orderBy(_place(seed), "doc_id").limit(max_docs)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")  # ids bounded by max_docs
+def training(docs: DataFrame, trusted: DataFrame, seed: int, max_docs: int | None = None) -> DataFrame:
+    """Texts of all trusted ids, without those held out; with ``max_docs`` of that many, in a seeded order."""
+    ids = trusted.where(F.pmod(_place(seed), F.lit(HELD)) != 0)
+    if max_docs is not None:
+        ids = ids.orderBy(_place(seed), "doc_id").limit(max_docs)
+    return docs.select("doc_id", "text").join(ids, "doc_id").select("text")
 
 
 def padded(w: W.Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,13 +113,13 @@ def discounts(n: list[int]) -> list[float]:
     return [min(k + 0.95, max(0.05, d)) if np.isfinite(d) else 0.5 for k, d in enumerate(raw)]
 
 
-def fit(docs: DataFrame, trusted: DataFrame, ws: Workspace, *, order: int = ORDER, max_docs: int = MAX_DOCS, seed: int = 23) -> tuple[DataFrame, float]:
+def fit(docs: DataFrame, trusted: DataFrame, ws: Workspace, *, order: int = ORDER, max_docs: int | None = None, seed: int = 23) -> tuple[DataFrame, float]:
     """``w0 .., m, value, a`` of every gram of ``m`` words in the model (left-aligned, null beyond), and the logarithm of an unseen word's share.
 
     ``value``: what the gram's probability has above its back-off, and its weight as a context, both as natural logarithms.
     """
     names = [f"w{k}" for k in range(order)]
-    level = ws.put(top_grams(sample(docs, trusted, max_docs, seed), order), "top")
+    level = ws.put(top_grams(training(docs, trusted, seed, max_docs), order), "top")
     levels = {order: level}
     for m in range(order - 1, 0, -1):  # lower orders count the words that stand before
         cols = names[order - m :]
@@ -310,7 +310,7 @@ def _packer(n: int):
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, *, order: int = ORDER, max_docs: int = MAX_DOCS, seed: int = 23) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, *, order: int = ORDER, max_docs: int | None = None, seed: int = 23) -> DataFrame:
     """``doc_id, lang, n_words, perplexity`` (a word, the end included) of every row of ``docs``, written once."""
     ws = Workspace(docs.sparkSession, "kn")
     grams, floor = fit(docs, trusted, ws, order=order, max_docs=max_docs, seed=seed)
@@ -327,7 +327,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, order: int = ORDER, max
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, prior: int = 50, order: int = ORDER, max_docs: int = MAX_DOCS, seed: int = 23) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, prior: int = 50, order: int = ORDER, max_docs: int | None = None, seed: int = 23) -> DataFrame:
     """``doc_id, lang, n_words, perplexity, threshold, kept``. The threshold is the ``quantile`` of the language's held-out trusted documents, mixed with the greater of it and that of all languages' as if this had come from ``prior`` documents: the fewer a language has, the less its own quantile counts against it."""
     ws = Workspace(docs.sparkSession, "knq")
     trusted = ws.put(trusted_ids(labels).withColumn("doc_id", F.col("doc_id").cast("long")), "trusted")

@@ -916,3 +916,11 @@ def test_pipeline_stages(spark, small):
             assert {r["doc_id"]: r["text"] for r in out.collect()} == {d: left[d] for d, t in rows if left[d] == t or WORD.search(left[d])}
     t = bpe.table(bpe.model_path())
     assert out.count() > 0 and all(t.lib.decode(r["ids"]) is not None and r["n_tokens"] == len(r["ids"]) for r in out.collect())
+
+
+def test_kneser_learns_from_all_trusted(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    trained = df.where(F.pmod(kneser._place(23), F.lit(kneser.HELD)) != 0).count()
+    assert trained > 4500
+    grams, _ = kneser.fit(df, df.select("doc_id"), kneser.Workspace(spark, "all"))
+    assert grams.where("m = 1 and a > 0").count() == trained + 1  # and the end
