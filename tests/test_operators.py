@@ -940,3 +940,28 @@ def test_small_ranges_share_tasks(tmp_path):
     for r in rows:
         found.setdefault(r["path"], []).append((r["first"], r["n"]))
     assert len(found) == 1500 and all(v == [(0, 10), (10, 16), (26, 16), (42, 16), (58, 6)] for v in found.values())
+
+
+def test_cells_copy_no_vector_for_a_visit(spark):
+    """Without structure nearly all cells are visited; what goes between tasks is a best for each query and partition."""
+    import pyspark.sql
+
+    g = np.random.default_rng(31)
+    v = g.standard_normal((4000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    reg = df.select(F.format_string("p_%d", "id").alias("speaker_id"), F.col("id").alias("insert_no"), F.reverse("embedding").alias("centroid"))
+    written = {}
+    kept = pyspark.sql.DataFrameWriter.parquet
+
+    def parquet(self, path, *more):
+        kept(self, path, *more)
+        written[path] = spark.read.parquet(path).count()
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pyspark.sql.DataFrameWriter, "parquet", parquet)
+        got, visited = registry.nearest_visits(df, reg, id_col="id", max_broadcast=10)
+    assert visited["visits"] > 0.5 * visited["possible"]
+    assert sum(written.values()) < 2 * 4000  # blocks and bests, no row for a visit
+    sims = v @ v[:, ::-1].T
+    assert {r["id"]: r["speaker_id"] for r in got.collect()} == {i: f"p_{k}" for i, k in enumerate(sims.argmax(axis=1))}
