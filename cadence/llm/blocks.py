@@ -128,12 +128,11 @@ def exchange(blocks: DataFrame, ws: Workspace) -> tuple[DataFrame, np.ndarray, n
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if held and held[0]["shard"] != r["shard"]:
-                    yield settled(held[0]["shard"], held)
-                    held = []
-                held.append(r)
+        for r in rows_of(batches):  # one by one, so a batch is not held twice
+            if held and held[0]["shard"] != r["shard"]:
+                yield settled(held[0]["shard"], held)
+                held = []
+            held.append(r)
         if held:
             yield settled(held[0]["shard"], held)
         release()
