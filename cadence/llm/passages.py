@@ -14,6 +14,10 @@ earlier document has is in a passage of the result. Runs go to the shard of
 their least seed, which neighbours mostly have in common, so neighbours travel as one; a bitmap of fixed size tells
 shared seeds, and its false hits only cost runs.
 
+Last, what no row covers so far is looked up in full (:func:`missed`): where seeds that others share reach over ``min_words`` words of a document, some of them with many holders and some
+in no row, each of them meets, with a second one, every earlier document that holds both. Holders with the same text in between count as one, since
+those are in rows of equal runs. So each stretch that an earlier document holds with shared seeds from end to end is in a row, whoever quotes its pieces.
+
 Matches of a pair of documents are chained: ordered in both, each worth its
 words less a cost for gaps, the best predecessor inside the gap window from Fenwick trees of
 maxima. Chains are then aligned word by word, gaps by dynamic programming and
@@ -32,6 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,6 +324,12 @@ def couples(key: np.ndarray, owner: np.ndarray, at: np.ndarray, hot: np.ndarray,
 _LINKS = "doc binary, src binary, x binary, y binary"
 
 
+def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which seeds a bitmap may hold."""
+    no = (key >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
+    return ((bits[no >> 3] >> (7 - (no & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def seed_matches(docs: DataFrame, min_words: int) -> DataFrame:
     """Packed matches ``doc, src, x, y`` by shard of the document, the numbers (``refs``) of seeds that documents share, and those (``hot``) of seeds with many holders."""
     n = shards_of(docs.sparkSession)
@@ -349,10 +361,9 @@ def seed_matches(docs: DataFrame, min_words: int) -> DataFrame:
     return sent.repartition(p, "shard").sortWithinPartitions("shard").mapInArrow(meet, f"shard int, {_LINKS}, refs binary, hot binary")
 
 
-def run_matches(docs: DataFrame, bits: np.ndarray, hot: np.ndarray, min_words: int) -> DataFrame:
+def run_matches(docs: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
     """Packed matches of runs of ``min_words`` words with the earliest document that holds them, by shard of the document, ``n`` neighbours as one; and matches of couples (no ``n``)."""
     n = shards_of(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, hot))
     schema = "shard int, run binary, place binary, at binary, n binary, pair binary, there binary, start binary, stop binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,10 +428,182 @@ def neighbours(doc: np.ndarray, src: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return doc[head], src[head], x[head], y[head], np.diff(np.append(head, len(doc))).astype(np.int32)
 
 
+#: Documents in one step over packed seeds, and matches that a shard of :func:`missed` holds at once.
+DOCS, HELD_MATCHES = 256, 1 << 21
+
+
+def _packed(b: pa.RecordBatch, **kinds) -> list[np.ndarray]:
+    """The text number of every entry of packed columns, and these end to end."""
+    cols = [b.column(c).to_pylist() for c in kinds]
+    sizes = [len(x) // np.dtype(next(iter(kinds.values()))).itemsize for x in cols[0]]
+    return [np.repeat(np.arange(b.num_rows), sizes), *(np.frombuffer(b"".join(c), k) for c, k in zip(cols, kinds.values(), strict=True))]
+
+
+def _reach(owner: np.ndarray, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """For seeds sorted by text and place, the ranges of those that start ``low`` to ``high`` words later in the text."""
+    place = owner * (np.int64(1) << 40) + at
+    return np.searchsorted(place, place + low), np.searchsorted(place, place + high, "right")
+
+
+def shared_seeds(docs: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
+    """``doc`` and, packed, ``key, at, total, many`` of its shared seeds in stretches (no gap over MAX_GAP words) over ``min_words`` words with a seed of many holders; ``total`` is a hash of the words before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot = shared.value
+        for ids, w in _rows(batches):
+            key, owner, at = seeds(w, min_words)
+            keep = marked(bits, key)
+            key, owner, at = key[keep], owner[keep], at[keep]
+            if not len(key):
+                continue
+            many = marked(hot, key)
+            place = owner * (np.int64(1) << 40) + at
+            new = np.concatenate([[True], np.diff(place) > MAX_GAP])
+            first, no = np.flatnonzero(new), np.cumsum(new) - 1
+            last = np.append(first[1:], len(key)) - 1
+            keep = (np.logical_or.reduceat(many, first) & (place[last] - place[first] + K >= min_words))[no]
+            key, owner, at, many = key[keep], owner[keep], at[keep], many[keep]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * powers(_BASE, len(w.hashes)), dtype=np.uint64)])
+            start = w.first[owner]
+            total = (total[start + at] - total[start]) * powers(_INVERSE, len(w.hashes) + 1)[start]
+            cut = np.append(np.flatnonzero(_heads(owner) == np.arange(len(owner))), len(owner))
+            out = [[int(ids[owner[i]]), key[i:j].tobytes(), at[i:j].astype(np.int32).tobytes(), total[i:j].tobytes(), many[i:j].tobytes()] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            if out:
+                yield _table(out, "doc long, key binary, at binary, total binary, many binary")
+        release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc long, key binary, at binary, total binary, many binary")
+
+
+def uncovered(held: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
+    """:func:`shared_seeds` with ``flags``: one for a seed that no row covers, two for one of many holders; ``refs``: the numbers of seeds that start a window with both."""
+    far = 2 * min_words - K
+    ranges = rows.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("ranges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, DOCS):
+                b = whole.slice(i, DOCS)
+                owner, key, at, many = _packed(b, key=np.uint64, at=np.int32, many=bool)
+                lists = b.column("ranges")
+                of = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)) * (np.int64(1) << 40)
+                low, high = (of + lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.maximum.accumulate(high[order]) if len(order) else high
+                new = np.concatenate([[True], low[1:] > high[:-1]])[: len(low)]
+                low, high = low[new], high[np.append(np.flatnonzero(new)[1:], len(new)) - 1] if len(new) else high
+                place = owner * (np.int64(1) << 40) + at
+                spot = np.searchsorted(low, place, "right") - 1
+                bare = np.ones(len(place), bool) if not len(low) else (spot < 0) | (high[np.maximum(spot, 0)] < place + K)
+                _, stop = _reach(owner, at, 0, far)
+                count = [np.concatenate([[0], np.cumsum(c)]) for c in (bare, many)]
+                open_ = np.logical_and.reduce([c[stop] > c[np.arange(len(key))] for c in count])
+                cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
+                both = bare + np.uint8(2) * many
+                flags = [both[s:e].tobytes() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                refs = np.unique((key[open_] >> np.uint64(32)).astype(np.uint32)).tobytes()
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "key", "at", "total")), pa.array(flags, pa.binary()), pa.array([refs] + [None] * (b.num_rows - 1), pa.binary())], names=["doc", "key", "at", "total", "flags", "refs"])
+        release()
+
+    return held.join(ranges, "doc", "left").select("doc", "key", "at", "many", "total", "ranges").mapInArrow(run, "doc long, key binary, at binary, total binary, flags binary, refs binary")
+
+
+def missed(held: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+    """Packed matches of two seeds of a window with all earlier documents that hold both (where more than once, the last time), by shard of the document.
+
+    Such a window has a seed that no row covers and one with many holders; ``bits``: the numbers of seeds that start one. Documents with equal texts from one seed to the other count as the first of them.
+    """
+    spark = held.sparkSession
+    n, shared = shards_of(spark), spark.sparkContext.broadcast(bits)
+    # two seeds so far apart leave no gap over MAX_GAP between the first ones and the second ones of a chain over min_words
+    near, far = max(1, (min_words - K) // 2 + 2), 2 * min_words - K
+    schema = "shard int, key binary, place binary, at binary, size binary, other binary, off binary, inner binary, open binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, DOCS):
+                b = whole.slice(i, DOCS)
+                owner, key, at, total, flags = _packed(b, key=np.uint64, at=np.int32, total=np.uint64, flags=np.uint8)
+                low, high = _reach(owner, at, near, far)
+                pick = np.flatnonzero(marked(bits, key) & (high > low))
+                if not len(pick):
+                    continue
+                shard = (key[pick] >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64) if n > 1 else np.zeros(len(pick), np.int64)
+                order = np.argsort(shard, kind="stable")
+                pick, shard = pick[order], shard[order]
+                size = (high - low)[pick]
+                end = np.cumsum(size)
+                first, other = np.repeat(pick, size), np.repeat(low[pick] - (end - size), size) + np.arange(int(end[-1]))
+                off = at[other] - at[first]
+                inner = W.mixed((total[other] - total[first]) * powers(_INVERSE, int(at.max()) + 1)[at[first]] + off.astype(np.uint64))
+                doc = b.column("doc").to_numpy()[owner[pick]]
+                count = [np.concatenate([[0], np.cumsum(flags & bit > 0)]) for bit in (1, 2)]
+                open_ = np.logical_and.reduce([c[other + 1] > c[first] for c in count])
+                flat = [key[pick], doc, at[pick], size.astype(np.uint16)]
+                lists = [(key[other] >> np.uint64(32)).astype(np.uint32), off.astype(np.int16), (inner >> np.uint64(32)).astype(np.uint32), open_]
+                cut = np.append(np.flatnonzero(_heads(shard) == np.arange(len(shard))), len(shard))
+                edge = np.append(0, end)[cut]
+                out = [[int(shard[cut[k]]), *(c[cut[k] : cut[k + 1]].tobytes() for c in flat), *(c[edge[k] : edge[k + 1]].tobytes() for c in lists)] for k in range(len(cut) - 1)]
+                for k in range(0, len(out), 128):
+                    yield _table(out[k : k + 128], schema)
+        release()
+
+    def packed(parts: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, u, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((u, b, a))
+        a, b, u, v = a[order], b[order], u[order], v[order]
+        head = np.flatnonzero(_heads(a, b) == np.arange(len(a)))
+        last = np.append(head[1:], len(a)) - 1
+        d, s = doc[a[head]], doc[b[head]]
+        x = [at[a[head]], at[a[head]] + u[head], at[a[head]] + u[last]]
+        y = [at[b[head]], at[b[head]] + v[head], at[b[head]] + v[last]]
+        cols = [np.tile(d, 3), np.tile(s, 3), np.concatenate(x).astype(np.int32), np.concatenate(y).astype(np.int32)]
+        out = list(_by_shard(W.mixed(cols[0].view(np.uint64)), n, *cols))
+        for k in range(0, len(out), 128):
+            yield _table(out[k : k + 128], f"shard int, {_LINKS}")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            key, doc, at = _meet(rows, "key", np.uint64), _meet(rows, "place", np.int64), _meet(rows, "at", np.int32)
+            size, open_ = _meet(rows, "size", np.uint16), _meet(rows, "open", bool)
+            other, off, inner = _meet(rows, "other", np.uint32), _meet(rows, "off", np.int16), _meet(rows, "inner", np.uint32)
+            who = np.repeat(np.arange(len(key)), size)
+            couple = W.mixed(key[who] + other * _BASE)
+            order = np.lexsort((at[who], doc[who], couple))
+            couple, who, off, inner, open_ = couple[order], who[order], off[order], inner[order], open_[order]
+            own = _heads(couple, doc[who])
+            last = np.flatnonzero(np.append(own[1:] != own[:-1], True)[: len(own)])
+            order = last[np.lexsort((last, inner[last], couple[last]))]
+            source = np.zeros(len(who), bool)
+            source[order[_heads(couple[order], inner[order]) == np.arange(len(order))]] = True
+            before = np.concatenate([[0], np.cumsum(source)])  # sources before each row
+            rank = np.flatnonzero(source)
+            start, own = before[_heads(couple)], before[own]
+            now = np.flatnonzero(open_ & (own > start))
+            left, parts, count = own[now], [], 0
+            while len(now):
+                src = rank[left - 1]
+                parts.append((who[now], who[src], off[now], off[src]))
+                count += len(now)
+                left = left - 1
+                if count > HELD_MATCHES:
+                    yield from packed(parts, doc, at)
+                    parts, count = [], 0
+                go = left > start[now]
+                now, left = now[go], left[go]
+            if parts:
+                yield from packed(parts, doc, at)
+        release()
+
+    sent = held.select("doc", "key", "at", "total", "flags").mapInArrow(send, schema)
+    return sent.repartition(n_shuffle(spark), "shard").sortWithinPartitions("shard").mapInArrow(meet, f"shard int, {_LINKS}")
+
+
 _CHAIN = "doc long, src long, x binary, y binary, x0 int, x1 int, y0 int, y1 int, run int"
 
 
-def chains(matches: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+def chains(matches: DataFrame, runs: DataFrame | None, min_words: int) -> DataFrame:
     """A row for each chain that can still reach ``min_words`` once extended, and for each equal run (of ``run`` words)."""
     margin = K + WINDOW
     k = min(K, min_words)
@@ -458,7 +641,8 @@ def chains(matches: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
                 yield _table(out[i : i + 512], _CHAIN)
         release()
 
-    both = matches.select("*", F.lit(None).cast("binary").alias("n")).unionByName(runs)
+    both = matches.select("*", F.lit(None).cast("binary").alias("n"))
+    both = both.unionByName(runs) if runs is not None else both
     return both.repartition(n_shuffle(matches.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, _CHAIN)
 
 
@@ -474,10 +658,38 @@ def find_passages(docs: DataFrame, *, min_words: int = 50, identity: float = 0.8
         docs = docs.select(F.col(no).alias("doc_id"), "text")
     matches = ws.put(seed_matches(docs, min_words), "matches")
     numbers_of = matches.where("refs is not null")
-    runs = run_matches(docs, bitmap(numbers_of, BITS), bitmap(numbers_of.select(F.col("hot").alias("refs")), BITS), min_words)
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(numbers_of, BITS), bitmap(numbers_of.select(F.col("hot").alias("refs")), BITS)))
+    runs = run_matches(docs, shared, min_words)
     found = chains(matches.where("refs is null").drop("refs", "hot"), runs, min_words).withColumn("pair", F.monotonically_increasing_id())
     found = ws.put(found, "chains")
     ws.drop("matches")
+    held = ws.put(shared_seeds(docs, shared, min_words), "shared")
+    shared.destroy()
+    rows = ws.put(settled(docs, found, min_words, identity), "rows")
+    ws.drop("chains")
+    held = ws.put(uncovered(held, rows, min_words), "seeds")
+    ws.drop("shared")
+    starts = held.where("refs is not null")
+    n = starts.agg(F.sum(F.octet_length("refs") / 4)).first()[0] or 0
+    links = missed(held, bitmap(starts, min(BITS, max(20, int(16 * n).bit_length()))), min_words)
+    more = ws.put(chains(links, None, min_words).withColumn("pair", F.monotonically_increasing_id()), "more")
+    ws.drop("seeds")
+    rows = rows.unionByName(settled(docs, more, min_words, identity))
+    ranges = [f.split()[0] for f in _PASSAGE.split(", ")][2:]
+    inside = " and ".join(f"q.{c} {sign} r.{c}" for c, sign in zip(ranges, ("<=", ">=", "<=", ">="), strict=False))
+    size = "({0}.end_word - {0}.start_word + {0}.source_end - {0}.source_start)"
+    other = f"({size.format('q')} > {size.format('r')} or {size.format('q')} = {size.format('r')} and q.n_equal > r.n_equal)"
+    all_of = rows.groupBy("doc_id", "source_id").agg(F.collect_set(F.struct(*ranges)).alias("all"))
+    out = all_of.select("doc_id", "source_id", F.expr(f"inline(filter(all, r -> not exists(all, q -> {inside} and {other})))"))
+    if not no:
+        return out
+    for c in ("doc_id", "source_id"):
+        out = out.join(ids.select(F.col("no").alias(c), F.col("id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    return out.select("doc_id", "source_id", *ranges)
+
+
+def settled(docs: DataFrame, found: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """Passages of the chains that keep ``min_words`` and ``identity`` once aligned with both texts."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, w in _rows(batches):
@@ -532,14 +744,4 @@ def find_passages(docs: DataFrame, *, min_words: int = 50, identity: float = 0.8
         if out:
             yield _table(out, _PASSAGE)
 
-    ranges = [f.split()[0] for f in _PASSAGE.split(", ")][2:]
-    inside = " and ".join(f"q.{c} {sign} r.{c}" for c, sign in zip(ranges, ("<=", ">=", "<=", ">="), strict=False))
-    size = "({0}.end_word - {0}.start_word + {0}.source_end - {0}.source_start)"
-    other = f"({size.format('q')} > {size.format('r')} or {size.format('q')} = {size.format('r')} and q.n_equal > r.n_equal)"
-    all_of = dealt.mapInArrow(settle, _PASSAGE).groupBy("doc_id", "source_id").agg(F.collect_set(F.struct(*ranges)).alias("all"))
-    out = all_of.select("doc_id", "source_id", F.expr(f"inline(filter(all, r -> not exists(all, q -> {inside} and {other})))"))
-    if not no:
-        return out
-    for c in ("doc_id", "source_id"):
-        out = out.join(ids.select(F.col("no").alias(c), F.col("id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
-    return out.select("doc_id", "source_id", *ranges)
+    return dealt.mapInArrow(settle, _PASSAGE)

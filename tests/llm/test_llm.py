@@ -857,6 +857,23 @@ def test_edited_passages_among_quotes(spark):
     assert len(found & set(wanted)) >= 0.9 * len(wanted)
 
 
+def test_edited_passages_among_long_quotes(spark):
+    """Every edited copy finds its full copy, though others quote each 41 to 49 words of it before and between."""
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    say = lambda k: [r.choice(vocabulary) for _ in range(k)]
+    said, docs, full, edited = [say(100) for _ in range(12)], [], {}, {}
+    quotes = lambda: [p[at : at + r.randint(41, 49)] for p in said for at in range(0, 60, 7)]
+    copies = [[*p[:25], "one", *p[26:50], "two", *p[51:75], "more", *p[75:]] for p in said]
+    for words, of in ((quotes(), None), (said, full), (quotes(), None), (copies, edited)):
+        for i, w in enumerate(words):
+            if of is not None:
+                of[i] = len(docs)
+            docs.append((len(docs), " ".join(say(20) + w + say(20))))
+    got = passages.find_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {(edited[i], full[i]) for i in full} <= {(r["doc_id"], r["source_id"]) for r in got if r["end_word"] - r["start_word"] >= 95}
+
+
 def test_passages_of_rows_without_ids(spark):
     r = random.Random(5)
     shared = " ".join(f"s{r.randrange(10**6)}" for _ in range(120))
