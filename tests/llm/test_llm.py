@@ -5,13 +5,15 @@ import html as stdlib_html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, fingerprints, hmm, html, jaccard, kneser, lines, mixing, passages, quality
+from cadence.llm import bpe, common, fingerprints, hmm, html, jaccard, kneser, lines, mixing, passages, quality
 from cadence.llm import words as W
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -941,3 +943,16 @@ def test_kneser_learns_from_all_trusted(spark):
     assert trained > 4500
     grams, _ = kneser.fit(df, df.select("doc_id"), kneser.Workspace(spark, "all"))
     assert grams.where("m = 1 and a > 0").count() == trained + 1  # and the end
+
+
+def test_put_leaves_no_shuffle_files(spark):
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p.name for p in folder.rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(common._CLEANUP, None)
+    ws = common.Workspace(spark, "put")
+    rows = ws.put(spark.range(50_000).repartition(7, "id"), "rows")
+    end = time.time() + 20
+    while files() - before and time.time() < end:  # removed in the background
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(common._CLEANUP, None) == setting
+    assert rows.count() == 50_000
