@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
-from cadence.llm.common import Workspace, apart, free, n_shuffle, release
+from cadence.llm.common import Workspace, apart, free, n_shuffle, no_shuffle_files, release
 
 LAST = 2**63 - 1
 #: Bounds of the bitmap's size in bits, as powers of two.
@@ -257,7 +257,8 @@ def bitmap(equal: DataFrame, size: int) -> np.ndarray:
         for b in batches:
             for raw in b.column("refs").to_pylist():
                 at = np.unique(np.frombuffer(raw, np.uint32) >> np.uint32(32 - size)).astype(np.int64)
-                rows = [[int(s), (at[at // width == s] % width).astype(np.int32).tobytes()] for s in np.unique(at // width)]
+                edge = np.searchsorted(at, np.arange(slices + 1) * width)
+                rows = [[int(s), (at[edge[s] : edge[s + 1]] - s * width).astype(np.int32).tobytes()] for s in np.flatnonzero(np.diff(edge))]
                 if rows:
                     yield _table(rows, "shard int, at binary")
 
@@ -269,7 +270,8 @@ def bitmap(equal: DataFrame, size: int) -> np.ndarray:
         if full:
             yield _table([[s, np.packbits(x).tobytes()] for s, x in full.items()], "shard int, bits binary")
 
-    rows = equal.select("refs").mapInArrow(cut, "shard int, at binary").repartition(slices, "shard").mapInArrow(fill, "shard int, bits binary").collect()
+    with no_shuffle_files(equal.sparkSession):
+        rows = equal.select("refs").mapInArrow(cut, "shard int, at binary").repartition(slices, "shard").mapInArrow(fill, "shard int, bits binary").collect()
     out = np.zeros((slices, width // 8), np.uint8)
     for r in rows:
         out[r["shard"]] = np.frombuffer(bytes(r["bits"]), np.uint8)

@@ -23,6 +23,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
 CHUNK_BYTES = 3 << 20
 
 
@@ -101,12 +102,15 @@ def split(texts: pa.Array, lower: bool = True) -> Words:
     if not len(begin):
         return Words(np.zeros(0, np.uint64), begin, end, first, data)
     length = end - begin
-    at = np.flatnonzero(inside)
-    starts = np.zeros(len(begin), np.int64)
-    np.cumsum(length[:-1], out=starts[1:])
-    place = np.arange(len(at), dtype=np.int64) - np.repeat(starts, length)
-    np.minimum(place, _LONG, out=place)
-    sums = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * _FACTORS[place], starts)
+    order = np.argsort(-np.minimum(length, _LONG).astype(np.int16), kind="stable")  # longest first, so each step goes over the words that reach so far
+    at = begin[order]
+    reach = np.searchsorted(-length[order], -np.arange(_LONG), "left")
+    partial = np.zeros(len(begin), np.uint64)
+    for k in range(int(min(length.max(), _LONG))):
+        m = reach[k]
+        partial[:m] += _PLUS_ONE.take(data.take(at[:m] + k)) * _FACTORS[k]
+    sums = np.empty_like(partial)
+    sums[order] = partial
     hashes = mixed(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for i in np.flatnonzero(length > _LONG):
         hashes[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]].tobytes(), 7)

@@ -956,3 +956,25 @@ def test_put_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(common._CLEANUP, None) == setting
     assert rows.count() == 50_000
+
+
+def test_kneser_writes_a_slice_at_a_time(spark, monkeypatch):
+    """Many different trigrams: tables together stay near the size of the texts, and all trigrams count."""
+    rng = random.Random(5)
+    vocab = [f"word{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(vocab, k=400)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    put, most = common.Workspace.put, []
+
+    def seen(self, rows, name):
+        out = put(self, rows, name)
+        most.append(sum(f.stat().st_size for f in Path(self.base.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(common.Workspace, "put", seen)
+    got = {r["doc_id"]: r["perplexity"] for r in kneser.perplexities(df, df.select("doc_id")).collect()}
+    assert max(most) < 2 * sum(map(len, texts))
+    ids = {r["doc_id"] for r in df.where(F.pmod(kneser._place(23), F.lit(kneser.HELD)) != 0).collect()}
+    text_log, _, _ = brute_kneser([t for d, t in enumerate(texts) if d in ids], 3)
+    for d in list(ids)[:5] + [d for d in got if d not in ids][:5]:
+        assert -math.log(got[d]) * 401 == pytest.approx(text_log(texts[d]), abs=0.01)
