@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import words as W
 from cadence.llm.blocks import shards_of
-from cadence.llm.common import Workspace, apart, n_shuffle, release
+from cadence.llm.common import Workspace, apart, n_shuffle, no_shuffle_files, release
 from cadence.llm.lines import _BASE, _INVERSE, LAST, _by_shard, _grouped, _meet, _table, bitmap, powers
 
 K, WINDOW, MAX_GAP = 5, 8, 30
@@ -53,7 +53,7 @@ WORTH = 20
 FEW = 4
 #: How many words the distances of couples range over.
 COUPLE = 10
-#: The size of the bitmap of shared seeds in bits, as a power of two.
+#: The most bits of a bitmap of seeds, as a power of two.
 BITS = 28
 
 
@@ -72,9 +72,15 @@ def thinned(w: W.Words, min_words: int, key: np.ndarray, owner: np.ndarray, at:
 def winnowed(key: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
     if len(key) < window:
         return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(key, window)
-    inside = owner[: len(views)] == owner[window - 1 :]
-    return np.unique((np.arange(len(views)) + views.argmin(1))[inside])
+    at, low, span = np.arange(len(key)), key, 1
+    while span < window:  # the first least of ever longer stretches
+        step = min(span, window - span)
+        m = len(low) - step
+        at = np.where(low[step:] < low[:m], at[step:], at[:m])
+        low = np.minimum(low[step:], low[:m])
+        span += step
+    at = at[owner[: len(at)] == owner[window - 1 :]]
+    return at[_heads(at) == np.arange(len(at))]
 
 
 def least(key: np.ndarray, span: int) -> np.ndarray:
@@ -94,9 +100,8 @@ def long_runs(w: W.Words, min_words: int, bits: np.ndarray, key: np.ndarray, own
     f = np.arange(len(key) - span + 1)
     ok = owner[f] == owner[f + span - 1]
     if span > 2 * (WINDOW - 1):  # a seed that far inside is one wherever the run stands
-        no = (key[pick] >> np.uint64(64 - BITS)).astype(np.int64)
         alone = np.zeros(len(key) + 1, np.int64)
-        alone[pick + 1] = ~((bits[no >> 3] >> (7 - (no & 7)).astype(np.uint8)) & 1).astype(bool)
+        alone[pick + 1] = ~marked(bits, key[pick])
         alone = np.cumsum(alone)
         ok &= alone[f + span - WINDOW + 1] == alone[f + WINDOW - 1]
     f = f[ok]
@@ -194,6 +199,13 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[np.ndarray]:
     return out
 
 
+def single_chains(x: np.ndarray, y: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Of groups of matches, from each of ``cut`` to the next, which are one chain from end to end."""
+    dx, dy = np.diff(x), np.diff(y)
+    breaks = np.concatenate([[0], np.cumsum((dx <= 0) | (dy <= 0) | (dx > MAX_GAP) | (dy > MAX_GAP))])
+    return breaks[cut[1:] - 1] == breaks[cut[:-1]]
+
+
 def _tree_chains(x: list[int], y: list[int], k: int) -> list[np.ndarray]:
     score, before = chain_scores(x, y, k)
     out, used = [], [False] * len(x)
@@ -303,8 +315,7 @@ def matches_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.nda
 
 def couples(key: np.ndarray, owner: np.ndarray, at: np.ndarray, hot: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and both places of couples of seeds (sorted by text and place) with many holders: each with the seed of least hash among those that end nearly ``min_words`` after it starts."""
-    no = (key >> np.uint64(64 - BITS)).astype(np.int64)
-    many = np.flatnonzero((hot[no >> 3] >> (7 - (no & 7)).astype(np.uint8)) & 1)
+    many = np.flatnonzero(marked(hot, key))
     key, owner, at = key[many], owner[many], at[many]
     far = max(1, min_words - K)
     place = owner * (np.int64(1) << 40) + at  # texts lie far apart
@@ -330,6 +341,13 @@ def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ((bits[no >> 3] >> (7 - (no & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def sized_bitmap(numbers: DataFrame, room: int) -> np.ndarray:
+    """A bitmap of ``refs`` with ``room`` bits for each, up to 2 ** BITS."""
+    with no_shuffle_files(numbers.sparkSession):
+        n = numbers.agg(F.sum(F.octet_length("refs") / 4)).first()[0] or 0
+    return bitmap(numbers, min(BITS, max(20, int(room * n).bit_length())))
+
+
 def seed_matches(docs: DataFrame, min_words: int) -> DataFrame:
     """Packed matches ``doc, src, x, y`` by shard of the document, the numbers (``refs``) of seeds that documents share, and those (``hot``) of seeds with many holders."""
     n = shards_of(docs.sparkSession)
@@ -508,13 +526,13 @@ def uncovered(held: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
     return held.join(ranges, "doc", "left").select("doc", "key", "at", "many", "total", "ranges").mapInArrow(run, "doc long, key binary, at binary, total binary, flags binary, refs binary")
 
 
-def missed(held: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+def missed(held: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
     """Packed matches of two seeds of a window with all earlier documents that hold both (where more than once, the last time), by shard of the document.
 
-    Such a window has a seed that no row covers and one with many holders; ``bits``: the numbers of seeds that start one. Documents with equal texts from one seed to the other count as the first of them.
+    Such a window has a seed that no row covers and one with many holders; ``shared``: a bitmap of the numbers of seeds that start one. Documents with equal texts from one seed to the other count as the first of them.
     """
     spark = held.sparkSession
-    n, shared = shards_of(spark), spark.sparkContext.broadcast(bits)
+    n = shards_of(spark)
     # two seeds so far apart leave no gap over MAX_GAP between the first ones and the second ones of a chain over min_words
     near, far = max(1, (min_words - K) // 2 + 2), 2 * min_words - K
     schema = "shard int, key binary, place binary, at binary, size binary, other binary, off binary, inner binary, open binary"
@@ -630,8 +648,12 @@ def chains(matches: DataFrame, runs: DataFrame | None, min_words: int) -> DataFr
             doc, src, x, y = doc[keep], src[keep], x[keep], y[keep]
             head = _heads(doc, src)
             cut = np.append(np.flatnonzero(head == np.arange(len(doc))), len(doc))
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if x[e - 1] - x[s] + K + 2 * margin < min_words:
+            plain = single_chains(x, y, cut)
+            far = x[cut[1:] - 1] - x[cut[:-1]] + K + 2 * margin >= min_words
+            for g in np.flatnonzero(far).tolist():
+                s, e = cut[g], cut[g + 1]
+                if plain[g]:
+                    out.append(row(doc[s], src[s], x[s:e], y[s:e], 0))
                     continue
                 for c in chain(x[s:e], y[s:e]):
                     cx, cy = x[s:e][c], y[s:e][c]
@@ -658,7 +680,7 @@ def find_passages(docs: DataFrame, *, min_words: int = 50, identity: float = 0.8
         docs = docs.select(F.col(no).alias("doc_id"), "text")
     matches = ws.put(seed_matches(docs, min_words), "matches")
     numbers_of = matches.where("refs is not null")
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(numbers_of, BITS), bitmap(numbers_of.select(F.col("hot").alias("refs")), BITS)))
+    shared = docs.sparkSession.sparkContext.broadcast((sized_bitmap(numbers_of, 64), bitmap(numbers_of.select(F.col("hot").alias("refs")), BITS)))  # a false hit of the second may change which couple is taken
     runs = run_matches(docs, shared, min_words)
     found = chains(matches.where("refs is null").drop("refs", "hot"), runs, min_words).withColumn("pair", F.monotonically_increasing_id())
     found = ws.put(found, "chains")
@@ -669,10 +691,10 @@ def find_passages(docs: DataFrame, *, min_words: int = 50, identity: float = 0.8
     ws.drop("chains")
     held = ws.put(uncovered(held, rows, min_words), "seeds")
     ws.drop("shared")
-    starts = held.where("refs is not null")
-    n = starts.agg(F.sum(F.octet_length("refs") / 4)).first()[0] or 0
-    links = missed(held, bitmap(starts, min(BITS, max(20, int(16 * n).bit_length()))), min_words)
+    starts = docs.sparkSession.sparkContext.broadcast(sized_bitmap(held.where("refs is not null"), 16))
+    links = missed(held, starts, min_words)
     more = ws.put(chains(links, None, min_words).withColumn("pair", F.monotonically_increasing_id()), "more")
+    starts.destroy()
     ws.drop("seeds")
     rows = rows.unionByName(settled(docs, more, min_words, identity))
     ranges = [f.split()[0] for f in _PASSAGE.split(", ")][2:]
@@ -688,11 +710,27 @@ def find_passages(docs: DataFrame, *, min_words: int = 50, identity: float = 0.8
     return out.select("doc_id", "source_id", *ranges)
 
 
+def _mark(ids: np.ndarray) -> np.ndarray:
+    return (W.mixed(ids.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
 def settled(docs: DataFrame, found: DataFrame, min_words: int, identity: float) -> DataFrame:
     """Passages of the chains that keep ``min_words`` and ``identity`` once aligned with both texts."""
 
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _table([[np.unique(_mark(np.concatenate([b.column(c).to_numpy() for c in ("doc", "src")]))).tobytes()]], "refs binary")
+
+    asked = docs.sparkSession.sparkContext.broadcast(sized_bitmap(found.select("doc", "src").mapInArrow(marks, "refs binary"), 16))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without most texts that no chain needs."""
+        for b in batches:
+            ids = b.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(marked(asked.value, _mark(ids).astype(np.uint64) << np.uint64(32))))
+
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, w in _rows(batches):
+        for ids, w in _rows(some(batches)):
             low = (w.hashes >> np.uint64(32)).astype(np.uint32)
             keep = np.flatnonzero(w.counts >= min_words)
             if len(keep):
@@ -702,8 +740,8 @@ def settled(docs: DataFrame, found: DataFrame, min_words: int, identity: float)
     texts = docs.select("doc_id", "text").mapInArrow(numbers, "id long, words binary")
     one = F.struct(F.lit(0).alias("side"), F.col("doc").alias("id"), F.col("x0").alias("low"), F.col("x1").alias("high"))
     two = F.struct(F.lit(1).alias("side"), F.col("src").alias("id"), F.col("y0").alias("low"), F.col("y1").alias("high"))
-    asked = found.select("pair", F.explode(F.array(one, two)).alias("a")).select("pair", "a.*")
-    parts = asked.join(texts, "id").select("pair", "side", F.expr("substring(words, 4 * low + 1, 4 * (high - low))").alias("words"))
+    ranges = found.select("pair", F.explode(F.array(one, two)).alias("a")).select("pair", "a.*")
+    parts = ranges.join(texts, "id").select("pair", "side", F.expr("substring(words, 4 * low + 1, 4 * (high - low))").alias("words"))
     p, k = n_shuffle(docs.sparkSession), min(K, min_words)
     extra = found.select("pair", F.lit(-1).alias("side"), F.lit(None).cast("binary").alias("words"), "doc", "src", "x", "y", "x0", "y0", "run")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("doc", "long"), ("src", "long"), ("x", "binary"), ("y", "binary"), ("x0", "int"), ("y0", "int"), ("run", "int"))]

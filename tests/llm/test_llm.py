@@ -978,3 +978,28 @@ def test_kneser_writes_a_slice_at_a_time(spark, monkeypatch):
     text_log, _, _ = brute_kneser([t for d, t in enumerate(texts) if d in ids], 3)
     for d in list(ids)[:5] + [d for d in got if d not in ids][:5]:
         assert -math.log(got[d]) * 401 == pytest.approx(text_log(texts[d]), abs=0.01)
+
+
+def test_passages_bitmaps_fit_their_seeds(spark):
+    import numpy as np
+
+    refs = spark.createDataFrame([(np.arange(1000, dtype=np.uint32).tobytes(),)], "refs binary")
+    bits = passages.sized_bitmap(refs, 64)
+    assert len(bits) <= 1 << 17 and passages.marked(bits, np.arange(1000, dtype=np.uint64) << np.uint64(32)).all()
+
+
+def test_passages_steps_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        key, owner = rng.integers(0, 40, 200).astype(np.uint64), np.sort(rng.integers(0, 5, 200))
+        want = {s + int(np.argmin(key[s : s + 8])) for s in range(193) if owner[s] == owner[s + 7]}
+        assert passages.winnowed(key, owner).tolist() == sorted(want)
+        size = rng.integers(1, 6, 30)
+        cut = np.append(0, np.cumsum(size))
+        x, y = (rng.integers(1, 35, cut[-1]).cumsum() - (rng.random(cut[-1]) < 0.1) * 40 for _ in range(2))
+        for s, e, one in zip(cut[:-1], cut[1:], passages.single_chains(x, y, cut), strict=True):
+            by = np.lexsort((y[s:e], x[s:e]))
+            if (by == np.arange(e - s)).all():
+                assert one == (len(passages.chain(x[s:e], y[s:e])) == 1 and len(passages.chain(x[s:e], y[s:e])[0]) == e - s)
