@@ -356,12 +356,19 @@ def seed_matches(docs: DataFrame, min_words: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, w in _rows(batches):
             key, owner, at = seeds(w, min_words)
-            out = list(_by_shard(key, n, key, ids[owner], at.astype(np.int32)))
+            out = list(_by_shard(W.mixed(key), n, key, ids[owner], at.astype(np.int32)))  # seeds are least hashes, so low ones are common
             for k in range(0, len(out), 128):
                 yield _table(out[k : k + 128], "shard int, key binary, place binary, at binary")
         release()
 
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        doc, src, x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+        out = [[*r, None, None] for r in _by_shard(W.mixed(doc.view(np.uint64)), n, doc, src, x, y)]
+        for k in range(0, len(out), 128):
+            yield _table(out[k : k + 128], f"shard int, {_LINKS}, refs binary, hot binary")
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, count = [], 0
         for rows in _grouped(batches):
             key, doc, at = _meet(rows, "key", np.uint64), _meet(rows, "place", np.int64), _meet(rows, "at", np.int32)
             order = np.lexsort((at, doc, key))
@@ -369,10 +376,14 @@ def seed_matches(docs: DataFrame, min_words: int) -> DataFrame:
             a, b = matches_of(key, doc, at)
             refs = np.unique((key[a] >> np.uint64(32)).astype(np.uint32))
             hot = np.unique((key[holders(key, doc) > FEW] >> np.uint64(32)).astype(np.uint32))
-            out = [[rows[0]["shard"], None, None, None, None, refs.tobytes(), hot.tobytes()]]
-            out += [[*r, None, None] for r in _by_shard(W.mixed(doc[a].view(np.uint64)), n, doc[a], doc[b], at[a], at[b])]
-            for k in range(0, len(out), 128):
-                yield _table(out[k : k + 128], f"shard int, {_LINKS}, refs binary, hot binary")
+            yield _table([[rows[0]["shard"], None, None, None, None, refs.tobytes(), hot.tobytes()]], f"shard int, {_LINKS}, refs binary, hot binary")
+            parts.append((doc[a], doc[b], at[a], at[b]))
+            count += len(a)
+            if count > HELD_COUPLES:  # matches of several shards travel in one row
+                yield from packed(parts)
+                parts, count = [], 0
+        if parts:
+            yield from packed(parts)
         release()
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "shard int, key binary, place binary, at binary")
@@ -392,6 +403,7 @@ def run_matches(docs: DataFrame, shared: Broadcast, min_words: int) -> DataFrame
             pair, text, from_, to = couples(*found, hot, min_words)
             both = [[r[0], None, None, None, None, *r[1:]] for r in _by_shard(pair, n, pair, ids[text], from_.astype(np.int32), to.astype(np.int32))]
             run, seed, owner, at = long_runs(w, min_words, bits, *short, pick)
+            seed = W.mixed(seed)  # the least of so many hashes is low: by itself, nearly span / n of all runs would meet in the first of n shards
             new = np.ones(len(run), bool)
             new[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
             head = np.flatnonzero(new)
@@ -446,8 +458,8 @@ def neighbours(doc: np.ndarray, src: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return doc[head], src[head], x[head], y[head], np.diff(np.append(head, len(doc))).astype(np.int32)
 
 
-#: Documents in one step over packed seeds, and matches that a shard of :func:`missed` holds at once.
-DOCS, HELD_MATCHES = 256, 1 << 21
+#: Documents in one step over packed seeds, couples of them that a task holds at once, and matches that a shard of :func:`missed` holds.
+DOCS, HELD_COUPLES, HELD_MATCHES = 256, 1 << 18, 1 << 20
 
 
 def _packed(b: pa.RecordBatch, **kinds) -> list[np.ndarray]:
@@ -493,9 +505,29 @@ def shared_seeds(docs: DataFrame, shared: Broadcast, min_words: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "doc long, key binary, at binary, total binary, many binary")
 
 
+def pairs(owner: np.ndarray, key: np.ndarray, at: np.ndarray, flags: np.ndarray, min_words: int, only_open: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Couples of seeds (sorted by text and place) that stand half to twice ``min_words`` apart, HELD_COUPLES at a time: both seeds, hash, and whether a seed that no row covers and one of many holders stand from one to the other."""
+    # two seeds so far apart leave no gap over MAX_GAP between the first ones and the second ones of a chain over min_words
+    low, high = _reach(owner, at, max(1, (min_words - K) // 2 + 2), 2 * min_words - K)
+    count = [np.concatenate([[0], np.cumsum(flags & bit > 0)]) for bit in (1, 2)]
+    some = high > low
+    if only_open:  # those whose widest couple is
+        some &= np.logical_and.reduce([c[high] > c[: len(key)] for c in count])
+    some = np.flatnonzero(some)
+    end = np.cumsum((high - low)[some])
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + HELD_COUPLES, "right")))
+        size = (high - low)[some[i:j]]
+        first = np.repeat(some[i:j], size)
+        other = np.arange(len(first)) + np.repeat(low[some[i:j]] - (np.cumsum(size) - size), size)
+        open_ = np.logical_and.reduce([c[other + 1] > c[first] for c in count])
+        yield first, other, W.mixed(key[first] + (key[other] >> np.uint64(32)) * _BASE), open_
+        i = j
+
+
 def uncovered(held: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
-    """:func:`shared_seeds` with ``flags``: one for a seed that no row covers, two for one of many holders; ``refs``: the numbers of seeds that start a window with both."""
-    far = 2 * min_words - K
+    """:func:`shared_seeds` with ``flags``: one for a seed that no row covers, two for one of many holders; ``refs``: the numbers of couples with both from end to end (see :func:`missed`)."""
     ranges = rows.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,52 +545,118 @@ def uncovered(held: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
                 place = owner * (np.int64(1) << 40) + at
                 spot = np.searchsorted(low, place, "right") - 1
                 bare = np.ones(len(place), bool) if not len(low) else (spot < 0) | (high[np.maximum(spot, 0)] < place + K)
-                _, stop = _reach(owner, at, 0, far)
-                count = [np.concatenate([[0], np.cumsum(c)]) for c in (bare, many)]
-                open_ = np.logical_and.reduce([c[stop] > c[np.arange(len(key))] for c in count])
-                cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
                 both = bare + np.uint8(2) * many
+                cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
                 flags = [both[s:e].tobytes() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                refs = np.unique((key[open_] >> np.uint64(32)).astype(np.uint32)).tobytes()
+                refs = [(couple[open_] >> np.uint64(32)).astype(np.uint32) for *_, couple, open_ in pairs(owner, key, at, both, min_words, True)]
+                refs = np.unique(np.concatenate([np.unique(r) for r in refs] or [np.zeros(0, np.uint32)])).tobytes()
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "key", "at", "total")), pa.array(flags, pa.binary()), pa.array([refs] + [None] * (b.num_rows - 1), pa.binary())], names=["doc", "key", "at", "total", "flags", "refs"])
         release()
 
     return held.join(ranges, "doc", "left").select("doc", "key", "at", "many", "total", "ranges").mapInArrow(run, "doc long, key binary, at binary, total binary, flags binary, refs binary")
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids of some documents and their packed seeds."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, DOCS):
+            b = whole.slice(i, DOCS)
+            yield b.column("doc").to_numpy(), *_packed(b, key=np.uint64, at=np.int32, total=np.uint64, flags=np.uint8)
+
+
+def contested(held: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
+    """The numbers (``refs``) of couples that are open in a document while an earlier one holds them too. ``shared``: a bitmap of the open ones.
+
+    Most open couples are of their earliest holder, so what :func:`missed` deals out is a small part.
+    """
+    n = shards_of(held.sparkSession)
+    schema = "shard int, no binary, low binary, open binary, high binary"
+
+    def folded(no: np.ndarray, doc: np.ndarray, highest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((doc, no))
+        no, doc = no[order], doc[order]
+        keep = np.append(no[1:] != no[:-1], True) if highest else np.append(True, no[1:] != no[:-1])
+        return no[keep[: len(no)]], doc[keep[: len(no)]]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(parts: list) -> Iterator[pa.RecordBatch]:
+            no, doc, open_ = (np.concatenate(c) for c in zip(*parts, strict=True))
+            out = []
+            for rows, side in ((folded(no, doc), 0), (folded(no[open_], doc[open_], True), 1)):
+                out += [[s, *[None] * (2 * side), *r, *[None] * (2 - 2 * side)] for s, *r in _by_shard(rows[0].astype(np.uint64) << np.uint64(32), n, *rows)]
+            for k in range(0, len(out), 128):
+                yield _table(out[k : k + 128], schema)
+
+        bits, parts, count = shared.value, [], 0
+        for ids, owner, key, at, _, flags in _steps(batches):
+            for first, _, couple, open_ in pairs(owner, key, at, flags, min_words):
+                keep = marked(bits, couple)
+                # sorted as one number; of a document once, open where it is so anywhere
+                one = np.sort((couple[keep] >> np.uint64(32) << np.uint64(16)) + (owner[first[keep]] * 2 + open_[keep]).astype(np.uint64))
+                one = one[np.append(one[1:] >> np.uint64(1) != one[:-1] >> np.uint64(1), True)[: len(one)]]
+                parts.append(((one >> np.uint64(16)).astype(np.uint32), ids[(one >> np.uint64(1) & np.uint64(0x7FFF)).astype(np.int64)], (one & np.uint64(1)).astype(bool)))
+                count += len(one)
+                if count > 4 * HELD_COUPLES:
+                    yield from packed(parts)
+                    parts, count = [], 0
+        if parts:
+            yield from packed(parts)
+        release()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            no, low = folded(_meet(rows, "no", np.uint32), _meet(rows, "low", np.int64))
+            open_, high = _meet(rows, "open", np.uint32), _meet(rows, "high", np.int64)
+            yield _table([[np.unique(open_[high > low[np.searchsorted(no, open_)]]).tobytes()]], "refs binary")
+        release()
+
+    sent = held.select("doc", "key", "at", "total", "flags").mapInArrow(send, schema)
+    return sent.repartition(n_shuffle(held.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(meet, "refs binary")
+
+
+def steps(who: np.ndarray, size: np.ndarray, held: int = HELD_MATCHES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows (sorted by ``who``) of at most ``held`` in sum of sizes, or of one ``who``, whose rows stay together whatever the limit."""
+    edge = np.append(np.flatnonzero(who[1:] != who[:-1]) + 1, len(who))
+    total = np.append(0, np.cumsum(size))
+    i = 0
+    while i < len(who):
+        k = int(np.searchsorted(total[edge], total[i] + held, "right")) - 1
+        j = int(edge[max(k, int(np.searchsorted(edge, i, "right")))])
+        yield i, j
+        i = j
+
+
 def missed(held: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
     """Packed matches of two seeds of a window with all earlier documents that hold both (where more than once, the last time), by shard of the document.
 
-    Such a window has a seed that no row covers and one with many holders; ``shared``: a bitmap of the numbers of seeds that start one. Documents with equal texts from one seed to the other count as the first of them.
+    Such a window has a seed that no row covers and one with many holders; ``shared``: a bitmap of the numbers of couples that :func:`contested` found. Documents with equal texts from one seed to the other count as the first of them.
     """
     spark = held.sparkSession
     n = shards_of(spark)
-    # two seeds so far apart leave no gap over MAX_GAP between the first ones and the second ones of a chain over min_words
-    near, far = max(1, (min_words - K) // 2 + 2), 2 * min_words - K
     schema = "shard int, key binary, place binary, at binary, size binary, other binary, off binary, inner binary, open binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, DOCS):
-                b = whole.slice(i, DOCS)
-                owner, key, at, total, flags = _packed(b, key=np.uint64, at=np.int32, total=np.uint64, flags=np.uint8)
-                low, high = _reach(owner, at, near, far)
-                pick = np.flatnonzero(marked(bits, key) & (high > low))
-                if not len(pick):
+        for ids, owner, key, at, total, flags in _steps(batches):
+            for first, other, couple, open_ in pairs(owner, key, at, flags, min_words):
+                keep = np.flatnonzero(marked(bits, couple))
+                if not len(keep):
                     continue
-                shard = (key[pick] >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64) if n > 1 else np.zeros(len(pick), np.int64)
+                order = keep[np.argsort(couple[keep], kind="stable")]  # what is neither open nor a document's last counts for nothing
+                last = np.append((couple[order][1:] != couple[order][:-1]) | (owner[first[order]][1:] != owner[first[order]][:-1]), True)
+                keep = np.sort(order[last | open_[order]])
+                first, other, open_ = first[keep], other[keep], open_[keep]
+                pick, size = np.unique(first, return_counts=True)
+                shard = (W.mixed(key[first]) >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64) if n > 1 else np.zeros(len(first), np.int64)
                 order = np.argsort(shard, kind="stable")
-                pick, shard = pick[order], shard[order]
-                size = (high - low)[pick]
-                end = np.cumsum(size)
-                first, other = np.repeat(pick, size), np.repeat(low[pick] - (end - size), size) + np.arange(int(end[-1]))
+                first, other, open_ = first[order], other[order], open_[order]
                 off = at[other] - at[first]
                 inner = W.mixed((total[other] - total[first]) * powers(_INVERSE, int(at.max()) + 1)[at[first]] + off.astype(np.uint64))
-                doc = b.column("doc").to_numpy()[owner[pick]]
-                count = [np.concatenate([[0], np.cumsum(flags & bit > 0)]) for bit in (1, 2)]
-                open_ = np.logical_and.reduce([c[other + 1] > c[first] for c in count])
-                flat = [key[pick], doc, at[pick], size.astype(np.uint16)]
+                shard = shard[np.cumsum(size) - 1]
+                order = np.argsort(shard, kind="stable")
+                pick, size, shard = pick[order], size[order], shard[order]
+                end = np.cumsum(size)
+                flat = [key[pick], ids[owner[pick]], at[pick], size.astype(np.uint16)]
                 lists = [(key[other] >> np.uint64(32)).astype(np.uint32), off.astype(np.int16), (inner >> np.uint64(32)).astype(np.uint32), open_]
                 cut = np.append(np.flatnonzero(_heads(shard) == np.arange(len(shard))), len(shard))
                 edge = np.append(0, end)[cut]
@@ -567,8 +665,7 @@ def missed(held: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
                     yield _table(out[k : k + 128], schema)
         release()
 
-    def packed(parts: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b, u, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def packed(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((u, b, a))
         a, b, u, v = a[order], b[order], u[order], v[order]
         head = np.flatnonzero(_heads(a, b) == np.arange(len(a)))
@@ -586,32 +683,31 @@ def missed(held: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
             key, doc, at = _meet(rows, "key", np.uint64), _meet(rows, "place", np.int64), _meet(rows, "at", np.int32)
             size, open_ = _meet(rows, "size", np.uint16), _meet(rows, "open", bool)
             other, off, inner = _meet(rows, "other", np.uint32), _meet(rows, "off", np.int16), _meet(rows, "inner", np.uint32)
-            who = np.repeat(np.arange(len(key)), size)
-            couple = W.mixed(key[who] + other * _BASE)
-            order = np.lexsort((at[who], doc[who], couple))
-            couple, who, off, inner, open_ = couple[order], who[order], off[order], inner[order], open_[order]
-            own = _heads(couple, doc[who])
-            last = np.flatnonzero(np.append(own[1:] != own[:-1], True)[: len(own)])
-            order = last[np.lexsort((last, inner[last], couple[last]))]
-            source = np.zeros(len(who), bool)
-            source[order[_heads(couple[order], inner[order]) == np.arange(len(order))]] = True
-            before = np.concatenate([[0], np.cumsum(source)])  # sources before each row
-            rank = np.flatnonzero(source)
-            start, own = before[_heads(couple)], before[own]
-            now = np.flatnonzero(open_ & (own > start))
-            left, parts, count = own[now], [], 0
-            while len(now):
-                src = rank[left - 1]
-                parts.append((who[now], who[src], off[now], off[src]))
-                count += len(now)
-                left = left - 1
-                if count > HELD_MATCHES:
-                    yield from packed(parts, doc, at)
-                    parts, count = [], 0
-                go = left > start[now]
-                now, left = now[go], left[go]
-            if parts:
-                yield from packed(parts, doc, at)
+            del rows[:]
+            who_of = np.repeat(np.arange(len(key), dtype=np.uint32), size)
+            slices = max(1, -(-len(who_of) // HELD_MATCHES))
+            slice_of = ((W.mixed(key) & np.uint64(0xFFFF)) * np.uint64(slices) >> np.uint64(16)).astype(np.int64)
+            for no in range(slices):  # a seed's rows are in one
+                part = np.flatnonzero(slice_of[who_of] == no)
+                who = who_of[part].astype(np.int64)
+                couple = W.mixed(key[who] + other[part] * _BASE)
+                order = np.lexsort((at[who], doc[who], couple))
+                couple, who, part = couple[order], who[order], part[order]
+                own = _heads(couple, doc[who])
+                last = np.flatnonzero(np.append(own[1:] != own[:-1], True)[: len(own)])
+                order = last[np.lexsort((last, inner[part[last]], couple[last]))]
+                source = np.zeros(len(who), bool)
+                source[order[_heads(couple[order], inner[part[order]]) == np.arange(len(order))]] = True
+                before = np.concatenate([[0], np.cumsum(source)])  # sources before each row
+                rank = np.flatnonzero(source)
+                start, own = before[_heads(couple)], before[own]
+                now = np.flatnonzero(open_[part] & (own > start))
+                now = now[np.argsort(who[now], kind="stable")]
+                for i, j in steps(who[now], own[now] - start[now]):
+                    many = (own - start)[now[i:j]]
+                    a = np.repeat(now[i:j], many)
+                    src = rank[np.repeat(own[now[i:j]] - 1 + np.cumsum(many) - many, many) - np.arange(len(a))]
+                    yield from packed(who[a], who[src], off[part[a]], off[part[src]], doc, at)
         release()
 
     sent = held.select("doc", "key", "at", "total", "flags").mapInArrow(send, schema)
@@ -692,10 +788,13 @@ def find_passages(docs: DataFrame, *, min_words: int = 50, identity: float = 0.8
     held = ws.put(uncovered(held, rows, min_words), "seeds")
     ws.drop("shared")
     starts = docs.sparkSession.sparkContext.broadcast(sized_bitmap(held.where("refs is not null"), 16))
+    numbers_of = ws.put(contested(held, starts, min_words), "contested")
+    starts.destroy()
+    starts = docs.sparkSession.sparkContext.broadcast(sized_bitmap(numbers_of, 16))
     links = missed(held, starts, min_words)
     more = ws.put(chains(links, None, min_words).withColumn("pair", F.monotonically_increasing_id()), "more")
     starts.destroy()
-    ws.drop("seeds")
+    ws.drop("seeds", "contested")
     rows = rows.unionByName(settled(docs, more, min_words, identity))
     ranges = [f.split()[0] for f in _PASSAGE.split(", ")][2:]
     inside = " and ".join(f"q.{c} {sign} r.{c}" for c, sign in zip(ranges, ("<=", ">=", "<=", ">="), strict=False))

@@ -1003,3 +1003,54 @@ def test_passages_steps_by_brute_force():
             by = np.lexsort((y[s:e], x[s:e]))
             if (by == np.arange(e - s)).all():
                 assert one == (len(passages.chain(x[s:e], y[s:e])) == 1 and len(passages.chain(x[s:e], y[s:e])[0]) == e - s)
+
+
+def test_passages_seeds_are_dealt_evenly(spark):
+    """Seeds are least hashes of their windows: dealt by themselves, a shard of low ones held several times the mean."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, texts[i % 20]) for i in range(40)], "doc_id long, text string")
+    sizes = [len(r["refs"]) // 4 for r in passages.seed_matches(docs, 50).where("refs is not null").collect()]
+    assert sum(sizes) > 5000 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_passages_couples_in_steps(spark, monkeypatch):
+    """A text that repeats itself has thousands of couples: some are held at once, and only those meet that an earlier document holds too."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    docs = []
+    for doc in range(12):
+        m = 60
+        key = rng.integers(0, 4, m).astype(np.uint64) << np.uint64(60) | np.uint64(doc % 4 if doc < 8 else doc)
+        docs.append((doc, key, np.cumsum(rng.integers(1, 9, m)), rng.integers(0, 4, m).astype(np.uint8) & rng.integers(0, 4, m).astype(np.uint8)))
+    owner, key, at, flags = (np.concatenate([np.full(60, d[0]) if k == 0 else d[k] for d in docs]) for k in range(4))
+    near, far = (50 - passages.K) // 2 + 2, 2 * 50 - passages.K
+    want, low, high = set(), {}, {}
+    for i in range(len(key)):
+        for j in range(i + 1, len(key)):
+            if owner[i] == owner[j] and near <= at[j] - at[i] <= far:
+                open_ = bool((flags[i : j + 1] & 1).any() and (flags[i : j + 1] & 2).any())
+                want.add((i, j, open_))
+                couple = (int(key[i]), int(key[j]) >> 32)
+                low.setdefault(couple, owner[i])
+                if open_:
+                    high[couple] = owner[i]
+    monkeypatch.setattr(passages, "HELD_COUPLES", 100)
+    pieces = list(passages.pairs(owner, key, at, flags, 50))
+    assert len(pieces) > 10 and max(len(p[0]) for p in pieces) <= 100
+    assert {(i, j, o) for p in pieces for i, j, o in zip(p[0].tolist(), p[1].tolist(), p[3].tolist(), strict=True)} == want
+    rows = [(d, k.tobytes(), a.astype(np.int32).tobytes(), k.tobytes(), f.tobytes()) for d, k, a, f in docs]
+    held = spark.createDataFrame(rows, "doc long, key binary, at binary, total binary, flags binary").repartition(5)
+    got = passages.contested(held, spark.sparkContext.broadcast(np.full(1 << 17, 255, np.uint8)), 50).collect()
+    number = {c: int(passages.W.mixed(np.array([c[0]], np.uint64) + np.array([c[1]], np.uint64) * passages._BASE)[0]) >> 32 for c in low}
+    found = np.sort(np.concatenate([np.frombuffer(r["refs"], np.uint32) for r in got])).tolist()
+    assert found == sorted(number[c] for c in high if low[c] < high[c]) and len(found) < len(low)
+
+
+def test_passages_steps_keep_a_place_together():
+    import numpy as np
+
+    who, size = np.array([0, 0, 0, 1, 2, 2, 5]), np.array([3, 3, 3, 1, 1, 1, 20])
+    assert list(passages.steps(who, size, 4)) == [(0, 3), (3, 6), (6, 7)]
+    assert list(passages.steps(who, size, 100)) == [(0, 7)] and list(passages.steps(who[:0], size[:0], 4)) == []
